@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rostrum.llm.bpe import encode_decode
+from rostrum.llm import exact, line_dedup
 from rostrum.llm.common import table
 from rostrum.llm.packing import pack
 from rostrum.llm.token_counts import count_tokens
@@ -27,10 +28,27 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its common lines."""
+    return line_dedup.drop_common_lines(table(spark, sf_dir, "documents"))
+
+
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the copy of it that stays."""
+    return exact.duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded."""
     return encode_decode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op2_packing": op2_packing, "op9_bpe": op9_bpe}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op2_packing": op2_packing,
+    "op3_line_dedup": op3_line_dedup,
+    "op6_exact_dedup": op6_exact_dedup,
+    "op9_bpe": op9_bpe,
+}
+#: For the others SQL has no such function, or is too slow on whole tables; tests hold them against brute force.
+ORACLES = {"op3_line_dedup": line_dedup.ORACLE, "op6_exact_dedup": exact.ORACLE}
