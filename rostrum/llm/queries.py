@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rostrum.llm.bpe import encode_decode
-from rostrum.llm import exact, line_dedup
+from rostrum.llm import exact, line_dedup, pii, quality
 from rostrum.llm.common import table
 from rostrum.llm.packing import pack
 from rostrum.llm.token_counts import count_tokens
@@ -38,17 +38,30 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality, learnt from `labels`."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, *quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded."""
     return encode_decode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_packing": op2_packing,
     "op3_line_dedup": op3_line_dedup,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_quality": op7_quality,
     "op9_bpe": op9_bpe,
+    "op10_pii": op10_pii,
 }
 #: For the others SQL has no such function, or is too slow on whole tables; tests hold them against brute force.
 ORACLES = {"op3_line_dedup": line_dedup.ORACLE, "op6_exact_dedup": exact.ORACLE}
