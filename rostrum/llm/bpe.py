@@ -17,6 +17,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import add
 
 import pyarrow as pa
 import regex
@@ -33,9 +34,9 @@ NEVER = 1 << 40
 
 
 class ForcedBoundaryEncoder:
-    """Encodes words by fragments; memory of words and fragments is bounded and emptied when full."""
+    """Encodes words by fragments; memory of words and fragments is bounded, the older half going first."""
 
-    def __init__(self, path: str, remembered: int = 250_000):
+    def __init__(self, path: str, remembered: int = 400_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -50,6 +51,7 @@ class ForcedBoundaryEncoder:
         self.rank = {m: i for i, m in enumerate(merges)}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in [*self.vocab.items(), *self.added.items()]}
+        self.text_of = {i: str(i) for i in self.names}
         self.letters = byte_letters()
         inside: set[str] = set()
         for token in self.vocab:
@@ -65,17 +67,15 @@ class ForcedBoundaryEncoder:
         self.known = known and not model["dropout"] and not model["continuing_subword_prefix"] and not model["byte_fallback"] and not model["ignore_merges"] and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
         self.remembered = remembered
         self.seen: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
         self.parts: dict[tuple[str, bool], list[int]] = {}
 
     def fragments(self, word: str) -> list[str]:
         """The word's byte letters, cut wherever no vocabulary string could cross."""
-        shown = "".join(self.letters[b] for b in word.encode())
-        out, start = [], 0
-        for i in range(1, len(shown)):
-            if shown[i - 1 : i + 1] not in self.joined:
-                out.append(shown[start:i])
-                start = i
-        return [*out, shown[start:]]
+        shown = word if word.isascii() and word.isprintable() else "".join([self.letters[b] for b in word.encode()])
+        joined = self.joined
+        cuts = [i for i, pair in enumerate(map(add, shown, shown[1:]), 1) if pair not in joined]
+        return [shown[a:b] for a, b in zip([0, *cuts], [*cuts, len(shown)])]
 
     def merge(self, fragment: str, last: bool) -> list[int]:
         """The vocabulary's merges on one fragment, lowest rank and leftmost first."""
@@ -120,21 +120,24 @@ class ForcedBoundaryEncoder:
 
     def word(self, word: str) -> tuple[int, str, str]:
         """(tokens, their ids, their strings) of one word, the last two joined by spaces."""
+        if (out := self.older.get(word)) is not None:
+            self.seen[word] = out
+            return out
         ids: list[int] = []
         cut = self.fragments(word)
         for k, fragment in enumerate(cut):
             key = (fragment, k == len(cut) - 1)
             if (got := self.parts.get(key)) is None:
                 got = self.merge(*key)
-                if len(fragment) <= 48:
+                if len(cut) > 1 and len(fragment) <= 48:
                     if len(self.parts) >= self.remembered:
                         self.parts.clear()
                     self.parts[key] = got
             ids += got
-        out = len(ids), " ".join(map(str, ids)), " ".join(self.names[i] for i in ids)
+        out = len(ids), " ".join([self.text_of[i] for i in ids]), " ".join([self.names[i] for i in ids])
         if len(word) <= 48:
             if len(self.seen) >= self.remembered:
-                self.seen.clear()
+                self.older, self.seen = self.seen, {}
             self.seen[word] = out
         return out
 
@@ -147,7 +150,7 @@ class ForcedBoundaryEncoder:
     def encode(self, text: str) -> tuple[int, str, str]:
         """(tokens, ids, decoded text); ids joined by one space."""
         found: list[tuple[int, str, str]] = []
-        seen, word = self.seen.get, self.word
+        word = self.word
         for part in self.specials.split(text) if "<|" in text else (text,):
             if part in self.added:
                 found.append((1, str(self.added[part]), part))
@@ -158,6 +161,7 @@ class ForcedBoundaryEncoder:
             if normal is None:
                 ids = self.library.encode(text, add_special_tokens=False).ids
                 return len(ids), " ".join(map(str, ids)), self.library.decode(ids, skip_special_tokens=False)
+            seen = self.seen.get
             found += [seen(w) or word(w) for w in self.words.findall(normal)]
         return sum(f[0] for f in found), " ".join([f[1] for f in found]), " ".join([f[2] for f in found])
 
