@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rostrum.llm.bpe import encode_decode
-from rostrum.llm import exact, line_dedup, pii, quality
+from rostrum.llm import embedding_dedup, exact, line_dedup, minhash, pii, quality
 from rostrum.llm.common import table
 from rostrum.llm.packing import pack
 from rostrum.llm.token_counts import count_tokens
@@ -33,6 +33,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_common_lines(table(spark, sf_dir, "documents"))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its component of near-duplicates: three words, a similarity of 0.85."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the copy of it that stays."""
     return exact.duplicates(table(spark, sf_dir, "documents"))
@@ -44,6 +49,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, *quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its links and component at a cosine of 0.9."""
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded."""
     return encode_decode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
@@ -58,8 +68,10 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_packing": op2_packing,
     "op3_line_dedup": op3_line_dedup,
+    "op4_minhash": op4_minhash,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_quality": op7_quality,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_bpe": op9_bpe,
     "op10_pii": op10_pii,
 }
