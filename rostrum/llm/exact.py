@@ -49,6 +49,13 @@ def duplicates(docs: DataFrame, leaves: int = 64, ways: int = 8) -> DataFrame:
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
+def without_copies(docs: DataFrame, **how) -> DataFrame:
+    """docs, all columns, without the rows that duplicates() does not keep."""
+    gone = duplicates(docs, **how).where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    sha = F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256)
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (sha == F.col("__sha")), "left_anti")
+
+
 ORACLE = """
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

@@ -210,3 +210,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, keep:
     out = ids.select("doc_id", "d", "n", "id").join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
     discard(entries, members)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component") != UNNAMED, F.col("component")).alias("component_id"), (F.col("d") == F.col("component")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, **how) -> DataFrame:
+    """docs, all columns, without the rows that near_duplicates() does not keep."""
+    gone = near_duplicates(docs, **how).where("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")

@@ -260,3 +260,19 @@ def score(docs: DataFrame, vectors: np.ndarray, net: Network, threshold: float =
 
     scored = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(of, "doc_id long, score double")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, vectors: np.ndarray, net: Network, threshold: float = 0.7) -> DataFrame:
+    """docs, all columns, without the rows that score() predicts as 0."""
+    held = docs.sparkSession.sparkContext.broadcast((vectors, net))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens()
+        vectors, net = held.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                x = np.stack([pooled(t or "", tokens, vectors) for (t,) in rows(batch, "text")])
+                yield batch.filter(pa.array(net.probabilities(x.astype(np.float64)) >= threshold))
+
+    return docs.mapInArrow(of, docs.schema)

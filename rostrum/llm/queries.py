@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rostrum.llm.bpe import encode_decode
-from rostrum.llm import embedding_dedup, exact, line_dedup, minhash, pii, quality
+from rostrum.llm import embedding_dedup, exact, line_dedup, minhash, pii, quality, repeats
 from rostrum.llm.common import table
 from rostrum.llm.packing import pack
 from rostrum.llm.token_counts import count_tokens
@@ -38,6 +38,11 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without byte strings of 400 that occur more than once."""
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the copy of it that stays."""
     return exact.duplicates(table(spark, sf_dir, "documents"))
@@ -69,6 +74,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_line_dedup": op3_line_dedup,
     "op4_minhash": op4_minhash,
+    "op5_repeats": op5_repeats,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_quality": op7_quality,
     "op8_embedding_dedup": op8_embedding_dedup,
