@@ -2,5 +2,13 @@
 
 from __future__ import annotations
 
+from rostrum.plans import bouts, results
+
+MODULES = (bouts, results)
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _module in MODULES:
+    if twice := QUERIES.keys() & _module.R.queries.keys():
+        raise ValueError(f"registered twice: {sorted(twice)}")
+    QUERIES.update(_module.R.queries)
+    ORACLES.update(_module.R.oracles)
