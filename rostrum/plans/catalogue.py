@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rostrum.plans import bouts, results
+from rostrum.plans import bouts, results, texts
 
-MODULES = (bouts, results)
+MODULES = (bouts, results, texts)
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _module in MODULES:
