@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rostrum.plans import bouts, results, texts
+from rostrum.plans import bouts, calendar, results, texts
 
-MODULES = (bouts, results, texts)
+MODULES = (bouts, results, texts, calendar)
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _module in MODULES:

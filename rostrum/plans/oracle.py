@@ -26,6 +26,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey"""),
     "monthly": (("result",), "SELECT season, weapon, person, ym, round(sum(points), 2) AS month_points FROM result GROUP BY ALL"),
     "publication": (("monthly",), "SELECT season, weapon, person, ym, round(sum(month_points) OVER (PARTITION BY season, weapon, person ORDER BY ym ROWS UNBOUNDED PRECEDING), 2) AS points FROM monthly"),
+    "edition": (("result",), """SELECT strftime(day, '%Y%m%d') || '-' || substr(category, 1, 1) AS edition, day AS start, day + CAST(count(*) % 4 AS INTEGER) AS stop, category AS city, any_value(season) AS season,
+        CASE WHEN dayofyear(day) % 2 = 0 THEN 'nac' ELSE 'int' END AS source, count(*) AS n FROM result GROUP BY day, category"""),
     "observation": ((), "SELECT event_id AS id, user_id AS person, event_type AS source, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, ts, value, CAST(ts AS DATE) AS day FROM events"),
 }
 

@@ -92,6 +92,15 @@ def publications(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monthly.withColumn("points", F.round(F.sum("month_points").over(w), 2)).drop("month_points")
 
 
+def editions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calendar editions: one per day and category, up to four days long, of one of two sources."""
+    df = results(spark, sf_dir).groupBy("day", "category").agg(F.count("*").alias("n"), F.min("season").alias("season"))
+    return df.select(
+        F.concat_ws("-", F.date_format("day", "yyyyMMdd"), F.substring("category", 1, 1)).alias("edition"), F.col("day").alias("start"), F.date_add("day", (F.col("n") % 4).cast("int")).alias("stop"),
+        F.col("category").alias("city"), "season", F.when(F.dayofyear("day") % 2 == 0, "nac").otherwise("int").alias("source"), "n",
+    )
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observed registrations: a person, a source, a competition key, and when it was read."""
     ev = table(spark, sf_dir, "events")
