@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rostrum.plans import bouts, calendar, results, texts
+from rostrum.plans import bouts, calendar, results, stewardship, texts
 
-MODULES = (bouts, results, texts, calendar)
+MODULES = (bouts, results, texts, calendar, stewardship)
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _module in MODULES:
