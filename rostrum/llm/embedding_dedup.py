@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from rostrum.llm.common import rows, stored
 from rostrum.llm.components import components
-from rostrum.llm.minhash import UNNAMED
+from rostrum.llm.minhash import UNNAMED, local_components
 
 
 def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,20 +64,6 @@ def linked_pairs(a: np.ndarray, b: np.ndarray, threshold: float, block: int = 10
     return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out]), tried
 
 
-def local_components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The least index that each of n nodes reaches by the pairs."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 FOUND = pa.schema([("a", pa.int64()), ("h", pa.int64()), ("links", pa.int64()), ("b", pa.int64())])
 
 

@@ -1,27 +1,28 @@
 """Near-duplicate documents by bottom-k sketches from one hash function.
 
 A document's set of word shingles is hashed once; the k least values are its
-sketch. The least few of those go into inverted lists: two similar sets share one
-of them but for a chance of (1 - similarity) to that number. Long lists are split
-by pairs of neighbouring values. In every list the most central document is
-compared with all others; then only documents of a list that are still in
-different components are compared, where the triangle inequality on the exact
-distances to the centre allows a link. The sketch of the union, estimated from
-the two sketches, drops pairs that are more than six standard deviations off;
-what is left is verified on the full sets.
-
-Equal sets are one node from the start, so copies never meet each other.
+sketch. The least dozen go into inverted lists; values that one document alone
+retains drop out, and neighbouring pairs of the others are the lists' keys, so
+that two documents meet only over two common values. Each list is named by its
+most central document, and lists of one name are one group, so that a pair that
+meets in many lists is looked at once.
+
+Groups are compared in pairs of tiles of bounded size. The overlap of two
+sketches estimates the union's: pairs more than six standard deviations below the
+threshold are dropped, the others are verified on the full sets. A pair of tiles
+gives back a row per linked document, not per link. Equal sets are one node from
+the start, so copies never meet each other.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rostrum.llm.common import chunks, discard, rows, stored
@@ -66,6 +67,26 @@ class Shingler:
         return np.unique(out)
 
 
+@lru_cache(maxsize=2)
+def shingler(size: int) -> Shingler:
+    """One per worker and size."""
+    return Shingler(size)
+
+
+def local_components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least index that each of n nodes reaches by the pairs."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 SKETCH = pa.schema([("doc_id", pa.int64()), ("d", pa.int64()), ("x", pa.int64()), ("n", pa.int64()), ("digest", pa.string()), ("sketch", pa.list_(pa.int64()))])
 
 
@@ -73,7 +94,7 @@ def sketches(docs: DataFrame, shingle: int, keep: int) -> DataFrame:
     """doc_id, d (never null), x (hash of the text), n (set size), digest of the set, and its least `keep` values as signed numbers."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(shingle)
+        shingles = shingler(shingle)
 
         def each() -> Iterator[tuple]:
             for batch in batches:
@@ -90,125 +111,105 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("x", F.xxhash64("text"))
 
 
-def _compatible(a: Column, b: Column, percent: int) -> Column:
-    """Whether two set sizes allow the similarity at all."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
-
-
-def _estimate(a: Column, b: Column, keep: int, least: float) -> Column:
-    """Whether the union's sketch leaves the similarity possible: its share of common values is at least `least`."""
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, keep)
-    return F.size(F.array_intersect(union, F.array_intersect(a, b))) >= F.size(union) * least
-
-
-VERIFIED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("common", pa.int64()), ("total", pa.int64())])
-
-
-def verify(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """(a, b, common, total) of the pairs (a, b): sizes of intersection and union of the full sets.
-
-    texts has (id, text). Only texts of pairs are shuffled. A text that many pairs
-    share is met by joins that Spark splits when skewed.
-    """
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    needed = texts.join(ids, "id", "left_semi")
-    needed = stored(needed, "needed")
-    both = pairs.join(needed.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(needed.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(shingle)
-        held: OrderedDict[int, tuple[str, np.ndarray]] = OrderedDict()
-
-        def of_text(i: int, text: str) -> np.ndarray:
-            got = held.get(i)
-            if got is None or got[0] != text:
-                got = text, shingles(text)
-                held[i] = got
-                if len(held) > 32:
-                    held.popitem(last=False)
-            return got[1]
-
-        def each() -> Iterator[tuple]:
-            for batch in batches:
-                for a, b, ta, tb in rows(batch, "a", "b", "ta", "tb"):
-                    one, other = of_text(a, ta), of_text(b, tb)
-                    common = len(np.intersect1d(one, other, assume_unique=True))
-                    yield a, b, common, len(one) + len(other) - common
-
-        yield from chunks(each(), VERIFIED)
-
-    return both.select("a", "b", "ta", "tb").mapInArrow(of, "a long, b long, common long, total long")
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, keep: int = 64, indexed: int = 8, long_list: int = 32, neighbours: int = 2) -> DataFrame:
+def overlaps(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of each set of a with each of b, by products of 0-1 matrices of bounded width."""
+    out = np.zeros((len(a), len(b)), dtype=np.float32)
+    values, which = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    counts = np.bincount(which, minlength=len(values))
+    column = np.cumsum(counts > 1) - 1
+    column[counts < 2] = -1
+    column = column[which]
+    owner = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in [*a, *b]])
+    owner, column = owner[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        lo, hi = np.searchsorted(column, [at, at + width])
+        part = np.zeros((len(a) + len(b), width), dtype=np.float32)
+        part[owner[lo:hi], column[lo:hi] - at] = 1
+        out += part[: len(a)] @ part[len(a) :].T
+    return out
+
+
+def linked_sets(a: list[np.ndarray], b: list[np.ndarray], percent: int, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places i in a and j in b of sets with 100 * intersection >= percent * union."""
+    least = percent / 100 - 6.5 * (percent / 100 * (1 - percent / 100) / keep) ** 0.5
+    na, nb = (np.array([len(x) for x in s], dtype=np.int64) for s in (a, b))
+    low, high = np.minimum(na[:, None], nb), np.maximum(na[:, None], nb)
+    maybe = (low * 100 >= high * percent) & (overlaps([x[:keep] for x in a], [x[:keep] for x in b]) >= np.minimum(keep, high) * least)
+    i, j = np.flatnonzero(maybe.any(1)), np.flatnonzero(maybe.any(0))
+    if not len(i):
+        return i, j
+    common = overlaps([a[k] for k in i], [b[k] for k in j]).astype(np.int64)
+    union = na[i][:, None] + nb[j] - common
+    x, y = np.nonzero((common * 100 >= percent * union) & maybe[np.ix_(i, j)])
+    return i[x], j[y]
+
+
+LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def compared(members: DataFrame, shingle: int, percent: int, keep: int, tile: int) -> DataFrame:
+    """(a, b): documents of the groups (centre, id, text) that are linked, each with the least that links reach within a pair of tiles."""
+    counts = members.groupBy("centre").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    tiled = members.join(counts, "centre").withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    sent = tiled.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("centre", F.least("t", "u").alias("lo"), F.greatest("t", "u").alias("hi"), "t", "id", "text")
+
+    def work(group: pa.Table) -> pa.Table:
+        first, second = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
+        shingles = shingler(shingle)
+        ids, tiles = group.column("id").to_numpy(), group.column("t").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        ids, tiles = ids[order], tiles[order]
+        texts = group.column("text")
+        sets = [shingles(texts[int(k)].as_py()) for k in order]
+        left = np.flatnonzero(tiles == first)
+        right = left if first == second else np.flatnonzero(tiles == second)
+        if not len(left) or not len(right):
+            return LINK.empty_table()
+        i, j = linked_sets([sets[k] for k in left], [sets[k] for k in right], percent, keep)
+        root = local_components(len(ids), left[i], right[j])
+        hit = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.table([ids[hit], ids[root[hit]]], schema=LINK)
+
+    return sent.groupBy("centre", "lo", "hi").applyInArrow(work, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, keep: int = 64, indexed: int = 12, neighbours: int = 2, tile: int = 320) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row.
 
     Texts are linked when 100 * intersection >= percent * union of their sets of
     `shingle`-word shingles, A-Z lower-cased; fewer words make one shingle; a text
-    without words has an empty set and no links. component_id is the least doc_id
-    that links reach. Rows with one doc_id are one document: its texts are linked.
-    Null doc_ids likewise (their component_id is null, unless another document is
-    linked to them, which is then below any other). An empty table gives no rows;
-    other columns are ignored.
+    without words has an empty set and no links. percent is 70 or more, so that
+    different sets that are linked have two values in common. component_id is the
+    least doc_id that links reach. Rows with one doc_id are one document: its
+    texts are linked. Null doc_ids likewise (their component_id is null, unless
+    another document is linked to them). An empty table gives no rows; other
+    columns are ignored.
     """
-    everything = stored(sketches(docs, shingle, keep), "sketches")
+    everything = stored(sketches(docs, shingle, indexed), "sketches")
     full = everything.where("n > 0")
     node = stored(full.groupBy("digest", "n").agg(F.min(F.struct("d", "x")).alias("least")).select("digest", "n", F.col("least.d").alias("id"), F.col("least.x").alias("x")), "nodes")
-    chosen = full.join(node.select(F.col("id").alias("d"), "x", "digest"), ["d", "x", "digest"], "left_semi").select(F.col("d").alias("id"), "n", "sketch").dropDuplicates(["id", "n"])
-    chosen = stored(chosen, "chosen")
-    texts = _texts(docs).select(F.coalesce("doc_id", F.lit(UNNAMED)).alias("id"), "x", "text").join(node.select("id", "x"), ["id", "x"], "left_semi").select("id", "text")
+    chosen = full.join(node.select(F.col("id").alias("d"), "x", "digest"), ["d", "x", "digest"], "left_semi").select(F.col("d").alias("id"), "sketch").dropDuplicates(["id"])
 
-    # Inverted lists of the least values; those of one document can link nothing.
-    entries = chosen.select("id", "n", F.slice("sketch", 1, indexed).alias("least"), F.posexplode(F.slice("sketch", 1, indexed)).alias("at", "value"))
-    entries = stored(entries.select("id", "n", "value", F.slice("least", F.col("at") + 2, F.lit(neighbours)).alias("next")), "entries")
+    # Inverted lists: of each document the retained values that others retain too, and their neighbouring pairs.
+    entries = stored(chosen.select("id", F.explode("sketch").alias("value")), "entries")
     lengths = entries.groupBy("value").agg(F.count("*").alias("length")).where("length > 1")
-    entries = stored(entries.join(lengths, "value"), "shared")
-    central = entries.groupBy("id").agg(F.sum("length").alias("weight"))
-    # A long list is split by the values that follow its own in each document; where none follows, it stays as it is.
-    split = F.when((F.col("length") > long_list) & (F.size("next") > 0), F.transform("next", lambda w: F.xxhash64("value", w))).otherwise(F.array("value"))
-    lists = entries.select("id", "n", F.explode(split).alias("key")).distinct().join(central, "id")
-    centres = lists.groupBy("key").agg(F.count("*").alias("length"), F.max(F.struct("weight", -F.col("id"), "n")).alias("top")).where("length > 1")
-    lists = lists.join(centres.select("key", (-F.col("top.col2")).alias("centre"), F.col("top.n").alias("centre_n")), "key").select("key", "id", "n", "centre", "centre_n")
-    lists = stored(lists, "lists")
-
-    least = percent / 100 - 6.5 * (percent / 100 * (1 - percent / 100) / keep) ** 0.5
-    one = chosen.select(F.col("id").alias("a"), F.col("sketch").alias("sa"))
-    other = chosen.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
-    stars = lists.where(F.col("id") != F.col("centre")).where(_compatible(F.col("n"), F.col("centre_n"), percent)).select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
-    stars = stars.join(one, "a").join(other, "b").where(_estimate(F.col("sa"), F.col("sb"), keep, least)).select("a", "b")
-    checked = stored(verify(stored(stars, "stars"), texts, shingle), "verified")
-    linked = checked.where(F.col("common") * 100 >= F.col("total") * percent).select("a", "b")
+    shared = entries.join(lengths, "value").groupBy("id").agg(F.sum("length").alias("weight"), F.sort_array(F.collect_list("value")).alias("v")).where(F.size("v") > 1)
+    keys = F.flatten(F.transform(F.sequence(F.lit(0), F.size("v") - 2), lambda i: F.transform(F.slice("v", i + 2, F.lit(neighbours)), lambda w: F.xxhash64(F.get("v", i), w))))
+    lists = stored(shared.select("id", "weight", F.explode(keys).alias("key")), "lists")
+    centres = lists.groupBy("key").agg(F.count("*").alias("length"), F.max(F.struct("weight", (-F.col("id")).alias("i"))).alias("top")).where("length > 1").select("key", (-F.col("top.i")).alias("centre"))
+    members = stored(lists.join(centres, "key").select("centre", "id").distinct(), "members")
+
+    wanted = node.select("id", "x").join(members.select("id").distinct(), "id", "left_semi")
+    texts = _texts(docs).select(F.coalesce("doc_id", F.lit(UNNAMED)).alias("id"), "x", "text").join(wanted, ["id", "x"], "left_semi").dropDuplicates(["id", "x"]).select("id", "text")
+    linked = compared(members.join(texts, "id"), shingle, percent, keep, tile)
     # One document's several texts hold together.
-    same = everything.where("n > 0").join(node.select("digest", "n", "id"), ["digest", "n"]).groupBy("d").agg(F.min("id").alias("a"), F.max("id").alias("b")).select("a", "b").where("a <> b")
-    linked = stored(linked.union(same), "linked")
-    first = components(linked)
-
-    # Lists whose documents are in one component are done. In the others, those outside the centre's component meet the rest.
-    far = checked.select(F.col("a").alias("id"), F.col("b").alias("centre"), (1 - F.col("common") / F.col("total")).alias("far"))
-    label = first.select("id", "component")
-    members = lists.join(label, "id", "left").join(label.select(F.col("id").alias("centre"), F.col("component").alias("centre_component")), "centre", "left")
-    members = members.withColumns({"component": F.coalesce("component", "id"), "centre_component": F.coalesce("centre_component", "centre")})
-    members = members.withColumn("outside", F.col("component") != F.col("centre_component"))
-    open_keys = members.groupBy("key").agg(F.count_if("outside").alias("out")).where("out > 0").select("key")
-    members = members.where(F.col("id") != F.col("centre")).join(open_keys, "key", "left_semi").join(far, ["id", "centre"], "left").join(chosen.select("id", "sketch"), "id")
-    members = stored(members.select("key", "id", "n", "component", "outside", "far", "sketch"), "members")
-    l, r = members.where("outside").alias("l"), members.alias("r")
-    width = 1 - percent / 100 + 1e-9
-    possible = (
-        (F.col("l.component") != F.col("r.component"))
-        & _compatible(F.col("l.n"), F.col("r.n"), percent)
-        & (~F.col("r.outside") | (F.col("l.id") < F.col("r.id")))
-        & F.coalesce(F.abs(F.col("l.far") - F.col("r.far")) <= width, F.lit(True))
-        & (F.size(F.array_intersect("l.sketch", "r.sketch")) >= F.least(F.lit(keep), F.greatest("l.n", "r.n")) * least)
-    )
-    rest = l.join(r, (F.col("l.key") == F.col("r.key")) & possible).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
-    rest = stored(rest, "rest")
-    if not rest.isEmpty():
-        more = verify(rest, texts, shingle).where(F.col("common") * 100 >= F.col("total") * percent).select("a", "b")
-        first = components(stored(linked.union(more), "linked"))
+    same = full.join(node.select("digest", "n", "id"), ["digest", "n"]).groupBy("d").agg(F.min("id").alias("a"), F.max("id").alias("b")).select("a", "b").where("a <> b")
+    labels = components(linked.union(same))
+    discard(entries, lists, members)
     ids = everything.join(node.select("digest", "n", "id"), ["digest", "n"], "left").withColumn("id", F.coalesce("id", "d"))
-    out = ids.select("doc_id", "d", "n", "id").join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    discard(entries, members)
+    out = ids.select("doc_id", "d", "n", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component") != UNNAMED, F.col("component")).alias("component_id"), (F.col("d") == F.col("component")).alias("kept"))
 
 
