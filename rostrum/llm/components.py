@@ -1,4 +1,4 @@
-"""Connected components by contraction: every node joins its least neighbour, a few pointers are followed, edges are relabelled."""
+"""Connected components by contraction: every node joins the first of its neighbours in a random order, pointers are followed, edges are relabelled."""
 
 from __future__ import annotations
 
@@ -11,24 +11,34 @@ from rostrum.llm.common import discard, stored
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id of the edges (a, b); component is the least id that can be reached.
 
-    Each round at least halves the nodes that still have edges and writes what is
-    left, so lineage stays short. Hubs are met by joins on single rows per node and
-    by minimums that are taken before the shuffle.
+    The order is another one each round, so that a chain of rising ids shrinks by
+    a share and not by a step, and the number of rounds is logarithmic whatever
+    the ids. Each round writes what is left, so lineage stays short. Hubs are met
+    by joins on single rows per node and by minimums that are taken before the
+    shuffle. Null ends count as no edge; without edges there are no rows.
     """
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    labels = None
+    labels, turn = None, 0
     while not edges.isEmpty():
+        turn += 1
+
+        def place(c: str, turn: int = turn):
+            return F.struct(F.xxhash64(F.lit(turn), c).alias("o"), F.col(c).alias("i"))
+
         both = edges.union(edges.select("b", "a"))
-        parent = stored(both.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("id"), F.least("a", "p").alias("p")), "parents")
+        first = both.groupBy("a").agg(F.min(place("b")).alias("p"))
+        parent = stored(first.select(F.col("a").alias("id"), F.least(place("a"), "p")["i"].alias("p")), "parents")
         above = parent.select(F.col("id").alias("p"), F.col("p").alias("q"))
-        parent = stored(parent.join(above, "p").select("id", F.col("q").alias("p")), "parents")
+        jumped = stored(parent.join(above, "p").select("id", F.col("q").alias("p")), "jumped")
         if labels is None:
-            labels = parent.select("id", F.col("p").alias("component"))
+            labels = jumped.select("id", F.col("p").alias("component"))
         else:
-            labels = labels.join(parent.select(F.col("id").alias("component"), "p"), "component", "left").select("id", F.coalesce("p", "component").alias("component"))
-        labels = stored(labels, "labels")
-        one, other = parent.select(F.col("id").alias("a"), F.col("p").alias("pa")), parent.select(F.col("id").alias("b"), F.col("p").alias("pb"))
+            labels = stored(labels.join(jumped.select(F.col("id").alias("component"), "p"), "component", "left").select("id", F.coalesce("p", "component").alias("component")), "labels")
+        one, other = jumped.select(F.col("id").alias("a"), F.col("p").alias("pa")), jumped.select(F.col("id").alias("b"), F.col("p").alias("pb"))
         left = edges.join(one, "a").join(other, "b").where("pa <> pb").select(F.greatest("pa", "pb").alias("a"), F.least("pa", "pb").alias("b")).distinct()
         old, edges = edges, stored(left, "edges")
-        discard(old)
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("component")) if labels is None else labels
+        discard(old, parent)
+    if labels is None:
+        return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    least = labels.groupBy("component").agg(F.min("id").alias("least"))
+    return labels.join(least, "component").select("id", F.col("least").alias("component"))

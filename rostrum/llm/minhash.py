@@ -198,7 +198,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, keep:
     shared = entries.join(lengths, "value").groupBy("id").agg(F.sum("length").alias("weight"), F.sort_array(F.collect_list("value")).alias("v")).where(F.size("v") > 1)
     keys = F.flatten(F.transform(F.sequence(F.lit(0), F.size("v") - 2), lambda i: F.transform(F.slice("v", i + 2, F.lit(neighbours)), lambda w: F.xxhash64(F.get("v", i), w))))
     lists = stored(shared.select("id", "weight", F.explode(keys).alias("key")), "lists")
-    centres = lists.groupBy("key").agg(F.count("*").alias("length"), F.max(F.struct("weight", (-F.col("id")).alias("i"))).alias("top")).where("length > 1").select("key", (-F.col("top.i")).alias("centre"))
+    centres = lists.groupBy("key").agg(F.count("*").alias("length"), F.max(F.struct("weight", F.bitwise_not("id").alias("i"))).alias("top")).where("length > 1").select("key", F.bitwise_not("top.i").alias("centre"))
     members = stored(lists.join(centres, "key").select("centre", "id").distinct(), "members")
 
     wanted = node.select("id", "x").join(members.select("id").distinct(), "id", "left_semi")

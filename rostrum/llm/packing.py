@@ -132,7 +132,7 @@ def pack(docs: DataFrame, vocabulary: str, most: int = 1024, end_id: int = 0, wi
     order = Window.partitionBy("length", "shard").orderBy("doc_id", "start", "ids_crc32")
     levels = most.bit_length()
     number = (F.row_number().over(order).cast("long") - 1) * SHARDS + F.col("shard")
-    return pieces.withColumns({"sequence_id": number * levels + F.log2("length").cast("long"), "offset": F.lit(0).cast("long"), "bucket": F.col("length")}).drop("shard")
+    return pieces.withColumns({"sequence_id": number * levels + F.round(F.log2("length")).cast("long"), "offset": F.lit(0).cast("long"), "bucket": F.col("length")}).drop("shard")
 
 
 def write_buckets(packed: DataFrame, path: str) -> None:
