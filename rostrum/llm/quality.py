@@ -43,7 +43,7 @@ class Tokens:
     Remembered up to a bound; the older half goes first.
     """
 
-    def __init__(self, remembered: int = 300_000):
+    def __init__(self, remembered: int = 120_000):
         self.seen: dict[str, int] = {}
         self.older: dict[str, int] = {}
         self.remembered = remembered
@@ -119,7 +119,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
                 if len(b) > 1:
                     held += [b[1:] * CONTEXTS + c[:-1], b[:-1] * CONTEXTS + c[1:]]
                     size += 2 * len(b)
-                if size > 2_000_000:
+                if size > 800_000:
                     add(held)
                     held, size = [], 0
             if held:
