@@ -123,6 +123,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, tile: int = 4096) -
         hit = np.flatnonzero(links)
         return pa.table([ids[hit], marks[hit], links[hit].astype(np.int64), ids[root[hit]]], schema=FOUND)
 
+    # Dealt by number: adaptive execution would join tile pairs, which are few bytes and much work, into one task.
+    sent = sent.repartition(4 * int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions")), "size", "lo", "hi")
     found = stored(sent.groupBy("size", "lo", "hi").applyInArrow(work, "a long, h long, links long, b long"), "found")
     # A vec_id that several vectors have holds them together through its own node.
     same = packed.where("v IS NOT NULL").join(nodes.select("v", "id"), "v").where("d <> id").select(F.col("d").alias("a"), F.col("id").alias("b")).distinct()
