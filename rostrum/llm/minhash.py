@@ -172,6 +172,7 @@ def compared(members: DataFrame, shingle: int, percent: int, keep: int, tile: in
         hit = np.flatnonzero(root != np.arange(len(ids)))
         return pa.table([ids[hit], ids[root[hit]]], schema=LINK)
 
+    sent = sent.repartition(4 * int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions")), "centre", "lo", "hi")
     return sent.groupBy("centre", "lo", "hi").applyInArrow(work, "a long, b long")
 
 
