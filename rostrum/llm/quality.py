@@ -43,7 +43,7 @@ class Tokens:
     Remembered up to a bound; the older half goes first.
     """
 
-    def __init__(self, remembered: int = 120_000):
+    def __init__(self, remembered: int = 220_000):
         self.seen: dict[str, int] = {}
         self.older: dict[str, int] = {}
         self.remembered = remembered
@@ -54,9 +54,11 @@ class Tokens:
             lower = word.lower()
             upper = word.isupper()
             case = "A" if upper and len(word) > 1 else "Aa" if word[:1].isupper() else "a"
-            shape = word[:40]
-            for pattern, by in SHAPE:
-                shape = pattern.sub(by, shape)
+            shape = "a"
+            if not word.isalpha():
+                shape = word[:40]
+                for pattern, by in SHAPE:
+                    shape = pattern.sub(by, shape)
             # The context of a neighbour: its case and punctuation with its first letters; no corpus word is too rare for it.
             context = f"{case}\t{shape[:6]}\t{lower[:2]}"
             marks = upper | (word[-1] in "!?") << 1 | (len(word) == 1 and not word.isalnum()) << 2 | (word[-1] in ".,;:") << 3
@@ -68,8 +70,11 @@ class Tokens:
 
     def of(self, text: str) -> np.ndarray:
         """The codes of a text's words."""
-        get, code = self.seen.get, self.code
-        return np.array([get(w) or code(w) for w in text.split()], dtype=np.int64)
+        get, words = self.seen.get, text.split()
+        codes = list(map(get, words))
+        if None in codes:
+            codes = [c or get(w) or self.code(w) for c, w in zip(codes, words)]
+        return np.array(codes, dtype=np.int64)
 
 
 def buckets(codes: np.ndarray) -> np.ndarray:
