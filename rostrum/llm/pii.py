@@ -6,8 +6,9 @@ it are a lexical pattern. Spark scores the graph of patterns and instances in
 rounds: a pattern's confidence in a kind is the share of all its occurrences in
 the corpus, whatever follows, that known instances of that kind follow; an
 instance's is the noisy-or over the patterns it occurs with. Accepted instances
-become known and so strengthen further patterns. What the rounds accept is added
-to the base spans; base spans always stay.
+become known: they strengthen patterns and bring further ones to the support, until
+a round accepts nothing new. What the rounds accept is added to the base spans; base
+spans always stay.
 """
 
 from __future__ import annotations
@@ -215,11 +216,12 @@ def pattern_totals(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     return counted.join(patterns.select("pattern").distinct(), "pattern", "left_semi")
 
 
-def discover(texts: DataFrame, found: DataFrame, rounds: int, support: int, confidence: float) -> DataFrame | None:
+def discover(texts: DataFrame, found: DataFrame, support: int, confidence: float) -> DataFrame | None:
     """(instance, kind) pairs that the rounds accept, or None when there are none.
 
     found has an occurrence a row. A pattern needs `support` different known
-    instances of a kind; patterns and instances need `confidence`.
+    instances of a kind; patterns and instances need `confidence`. Known instances
+    only become more, so the rounds end: with the first that adds none.
     """
     graph = found.select("instance", "kind", "kinds", F.explode(F.array("one", "two")).alias("pattern")).where("pattern IS NOT NULL")
     candidates = graph.where("kind IS NULL").groupBy("pattern", "instance", "kinds").agg(F.count("*").alias("n"))
@@ -227,9 +229,11 @@ def discover(texts: DataFrame, found: DataFrame, rounds: int, support: int, conf
     # Only patterns of candidates can discover anything; pairs are distinct before they are shuffled.
     candidates = stored(candidates, "candidates")
     seeds = stored(seeds.join(candidates.select("pattern").distinct(), "pattern", "left_semi"), "seeds")
-    patterns = stored(seeds.groupBy("pattern", "kind").agg(F.count("*").alias("different")).where(F.col("different") >= support).select("pattern").distinct(), "patterns")
-    if patterns.isEmpty():
+    if seeds.groupBy("pattern", "kind").agg(F.count("*").alias("different")).where(F.col("different") >= support).isEmpty():
         return None
+    # Whatever is accepted, a pattern never has more known instances of a kind than seeds and possible candidates of it.
+    possible = seeds.select("pattern", "kind").unionAll(candidates.select("pattern", F.explode("kinds").alias("kind")))
+    patterns = stored(possible.groupBy("pattern", "kind").agg(F.count("*").alias("different")).where(F.col("different") >= support).select("pattern").distinct(), "patterns")
     firsts = found.select("one", F.explode(F.array("one", "two")).alias("pattern")).join(patterns, "pattern", "left_semi").select(F.col("one").alias("pattern")).distinct()
     # Words glued to an instance never stand alone, so a pattern occurs at least as often as it precedes identifiers.
     glued = candidates.select("pattern", "n").unionByName(seeds.select("pattern", "n")).groupBy("pattern").agg(F.sum("n").alias("least"))
@@ -237,7 +241,7 @@ def discover(texts: DataFrame, found: DataFrame, rounds: int, support: int, conf
     totals = patterns.join(glued, "pattern").join(counted, "pattern", "left").select("pattern", F.greatest("least", F.coalesce("total", F.lit(0))).alias("total"))
     totals = stored(totals, "totals")
     known, accepted = seeds, None
-    for _ in range(rounds):
+    while True:
         scored = known.groupBy("pattern", "kind").agg(F.count("*").alias("different"), F.sum("n").alias("n")).where(F.col("different") >= support)
         scored = scored.join(totals, "pattern").select("pattern", "kind", F.least(F.col("n") / F.col("total"), F.lit(0.999)).alias("confidence")).where(F.col("confidence") >= confidence / 2)
         noisy = candidates.join(scored, "pattern").where(F.array_contains("kinds", F.col("kind"))).groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("score"))
@@ -248,9 +252,8 @@ def discover(texts: DataFrame, found: DataFrame, rounds: int, support: int, conf
         grown = best.count() > (accepted.count() if accepted is not None else 0)
         accepted = best
         if not grown:
-            break
+            return accepted
         known = stored(seeds.unionByName(candidates.join(accepted, "instance").select("pattern", "instance", "kind", "n")), "known")
-    return accepted
 
 
 def row_key():
@@ -258,7 +261,7 @@ def row_key():
     return F.concat_ws(":", "doc_id", F.hex(F.xxhash64(F.coalesce("text", F.lit("")))))
 
 
-def find(docs: DataFrame, rounds: int = 3, support: int = 3, confidence: float = 0.5, with_text: bool = False) -> DataFrame:
+def find(docs: DataFrame, support: int = 3, confidence: float = 0.5, with_text: bool = False) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans for every row (with_text: text and row as well).
 
     The counts and base_sha256 are of the base spans; spans has all. Null and
@@ -270,7 +273,7 @@ def find(docs: DataFrame, rounds: int = 3, support: int = 3, confidence: float =
     named = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("row", row_key())
     scanned = stored(named.mapInArrow(_scan, SCANNED_DDL), "scanned")
     found = scanned.where(F.size("found") > 0).select("row", F.inline("found"))
-    accepted = discover(named, found, rounds, support, confidence)
+    accepted = discover(named, found, support, confidence)
     out = scanned.select("doc_id", "row", "spans")
     if accepted is None:
         out = out.withColumn("more", F.array().cast("array<string>"))

@@ -73,6 +73,18 @@ def test_context_discovers(spark):
     assert all(got[100 + i].startswith("email:21:") for i in range(5)) and not any(got[200 + i] for i in range(5))
 
 
+def test_context_discovers_in_hops(spark):
+    """Patterns that reach the support with accepted instances alone find further ones, five hops from the seeds."""
+    hops = ["mail to:", "reach them via", "contact goes through", "their box is", "messages land at", "answers come from"]
+    rows = [(i, f"Please note {hops[0]} user{i}@site{i % 7}.org and thanks") for i in range(30)]
+    for h, words in enumerate(hops):
+        rows += [(1000 * (h + 1) + i, f"Please note {words} person{h}{i}@localhost and thanks") for i in range(5)]
+        if h:
+            rows += [(1000 * (h + 1) + 100 + i, f"Please note {words} person{h - 1}{i}@localhost and thanks") for i in range(5)]
+    got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(s.startswith("email:") for s in got.values()), sorted(i for i, s in got.items() if not s)
+
+
 def test_mask():
     assert pii.mask("ab cd ef", "email:3:5") == "ab [EMAIL] ef"
     assert pii.mask("abcdefgh", "email:1:4,phone:2:6") == "a[EMAIL]gh"
