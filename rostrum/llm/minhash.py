@@ -150,16 +150,16 @@ LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def compared(members: DataFrame, shingle: int, percent: int, keep: int, tile: int) -> DataFrame:
-    """(a, b): documents of the groups (centre, id, text) that are linked, each with the least that links reach within a pair of tiles."""
+    """(a, b): documents of the groups (centre, id, x, text) that are linked, each with the least that links reach within a pair of tiles."""
     counts = members.groupBy("centre").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    tiled = members.join(counts, "centre").withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    sent = tiled.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("centre", F.least("t", "u").alias("lo"), F.greatest("t", "u").alias("hi"), "t", "id", "text")
+    tiled = members.join(counts, "centre").withColumn("t", F.pmod(F.xxhash64("id", "x"), F.col("tiles")).cast("int"))
+    sent = tiled.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("centre", F.least("t", "u").alias("lo"), F.greatest("t", "u").alias("hi"), "t", "id", "x", "text")
 
     def work(group: pa.Table) -> pa.Table:
         first, second = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
         shingles = shingler(shingle)
         ids, tiles = group.column("id").to_numpy(), group.column("t").to_numpy()
-        order = np.argsort(ids, kind="stable")
+        order = np.lexsort((group.column("x").to_numpy(), ids))
         ids, tiles = ids[order], tiles[order]
         texts = group.column("text")
         sets = [shingles(texts[int(k)].as_py()) for k in order]
@@ -191,25 +191,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, keep:
     everything = stored(sketches(docs, shingle, indexed), "sketches")
     full = everything.where("n > 0")
     node = stored(full.groupBy("digest", "n").agg(F.min(F.struct("d", "x")).alias("least")).select("digest", "n", F.col("least.d").alias("id"), F.col("least.x").alias("x")), "nodes")
-    chosen = full.join(node.select(F.col("id").alias("d"), "x", "digest"), ["d", "x", "digest"], "left_semi").select(F.col("d").alias("id"), "sketch").dropDuplicates(["id"])
+    # An id may have several texts: (id, x) names a node.
+    chosen = full.join(node.select(F.col("id").alias("d"), "x", "digest"), ["d", "x", "digest"], "left_semi").select(F.col("d").alias("id"), "x", "sketch").dropDuplicates(["id", "x"])
 
-    # Inverted lists: of each document the retained values that others retain too, and their neighbouring pairs.
-    entries = stored(chosen.select("id", F.explode("sketch").alias("value")), "entries")
+    # Inverted lists: of each node the retained values that others retain too, and their neighbouring pairs.
+    entries = stored(chosen.select("id", "x", F.explode("sketch").alias("value")), "entries")
     lengths = entries.groupBy("value").agg(F.count("*").alias("length")).where("length > 1")
-    shared = entries.join(lengths, "value").groupBy("id").agg(F.sum("length").alias("weight"), F.sort_array(F.collect_list("value")).alias("v")).where(F.size("v") > 1)
+    shared = entries.join(lengths, "value").groupBy("id", "x").agg(F.sum("length").alias("weight"), F.sort_array(F.collect_list("value")).alias("v")).where(F.size("v") > 1)
     keys = F.flatten(F.transform(F.sequence(F.lit(0), F.size("v") - 2), lambda i: F.transform(F.slice("v", i + 2, F.lit(neighbours)), lambda w: F.xxhash64(F.get("v", i), w))))
-    lists = stored(shared.select("id", "weight", F.explode(keys).alias("key")), "lists")
-    centres = lists.groupBy("key").agg(F.count("*").alias("length"), F.max(F.struct("weight", F.bitwise_not("id").alias("i"))).alias("top")).where("length > 1").select("key", F.bitwise_not("top.i").alias("centre"))
-    members = stored(lists.join(centres, "key").select("centre", "id").distinct(), "members")
-
-    wanted = node.select("id", "x").join(members.select("id").distinct(), "id", "left_semi")
-    texts = _texts(docs).select(F.coalesce("doc_id", F.lit(UNNAMED)).alias("id"), "x", "text").join(wanted, ["id", "x"], "left_semi").dropDuplicates(["id", "x"]).select("id", "text")
-    linked = compared(members.join(texts, "id"), shingle, percent, keep, tile)
-    # One document's several texts hold together.
-    same = full.join(node.select("digest", "n", "id"), ["digest", "n"]).groupBy("d").agg(F.min("id").alias("a"), F.max("id").alias("b")).select("a", "b").where("a <> b")
+    lists = stored(shared.select("id", "x", "weight", F.explode(keys).alias("key")), "lists")
+    centres = lists.groupBy("key").agg(F.count("*").alias("length"), F.max(F.struct("weight", F.bitwise_not("id").alias("i"), "x")).alias("top")).where("length > 1").select("key", F.xxhash64("top.i", "top.x").alias("centre"))
+    members = stored(lists.join(centres, "key").select("centre", "id", "x").distinct(), "members")
+
+    wanted = members.select("id", "x").distinct()
+    texts = _texts(docs).select(F.coalesce("doc_id", F.lit(UNNAMED)).alias("id"), "x", "text").join(wanted, ["id", "x"], "left_semi").dropDuplicates(["id", "x"])
+    linked = compared(members.join(texts, ["id", "x"]), shingle, percent, keep, tile)
+    ids = everything.join(node.select("digest", "n", "id"), ["digest", "n"], "left").withColumn("id", F.coalesce("id", "d"))
+    # One document's several texts, empty ones included, hold together: each node of it is joined to its least.
+    several = ids.groupBy("d").agg(F.min("id").alias("a"), F.max("id").alias("most")).where("a <> most").select("d", "a")
+    same = ids.select("d", "id").distinct().join(several, "d").where("id <> a").select("a", F.col("id").alias("b"))
     labels = components(linked.union(same))
     discard(entries, lists, members)
-    ids = everything.join(node.select("digest", "n", "id"), ["digest", "n"], "left").withColumn("id", F.coalesce("id", "d"))
     out = ids.select("doc_id", "d", "n", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component") != UNNAMED, F.col("component")).alias("component_id"), (F.col("d") == F.col("component")).alias("kept"))
 

@@ -137,6 +137,19 @@ def test_near_at_the_threshold(spark):
     same(minhash.near_duplicates(docs, 3, 85).collect(), near_brute(rows, 3, 85))
 
 
+def test_near_of_ids_with_several_texts(spark):
+    """Every text of a null or repeated doc_id has its own near copies; an id of many texts, an empty one among them, is one document."""
+    texts = [" ".join(f"t{k}w{i}" for i in range(40)) for k in range(24)]
+    near = [t + " end" for t in texts]
+    rows = [(None, t) for t in texts[:6]] + [(10 + k, t) for k, t in enumerate(near[:6])]  # null ids
+    rows += [(7, t) for t in texts[6:12]] + [(70 + k, t) for k, t in enumerate(near[6:12])]  # a repeated id
+    rows += [(20 + k, t) for k, t in enumerate(texts[12:17])] + [(200, t) for t in texts[12:17]]  # an id whose texts are others' nodes
+    rows += [(30, texts[17]), (300, texts[17]), (300, ""), (300, None)]
+    rows += [(40, texts[18]), (41, texts[19])]  # no links
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    same(minhash.near_duplicates(docs, 3, 85).collect(), near_brute(rows, 3, 85))
+
+
 def test_overlaps():
     rng = np.random.default_rng(2)
     a = [np.unique(rng.integers(0, 60, 30)).astype(np.uint64) for _ in range(9)]
