@@ -1,8 +1,9 @@
 """Personal data by patterns, widened by bootstrapped contextual extraction.
 
 Fixed patterns find the base spans; they are the seeds. Each seed and each other
-token with an identifier's shape is an instance, and the one or two words before
-it are a lexical pattern. Spark scores the graph of patterns and instances in
+stretch of text with an identifier's shape, whatever it stands in and with inner
+blanks or without, is an instance, and the one or two words before it are a lexical
+pattern; what is glued to an instance is split into words at its delimiters. Spark scores the graph of patterns and instances in
 rounds: a pattern's confidence in a kind is the share of all its occurrences in
 the corpus, whatever follows, that known instances of that kind follow; an
 instance's is the noisy-or over the patterns it occurs with. Accepted instances
@@ -32,9 +33,12 @@ IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"(?<![0-9])[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-MARK = re.compile(r"[0-9]|@|\[at\]|\(at\)")
+AT = re.compile(r" ?(?:@|\[at\]|\(at\)) ?", re.IGNORECASE)
+SITE = re.compile(r"[\w.-]+")
+COLONS = re.compile(r"(?<![\w:])[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{0,4}){3,7}(?![\w:])")
+RUN = re.compile(r"[0-9](?:[().+-]{0,3}[0-9])*+")
+GAP = re.compile(r"[ ().+-]{1,4}")
 NOT_DIGIT = re.compile(r"[^0-9]")
-EDGE = "\"'`.,;:!?()[]{}<>|"
 BITS = 1 << 22
 
 
@@ -93,7 +97,7 @@ def shapes(token: str) -> list[str]:
     out = []
     digits = len(NOT_DIGIT.sub("", token))
     plain = len(re.sub(r"[0-9 ().+-]", "", token)) == 0
-    if re.fullmatch(r"[\w.%+-]+(@|\[at\]|\(at\))[\w.-]+", token, re.IGNORECASE):
+    if re.fullmatch(r"[\w.%+-]+ ?(@|\[at\]|\(at\)) ?[\w.-]+", token, re.IGNORECASE):
         out.append("email")
     if re.fullmatch(r"[0-9]{1,3}([.:-][0-9]{1,3}){3}", token) or re.fullmatch(r"[0-9a-fA-F]{1,4}(:[0-9a-fA-F]{0,4}){3,7}", token):
         out.append("ip")
@@ -105,12 +109,19 @@ def shapes(token: str) -> list[str]:
 
 
 def word_before(text: str, end: int) -> tuple[str, int]:
-    """The token that ends before a place, as patterns see it, and where it starts."""
+    """The word that ends before a place, as patterns see it, and where it starts: a token, or its last word with the delimiters after it where no blank is between."""
+    glued = end > 0 and not text[end - 1].isspace()
     while end > 0 and text[end - 1].isspace():
         end -= 1
     start = end
     while start > 0 and end - start < 64 and not text[start - 1].isspace():
         start -= 1
+    if glued:
+        first, start = start, end
+        while start > first and not text[start - 1].isalnum():
+            start -= 1
+        while start > first and text[start - 1].isalnum():
+            start -= 1
     return DIGIT.sub("0", text[start:end].lower()), start
 
 
@@ -122,6 +133,75 @@ def context_hash(one: str, two: str) -> tuple[int | None, int | None]:
     return a - (1 << 63), xxhash.xxh64_intdigest(two + "\x1f" + one) - (1 << 63)
 
 
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Stretches of an email's or a colon-separated address's shape, each email found from its mark outwards."""
+    done = 0
+    for mark in AT.finditer(text):
+        start = mark.start()
+        while start > done and (text[start - 1].isalnum() or text[start - 1] in "_.%+-"):
+            start -= 1
+        while start < mark.start() and text[start] == ".":
+            start += 1
+        site = SITE.match(text, mark.end())
+        end = mark.end() + len(site[0].rstrip(".")) if site else 0
+        done = mark.end()
+        if start < mark.start() and end > mark.end():
+            yield start, end
+            done = end
+    if text.count(":") > 2:
+        yield from (m.span() for m in COLONS.finditer(text))
+
+
+def numbers(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of digits and signs between delimiters; a run too short for an identifier goes on over blanks, as far as one can reach."""
+    runs: list[tuple[int, int, int]] = []  # start, end, digits
+
+    def joined() -> Iterator[tuple[int, int]]:
+        for i, (start, end, digits) in enumerate(runs):
+            if digits < 7 and not shapes(text[start:end]):
+                for _, further, more in runs[i + 1 : i + 19]:
+                    if (digits := digits + more) > 19:
+                        break
+                    end = further
+            yield start, end
+
+    at = 0
+    while found := DIGIT.search(text, at):
+        start, at = found.start(), RUN.match(text, found.start()).end()
+        first = start
+        while start > first - 2 and start > 0 and text[start - 1] in "(+":
+            start -= 1
+        if runs and not GAP.fullmatch(text, runs[-1][1], first):
+            yield from joined()
+            runs = []
+        if (start and (text[start - 1].isalnum() or text[start - 1] == "_")) or text[at : at + 1].isalnum() or text[at : at + 1] == "_":
+            yield from joined()
+            runs = []
+        else:
+            runs.append((start, at, len(NOT_DIGIT.sub("", text[first:at]))))
+    yield from joined()
+
+
+def candidates(text: str, taken: np.ndarray) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, end, possible kinds) of the stretches with an identifier's shape that hold none of the places in taken, at most one from a start."""
+
+    def free(a: int, b: int) -> bool:
+        return not len(taken) or np.searchsorted(taken, a) == np.searchsorted(taken, b)
+
+    named = []
+    for a, b in addresses(text) if "@" in text or ":" in text or "]" in text or ")" in text else ():
+        if free(a, b) and (kinds := shapes(text[a:b])):
+            named.append((a, b))
+            yield a, b, kinds
+    if DIGIT.search(text) is None:
+        return
+    if named:
+        taken = np.unique(np.concatenate([taken, *(np.arange(a, b) for a, b in named)]))
+    for a, b in numbers(text):
+        if b - a > 6 and (kinds := shapes(text[a:b])) and free(a, b):
+            yield a, b, kinds
+
+
 def occurrences(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple]:
     """(start, end, known kind or null, possible kinds, instance, one-word pattern, two-word pattern)."""
     taken = np.zeros(0, dtype=np.int64)
@@ -131,26 +211,10 @@ def occurrences(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple]
         one, at = word_before(text, a)
         two, _ = word_before(text, at)
         yield (a, b, kind, [kind], xxhash.xxh64_intdigest(text[a:b]) - (1 << 63), *context_hash(one, two))
-    at, n = 0, len(text)
-    while found := MARK.search(text, at):
-        a = found.start()
-        while a > at and not text[a - 1].isspace():
-            a -= 1
-        b = found.end()
-        while b < n and not text[b].isspace():
-            b += 1
-        at = b
-        if b - a > 80:
-            continue
-        token = text[a:b]
-        start = a + len(token) - len(token.lstrip(EDGE.replace("(", "")))
-        end = b - (len(token) - len(token.rstrip(EDGE)))
-        if start >= end or (len(taken) and np.searchsorted(taken, start) != np.searchsorted(taken, end)):
-            continue
-        if kinds := shapes(text[start:end]):
-            one, left = word_before(text, start)
-            two, _ = word_before(text, left)
-            yield (start, end, None, kinds, xxhash.xxh64_intdigest(text[start:end]) - (1 << 63), *context_hash(one, two))
+    for start, end, kinds in candidates(text, taken):
+        one, left = word_before(text, start)
+        two, _ = word_before(text, left)
+        yield (start, end, None, kinds, xxhash.xxh64_intdigest(text[start:end]) - (1 << 63), *context_hash(one, two))
 
 
 OCCURRENCE = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.string()), ("kinds", pa.list_(pa.string())), ("instance", pa.int64()), ("one", pa.int64()), ("two", pa.int64())])
@@ -267,8 +331,7 @@ def find(docs: DataFrame, support: int = 3, confidence: float = 0.5, with_text:
     The counts and base_sha256 are of the base spans; spans has all. Null and
     empty texts have no spans; repeated rows come back each; rows that share
     doc_id and text share their spans; null doc_ids are kept; an empty table gives
-    no rows; other columns are ignored. Tokens over 80 characters are base spans
-    or nothing.
+    no rows; other columns are ignored.
     """
     named = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("row", row_key())
     scanned = stored(named.mapInArrow(_scan, SCANNED_DDL), "scanned")

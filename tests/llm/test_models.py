@@ -1,6 +1,7 @@
 """Quality scores, personal data and the pipeline."""
 
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -85,6 +86,31 @@ def test_context_discovers_in_hops(spark):
     assert all(s.startswith("email:") for s in got.values()), sorted(i for i, s in got.items() if not s)
 
 
+@pytest.mark.parametrize("before, seed, other, kind", [
+    ("please write mail to: ", "user{i}@site{i}.org", "bob{i} [at] site", "email"),
+    ("please call my phone ", "+34 600 123 4{i:02d}", "555 123 4{i:03d}", "phone"),
+    ("please charge card number ", "4111 1111 1111 1111", "4111 1111 1111 {i}112", "card"),
+    ('{"text":"' + "x" * 100 + '","phone":"', "+346001234{i:02d}", "5551234{i:03d}", "phone"),
+    ("http://a.b/" + "c" * 100 + "?to=1&mail=", "user{i}@site{i}.org", "person{i}@localhost", "email"),
+])
+def test_context_discovers_within_tokens_and_over_blanks(spark, before, seed, other, kind):
+    rows = [(i, f"{before}{seed.format(i=i)}\" and more") for i in range(30)]
+    if kind == "card":
+        rows = [(i, f"{before}{n}\" and more") for i, n in enumerate(["4111 1111 1111 1111", "5500 0000 0000 0004", "4012 8888 8888 1881", "3714 496353 98431"] * 6)]
+    rows += [(100 + i, f"{before}{other.format(i=i)}\" and more") for i in range(1, 6)]
+    got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(1, 6):
+        assert got[100 + i] == f"{kind}:{len(before)}:{len(before) + len(other.format(i=i))}"
+
+
+def test_candidates_in_long_runs():
+    """Time in proportion to the text, whatever it is made of."""
+    for part in ("1.", "a@", "1 ", "1:", "(+1", "a", "@", "12345 ", "a[at]"):
+        began = time.time()
+        list(pii.candidates(part * (200_000 // len(part)) + "a", np.zeros(0, dtype=np.int64)))
+        assert time.time() - began < 10, part
+
+
 def test_mask():
     assert pii.mask("ab cd ef", "email:3:5") == "ab [EMAIL] ef"
     assert pii.mask("abcdefgh", "email:1:4,phone:2:6") == "a[EMAIL]gh"
