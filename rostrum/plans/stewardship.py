@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from rostrum.functions.dates import iso
 from rostrum.functions.text import deletions, words
 from rostrum.operators import upkeep
-from rostrum.operators.joins import only_candidate
 from rostrum.operators.windows import numbered
 from rostrum.plans.oracle import using
 from rostrum.plans.registry import Registry
@@ -195,13 +194,25 @@ def multiset_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add()
 def fuzzy_block_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of two lists within one error, unique on both sides, within blocks of one country."""
-    c = table(spark, sf_dir, "customer").where("c_custkey < 2000")
+    c = table(spark, sf_dir, "customer")
     left = c.select(F.col("c_custkey").alias("l"), F.col("c_nationkey").alias("country"), F.lower("c_name").alias("ln"))
     right = c.select(F.col("c_custkey").alias("r"), F.col("c_nationkey").alias("country"), F.regexp_replace(F.lower("c_name"), "c", "k").alias("rn"))
-    vl = left.select("l", "country", "ln", F.explode(deletions(F.col("ln"))).alias("v"))
-    vr = right.select("r", "country", "rn", F.explode(deletions(F.col("rn"))).alias("v"))
-    near = vl.join(vr, ["country", "v"]).select("l", "ln", "r", "rn").distinct().withColumn("far", F.levenshtein("ln", "rn", 1)).where("far >= 0")
-    return only_candidate(near, ["l"], ["r"]).select("l", "r", "far")
+    return unique_names(left, right)
+
+
+def unique_names(left: DataFrame, right: DataFrame) -> DataFrame:
+    """l, r and far of names (l, country, ln) and (r, country, rn) within one error that have no other such name in their country.
+
+    Distinct names meet, each with the number of rows that have it: a name of many
+    rows is one row of the join, and whoever is near it has no single candidate.
+    """
+    ls = left.groupBy("country", "ln").agg(F.min("l").alias("l"), F.countDistinct("l").alias("nl"))
+    rs = right.groupBy("country", "rn").agg(F.min("r").alias("r"), F.countDistinct("r").alias("nr"))
+    vl, vr = (t.withColumn("v", F.explode(deletions(F.col(c)))) for t, c in ((ls, "ln"), (rs, "rn")))
+    near = vl.join(vr, ["country", "v"]).drop("v").distinct().withColumn("far", F.levenshtein("ln", "rn", 1)).where("far >= 0")
+    one = near.groupBy("country", "ln").agg(F.sum("nr").alias("rs")).where("rs = 1").select("country", "ln")
+    other = near.groupBy("country", "rn").agg(F.sum("nl").alias("ls")).where("ls = 1").select("country", "rn")
+    return near.join(one, ["country", "ln"], "left_semi").join(other, ["country", "rn"], "left_semi").select("l", "r", "far")
 
 
 @R.add(using("SELECT x.competition AS whole, y.competition AS part, count(*) AS common, round(count(*) / max(y.n), 6) AS share FROM (SELECT competition, ym, person, count(*) OVER (PARTITION BY competition) AS n FROM (SELECT DISTINCT competition, ym, person FROM result)) x JOIN (SELECT competition, ym, person, count(*) OVER (PARTITION BY competition) AS n FROM (SELECT DISTINCT competition, ym, person FROM result)) y ON x.ym = y.ym AND x.person = y.person AND x.competition <> y.competition AND x.n >= y.n GROUP BY 1, 2 HAVING count(*) >= 0.05 * max(y.n)", "result"))

@@ -44,6 +44,32 @@ def test_query(spark, duck, name):
     assert got == sorted(repr([plain(r[names.index(c)]) for c in columns]) for r in answer.fetchall())
 
 
+def test_fuzzy_block_join(spark, tmp_path):
+    """Customers of any key, hot names among them, against brute force."""
+    from collections import Counter
+
+    names = ["cab", "kab", "dab", "cxyz", "cxyz", "ccd", "kxy", "", "stuvw", "stuvx"] + ["cold"] * 300 + ["kold", "c7777", "mnopq", "mnopq"]
+    rows = [(k * 37, n, k % 2 if len(n) < 4 else 1) for k, n in enumerate(names)] + [(100_000 + k, f"name{k * k * 1001}", 3) for k in range(40)]
+    spark.createDataFrame([(*r, 0.0, "") for r in rows], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+
+    def far(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(new[j] + 1, row[j + 1] + 1, row[j] + (x != y)))
+            row = new
+        return row[-1]
+
+    other = [(k, n.replace("c", "k"), z) for k, n, z in rows]
+    near = [(a, b, d) for a, n, z in rows for b, m, y in other if z == y and abs(len(n) - len(m)) < 2 and (d := far(n, m)) <= 1]
+    left, right = Counter(a for a, _, _ in near), Counter(b for _, b, _ in near)
+    want = sorted(x for x in near if left[x[0]] == 1 and right[x[1]] == 1)
+    assert len(want) > 20
+    got = catalogue.QUERIES["fuzzy_block_join"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.collect()) == want
+
+
 def test_entry(spark):
     import __spark_entry__
 
