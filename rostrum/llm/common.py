@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The id that a null doc_id has inside: below any other.
+UNNAMED = -(1 << 63)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table by name."""
@@ -21,12 +24,30 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def named(docs: DataFrame) -> DataFrame:
+    """doc_id, d (doc_id, never null), x (hash of the text) and text: rows that share doc_id and text share (d, x)."""
+    return texts(docs).select("doc_id", F.coalesce("doc_id", F.lit(UNNAMED)).alias("d"), F.xxhash64("text").alias("x"), "text")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like those given that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; one of our own only in a local session that has none."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rostrum-"))
         found = spark.sparkContext.getCheckpointDir()
@@ -53,6 +74,36 @@ def discard(*frames: DataFrame) -> None:
             where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Scratch:
+    """Intermediate tables of one operator: deleted when it ends, however it ends. What it returns is stored() apart."""
+
+    def __init__(self) -> None:
+        self.held: list[DataFrame] = []
+        self.names: list[tuple[SparkSession, str]] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *failed: object) -> None:
+        discard(*self.held)
+        for spark, name in self.names:
+            spark.sql(f"DROP TABLE IF EXISTS {name} PURGE")
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        """stored(), until the end."""
+        self.held.append(stored(df, name))
+        return self.held[-1]
+
+    def bucketed(self, df: DataFrame, name: str, keys: list[str], sort: bool = False) -> DataFrame:
+        """df as a table of the warehouse in as many buckets by keys as shuffles have partitions, until the end."""
+        spark = df.sparkSession
+        n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{name}_{uuid.uuid4().hex}"
+        self.names.append((spark, name))
+        writer = df.repartition(n, *keys).write.format("parquet").bucketBy(n, *keys)
+        (writer.sortBy(*keys) if sort else writer).saveAsTable(name)
+        return spark.table(name)
+
+
 def rows(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
     """The named columns of a batch row by row, without a Python copy of the whole batch."""
     columns = [batch.column(batch.schema.get_field_index(n)) for n in names]

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from rostrum.llm.common import rows, stored
 from rostrum.llm.components import components
-from rostrum.llm.minhash import UNNAMED, local_components
+from rostrum.llm.common import UNNAMED
+from rostrum.llm.minhash import local_components
 
 
 def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

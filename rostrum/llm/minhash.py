@@ -1,21 +1,26 @@
 """Near-duplicate documents by bottom-k sketches from one hash function.
 
 A document's set of word shingles is hashed once; the k least values are its
-sketch. The least dozen go into inverted lists; values that one document alone
-retains drop out, and neighbouring pairs of the others are the lists' keys, so
-that two documents meet only over two common values. Each list is named by its
-most central document, and lists of one name are one group, so that a pair that
-meets in many lists is looked at once.
-
-Groups are compared in pairs of tiles of bounded size. The overlap of two
-sketches estimates the union's: pairs more than six standard deviations below the
-threshold are dropped, the others are verified on the full sets. A pair of tiles
-gives back a row per linked document, not per link. Equal sets are one node from
-the start, so copies never meet each other.
+sketch. Equal sets are one node from the start, so copies never meet each other.
+
+1. Short sketches of all nodes go into inverted lists. The lists' lengths tell how
+   many of its values a node shares with anyone; fewer than a link must share, and
+   the node is alone. Most of a corpus ends here.
+2. Long sketches of the others go into inverted lists again, by value and by the
+   size classes of both partners. A node enters with the rarest values it must
+   share with a partner of that size, and with no others: whoever holds too many
+   values of its own enters none, and a common passage fills no list.
+3. Each list pairs its members with its most central one alone: a group's links
+   are as many as its documents. Only members that no link joins to the centre's
+   component then meet the group's others, in pairs of tiles of bounded size.
+4. Overlaps of two sketches estimate their union's similarity: what lies more than
+   six standard deviations below the threshold is dropped, sketches that hold the
+   whole sets decide, and the rest is verified on the full sets of the texts.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,11 +30,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rostrum.llm.common import chunks, discard, rows, stored
+from rostrum.llm.common import UNNAMED, Scratch, chunks, fresh, named, rows, stored
 from rostrum.llm.components import components
 
-#: The id that a null doc_id has inside.
-UNNAMED = -(1 << 63)
+#: Ratio of the sizes at which classes of sets begin.
+CLASS = 1.07
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 
 
@@ -91,24 +96,20 @@ SKETCH = pa.schema([("doc_id", pa.int64()), ("d", pa.int64()), ("x", pa.int64())
 
 
 def sketches(docs: DataFrame, shingle: int, keep: int) -> DataFrame:
-    """doc_id, d (never null), x (hash of the text), n (set size), digest of the set, and its least `keep` values as signed numbers."""
+    """doc_id, d (never null), x (hash of the text), n (set size), digest of the set, and its least `keep` values as signed numbers, in their unsigned order."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = shingler(shingle)
 
         def each() -> Iterator[tuple]:
             for batch in batches:
-                for doc_id, x, text in rows(batch, "doc_id", "x", "text"):
+                for doc_id, d, x, text in rows(batch, "doc_id", "d", "x", "text"):
                     s = shingles(text)
-                    yield doc_id, UNNAMED if doc_id is None else doc_id, x, len(s), xxhash.xxh3_128_hexdigest(s.tobytes()), s[:keep].view(np.int64)
+                    yield doc_id, d, x, len(s), xxhash.xxh3_128_hexdigest(s.tobytes()), s[:keep].view(np.int64)
 
-        yield from chunks(each(), SKETCH, 2048)
+        yield from chunks(each(), SKETCH, 512)
 
-    return _texts(docs).mapInArrow(of, "doc_id long, d long, x long, n long, digest string, sketch array<long>")
-
-
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("x", F.xxhash64("text"))
+    return named(docs).mapInArrow(of, "doc_id long, d long, x long, n long, digest string, sketch array<long>")
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -> np.ndarray:
@@ -131,92 +132,220 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -> np.
     return out
 
 
-def linked_sets(a: list[np.ndarray], b: list[np.ndarray], percent: int, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places i in a and j in b of sets with 100 * intersection >= percent * union."""
-    least = percent / 100 - 6.5 * (percent / 100 * (1 - percent / 100) / keep) ** 0.5
-    na, nb = (np.array([len(x) for x in s], dtype=np.int64) for s in (a, b))
-    low, high = np.minimum(na[:, None], nb), np.maximum(na[:, None], nb)
-    maybe = (low * 100 >= high * percent) & (overlaps([x[:keep] for x in a], [x[:keep] for x in b]) >= np.minimum(keep, high) * least)
-    i, j = np.flatnonzero(maybe.any(1)), np.flatnonzero(maybe.any(0))
-    if not len(i):
-        return i, j
-    common = overlaps([a[k] for k in i], [b[k] for k in j]).astype(np.int64)
-    union = na[i][:, None] + nb[j] - common
-    x, y = np.nonzero((common * 100 >= percent * union) & maybe[np.ix_(i, j)])
-    return i[x], j[y]
+def tolerance(percent: int, keep: int) -> int:
+    """Common values among the `keep` least of a union that linked sets have at least: six and a half standard deviations below the mean."""
+    p = percent / 100
+    return max(1, int(keep * (p - 6.5 * (p * (1 - p) / keep) ** 0.5)))
+
+
+def common_values(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int((b[at] == a).sum())
+
+
+def judged(a: np.ndarray, na: int, b: np.ndarray, nb: int, percent: int, keep: int) -> int:
+    """0 for no link, 2 for a link, 1 where only the full sets can tell; a and b are the least `keep` values of sets of na and nb."""
+    if min(na, nb) * 100 < max(na, nb) * percent:
+        return 0
+    if na <= keep and nb <= keep:
+        both = common_values(a, b)
+        return 2 * (100 * both >= percent * (na + nb - both))
+    least = np.union1d(a, b)[:keep]
+    top = least[-1]
+    return int(common_values(a[: np.searchsorted(a, top, "right")], b[: np.searchsorted(b, top, "right")]) >= tolerance(percent, keep))
+
+
+def sets_of(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
+    """The sets of a column of lists, without copies."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    values, ends = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+    return [values[i:j] for i, j in zip(ends, ends[1:])]
+
+
+PAIR = pa.schema([("a", pa.int64()), ("ax", pa.int64()), ("b", pa.int64()), ("bx", pa.int64()), ("sure", pa.bool_())])
+PAIR_DDL = "a long, ax long, b long, bx long, sure boolean"
+
+
+def against_hubs(pairs: DataFrame, payload: DataFrame, percent: int, keep: int, shingle: int | None = None, share: int = 512) -> DataFrame:
+    """The pairs (a, ax, b, bx) that may be links, and whether they surely are.
+
+    payload has id, x and either n and sketch or, with `shingle`, text.
+    A hub (a, ax) is sent once for every `share` of its partners, ahead of them, so
+    that a task reads its rows one after another and holds one hub at a time.
+    """
+    hubs = pairs.groupBy("a", "ax").agg(F.ceil(F.count("*") / share).cast("int").alias("salts"))
+    what = [c for c in payload.columns if c not in ("id", "x")]
+    first = hubs.join(payload.withColumnsRenamed({"id": "a", "x": "ax"}), ["a", "ax"]).select("a", "ax", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("b"), F.col("ax").alias("bx"), *what)
+    others = pairs.join(hubs, ["a", "ax"]).join(payload.withColumnsRenamed({"id": "b", "x": "bx"}), ["b", "bx"]).select("a", "ax", F.pmod(F.xxhash64("b", "bx"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), "b", "bx", *what)
+    parts = 2 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = first.unionByName(others).repartition(parts, "a", "ax", "salt").sortWithinPartitions("a", "ax", "salt", "role")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = shingler(shingle) if shingle else None
+        hub, n_hub = np.zeros(0, np.uint64), 0
+
+        def each() -> Iterator[tuple]:
+            nonlocal hub, n_hub
+            for batch in batches:
+                sets = sets_of(batch.column("sketch")) if whole is None else None
+                for k, (a, ax, role, b, bx, given) in enumerate(rows(batch, "a", "ax", "role", "b", "bx", "n" if whole is None else "text")):
+                    if sets is None:
+                        own = whole(given)
+                        n = len(own)
+                    else:
+                        n, own = given, sets[k]
+                    if role == 0:
+                        hub, n_hub = own, n
+                    elif got := judged(hub, n_hub, own, n, percent, max(n, n_hub) if whole is not None else keep):
+                        yield a, ax, b, bx, got == 2
+
+        yield from chunks(each(), PAIR)
+
+    return dealt.mapInArrow(work, PAIR_DDL)
 
 
-LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def between_tiles(members: DataFrame, sketched: DataFrame, percent: int, keep: int, tile: int) -> DataFrame:
+    """The pairs that may be links, between members (a, ax, id, x, alone) of one group (a, ax): those alone against all others.
 
+    Members that hang together with the centre need not meet each other. Each goes
+    to as many pairs of tiles as there are tiles of those alone; sure links come
+    back as one row per document and pair of tiles.
+    """
+    sizes = members.groupBy("a", "ax").agg(F.ceil(F.count_if("alone") / tile).cast("int").alias("rt"), F.ceil(F.count_if(~F.col("alone")) / tile).cast("int").alias("mt")).where("rt > 0")
+    own = F.pmod(F.xxhash64("id", "x"), F.when(F.col("alone"), F.col("rt")).otherwise(F.col("mt"))).cast("int")
+    placed = members.join(sizes, ["a", "ax"]).withColumn("t", own)
+
+    def tiles(n: str):
+        return F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
 
-def compared(members: DataFrame, shingle: int, percent: int, keep: int, tile: int) -> DataFrame:
-    """(a, b): documents of the groups (centre, id, x, text) that are linked, each with the least that links reach within a pair of tiles."""
-    counts = members.groupBy("centre").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    tiled = members.join(counts, "centre").withColumn("t", F.pmod(F.xxhash64("id", "x"), F.col("tiles")).cast("int"))
-    sent = tiled.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("centre", F.least("t", "u").alias("lo"), F.greatest("t", "u").alias("hi"), "t", "id", "x", "text")
+    among = F.transform(tiles("rt"), lambda u: F.struct(F.lit(0).alias("kind"), F.least("t", u).alias("lo"), F.greatest("t", u).alias("hi")))
+    across = F.transform(tiles("mt"), lambda u: F.struct(F.lit(1).alias("kind"), F.col("t").alias("lo"), u.alias("hi")))
+    back = F.transform(tiles("rt"), lambda u: F.struct(F.lit(1).alias("kind"), u.alias("lo"), F.col("t").alias("hi")))
+    sent = placed.select("a", "ax", "id", "x", "alone", "t", F.explode(F.when(F.col("alone"), F.concat(among, across)).otherwise(back)).alias("p")).select("a", "ax", "p.*", "id", "x", "alone", "t")
+    sent = sent.join(sketched, ["id", "x"])
+    low = tolerance(percent, keep) / keep
 
     def work(group: pa.Table) -> pa.Table:
-        first, second = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
-        shingles = shingler(shingle)
-        ids, tiles = group.column("id").to_numpy(), group.column("t").to_numpy()
-        order = np.lexsort((group.column("x").to_numpy(), ids))
-        ids, tiles = ids[order], tiles[order]
-        texts = group.column("text")
-        sets = [shingles(texts[int(k)].as_py()) for k in order]
-        left = np.flatnonzero(tiles == first)
-        right = left if first == second else np.flatnonzero(tiles == second)
+        kind, first, second = (group.column(c)[0].as_py() for c in ("kind", "lo", "hi"))
+        ids, marks, sizes_of = (group.column(c).to_numpy() for c in ("id", "x", "n"))
+        tiles_of, alone = group.column("t").to_numpy(), group.column("alone").to_numpy(zero_copy_only=False)
+        sets = sets_of(group.column("sketch"))
+        left = np.flatnonzero((tiles_of == first) & alone)
+        right = np.flatnonzero(~alone) if kind else left if first == second else np.flatnonzero(tiles_of == second)
         if not len(left) or not len(right):
-            return LINK.empty_table()
-        i, j = linked_sets([sets[k] for k in left], [sets[k] for k in right], percent, keep)
+            return PAIR.empty_table()
+        na, nb = sizes_of[left][:, None], sizes_of[right]
+        both = overlaps([sets[k] for k in left], [sets[k] for k in right]).astype(np.int64)
+        fits = np.minimum(na, nb) * 100 >= np.maximum(na, nb) * percent
+        full = (na <= keep) & (nb <= keep)
+        i, j = np.nonzero(fits & full & (100 * both >= percent * (na + nb - both)))
         root = local_components(len(ids), left[i], right[j])
         hit = np.flatnonzero(root != np.arange(len(ids)))
-        return pa.table([ids[hit], ids[root[hit]]], schema=LINK)
+        i, j = np.nonzero(fits & ~full & (both >= low * np.minimum(keep, np.maximum(na, nb))))
+        i, j = left[i], right[j]
+        other = i < j if first == second and not kind else i != j
+        a, b = np.concatenate([root[hit], i[other]]), np.concatenate([hit, j[other]])
+        return pa.table([ids[a], marks[a], ids[b], marks[b], np.arange(len(a)) < len(hit)], schema=PAIR)
+
+    sent = sent.repartition(2 * int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "ax", "kind", "lo", "hi")
+    return sent.groupBy("a", "ax", "kind", "lo", "hi").applyInArrow(work, PAIR_DDL)
 
-    sent = sent.repartition(4 * int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions")), "centre", "lo", "hi")
-    return sent.groupBy("centre", "lo", "hi").applyInArrow(work, "a long, b long")
 
+def candidate_groups(sketched: DataFrame, percent: int, keep: int) -> DataFrame:
+    """(a, ax, b, bx): members (b, bx) of the lists that (a, ax) is the centre of, for nodes (id, x, n, sketch as an array)."""
+    ratio, p = math.log(CLASS), percent / 100
+    entries = sketched.select("id", "x", "n", F.explode("sketch").alias("value"))
+    lengths = entries.groupBy("value").agg(F.count("*").alias("length")).where("length > 1")
+    shared = entries.join(lengths, "value").groupBy("id", "x", "n").agg(F.sum("length").alias("weight"), F.array_sort(F.collect_list(F.struct("length", "value"))).alias("v"))
+    own = F.floor(F.log(F.col("n").cast("double")) / ratio).cast("int")
+    m = F.least("n", F.lit(keep))
+    reach = F.sequence((F.floor(F.log(F.col("n") * p) / ratio) - 1).cast("int"), (F.floor(F.log(F.col("n") / p) / ratio) + 1).cast("int"))
+
+    def needed(c):
+        """Values that this set shares with a linked one of class c, at least: sizes there begin at the bound below or above it."""
+        smallest = F.greatest(F.floor(F.exp(c * ratio)) - 1, F.ceil(F.col("n") * percent / 100), F.lit(1))
+        exact = F.ceil((F.col("n") + smallest) * percent / (100 + percent))
+        return F.when((F.col("n") > keep) | (F.exp((c + 1) * ratio) + 1 > keep), F.least(exact, F.lit(tolerance(percent, keep)))).otherwise(exact)
+
+    def keys(c):
+        own_values = m - F.size("v")
+        return F.transform(F.slice("v", F.lit(1), F.greatest(m - needed(c) + 1 - own_values, F.lit(0)).cast("int")), lambda s: F.xxhash64(s["value"], F.least(c, "own"), F.greatest(c, "own")))
+
+    lists = shared.withColumn("own", own).select("id", "x", "weight", F.explode(F.flatten(F.transform(reach, keys))).alias("key"))
+    centres = lists.groupBy("key").agg(F.count("*").alias("length"), F.max(F.struct("weight", F.bitwise_not("id").alias("i"), "x")).alias("top")).where("length > 1").select("key", F.bitwise_not("top.i").alias("a"), F.col("top.x").alias("ax"))
+    return lists.join(centres, "key").where("id <> a OR x <> ax").select("a", "ax", F.col("id").alias("b"), F.col("x").alias("bx")).distinct()
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, keep: int = 64, indexed: int = 12, neighbours: int = 2, tile: int = 320) -> DataFrame:
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, short: int = 64, keep: int = 1024, tile: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row.
 
     Texts are linked when 100 * intersection >= percent * union of their sets of
     `shingle`-word shingles, A-Z lower-cased; fewer words make one shingle; a text
-    without words has an empty set and no links. percent is 70 or more, so that
-    different sets that are linked have two values in common. component_id is the
-    least doc_id that links reach. Rows with one doc_id are one document: its
-    texts are linked. Null doc_ids likewise (their component_id is null, unless
-    another document is linked to them). An empty table gives no rows; other
-    columns are ignored.
+    without words has an empty set and no links. component_id is the least doc_id
+    that links reach. Rows with one doc_id are one document: its texts are linked.
+    Null doc_ids likewise (their component_id is null, unless another document is
+    linked to them). Very long texts are whole sets, held by one task one or two at
+    a time. Ties of centres are settled by id and hash of the text. An empty table
+    gives no rows; other columns are ignored.
+
+    Links between sets of up to `short` shingles are certain; of larger ones a link
+    is missed where a sample of `short` or `keep` values lies 6.5 standard
+    deviations off, about one in 10^9 at the threshold and fewer above it.
     """
-    everything = stored(sketches(docs, shingle, indexed), "sketches")
-    full = everything.where("n > 0")
-    node = stored(full.groupBy("digest", "n").agg(F.min(F.struct("d", "x")).alias("least")).select("digest", "n", F.col("least.d").alias("id"), F.col("least.x").alias("x")), "nodes")
-    # An id may have several texts: (id, x) names a node.
-    chosen = full.join(node.select(F.col("id").alias("d"), "x", "digest"), ["d", "x", "digest"], "left_semi").select(F.col("d").alias("id"), "x", "sketch").dropDuplicates(["id", "x"])
-
-    # Inverted lists: of each node the retained values that others retain too, and their neighbouring pairs.
-    entries = stored(chosen.select("id", "x", F.explode("sketch").alias("value")), "entries")
-    lengths = entries.groupBy("value").agg(F.count("*").alias("length")).where("length > 1")
-    shared = entries.join(lengths, "value").groupBy("id", "x").agg(F.sum("length").alias("weight"), F.sort_array(F.collect_list("value")).alias("v")).where(F.size("v") > 1)
-    keys = F.flatten(F.transform(F.sequence(F.lit(0), F.size("v") - 2), lambda i: F.transform(F.slice("v", i + 2, F.lit(neighbours)), lambda w: F.xxhash64(F.get("v", i), w))))
-    lists = stored(shared.select("id", "x", "weight", F.explode(keys).alias("key")), "lists")
-    centres = lists.groupBy("key").agg(F.count("*").alias("length"), F.max(F.struct("weight", F.bitwise_not("id").alias("i"), "x")).alias("top")).where("length > 1").select("key", F.xxhash64("top.i", "top.x").alias("centre"))
-    members = stored(lists.join(centres, "key").select("centre", "id", "x").distinct(), "members")
-
-    wanted = members.select("id", "x").distinct()
-    texts = _texts(docs).select(F.coalesce("doc_id", F.lit(UNNAMED)).alias("id"), "x", "text").join(wanted, ["id", "x"], "left_semi").dropDuplicates(["id", "x"])
-    linked = compared(members.join(texts, ["id", "x"]), shingle, percent, keep, tile)
-    ids = everything.join(node.select("digest", "n", "id"), ["digest", "n"], "left").withColumn("id", F.coalesce("id", "d"))
-    # One document's several texts, empty ones included, hold together: each node of it is joined to its least.
-    several = ids.groupBy("d").agg(F.min("id").alias("a"), F.max("id").alias("most")).where("a <> most").select("d", "a")
-    same = ids.select("d", "id").distinct().join(several, "d").where("id <> a").select("a", F.col("id").alias("b"))
-    labels = components(linked.union(same))
-    discard(entries, lists, members)
-    out = ids.select("doc_id", "d", "n", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component") != UNNAMED, F.col("component")).alias("component_id"), (F.col("d") == F.col("component")).alias("kept"))
+    with Scratch() as scratch:
+        everything = scratch.stored(sketches(docs, shingle, short), "sketches")
+        full = everything.where("n > 0")
+        # An id may have several texts: (id, x) names a node.
+        least = full.groupBy("digest", "n").agg(F.min(F.struct("d", "x")).alias("least"), F.any_value("sketch").alias("sketch"))
+        node = scratch.stored(least.select("digest", "n", F.col("least.d").alias("id"), F.col("least.x").alias("x"), "sketch"), "nodes")
+        entries = node.select("id", "x", "n", F.explode("sketch").alias("value"))
+        lengths = entries.groupBy("value").agg(F.count("*").alias("length")).where("length > 1").select("value")
+        must = F.least(F.ceil(F.col("n") * percent / 100), F.lit(tolerance(percent, short)))
+        active = scratch.stored(entries.join(lengths, "value", "left_semi").groupBy("id", "x", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= must).select("id", "x"), "active")
+        texts = scratch.stored(named(docs).select(F.col("d").alias("id"), "x", "text").join(active, ["id", "x"], "left_semi").dropDuplicates(["id", "x"]), "texts")
+        longer = sketches(texts.select(F.col("id").alias("doc_id"), "text"), shingle, keep).select(F.col("d").alias("id"), "x", "n", "sketch")
+        longer = scratch.stored(longer, "longer")
+        groups = scratch.stored(candidate_groups(longer, percent, keep), "groups")
+
+        def verified(maybe: DataFrame, name: str) -> DataFrame:
+            """(a, b) of the links among pairs that may be ones: the full sets tell where sketches could not."""
+            maybe = scratch.stored(maybe, name)
+            unsure = maybe.where("NOT sure").select("a", "ax", "b", "bx")
+            links = maybe.where("sure").select("a", "b")
+            if unsure.isEmpty():
+                return links
+            return links.union(scratch.stored(against_hubs(unsure, texts, percent, keep, shingle), f"{name}-full").select("a", "b"))
+
+        ids = everything.join(node.select("digest", "n", "id"), ["digest", "n"], "left").withColumn("id", F.coalesce("id", "d"))
+        # One document's several texts, empty ones included, hold together: each node of it is joined to its least.
+        several = ids.groupBy("d").agg(F.min("id").alias("a"), F.max("id").alias("most")).where("a <> most").select("d", "a")
+        links = verified(against_hubs(groups, longer, percent, keep), "links").union(ids.select("d", "id").distinct().join(several, "d").where("id <> a").select("a", F.col("id").alias("b")))
+        links = scratch.stored(links, "edges")
+        labels = scratch.stored(components(links), "labels")
+
+        # Members that are not in their centre's component, and the groups that have any.
+        one, other = (labels.select(F.col("id").alias(c), F.col("component").alias(f"{c}_in")) for c in ("a", "b"))
+        apart = groups.join(one, "a", "left").join(other, "b", "left").withColumn("alone", F.coalesce("a_in", "a") != F.coalesce("b_in", "b"))
+        apart = scratch.stored(apart.select("a", "ax", F.col("b").alias("id"), F.col("bx").alias("x"), "alone"), "members")
+        if not apart.where("alone").isEmpty():
+            more = verified(between_tiles(apart, longer, percent, keep, tile), "more")
+            labels = scratch.stored(components(links.union(more)), "labels")
+        out = ids.select("doc_id", "d", "n", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component") != UNNAMED, F.col("component")).alias("component_id"), (F.col("d") == F.col("component")).alias("kept"))
+        return stored(out, "near")
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """docs, all columns, without the rows that near_duplicates() does not keep."""
-    gone = near_duplicates(docs, **how).where("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    """docs, all columns and any names, without the rows that near_duplicates() does not keep.
+
+    Of a component the rows of its least doc_id stay, repeated ones all; empty and
+    null texts have no copies and stay; null doc_ids are one document below any
+    other; very long texts are compared whole; an empty table gives none.
+    """
+    (mark,) = fresh(docs, "gone_id")
+    gone = near_duplicates(docs, **how).where("NOT kept").select(F.col("doc_id").alias(mark)).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(mark)), "left_anti")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rostrum.llm.common import discard, rows, stored
-from rostrum.llm.minhash import UNNAMED
+from rostrum.llm.common import UNNAMED
 
 GRAM = 16
 SEGMENT = 1 << 18

@@ -113,8 +113,28 @@ def test_near(small, pairs, how):
     same(minhash.near_duplicates(small, *how).collect(), near_brute(pairs, *how))
 
 
-def test_near_in_small_tiles(small, pairs):
-    same(minhash.near_duplicates(small, 3, 85, tile=3).collect(), near_brute(pairs, 3, 85))
+@pytest.mark.parametrize("keep", [1024, 40])
+def test_near_in_small_tiles(small, pairs, keep):
+    """Also where most sets are longer than their sketches, so that the full sets decide."""
+    same(minhash.near_duplicates(small, 3, 85, keep=keep, tile=3).collect(), near_brute(pairs, 3, 85))
+
+
+@pytest.mark.parametrize("keep", [1024, 64])
+def test_near_family_without_its_base(spark, keep):
+    """Many variants of one text that are linked in clusters of their own, around none in common: those apart from a centre meet all others."""
+    rng = np.random.default_rng(6)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for cluster in range(25):
+        own = list(base)
+        for at in rng.choice(150, 12, replace=False):
+            own[at] = f"c{cluster}at{at}"
+        for k in range(4):
+            text = list(own)
+            text[int(rng.integers(150))] = f"v{cluster}k{k}"
+            rows.append((len(rows) * 7 % 101, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    same(minhash.near_duplicates(docs, 3, 85, keep=keep, tile=16).collect(), near_brute(rows, 3, 85))
 
 
 def test_near_odd(odd, empty):
