@@ -125,10 +125,64 @@ def test_quality(spark, small):
         assert r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7)
     unseen = [(r.quality, got[r.doc_id].score) for r in labels.where("quality IS NOT NULL").collect() if r.doc_id in got and got[r.doc_id].held_out]
     right = np.mean([(s >= 0.5) == (y == 1) for y, s in unseen])
-    assert len(unseen) > 50 and right > 0.85, (len(unseen), right)
+    assert len(unseen) > 50 and right > 0.93, (len(unseen), right)
+
+
+def test_vectors_and_pooling_against_brute_force(spark, small, pairs):
+    """Word vectors as sums over all neighbours, pooling word by word, whatever stands beside a text and however long it is."""
+    texts = [t for _, t in pairs] + [" ".join(t for _, t in pairs)]
+    vectors = quality.word_vectors(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    places, signs = quality.form_vectors()
+    index = np.zeros((quality.FORMS, quality.SIZE))
+    for f in range(quality.FORMS):
+        index[f, places[f]] = signs[f]
+    tokens, total = quality.Tokens(remembered=50), np.zeros((quality.BUCKETS + quality.FORMS, quality.SIZE))
+    for t in texts:
+        codes = [int(c) for c in tokens.of(t)]
+        for a, b in [*zip(codes, codes[1:]), *zip(codes[1:], codes)]:
+            total[a // quality.FORMS] += index[b % quality.FORMS]
+            total[quality.BUCKETS + a % quality.FORMS] += index[b % quality.FORMS]
+    want = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
+    assert np.allclose(vectors, want, atol=1e-6)
+    own = quality.pooled(texts, quality.Tokens(), vectors)
+    for t, got in zip(texts, own):
+        codes = tokens.of(t)
+        v = np.array([[*want[c // quality.FORMS], *want[quality.BUCKETS + c % quality.FORMS]] for c in codes]).reshape(len(codes), 2 * quality.SIZE)
+        if not len(codes):
+            assert not got.any()
+            continue
+        alike = np.array([[a[:48] @ b[:48], a[48:] @ b[48:]] for a, b in zip(v, v[1:])]).reshape(-1, 2) if len(v) > 1 else np.zeros((1, 2))
+        assert np.allclose(got, [*v.mean(0), *v.std(0), *alike.mean(0), *alike.std(0)], atol=2e-3)
+    assert len(quality.Tokens().of(texts[-1])) > quality.BLOCK
+    for k in range(0, len(texts), 17):
+        assert (quality.pooled(texts[k : k + 1], quality.Tokens(), vectors)[0] == own[k]).all()
+
+
+def test_temperature():
+    """The temperature has the least loss of all on rows that were not fitted on."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 6))
+    y = (x[:, 0] + rng.normal(size=600) > 0).astype(float)
+    net = quality.Network(6)
+    net.fit(x[:300], y[:300])
+
+    def loss():
+        p = np.clip(net.probabilities(x[300:]), 1e-6, 1 - 1e-6)
+        return -(y[300:] * np.log(p) + (1 - y[300:]) * np.log(1 - p)).mean()
+
+    before = loss()
+    net.calibrate(x[300:], y[300:])
+    best, found = loss(), net.temperature
+    assert best < before and found > 1
+    for other in np.linspace(0.3, 7.9, 80):
+        net.temperature = other
+        assert loss() >= best - 1e-3
 
 
 def test_quality_of_odd_rows(spark, odd, empty):
+    again = spark.createDataFrame([(11, f"text number {k} of one id") for k in range(50)], "doc_id long, text string")
+    few = spark.createDataFrame([(11, 1), (6, 0)], "doc_id long, quality int")
+    assert quality.train(odd.select("doc_id", "text").union(again), few)[1].middle.shape == (quality.FEATURES,)
     labels = spark.createDataFrame([(11, 1), (11, 1), (6, 0), (10, 0), (15, 1), (None, 1), (7, None), (29, 0), (12, 1)], "doc_id long, quality int")
     model = quality.train(odd, labels)
     assert quality.score(odd, *model).where("score BETWEEN 0 AND 1").count() == len(odd_texts())
