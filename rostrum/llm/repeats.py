@@ -14,7 +14,9 @@ else. Windows are told apart exactly, without a list of all of them:
 
 Spark counts cores and hulls after summing them up in each task, so a passage
 that a third of all documents share is one row per task; texts are read where
-their blocks are cut. Equal texts are one text from the start.
+their blocks are cut. Equal texts are one text from the start. A core's hash has 64
+bits: a collision costs a look at more blocks. What is removed is decided by hulls,
+whose hashes have 128.
 
 README.md says why the merging of Burrows-Wheeler transforms is not used.
 """
@@ -22,9 +24,8 @@ README.md says why the merging of Burrows-Wheeler transforms is not used.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rostrum.llm.common import discard, rows, stored
-from rostrum.llm.common import UNNAMED
+from rostrum.llm.common import Scratch, named as named_texts, rows, stored
 
 GRAM = 16
 SEGMENT = 1 << 18
@@ -80,13 +80,13 @@ def widths(length: int) -> list[int]:
     return out[::-1]
 
 
-def block(text: memoryview, top: int, width: int, length: int) -> tuple[int, int | None] | None:
+def block(text: memoryview, top: int, width: int, length: int) -> tuple[int, bytes | None] | None:
     """Hashes of core and hull of the windows that start at top - width + 1 to top; no hull where the text ends before it, None without windows."""
     low, n = top - width + 1, len(text)
     if top < 0 or low > n - length or top >= low + length:
         return None
     core = xxhash.xxh3_64_intdigest(text[top : low + length]) - (1 << 63)
-    hull = xxhash.xxh3_64_intdigest(text[low : top + length]) - (1 << 63) if low >= 0 and top + length <= n else None
+    hull = xxhash.xxh3_128_digest(text[low : top + length]) if low >= 0 and top + length <= n else None
     return core, hull
 
 
@@ -103,14 +103,14 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_bytes: bool = False)
 
     Texts are UTF-8 bytes; null is the empty text; windows never cross rows and are
     judged on the input. A text of at least `length` bytes that another row equals
-    loses everything. Rows with one doc_id are rows of their own. Strings are told
-    apart by 64-bit hashes of their bytes at every width. An empty table gives no
-    rows; other columns are ignored.
+    loses everything, each of several copies alike. Rows with one doc_id, null or
+    not, are rows of their own. Strings are taken for equal by 128-bit hashes of
+    their bytes. Very long texts are hashed segment by segment. An empty table gives
+    no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
     steps = widths(length)
-    named = docs.select("doc_id", F.coalesce("doc_id", F.lit(UNNAMED)).alias("d"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("x", F.xxhash64("text"))
-    first_schema = pa.schema([("doc_id", pa.int64()), ("d", pa.int64()), ("x", pa.int64()), ("sha", pa.string()), ("n_bytes", pa.int64()), ("blocks", pa.list_(pa.struct([("top", pa.int32()), ("core", pa.int64()), ("hull", pa.int64())])))])
+    texts_of = named_texts(docs)
+    first_schema = pa.schema([("doc_id", pa.int64()), ("d", pa.int64()), ("x", pa.int64()), ("sha", pa.string()), ("n_bytes", pa.int64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,48 +126,17 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_bytes: bool = False)
                 offsets.append(len(tops))
                 heads.append((doc_id, d, x, hashlib.sha256(data).hexdigest(), len(data)))
             if heads:
-                inner = pa.StructArray.from_arrays([pa.array(tops, pa.int32()), pa.array(cores, pa.int64()), pa.array(hulls, pa.int64())], names=["top", "core", "hull"])
+                inner = pa.StructArray.from_arrays([pa.array(tops, pa.int32()), pa.array(cores, pa.int64()), pa.array(hulls, pa.binary())], names=["top", "core", "hull"])
                 columns = [pa.array(c, type=f.type) for c, f in zip(zip(*heads), first_schema)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), inner)], names=first_schema.names)
-
-    scanned = stored(named.mapInArrow(scan, "doc_id long, d long, x long, sha string, n_bytes long, blocks array<struct<top:int,core:long,hull:long>>"), "scanned")
-    classes = stored(scanned.groupBy("sha", "n_bytes").agg(F.count("*").alias("copies"), F.min(F.struct("d", "x")).alias("one")).select("sha", "n_bytes", "copies", F.col("one.d").alias("d"), F.col("one.x").alias("x")), "classes")
-    own = scanned.join(classes.select("sha", "d", "x"), ["sha", "d", "x"], "left_semi").dropDuplicates(["sha"])
-    level = stored(own.select("d", "x", F.inline("blocks")), "anchors")
-    more = level.groupBy("core").agg(F.count("*").alias("cores")).where("cores > 1")
-    level = stored(level.join(more.select("core"), "core", "left_semi").select("d", "x", "top", "core", "hull"), "blocks0")
-    ids = level.select("d", "x").distinct()
-    table = f"repeat_texts_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = named.select("d", "x", "text").join(ids, ["d", "x"], "left_semi").dropDuplicates(["d", "x"])
-    texts.repartition(buckets, "d").write.bucketBy(buckets, "d").format("parquet").saveAsTable(table)
-    texts = spark.table(table)
-
-    decided = []
-    for k, width in enumerate(steps):
-        hulls = level.where("hull IS NOT NULL").groupBy("hull").agg(F.count("*").alias("hulls"), F.min(F.struct("d", "x", "top")).alias("lead")).where("hulls > 1")
-        known = level.join(hulls, "hull", "left").withColumn("sure", F.col("hulls").isNotNull())
-        known = stored(known.select("d", "x", "top", "core", "sure", (F.col("lead") == F.struct("d", "x", "top")).alias("leads")), f"known{k}")
-        discard(level)
-        decided.append(known.where("sure").select("d", "x", F.greatest(F.col("top") - width + 1, F.lit(0)).alias("low"), (F.col("top") + length).alias("high")))
-        if width == 1:
-            break
-        company = known.groupBy("core").agg(F.count("*").alias("cores"), F.count_if(~F.col("sure")).alias("unsure")).where("cores > 1 AND unsure > 0")
-        going = known.where("NOT sure OR leads").join(company.select("core"), "core", "left_semi")
-        narrow = steps[k + 1]
-        tops = going.select("d", "x", F.explode(F.transform(F.sequence(F.lit(0), F.lit(width // narrow - 1)), lambda i: F.col("top") - i * narrow)).alias("top"))
-        wanted = tops.groupBy("d", "x").agg(F.collect_set("top").alias("tops"))
-
-        def cut(batches: Iterator[pa.RecordBatch], narrow: int = narrow) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = list(_cut(((d, x, t.encode(), tops) for d, x, t, tops in rows(batch, "d", "x", "text", "tops")), narrow, length))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["d", "x", "top", "core", "hull"])
-
-        level = stored(texts.join(wanted, ["d", "x"]).select("d", "x", "text", "tops").mapInArrow(cut, "d long, x long, top int, core long, hull long"), f"blocks{k + 1}")
-
-    spans = reduce(DataFrame.unionByName, decided).groupBy("d", "x").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    result = pa.schema([("d", pa.int64()), ("x", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), inner)], names=[*first_schema.names, "blocks"])
+
+    def cut(batches: Iterator[pa.RecordBatch], narrow: int) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = list(_cut(((d, x, t.encode(), tops) for d, x, t, tops in rows(batch, "d", "x", "text", "tops")), narrow, length))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["d", "x", "top", "core", "hull"])
+
+    result = pa.schema([("d", pa.int64()), ("x", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), *([("kept", pa.binary())] if with_bytes else [])])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,18 +152,48 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_bytes: bool = False)
                 kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
                 out.append((d, x, len(data) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), *([kept] if with_bytes else [])))
             if out:
-                schema = pa.schema([*result, ("kept", pa.binary())]) if with_bytes else result
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), schema)], names=schema.names)
-
-    removed = texts.join(spans, ["d", "x"]).select("d", "x", "text", "spans").mapInArrow(apply, "d long, x long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_bytes else ""))
-    per = classes.join(stored(removed, "removed"), ["d", "x"], "left").drop("d", "x")
-    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    per = per.select(
-        "sha", F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"), F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"), *([F.when(whole, F.lit(b"")).otherwise(F.col("kept")).alias("kept")] if with_bytes else []),
-    ).where("n_removed > 0")
-    out = scanned.select("doc_id", "d", "x", "sha", "n_bytes").join(per, "sha", "left")
-    if with_bytes:
-        text = named.select("d", "x", F.encode("text", "utf-8").alias("whole")).dropDuplicates(["d", "x"])
-        out = out.join(text, ["d", "x"]).withColumn("kept", F.coalesce("kept", "whole"))
-    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), *(["kept"] if with_bytes else []))
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), result)], names=result.names)
+
+    with Scratch() as scratch:
+        scanned = scratch.stored(texts_of.mapInArrow(scan, "doc_id long, d long, x long, sha string, n_bytes long, blocks array<struct<top:int,core:long,hull:binary>>"), "scanned")
+        classes = scratch.stored(scanned.groupBy("sha", "n_bytes").agg(F.count("*").alias("copies"), F.min(F.struct("d", "x")).alias("one")).select("sha", "n_bytes", "copies", F.col("one.d").alias("d"), F.col("one.x").alias("x")), "classes")
+        own = scanned.join(classes.select("sha", "d", "x"), ["sha", "d", "x"], "left_semi").dropDuplicates(["sha"])
+        # Counts are written before they are joined: a core that a third of all texts hold then is a skewed join, which Spark splits.
+        level = scratch.stored(own.select("d", "x", F.inline("blocks")), "anchors")
+        more = scratch.stored(level.groupBy("core").agg(F.count("*").alias("cores")).where("cores > 1").select("core"), "cores")
+        level = scratch.stored(level.join(more, "core", "left_semi").select("d", "x", "top", "core", "hull"), "blocks0")
+        ids = level.select("d", "x").distinct()
+        # In buckets by (d, x), so that no narrowing step moves a text again.
+        texts = scratch.bucketed(texts_of.select("d", "x", "text").join(ids, ["d", "x"], "left_semi").dropDuplicates(["d", "x"]), "repeat_texts", ["d", "x"])
+
+        decided = []
+        for k, width in enumerate(steps):
+            hulls = level.where("hull IS NOT NULL").groupBy("hull").agg(F.count("*").alias("hulls"), F.min(F.struct("d", "x", "top")).alias("lead")).where("hulls > 1")
+            hulls = scratch.stored(hulls.select("hull", "lead"), f"hulls{k}")
+            known = level.join(hulls, "hull", "left").withColumn("sure", F.col("lead").isNotNull())
+            known = scratch.stored(known.select("d", "x", "top", "core", "sure", (F.col("lead") == F.struct("d", "x", "top")).alias("leads")), f"known{k}")
+            decided.append(known.where("sure").select("d", "x", F.greatest(F.col("top") - width + 1, F.lit(0)).alias("low"), (F.col("top") + length).alias("high")))
+            if width == 1:
+                break
+            company = known.groupBy("core").agg(F.count("*").alias("cores"), F.count_if(~F.col("sure")).alias("unsure")).where("cores > 1 AND unsure > 0")
+            company = scratch.stored(company.select("core"), f"company{k}")
+            going = known.where("NOT sure OR leads").join(company, "core", "left_semi")
+            narrow = steps[k + 1]
+            tops = going.select("d", "x", F.explode(F.transform(F.sequence(F.lit(0), F.lit(width // narrow - 1)), lambda i: F.col("top") - i * narrow)).alias("top"))
+            wanted = tops.groupBy("d", "x").agg(F.collect_set("top").alias("tops"))
+            level = scratch.stored(texts.join(wanted, ["d", "x"]).select("d", "x", "text", "tops").mapInArrow(partial(cut, narrow=narrow), "d long, x long, top int, core long, hull binary"), f"blocks{k + 1}")
+
+        spans = reduce(DataFrame.unionByName, decided).groupBy("d", "x").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+        removed = texts.join(spans, ["d", "x"]).select("d", "x", "text", "spans").mapInArrow(apply, "d long, x long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_bytes else ""))
+        per = classes.join(scratch.stored(removed, "removed"), ["d", "x"], "left").drop("d", "x")
+        whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
+        per = per.select(
+            "sha", F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"), F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
+            F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"), *([F.when(whole, F.lit(b"")).otherwise(F.col("kept")).alias("kept")] if with_bytes else []),
+        ).where("n_removed > 0")
+        out = scanned.select("doc_id", "d", "x", "sha", "n_bytes").join(scratch.stored(per, "per"), "sha", "left")
+        if with_bytes:
+            text = texts_of.select("d", "x", F.encode("text", "utf-8").alias("whole")).dropDuplicates(["d", "x"])
+            out = out.join(text, ["d", "x"]).withColumn("kept", F.coalesce("kept", "whole"))
+        out = out.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), *(["kept"] if with_bytes else []))
+        return stored(out, "unrepeated")
