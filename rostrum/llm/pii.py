@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rostrum.llm.common import rows, stored
+from rostrum.llm.common import Scratch, fresh, rows, stored
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -114,13 +114,13 @@ def word_before(text: str, end: int) -> tuple[str, int]:
     while end > 0 and text[end - 1].isspace():
         end -= 1
     start = end
-    while start > 0 and end - start < 64 and not text[start - 1].isspace():
-        start -= 1
     if glued:
-        first, start = start, end
-        while start > first and not text[start - 1].isalnum():
+        while start > 0 and not text[start - 1].isalnum() and not text[start - 1].isspace():
             start -= 1
-        while start > first and text[start - 1].isalnum():
+        while start > 0 and text[start - 1].isalnum():
+            start -= 1
+    else:
+        while start > 0 and not text[start - 1].isspace():
             start -= 1
     return DIGIT.sub("0", text[start:end].lower()), start
 
@@ -252,13 +252,17 @@ def pattern_totals(texts: DataFrame, patterns: DataFrame) -> DataFrame:
         for batch in batches:
             seen: list[np.ndarray] = []
             for (text,) in rows(batch, "text"):
-                tokens = [DIGIT.sub("0", t[-64:]) for t in text.lower().split()] if DIGIT.search(text) else [t[-64:] for t in text.lower().split()]
+                tokens = text.lower().split()
+                if DIGIT.search(text):
+                    tokens = [DIGIT.sub("0", t) for t in tokens]
                 if len(hashes) > 300_000:
                     hashes.clear()
                 one = []
                 for t in tokens[:-1]:
                     if (h := hashes.get(t)) is None:
-                        h = hashes[t] = xxhash.xxh64_intdigest(t)
+                        h = xxhash.xxh64_intdigest(t)
+                        if len(t) <= 64:  # longer ones are hashed each time, so that memory is bounded
+                            hashes[t] = h
                     one.append(h)
                 if not one:
                     continue
@@ -280,7 +284,7 @@ def pattern_totals(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     return counted.join(patterns.select("pattern").distinct(), "pattern", "left_semi")
 
 
-def discover(texts: DataFrame, found: DataFrame, support: int, confidence: float) -> DataFrame | None:
+def discover(texts: DataFrame, found: DataFrame, support: int, confidence: float, scratch: Scratch) -> DataFrame | None:
     """(instance, kind) pairs that the rounds accept, or None when there are none.
 
     found has an occurrence a row. A pattern needs `support` different known
@@ -291,19 +295,19 @@ def discover(texts: DataFrame, found: DataFrame, support: int, confidence: float
     candidates = graph.where("kind IS NULL").groupBy("pattern", "instance", "kinds").agg(F.count("*").alias("n"))
     seeds = graph.where("kind IS NOT NULL").groupBy("pattern", "instance", "kind").agg(F.count("*").alias("n"))
     # Only patterns of candidates can discover anything; pairs are distinct before they are shuffled.
-    candidates = stored(candidates, "candidates")
-    seeds = stored(seeds.join(candidates.select("pattern").distinct(), "pattern", "left_semi"), "seeds")
+    candidates = scratch.stored(candidates, "candidates")
+    seeds = scratch.stored(seeds.join(candidates.select("pattern").distinct(), "pattern", "left_semi"), "seeds")
     if seeds.groupBy("pattern", "kind").agg(F.count("*").alias("different")).where(F.col("different") >= support).isEmpty():
         return None
     # Whatever is accepted, a pattern never has more known instances of a kind than seeds and possible candidates of it.
     possible = seeds.select("pattern", "kind").unionAll(candidates.select("pattern", F.explode("kinds").alias("kind")))
-    patterns = stored(possible.groupBy("pattern", "kind").agg(F.count("*").alias("different")).where(F.col("different") >= support).select("pattern").distinct(), "patterns")
+    patterns = scratch.stored(possible.groupBy("pattern", "kind").agg(F.count("*").alias("different")).where(F.col("different") >= support).select("pattern").distinct(), "patterns")
     firsts = found.select("one", F.explode(F.array("one", "two")).alias("pattern")).join(patterns, "pattern", "left_semi").select(F.col("one").alias("pattern")).distinct()
     # Words glued to an instance never stand alone, so a pattern occurs at least as often as it precedes identifiers.
     glued = candidates.select("pattern", "n").unionByName(seeds.select("pattern", "n")).groupBy("pattern").agg(F.sum("n").alias("least"))
     counted = pattern_totals(texts, patterns.union(firsts).distinct())
     totals = patterns.join(glued, "pattern").join(counted, "pattern", "left").select("pattern", F.greatest("least", F.coalesce("total", F.lit(0))).alias("total"))
-    totals = stored(totals, "totals")
+    totals = scratch.stored(totals, "totals")
     known, accepted = seeds, None
     while True:
         scored = known.groupBy("pattern", "kind").agg(F.count("*").alias("different"), F.sum("n").alias("n")).where(F.col("different") >= support)
@@ -312,12 +316,12 @@ def discover(texts: DataFrame, found: DataFrame, support: int, confidence: float
         best = noisy.where(F.col("score") >= confidence).groupBy("instance").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
         if accepted is not None:
             best = best.join(accepted.select("instance"), "instance", "left_anti").unionByName(accepted)
-        best = stored(best, "accepted")
+        best = scratch.stored(best, "accepted")
         grown = best.count() > (accepted.count() if accepted is not None else 0)
         accepted = best
         if not grown:
             return accepted
-        known = stored(seeds.unionByName(candidates.join(accepted, "instance").select("pattern", "instance", "kind", "n")), "known")
+        known = scratch.stored(seeds.unionByName(candidates.join(accepted, "instance").select("pattern", "instance", "kind", "n")), "known")
 
 
 def row_key():
@@ -330,13 +334,19 @@ def find(docs: DataFrame, support: int = 3, confidence: float = 0.5, with_text:
 
     The counts and base_sha256 are of the base spans; spans has all. Null and
     empty texts have no spans; repeated rows come back each; rows that share
-    doc_id and text share their spans; null doc_ids are kept; an empty table gives
-    no rows; other columns are ignored.
+    doc_id and text share their spans; null doc_ids are kept; texts and tokens of
+    any length are read whole; of kinds that score alike the last by name is taken;
+    an empty table gives no rows; other columns are ignored.
     """
+    with Scratch() as scratch:
+        return stored(_found(docs, support, confidence, with_text, scratch), "personal")
+
+
+def _found(docs: DataFrame, support: int, confidence: float, with_text: bool, scratch: Scratch) -> DataFrame:
     named = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("row", row_key())
-    scanned = stored(named.mapInArrow(_scan, SCANNED_DDL), "scanned")
+    scanned = scratch.stored(named.mapInArrow(_scan, SCANNED_DDL), "scanned")
     found = scanned.where(F.size("found") > 0).select("row", F.inline("found"))
-    accepted = discover(named, found, support, confidence)
+    accepted = discover(named, found, support, confidence, scratch)
     out = scanned.select("doc_id", "row", "spans")
     if accepted is None:
         out = out.withColumn("more", F.array().cast("array<string>"))
@@ -370,15 +380,21 @@ def mask(text: str, spans: str) -> str:
 
 
 def masked(docs: DataFrame, **how) -> DataFrame:
-    """docs, all columns, with every found span of text masked; null texts stay null."""
-    spans = find(docs, with_text=True, **how).select(F.col("row").alias("__pii_row"), F.col("spans").alias("__pii_spans")).where("__pii_spans <> ''").dropDuplicates(["__pii_row"])
-    joined = docs.withColumn("__pii_row", row_key()).join(spans, "__pii_row", "left").drop("__pii_row")
+    """docs, all columns and any names, with every found span of text masked.
+
+    Null texts stay null, empty ones empty; repeated rows stay and are masked alike;
+    null doc_ids and texts of any length as in find(); of overlapping spans the
+    first names the mask; an empty table gives none.
+    """
+    key, mark = fresh(docs, "row_key", "row_spans")
+    spans = find(docs, with_text=True, **how).select(F.col("row").alias(key), F.col("spans").alias(mark)).where(F.col(mark) != "").dropDuplicates([key])
+    joined = docs.withColumn(key, row_key()).join(spans, key, "left").drop(key)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            new = pa.array([mask(t, s) if t is not None and s else t for t, s in rows(batch, "text", "__pii_spans")], type=batch.schema.field(at).type)
-            columns = [new if i == at else c for i, c in enumerate(batch.columns) if batch.schema.names[i] != "__pii_spans"]
-            yield pa.RecordBatch.from_arrays(columns, names=[n for n in batch.schema.names if n != "__pii_spans"])
+            new = pa.array([mask(t, s) if t is not None and s else t for t, s in rows(batch, "text", mark)], type=batch.schema.field(at).type)
+            columns = [new if i == at else c for i, c in enumerate(batch.columns) if batch.schema.names[i] != mark]
+            yield pa.RecordBatch.from_arrays(columns, names=[n for n in batch.schema.names if n != mark])
 
     return joined.mapInArrow(of, docs.schema)
