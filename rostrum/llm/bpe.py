@@ -63,7 +63,7 @@ class ForcedBoundaryEncoder:
         self.words = regex.compile(pre["pattern"]["Regex"])
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")")
         kinds = [n["type"] for n in spec["normalizer"]["normalizers"]]
-        known = kinds == ["NFC", "Replace", "Lowercase"] and pre["behavior"] == "Removed" and pre["invert"] and spec["decoder"] is None and spec["post_processor"] is None
+        known = kinds == ["NFC", "Replace", "Lowercase"] and spec["normalizer"]["normalizers"][1]["pattern"] == {"Regex": r"\s+"} and spec["normalizer"]["normalizers"][1]["content"] == " " and pre["behavior"] == "Removed" and pre["invert"] and spec["decoder"] is None and spec["post_processor"] is None
         self.known = known and not model["dropout"] and not model["continuing_subword_prefix"] and not model["byte_fallback"] and not model["ignore_merges"] and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
         self.remembered = remembered
         self.seen: dict[str, tuple[int, str, str]] = {}

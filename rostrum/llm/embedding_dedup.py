@@ -19,9 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rostrum.llm.common import rows, stored
+from rostrum.llm.common import UNNAMED, Scratch, rows, stored
 from rostrum.llm.components import components
-from rostrum.llm.common import UNNAMED
 from rostrum.llm.minhash import local_components
 
 
@@ -40,21 +39,24 @@ def units(vectors: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def linked_pairs(a: np.ndarray, b: np.ndarray, threshold: float, block: int = 1024) -> tuple[np.ndarray, np.ndarray, int]:
-    """Rows i of a and j of b with cosine >= threshold (unit vectors), and how many pairs needed full precision."""
+def linked_pairs(a: np.ndarray, b: np.ndarray, threshold: float, block: int = 1024, above: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
+    """Rows i of a and j of b with cosine >= threshold (unit vectors), and how many pairs needed full precision; above: i < j alone."""
     qa, sa, ea = quantised(a)
     qb, sb, eb = quantised(b)
     exact = np.float32 if a.shape[1] * 127 * 127 < 1 << 24 else np.float64  # sums of small integers, held exactly
     right, out, tried = qb.astype(exact).T, [], 0
     for at in range(0, len(a), block):
         part = slice(at, at + block)
-        product = qa[part].astype(exact) @ right
+        from_row = at if above else 0
+        product = qa[part].astype(exact) @ right[:, from_row:]
         most = threshold - (ea[part] + eb.max() + ea[part] * eb.max()) - 1e-9
         floor = np.where(most > 0, most / (sa[part] * sb.max()), -np.inf).astype(exact) * (1 - 1e-6)
         i, j = np.nonzero(product >= floor[:, None])
-        ii = i + at
-        keep = product[i, j] * sa[ii] * sb[j] >= threshold - (ea[ii] + eb[j] + ea[ii] * eb[j]) - 1e-9
-        ii, j = ii[keep], j[keep]
+        ii, jj = i + at, j + from_row
+        keep = product[i, j] * sa[ii] * sb[jj] >= threshold - (ea[ii] + eb[jj] + ea[ii] * eb[jj]) - 1e-9
+        if above:
+            keep &= ii < jj
+        ii, j = ii[keep], jj[keep]
         tried += len(ii)
         for k in range(0, len(ii), 200_000):
             x, y = ii[k : k + 200_000], j[k : k + 200_000]
@@ -94,14 +96,6 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, tile: int = 4096) -
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], names=["vec_id", "d", "v"])
 
     packed = vectors.select("vec_id", F.col("embedding").cast("array<double>" if double else "array<float>")).mapInArrow(pack, "vec_id long, d long, v binary").withColumn("h", F.xxhash64("v"))
-    packed = stored(packed, "vectors")
-    nodes = packed.where("v IS NOT NULL").groupBy("v", "h").agg(F.min("d").alias("id"), F.count("*").alias("m"))
-    nodes = stored(nodes, "nodes")
-    # Tiles of one vector size, of about `tile` vectors: their number is all that the driver learns.
-    counts = nodes.groupBy(F.length("v").alias("size")).agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    tiled = nodes.withColumn("size", F.length("v")).join(counts, "size").withColumn("t", F.pmod(F.xxhash64("id", "h"), F.col("tiles")).cast("int"))
-    sent = tiled.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    sent = sent.select("size", F.least("t", "u").alias("lo"), F.greatest("t", "u").alias("hi"), "t", "id", "h", "m", "v")
 
     def work(group: pa.Table) -> pa.Table:
         first, second = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
@@ -110,9 +104,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, tile: int = 4096) -
         ids, marks, copies, tiles = ids[order], marks[order], copies[order], group.column("t").to_numpy()[order]
         unit = units(np.frombuffer(b"".join(group.column("v").to_pylist()), dtype=kind).reshape(len(ids), -1)[order])
         if first == second:
-            i, j, _ = linked_pairs(unit, unit, threshold)
-            other = i < j
-            i, j = i[other], j[other]
+            i, j, _ = linked_pairs(unit, unit, threshold, above=True)
         else:
             left, right = np.flatnonzero(tiles == first), np.flatnonzero(tiles == second)
             if not len(left) or not len(right):
@@ -124,14 +116,22 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, tile: int = 4096) -
         hit = np.flatnonzero(links)
         return pa.table([ids[hit], marks[hit], links[hit].astype(np.int64), ids[root[hit]]], schema=FOUND)
 
-    # Dealt by number: adaptive execution would join tile pairs, which are few bytes and much work, into one task.
-    sent = sent.repartition(4 * int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions")), "size", "lo", "hi")
-    found = stored(sent.groupBy("size", "lo", "hi").applyInArrow(work, "a long, h long, links long, b long"), "found")
-    # A vec_id that several vectors have holds them together through its own node.
-    same = packed.where("v IS NOT NULL").join(nodes.select("v", "id"), "v").where("d <> id").select(F.col("d").alias("a"), F.col("id").alias("b")).distinct()
-    labels = components(found.select("a", "b").union(same))
-    links = found.groupBy(F.col("a").alias("id"), "h").agg(F.sum("links").alias("links"))
-    per = nodes.join(links, ["id", "h"], "left").select("v", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"))
-    out = packed.join(per, "v", "left").join(labels.withColumnRenamed("id", "d"), "d", "left")
-    component = F.coalesce("component", "d")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(component != UNNAMED, component).alias("component_id"), (F.col("d") == component).alias("kept"))
+    with Scratch() as scratch:
+        packed = scratch.stored(packed, "vectors")
+        nodes = scratch.stored(packed.where("v IS NOT NULL").groupBy("v", "h").agg(F.min("d").alias("id"), F.count("*").alias("m")), "nodes")
+        # Tiles of one vector size, of about `tile` vectors: their number is all that the driver learns.
+        counts = nodes.groupBy(F.length("v").alias("size")).agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+        tiled = nodes.withColumn("size", F.length("v")).join(counts, "size").withColumn("t", F.pmod(F.xxhash64("id", "h"), F.col("tiles")).cast("int"))
+        sent = tiled.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        sent = sent.select("size", F.least("t", "u").alias("lo"), F.greatest("t", "u").alias("hi"), "t", "id", "h", "m", "v")
+        # Dealt by number: adaptive execution would join tile pairs, which are few bytes and much work, into one task.
+        sent = sent.repartition(4 * int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions")), "size", "lo", "hi")
+        found = scratch.stored(sent.groupBy("size", "lo", "hi").applyInArrow(work, "a long, h long, links long, b long"), "found")
+        # A vec_id that several vectors have holds them together through its own node.
+        same = packed.where("v IS NOT NULL").join(nodes.select("v", "id"), "v").where("d <> id").select(F.col("d").alias("a"), F.col("id").alias("b")).distinct()
+        labels = components(found.select("a", "b").union(same))
+        links = found.groupBy(F.col("a").alias("id"), "h").agg(F.sum("links").alias("links"))
+        per = scratch.stored(nodes.join(links, ["id", "h"], "left").select("v", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links")), "per")
+        out = packed.join(per, "v", "left").join(labels.withColumnRenamed("id", "d"), "d", "left")
+        component = F.coalesce("component", "d")
+        return stored(out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(component != UNNAMED, component).alias("component_id"), (F.col("d") == component).alias("kept")), "near-vectors")

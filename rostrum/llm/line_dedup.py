@@ -11,56 +11,47 @@ lines. A hash counts documents, not lines, and remembers the largest doc_id.
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rostrum.llm.common import discard, stored
+from rostrum.llm.common import Scratch, named, stored
 from rostrum.llm.exact import ascii_lower
 
 BLANK = " \t\n\x0b\x0c\r"
-#: The id that a null doc_id has inside: below any other.
-UNNAMED = -(1 << 63)
 
 
 class LineRuns:
-    """Levelled runs of (hash, number of documents, largest document) as bucketed tables in the warehouse."""
+    """Levelled runs of (hash, number of documents, largest document) as bucketed tables in the warehouse, until scratch ends."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 2, buckets: int | None = None):
-        self.spark, self.fanout = spark, fanout
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.levels: list[list[str]] = []
+    def __init__(self, scratch: Scratch, fanout: int = 2):
+        self.scratch, self.fanout = scratch, fanout
+        self.levels: list[list[DataFrame]] = []
         self.repeats: list[DataFrame] = []
 
-    def _write(self, run: DataFrame) -> str:
-        name = f"line_run_{uuid.uuid4().hex}"
-        run.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h").format("parquet").saveAsTable(name)
-        return name
+    def _write(self, run: DataFrame) -> DataFrame:
+        return self.scratch.bucketed(run, "line_run", ["h"], sort=True)
 
     def tables(self) -> list[DataFrame]:
-        return [self.spark.table(name) for level in self.levels for name in level]
+        return [run for level in self.levels for run in level]
 
     def add(self, keys: DataFrame) -> None:
         """Adds a batch of (h, d): new hashes as a run, known ones to the repeats."""
-        own = stored(keys.groupBy("h").agg(F.countDistinct("d").alias("n"), F.max("d").alias("top")), "batch")
+        # Documents of a hash first, then their number: a line of a third of all documents is one row per task in either step.
+        own = self.scratch.stored(keys.distinct().groupBy("h").agg(F.count("*").alias("n"), F.max("d").alias("top")), "batch")
         unseen = reduce(lambda left, run: left.join(run.select("h"), "h", "left_anti"), self.tables(), own)
-        name = self._write(unseen)
+        run = self._write(unseen)
         if self.levels:
-            self.repeats.append(stored(own.join(self.spark.table(name).select("h"), "h", "left_anti"), "repeats"))
-        discard(own)
-        self._place(name, 0)
+            self.repeats.append(self.scratch.stored(own.join(run.select("h"), "h", "left_anti"), "repeats"))
+        self._place(run, 0)
 
-    def _place(self, name: str, level: int) -> None:
+    def _place(self, run: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(name)
+        self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
-            merged = reduce(DataFrame.unionByName, [self.spark.table(x) for x in self.levels[level]])
-            above = self._write(merged)
-            for old in self.levels[level]:
-                self.spark.sql(f"DROP TABLE {old} PURGE")
+            above = self._write(reduce(DataFrame.unionByName, self.levels[level]))
             self.levels[level] = []
             self._place(above, level + 1)
 
@@ -72,13 +63,6 @@ class LineRuns:
             runs = runs.join(more, "h", "left").select("h", (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), F.greatest("top", "top2").alias("top"))
         return runs.where(F.col("n") >= least).select("h", "top")
 
-    def drop(self) -> None:
-        """Deletes all runs and repeats."""
-        for name in [x for level in self.levels for x in level]:
-            self.spark.sql(f"DROP TABLE {name} PURGE")
-        discard(*self.repeats)
-        self.levels, self.repeats = [], []
-
 
 def drop_common_lines(docs: DataFrame, shortest: int = 20, least: int = 3, batches: int = 4, with_text: bool = False) -> DataFrame:
     """doc_id, n_lines, n_dropped and kept_sha256 (with_text: kept_text) for every row.
@@ -88,27 +72,27 @@ def drop_common_lines(docs: DataFrame, shortest: int = 20, least: int = 3, batch
     all their lines but those of the largest doc_id. Null and empty texts have one
     empty line. Rows with one doc_id count as one document and each comes back; a
     null doc_id is one document below all others. Keys are compared by 128 bits of
-    SHA-256. An empty table gives no rows; other columns are ignored.
+    SHA-256. Texts of any length are split whole. An empty table gives no rows;
+    other columns are ignored.
     """
-    spark = docs.sparkSession
-    named = docs.select("doc_id", F.coalesce("doc_id", F.lit(UNNAMED)).alias("d"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("x", F.xxhash64("text"))
-    lines = named.select("d", "x", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    whole = named(docs)
+    lines = whole.select("d", "x", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     lines = lines.select("d", "x", "pos", F.btrim("line", F.lit(BLANK)).alias("key")).where(F.char_length("key") >= shortest)
     lines = lines.select("d", "x", "pos", F.substring(F.sha2(ascii_lower(F.col("key")), 256), 1, 32).alias("h"), F.pmod(F.xxhash64("d"), F.lit(batches)).cast("int").alias("batch"))
-    lines = stored(lines, "lines")
-    runs = LineRuns(spark)
-    for b in range(batches):
-        runs.add(lines.where(F.col("batch") == b).select("h", "d"))
-    common = stored(runs.common(least), "common")
-    runs.drop()
-    lost = lines.join(common, "h").where(F.col("d") != F.col("top")).groupBy("d", "x").agg(F.collect_set("pos").alias("lost"))
-    whole = named.select("doc_id", "d", "x", F.split("text", "\n", -1).alias("lines")).join(lost, ["d", "x"], "left")
-    whole = whole.withColumn("lost", F.coalesce("lost", F.array().cast("array<int>")))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("lost"))
-    kept = F.when(F.size("lost") == 0, F.array_join("lines", "\n")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n"))
-    out = whole.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.size("lost").cast("long").alias("n_dropped"), kept.alias("kept_text"))
-    out = out.withColumn("kept_sha256", F.sha2("kept_text", 256))
-    return out if with_text else out.drop("kept_text")
+    with Scratch() as scratch:
+        lines = scratch.stored(lines, "lines")
+        runs = LineRuns(scratch)
+        for b in range(batches):
+            runs.add(lines.where(F.col("batch") == b).select("h", "d"))
+        common = scratch.stored(runs.common(least), "common")
+        lost = lines.join(common, "h").where(F.col("d") != F.col("top")).groupBy("d", "x").agg(F.collect_set("pos").alias("lost"))
+        whole = whole.select("doc_id", "d", "x", F.split("text", "\n", -1).alias("lines")).join(lost, ["d", "x"], "left")
+        whole = whole.withColumn("lost", F.coalesce("lost", F.array().cast("array<int>")))
+        stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("lost"))
+        kept = F.when(F.size("lost") == 0, F.array_join("lines", "\n")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n"))
+        out = whole.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.size("lost").cast("long").alias("n_dropped"), kept.alias("kept_text"))
+        out = out.withColumn("kept_sha256", F.sha2("kept_text", 256))
+        return stored(out if with_text else out.drop("kept_text"), "lines-kept")
 
 
 ORACLE = r"""

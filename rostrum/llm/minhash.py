@@ -255,11 +255,11 @@ def between_tiles(members: DataFrame, sketched: DataFrame, percent: int, keep: i
     return sent.groupBy("a", "ax", "kind", "lo", "hi").applyInArrow(work, PAIR_DDL)
 
 
-def candidate_groups(sketched: DataFrame, percent: int, keep: int) -> DataFrame:
+def candidate_groups(sketched: DataFrame, percent: int, keep: int, scratch: Scratch) -> DataFrame:
     """(a, ax, b, bx): members (b, bx) of the lists that (a, ax) is the centre of, for nodes (id, x, n, sketch as an array)."""
     ratio, p = math.log(CLASS), percent / 100
     entries = sketched.select("id", "x", "n", F.explode("sketch").alias("value"))
-    lengths = entries.groupBy("value").agg(F.count("*").alias("length")).where("length > 1")
+    lengths = scratch.stored(entries.groupBy("value").agg(F.count("*").alias("length")).where("length > 1"), "lengths")
     shared = entries.join(lengths, "value").groupBy("id", "x", "n").agg(F.sum("length").alias("weight"), F.array_sort(F.collect_list(F.struct("length", "value"))).alias("v"))
     own = F.floor(F.log(F.col("n").cast("double")) / ratio).cast("int")
     m = F.least("n", F.lit(keep))
@@ -275,8 +275,9 @@ def candidate_groups(sketched: DataFrame, percent: int, keep: int) -> DataFrame:
         own_values = m - F.size("v")
         return F.transform(F.slice("v", F.lit(1), F.greatest(m - needed(c) + 1 - own_values, F.lit(0)).cast("int")), lambda s: F.xxhash64(s["value"], F.least(c, "own"), F.greatest(c, "own")))
 
-    lists = shared.withColumn("own", own).select("id", "x", "weight", F.explode(F.flatten(F.transform(reach, keys))).alias("key"))
+    lists = scratch.stored(shared.withColumn("own", own).select("id", "x", "weight", F.explode(F.flatten(F.transform(reach, keys))).alias("key")), "lists")
     centres = lists.groupBy("key").agg(F.count("*").alias("length"), F.max(F.struct("weight", F.bitwise_not("id").alias("i"), "x")).alias("top")).where("length > 1").select("key", F.bitwise_not("top.i").alias("a"), F.col("top.x").alias("ax"))
+    centres = scratch.stored(centres, "centres")
     return lists.join(centres, "key").where("id <> a OR x <> ax").select("a", "ax", F.col("id").alias("b"), F.col("x").alias("bx")).distinct()
 
 
@@ -303,13 +304,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, short:
         least = full.groupBy("digest", "n").agg(F.min(F.struct("d", "x")).alias("least"), F.any_value("sketch").alias("sketch"))
         node = scratch.stored(least.select("digest", "n", F.col("least.d").alias("id"), F.col("least.x").alias("x"), "sketch"), "nodes")
         entries = node.select("id", "x", "n", F.explode("sketch").alias("value"))
-        lengths = entries.groupBy("value").agg(F.count("*").alias("length")).where("length > 1").select("value")
+        # Counts are written before they are joined: a value that a third of all sets hold then is a skewed join, which Spark splits.
+        lengths = scratch.stored(entries.groupBy("value").agg(F.count("*").alias("length")).where("length > 1").select("value"), "shared")
         must = F.least(F.ceil(F.col("n") * percent / 100), F.lit(tolerance(percent, short)))
         active = scratch.stored(entries.join(lengths, "value", "left_semi").groupBy("id", "x", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= must).select("id", "x"), "active")
         texts = scratch.stored(named(docs).select(F.col("d").alias("id"), "x", "text").join(active, ["id", "x"], "left_semi").dropDuplicates(["id", "x"]), "texts")
         longer = sketches(texts.select(F.col("id").alias("doc_id"), "text"), shingle, keep).select(F.col("d").alias("id"), "x", "n", "sketch")
         longer = scratch.stored(longer, "longer")
-        groups = scratch.stored(candidate_groups(longer, percent, keep), "groups")
+        groups = scratch.stored(candidate_groups(longer, percent, keep, scratch), "groups")
 
         def verified(maybe: DataFrame, name: str) -> DataFrame:
             """(a, b) of the links among pairs that may be ones: the full sets tell where sketches could not."""

@@ -45,7 +45,8 @@ class ByteEncoder:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
         made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
-        plain = spec["normalizer"] is None and (spec["pre_tokenizer"] or {}).get("type") == "ByteLevel" and not spec["pre_tokenizer"]["add_prefix_space"]
+        pre = spec["pre_tokenizer"] or {}
+        plain = spec["normalizer"] is None and pre.get("type") == "ByteLevel" and not pre["add_prefix_space"] and pre.get("use_regex", True)
         simple = not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec["added_tokens"])
         if plain and simple and all(a < b for a, b in zip(made, made[1:])) and len(made) + 256 == len(vocab):
             import public_tokenizers
@@ -64,8 +65,8 @@ class ByteEncoder:
         if self.fast is not None:
             try:
                 return np.asarray(self.fast.encode(text, allowed_special="all"), dtype="<u4")
-            except BaseException as failed:  # the native splitter panics on some very long runs
-                if isinstance(failed, (KeyboardInterrupt, SystemExit)):
+            except BaseException as failed:  # the native splitter panics on some very long runs, with an exception of its own outside Exception
+                if type(failed).__name__ != "PanicException":
                     raise
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
@@ -106,8 +107,10 @@ def pack(docs: DataFrame, vocabulary: str, most: int = 1024, end_id: int = 0, wi
 
     bucket is the sequence's length; sequence_id is unique and numbered within
     (bucket, shard), so no task ever holds a whole bucket. Null and empty texts
-    give the end token alone; rows with one doc_id are packed one by one; an empty
-    table gives no rows; other columns are ignored.
+    give the end token alone; null doc_ids and rows with one doc_id, equal or not,
+    are packed one by one, in the order of their pieces where they tie; a very long
+    text is encoded whole, by one task; an empty table gives no rows; other columns
+    are ignored.
     """
     if most & (most - 1):
         raise ValueError("the longest sequence must be a power of two")

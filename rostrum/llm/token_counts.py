@@ -1,9 +1,10 @@
 """Token counts by the whole-token shortcut.
 
 A byte-pair vocabulary splits most words of a text into one token each. Which of
-its strings encode alone as a single token is proven once per worker by encoding
-each of them with the library; a pre-token equal to such a string then counts as
-one without any merging, and only the rest goes through the library.
+its strings encode alone as a single token is proven offline, once before the tasks
+start, by encoding each of them with the library; the tasks are sent the proof, one
+bit per string. A pre-token equal to such a string then counts as one without any
+merging, and only the rest goes through the library.
 
 Pre-tokens end where no vocabulary string can cross: before a run of spaces and
 around a newline. Both facts, and that the model leaves characters as they are,
@@ -16,6 +17,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -66,7 +68,7 @@ class WholeTokenCounter(dict):
     The memory of other pre-tokens is bounded; it is emptied when full.
     """
 
-    def __init__(self, path: str, remembered: int = 300_000):
+    def __init__(self, path: str, remembered: int = 300_000, proof: bytes | None = None):
         import sentencepiece
 
         super().__init__()
@@ -76,7 +78,13 @@ class WholeTokenCounter(dict):
         self.splits = keeps_characters(self.model.serialized_model_proto()) and not any(SPACE in p.lstrip(SPACE) or (len(p) > 1 and "\n" in p) for p in pieces)
         self.newline = len(self.model.encode("\n"))
         self.pattern = re.compile(r" +[^ \n]*|[^ \n]+|\n")
-        self.whole: frozenset[str] = frozenset(p.replace(SPACE, " ") for p in pieces if self.splits and self._alone(p))
+        if not self.splits:
+            pieces = []
+        alone = map(self._alone, pieces) if proof is None else np.unpackbits(np.frombuffer(proof, np.uint8), count=len(pieces)).astype(bool)
+        marks = list(alone)
+        #: One bit per string of the vocabulary: whether it encodes alone as one token.
+        self.proof = np.packbits(np.array(marks, dtype=bool)).tobytes()
+        self.whole: frozenset[str] = frozenset(p.replace(SPACE, " ") for p, yes in zip(pieces, marks) if yes)
         self.update(dict.fromkeys(self.whole, 1))
         self[" "] = self[" "] if " " in self else len(self.model.encode(" ")) - 1 or 1
 
@@ -118,22 +126,24 @@ class WholeTokenCounter(dict):
 
 
 @lru_cache(maxsize=2)
-def counter(path: str) -> WholeTokenCounter:
-    """One counter per worker and model."""
-    return WholeTokenCounter(path)
+def counter(path: str, proof: bytes | None = None) -> WholeTokenCounter:
+    """One counter per process, model and proof."""
+    return WholeTokenCounter(path, proof=proof)
 
 
 def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit and n_whole (pre-tokens of one token) for every row.
 
     No shuffle: each task counts its own rows. Null and empty texts have no tokens;
-    null doc_ids and repeated rows come back as they are; an empty table gives no
+    null doc_ids and repeated rows, ties too, come back as they are; an empty table gives no
     rows; columns other than doc_id and text are ignored. Very long texts are
     split into pre-tokens like any other, so no piece of work grows with a text.
     """
 
+    proof = counter(model_path).proof  # some kilobytes, bounded by the vocabulary
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = counter(model_path)
+        model = counter(model_path, proof)
 
         def each() -> Iterator[tuple]:
             for batch in batches:

@@ -231,6 +231,19 @@ def test_repeats(small, pairs):
     same(repeats.remove_repeats(small).collect(), repeats_brute(pairs, 400))
 
 
+def test_repeats_leave_nothing_behind(spark, small, pairs):
+    """The bytes that stay are those of the digest, and neither tables nor intermediate files outlive the call."""
+    import os
+
+    from rostrum.llm.common import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:")
+    before, tables = set(os.listdir(folder)), {t.name for t in spark.catalog.listTables()}
+    got = repeats.remove_repeats(small, with_bytes=True)
+    assert len(set(os.listdir(folder)) - before) == 1 and {t.name for t in spark.catalog.listTables()} == tables
+    assert all(sha(bytes(r.kept)) == r.kept_sha256 and len(r.kept) == r.n_bytes - r.n_removed for r in got.collect())
+
+
 @pytest.mark.parametrize("length", [400, 64])
 def test_repeats_odd(odd, empty, length):
     same(repeats.remove_repeats(odd, length).collect(), repeats_brute(odd_texts(), length))

@@ -221,3 +221,25 @@ def test_pipeline(spark):
 def test_stages_on_empty_tables(spark, small, stage):
     docs = spark.createDataFrame([], small.schema)
     assert dict(corpus_pipeline.STAGES)[stage](spark, docs, SMALL).count() == 0
+
+
+def test_stages_on_odd_rows(spark, odd):
+    """Nulls, empty and long texts, repeated rows and clashing columns go through every stage, each against brute force on its own input."""
+    stages = dict(corpus_pipeline.STAGES)
+    odd = odd.withColumnsRenamed({"id": "gone_id", "key": "row_spans", "sha": "gone_sha", "row": "row_key"})
+    texts = odd_texts()
+    model = quality.train(odd, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    good = stages["quality"](spark, odd, SMALL)
+    assert good.columns == odd.columns and good.count() == quality.score(odd, *model).where("predicted = 1").count()
+    one = stages["exact"](spark, odd, SMALL)
+    kept = [(r[0], t) for r, (_, t) in zip(exact_brute(texts), texts) if r[3]]
+    assert one.columns == odd.columns and sorted(map(repr, ((r.doc_id, r.text) for r in one.collect()))) == sorted(map(repr, kept))
+    near = stages["near"](spark, odd, SMALL)
+    kept = [(r[0], t) for r, (_, t) in zip(near_brute(texts, 5, 80), texts) if r[3]]
+    assert near.columns == odd.columns and sorted(map(repr, ((r.doc_id, r.text) for r in near.collect()))) == sorted(map(repr, kept))
+    private = stages["private"](spark, odd, SMALL)
+    assert private.columns == odd.columns and private.count() == len(texts) and private.where("text IS NULL").count() == sum(t is None for _, t in texts)
+    for r in private.where("text IS NOT NULL").collect():
+        assert r.n_chars == len(r.text)
+    packed = stages["packing"](spark, odd, SMALL)
+    assert packed.where("start = 0").count() == len(texts) and packed.where("doc_id IS NULL AND start = 0").count() == 3
