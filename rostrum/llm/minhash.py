@@ -166,23 +166,22 @@ def sets_of(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
     return [values[i:j] for i, j in zip(ends, ends[1:])]
 
 
-PAIR = pa.schema([("a", pa.int64()), ("ax", pa.int64()), ("b", pa.int64()), ("bx", pa.int64()), ("sure", pa.bool_())])
-PAIR_DDL = "a long, ax long, b long, bx long, sure boolean"
+PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sure", pa.bool_())])
+PAIR_DDL = "a long, b long, sure boolean"
 
 
 def against_hubs(pairs: DataFrame, payload: DataFrame, percent: int, keep: int, shingle: int | None = None, share: int = 512) -> DataFrame:
-    """The pairs (a, ax, b, bx) that may be links, and whether they surely are.
+    """The pairs of nodes (a, b) that may be links, and whether they surely are.
 
-    payload has id, x and either n and sketch or, with `shingle`, text.
-    A hub (a, ax) is sent once for every `share` of its partners, ahead of them, so
+    payload has node and either n and sketch or, with `shingle`, text. A hub a is sent once for every `share` of its partners, ahead of them, so
     that a task reads its rows one after another and holds one hub at a time.
     """
-    hubs = pairs.groupBy("a", "ax").agg(F.ceil(F.count("*") / share).cast("int").alias("salts"))
-    what = [c for c in payload.columns if c not in ("id", "x")]
-    first = hubs.join(payload.withColumnsRenamed({"id": "a", "x": "ax"}), ["a", "ax"]).select("a", "ax", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("b"), F.col("ax").alias("bx"), *what)
-    others = pairs.join(hubs, ["a", "ax"]).join(payload.withColumnsRenamed({"id": "b", "x": "bx"}), ["b", "bx"]).select("a", "ax", F.pmod(F.xxhash64("b", "bx"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), "b", "bx", *what)
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / share).cast("int").alias("salts"))
+    what = [c for c in payload.columns if c != "node"]
+    first = hubs.join(payload.withColumnRenamed("node", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("b"), *what)
+    others = pairs.join(hubs, "a").join(payload.withColumnRenamed("node", "b"), "b").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), "b", *what)
     parts = 2 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = first.unionByName(others).repartition(parts, "a", "ax", "salt").sortWithinPartitions("a", "ax", "salt", "role")
+    dealt = first.unionByName(others).repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "role")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = shingler(shingle) if shingle else None
@@ -192,7 +191,7 @@ def against_hubs(pairs: DataFrame, payload: DataFrame, percent: int, keep: int,
             nonlocal hub, n_hub
             for batch in batches:
                 sets = sets_of(batch.column("sketch")) if whole is None else None
-                for k, (a, ax, role, b, bx, given) in enumerate(rows(batch, "a", "ax", "role", "b", "bx", "n" if whole is None else "text")):
+                for k, (a, role, b, given) in enumerate(rows(batch, "a", "role", "b", "n" if whole is None else "text")):
                     if sets is None:
                         own = whole(given)
                         n = len(own)
@@ -201,7 +200,7 @@ def against_hubs(pairs: DataFrame, payload: DataFrame, percent: int, keep: int,
                     if role == 0:
                         hub, n_hub = own, n
                     elif got := judged(hub, n_hub, own, n, percent, max(n, n_hub) if whole is not None else keep):
-                        yield a, ax, b, bx, got == 2
+                        yield a, b, got == 2
 
         yield from chunks(each(), PAIR)
 
@@ -209,15 +208,15 @@ def against_hubs(pairs: DataFrame, payload: DataFrame, percent: int, keep: int,
 
 
 def between_tiles(members: DataFrame, sketched: DataFrame, percent: int, keep: int, tile: int) -> DataFrame:
-    """The pairs that may be links, between members (a, ax, id, x, alone) of one group (a, ax): those alone against all others.
+    """The pairs that may be links, between members (a, node, alone) of one group a: those alone against all others.
 
     Members that hang together with the centre need not meet each other. Each goes
     to as many pairs of tiles as there are tiles of those alone; sure links come
     back as one row per document and pair of tiles.
     """
-    sizes = members.groupBy("a", "ax").agg(F.ceil(F.count_if("alone") / tile).cast("int").alias("rt"), F.ceil(F.count_if(~F.col("alone")) / tile).cast("int").alias("mt")).where("rt > 0")
-    own = F.pmod(F.xxhash64("id", "x"), F.when(F.col("alone"), F.col("rt")).otherwise(F.col("mt"))).cast("int")
-    placed = members.join(sizes, ["a", "ax"]).withColumn("t", own)
+    sizes = members.groupBy("a").agg(F.ceil(F.count_if("alone") / tile).cast("int").alias("rt"), F.ceil(F.count_if(~F.col("alone")) / tile).cast("int").alias("mt")).where("rt > 0")
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("alone"), F.col("rt")).otherwise(F.col("mt"))).cast("int")
+    placed = members.join(sizes, "a").withColumn("t", own)
 
     def tiles(n: str):
         return F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
@@ -225,13 +224,13 @@ def between_tiles(members: DataFrame, sketched: DataFrame, percent: int, keep: i
     among = F.transform(tiles("rt"), lambda u: F.struct(F.lit(0).alias("kind"), F.least("t", u).alias("lo"), F.greatest("t", u).alias("hi")))
     across = F.transform(tiles("mt"), lambda u: F.struct(F.lit(1).alias("kind"), F.col("t").alias("lo"), u.alias("hi")))
     back = F.transform(tiles("rt"), lambda u: F.struct(F.lit(1).alias("kind"), u.alias("lo"), F.col("t").alias("hi")))
-    sent = placed.select("a", "ax", "id", "x", "alone", "t", F.explode(F.when(F.col("alone"), F.concat(among, across)).otherwise(back)).alias("p")).select("a", "ax", "p.*", "id", "x", "alone", "t")
-    sent = sent.join(sketched, ["id", "x"])
+    sent = placed.select("a", "node", "alone", "t", F.explode(F.when(F.col("alone"), F.concat(among, across)).otherwise(back)).alias("p")).select("a", "p.*", "node", "alone", "t")
+    sent = sent.join(sketched, "node")
     low = tolerance(percent, keep) / keep
 
     def work(group: pa.Table) -> pa.Table:
         kind, first, second = (group.column(c)[0].as_py() for c in ("kind", "lo", "hi"))
-        ids, marks, sizes_of = (group.column(c).to_numpy() for c in ("id", "x", "n"))
+        ids, sizes_of = (group.column(c).to_numpy() for c in ("node", "n"))
         tiles_of, alone = group.column("t").to_numpy(), group.column("alone").to_numpy(zero_copy_only=False)
         sets = sets_of(group.column("sketch"))
         left = np.flatnonzero((tiles_of == first) & alone)
@@ -249,18 +248,18 @@ def between_tiles(members: DataFrame, sketched: DataFrame, percent: int, keep: i
         i, j = left[i], right[j]
         other = i < j if first == second and not kind else i != j
         a, b = np.concatenate([root[hit], i[other]]), np.concatenate([hit, j[other]])
-        return pa.table([ids[a], marks[a], ids[b], marks[b], np.arange(len(a)) < len(hit)], schema=PAIR)
+        return pa.table([ids[a], ids[b], np.arange(len(a)) < len(hit)], schema=PAIR)
 
-    sent = sent.repartition(2 * int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "ax", "kind", "lo", "hi")
-    return sent.groupBy("a", "ax", "kind", "lo", "hi").applyInArrow(work, PAIR_DDL)
+    sent = sent.repartition(2 * int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "kind", "lo", "hi")
+    return sent.groupBy("a", "kind", "lo", "hi").applyInArrow(work, PAIR_DDL)
 
 
 def candidate_groups(sketched: DataFrame, percent: int, keep: int, scratch: Scratch) -> DataFrame:
-    """(a, ax, b, bx): members (b, bx) of the lists that (a, ax) is the centre of, for nodes (id, x, n, sketch as an array)."""
+    """(a, b): members b of the lists that a is the centre of, for nodes (node, n, sketch as an array)."""
     ratio, p = math.log(CLASS), percent / 100
-    entries = sketched.select("id", "x", "n", F.explode("sketch").alias("value"))
+    entries = sketched.select("node", F.explode("sketch").alias("value"))
     lengths = scratch.stored(entries.groupBy("value").agg(F.count("*").alias("length")).where("length > 1"), "lengths")
-    shared = entries.join(lengths, "value").groupBy("id", "x", "n").agg(F.sum("length").alias("weight"), F.array_sort(F.collect_list(F.struct("length", "value"))).alias("v"))
+    shared = entries.join(lengths, "value").groupBy("node").agg(F.sum("length").alias("weight"), F.array_sort(F.collect_list(F.struct("length", "value"))).alias("v")).join(sketched.select("node", "n"), "node")
     own = F.floor(F.log(F.col("n").cast("double")) / ratio).cast("int")
     m = F.least("n", F.lit(keep))
     reach = F.sequence((F.floor(F.log(F.col("n") * p) / ratio) - 1).cast("int"), (F.floor(F.log(F.col("n") / p) / ratio) + 1).cast("int"))
@@ -275,10 +274,10 @@ def candidate_groups(sketched: DataFrame, percent: int, keep: int, scratch: Scra
         own_values = m - F.size("v")
         return F.transform(F.slice("v", F.lit(1), F.greatest(m - needed(c) + 1 - own_values, F.lit(0)).cast("int")), lambda s: F.xxhash64(s["value"], F.least(c, "own"), F.greatest(c, "own")))
 
-    lists = scratch.stored(shared.withColumn("own", own).select("id", "x", "weight", F.explode(F.flatten(F.transform(reach, keys))).alias("key")), "lists")
-    centres = lists.groupBy("key").agg(F.count("*").alias("length"), F.max(F.struct("weight", F.bitwise_not("id").alias("i"), "x")).alias("top")).where("length > 1").select("key", F.bitwise_not("top.i").alias("a"), F.col("top.x").alias("ax"))
+    lists = scratch.stored(shared.withColumn("own", own).select("node", "weight", F.explode(F.flatten(F.transform(reach, keys))).alias("key")), "lists")
+    centres = lists.groupBy("key").agg(F.count("*").alias("length"), F.max(F.struct("weight", F.bitwise_not("node").alias("i"))).alias("top")).where("length > 1").select("key", F.bitwise_not("top.i").alias("a"))
     centres = scratch.stored(centres, "centres")
-    return lists.join(centres, "key").where("id <> a OR x <> ax").select("a", "ax", F.col("id").alias("b"), F.col("x").alias("bx")).distinct()
+    return lists.join(centres, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, short: int = 64, keep: int = 1024, tile: int = 512) -> DataFrame:
@@ -290,8 +289,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, short:
     that links reach. Rows with one doc_id are one document: its texts are linked.
     Null doc_ids likewise (their component_id is null, unless another document is
     linked to them). Very long texts are whole sets, held by one task one or two at
-    a time. Ties of centres are settled by id and hash of the text. An empty table
-    gives no rows; other columns are ignored.
+    a time. Of nodes that are as central the first is taken. An empty table gives no
+    rows; other columns are ignored.
 
     Links between sets of up to `short` shingles are certain; of larger ones a link
     is missed where a sample of `short` or `keep` values lies 6.5 standard
@@ -300,39 +299,41 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, short:
     with Scratch() as scratch:
         everything = scratch.stored(sketches(docs, shingle, short), "sketches")
         full = everything.where("n > 0")
-        # An id may have several texts: (id, x) names a node.
+        # A node is a set, numbered once it is written; its id is the least of those that have it, with a hash of that one's text.
         least = full.groupBy("digest", "n").agg(F.min(F.struct("d", "x")).alias("least"), F.any_value("sketch").alias("sketch"))
-        node = scratch.stored(least.select("digest", "n", F.col("least.d").alias("id"), F.col("least.x").alias("x"), "sketch"), "nodes")
-        entries = node.select("id", "x", "n", F.explode("sketch").alias("value"))
+        nodes = scratch.stored(least.select(F.monotonically_increasing_id().alias("node"), "digest", "n", F.col("least.d").alias("id"), F.col("least.x").alias("x"), "sketch"), "nodes")
+        entries = nodes.select("node", F.explode("sketch").alias("value"))
         # Counts are written before they are joined: a value that a third of all sets hold then is a skewed join, which Spark splits.
         lengths = scratch.stored(entries.groupBy("value").agg(F.count("*").alias("length")).where("length > 1").select("value"), "shared")
+        shared = entries.join(lengths, "value", "left_semi").groupBy("node").agg(F.count("*").alias("shared"))
         must = F.least(F.ceil(F.col("n") * percent / 100), F.lit(tolerance(percent, short)))
-        active = scratch.stored(entries.join(lengths, "value", "left_semi").groupBy("id", "x", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= must).select("id", "x"), "active")
-        texts = scratch.stored(named(docs).select(F.col("d").alias("id"), "x", "text").join(active, ["id", "x"], "left_semi").dropDuplicates(["id", "x"]), "texts")
-        longer = sketches(texts.select(F.col("id").alias("doc_id"), "text"), shingle, keep).select(F.col("d").alias("id"), "x", "n", "sketch")
-        longer = scratch.stored(longer, "longer")
+        active = scratch.stored(nodes.select("node", "n", F.col("id").alias("d"), "x").join(shared, "node").where(F.col("shared") >= must).select("node", "d", "x"), "active")
+        # Merged whatever the size, so that the plan is the same on any corpus.
+        texts = scratch.stored(named(docs).select("d", "x", "text").join(active.hint("merge"), ["d", "x"]).dropDuplicates(["node"]).select("node", "text"), "texts")
+        longer = scratch.stored(sketches(texts.select(F.col("node").alias("doc_id"), "text"), shingle, keep).select(F.col("d").alias("node"), "n", "sketch"), "longer")
         groups = scratch.stored(candidate_groups(longer, percent, keep, scratch), "groups")
+        own = nodes.select("node", "id")
 
         def verified(maybe: DataFrame, name: str) -> DataFrame:
-            """(a, b) of the links among pairs that may be ones: the full sets tell where sketches could not."""
+            """Ids (a, b) of the links among pairs of nodes that may be ones: the full sets tell where sketches could not."""
             maybe = scratch.stored(maybe, name)
-            unsure = maybe.where("NOT sure").select("a", "ax", "b", "bx")
-            links = maybe.where("sure").select("a", "b")
-            if unsure.isEmpty():
-                return links
-            return links.union(scratch.stored(against_hubs(unsure, texts, percent, keep, shingle), f"{name}-full").select("a", "b"))
+            unsure, links = maybe.where("NOT sure").select("a", "b"), maybe.where("sure").select("a", "b")
+            if not unsure.isEmpty():
+                links = links.union(scratch.stored(against_hubs(unsure, texts, percent, keep, shingle), f"{name}-full").select("a", "b"))
+            return links.join(own.select(F.col("node").alias("a"), F.col("id").alias("ia")), "a").join(own.select(F.col("node").alias("b"), F.col("id").alias("ib")), "b").select("ia", "ib")
 
-        ids = everything.join(node.select("digest", "n", "id"), ["digest", "n"], "left").withColumn("id", F.coalesce("id", "d"))
+        ids = everything.join(nodes.select("digest", "n", "id"), ["digest", "n"], "left").withColumn("id", F.coalesce("id", "d"))
         # One document's several texts, empty ones included, hold together: each node of it is joined to its least.
         several = ids.groupBy("d").agg(F.min("id").alias("a"), F.max("id").alias("most")).where("a <> most").select("d", "a")
-        links = verified(against_hubs(groups, longer, percent, keep), "links").union(ids.select("d", "id").distinct().join(several, "d").where("id <> a").select("a", F.col("id").alias("b")))
+        links = verified(against_hubs(groups, longer, percent, keep), "links").union(ids.select("d", "id").distinct().join(several, "d").where("id <> a").select("a", "id")).toDF("a", "b")
         links = scratch.stored(links, "edges")
         labels = scratch.stored(components(links), "labels")
 
         # Members that are not in their centre's component, and the groups that have any.
-        one, other = (labels.select(F.col("id").alias(c), F.col("component").alias(f"{c}_in")) for c in ("a", "b"))
-        apart = groups.join(one, "a", "left").join(other, "b", "left").withColumn("alone", F.coalesce("a_in", "a") != F.coalesce("b_in", "b"))
-        apart = scratch.stored(apart.select("a", "ax", F.col("b").alias("id"), F.col("bx").alias("x"), "alone"), "members")
+        within = scratch.stored(own.join(labels, "id").select("node", "component"), "within")
+        one, other = (within.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in")) for c in ("a", "b"))
+        apart = groups.join(one, "a", "left").join(other, "b", "left").withColumn("alone", F.coalesce(F.col("a_in") != F.col("b_in"), F.lit(True)))
+        apart = scratch.stored(apart.select("a", F.col("b").alias("node"), "alone"), "members")
         if not apart.where("alone").isEmpty():
             more = verified(between_tiles(apart, longer, percent, keep, tile), "more")
             labels = scratch.stored(components(links.union(more)), "labels")
