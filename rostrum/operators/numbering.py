@@ -4,22 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rostrum.operators.storage import work_path
 
-def numbered_in_order(df: DataFrame, order: Sequence[str], name: str = "rn", letters: int = 12) -> DataFrame:
+
+def numbered_in_order(df: DataFrame, order: Sequence[str | Column], name: str = "rn") -> DataFrame:
     """df with 1-based numbers by `order`, which must tell rows apart.
 
-    Rows with the same first `letters` of the first column number themselves and
-    add the sizes of the groups before theirs; only those sizes, one row per
-    group, are added up in one task.
+    Rows go to ranges of about equal size, whatever their values, and are written
+    so that a range stays what it is; ranges number themselves and add the sizes of
+    those before theirs. Only those sizes, one row per range, meet in one task.
     """
-    first = order[0]
-    prefix = F.substring(F.col(first).cast("string"), 1, letters)
-    sizes = df.groupBy(prefix.alias("__p")).agg(F.count("*").alias("__n"))
-    # The running total is over distinct prefixes, not rows.
-    before = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))).select("__p", F.coalesce("__before", F.lit(0)).alias("__before"))
-    own = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
-    out = df.withColumn("__p", prefix).join(before, "__p").withColumn(name, (own + F.col("__before")).cast("long"))
-    return out.drop("__p", "__before")
+    spark = df.sparkSession
+    path = work_path(spark, "ranges")
+    df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()).write.parquet(path)
+    ranges = spark.read.parquet(path)
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranges.groupBy("__range").agg(F.count("*").alias("__n")).select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return ranges.withColumn("__own", own).join(sizes, "__range").withColumn(name, (F.col("__own") + F.col("__before")).cast("long")).drop("__range", "__own", "__before")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rostrum.operators.filters import all_of
 from rostrum.operators.windows import numbered, ranked
 
 
@@ -15,14 +16,27 @@ def field_sizes(results: DataFrame, keys: Sequence[str] = ("competition",)) -> D
     return results.groupBy(*keys).agg(F.greatest(F.coalesce(F.max("place"), F.lit(0)), F.count("*")).cast("long").alias("participants"))
 
 
-def match_rules(facts: DataFrame, rules: DataFrame, fact: str = "fact") -> DataFrame:
-    """Each fact with its most specific rule: a null dimension of a rule is a wildcard, weapon outweighs category."""
-    f, r = facts.alias("f"), F.broadcast(rules).alias("r")
-    fits = (F.col("r.season").isNull() | (F.col("r.season") == F.col("f.season"))) & (F.col("r.weapon").isNull() | (F.col("r.weapon") == F.col("f.weapon"))) & (F.col("r.category").isNull() | (F.col("r.category") == F.col("f.category")))
-    score = F.when(F.col("r.season").isNotNull(), 4).otherwise(0) + F.when(F.col("r.weapon").isNotNull(), 2).otherwise(0) + F.when(F.col("r.category").isNotNull(), 1).otherwise(0)
-    own = [c for c in rules.columns if c not in facts.columns]
-    joined = f.join(r, fits, "left").select("f.*", *[F.col(f"r.{c}").alias(c) for c in own], score.alias("__score"))
-    return numbered(joined, [fact], [F.desc("__score"), "rule"], "__rn").where("__rn = 1").drop("__rn", "__score")
+def with_field_sizes(results: DataFrame, keys: Sequence[str] = ("competition",)) -> DataFrame:
+    """results with field_sizes() beside each row; no shuffle where rows already lie by these keys."""
+    w = Window.partitionBy(*keys)
+    return results.withColumn("participants", F.greatest(F.coalesce(F.max("place").over(w), F.lit(0)), F.count("*").over(w)).cast("long"))
+
+
+def match_rules(facts: DataFrame, rules: Sequence[tuple]) -> DataFrame:
+    """Each fact with rule, counting and coefficient of its most specific rule, null without one; chosen within the row.
+
+    A rule is (rule, season, weapon, category, counting, coefficient): a null
+    dimension is a wildcard, season outweighs weapon and weapon category, and of
+    rules as specific the first by name is taken.
+    """
+    weights = {"season": 4, "weapon": 2, "category": 1}
+    fitting = []
+    for rule, season, weapon, category, counting, coefficient in rules:
+        given = {k: v for k, v in (("season", season), ("weapon", weapon), ("category", category)) if v is not None}
+        choice = F.struct(F.lit(-sum(weights[k] for k in given)).alias("order"), F.lit(rule).alias("rule"), F.lit(counting).alias("counting"), F.lit(coefficient).alias("coefficient"))
+        fitting.append(F.when(all_of(F.col(k) == v for k, v in given.items()), choice))
+    best = F.array_min(F.array_compact(F.array(*fitting)))
+    return facts.withColumn("__best", best).select("*", "__best.rule", "__best.counting", "__best.coefficient").drop("__best")
 
 
 def best_n(contributions: DataFrame, group: Sequence[str], counting: str = "counting") -> DataFrame:

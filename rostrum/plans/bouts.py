@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rostrum.functions.dates import iso
-from rostrum.operators import pairs
+from rostrum.operators import joins, pairs
 from rostrum.operators.windows import best_of, first_per, longest_streak, numbered, ranked, running_sum, top_k
 from rostrum.plans.oracle import BALANCE, RATE, using
 from rostrum.plans.registry import Registry
@@ -48,12 +48,13 @@ def h2h_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAGE = 20
 
 
-@R.add(using("SELECT competition, line, strftime(day, '%Y-%m-%d') AS day, phase, favor, contra FROM oriented WHERE me = 5 AND favor <> contra AND (day, competition, line) < (DATE '1998-01-01', 0, 0) ORDER BY oriented.day DESC, competition DESC, line DESC LIMIT 21", "oriented"))
+@R.add(using("SELECT competition, line, strftime(day, '%Y-%m-%d') AS day, phase, favor, contra FROM oriented WHERE me = 5 AND favor <> contra AND (day, competition, line, rival, favor, contra, phase) < (DATE '1998-01-01', 0, 0, 0, 0, 0, '') ORDER BY oriented.day DESC, competition DESC, line DESC, rival DESC, favor DESC, contra DESC, phase DESC LIMIT 21", "oriented"))
 def h2h_bouts_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Newest first after a keyset cursor, one row more than a page."""
+    """Newest first after a keyset cursor over all that tells bouts apart, one row more than a page."""
     df = oriented(spark, sf_dir).where((F.col("me") == ME) & (F.col("favor") != F.col("contra")))
-    df = df.where(F.struct("day", "competition", "line") < F.struct(F.lit("1998-01-01").cast("date"), F.lit(0).cast("long"), F.lit(0)))
-    df = df.orderBy(F.desc("day"), F.desc("competition"), F.desc("line")).limit(PAGE + 1)
+    key = ["day", "competition", "line", "rival", "favor", "contra", "phase"]
+    df = df.where(F.struct(*key) < F.struct(F.lit("1998-01-01").cast("date"), F.lit(0).cast("long"), F.lit(0), F.lit(0).cast("long"), F.lit(0), F.lit(0), F.lit("")))
+    df = df.orderBy(*map(F.desc, key)).limit(PAGE + 1)
     return df.select("competition", "line", iso(F.col("day")).alias("day"), "phase", "favor", "contra")
 
 
@@ -189,15 +190,17 @@ def bout_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.join(pick, "competition").select("competition", "line", ((a == 5) & (b == 5)).alias("both_five"), (a == b).alias("tie"), (((a > b) != (F.col("line") % 2 == 1)) & (a != b)).alias("incoherent"), "arg_max")
 
 
-@R.add(using("""SELECT x.competition AS one, y.competition AS other, count(*) AS common FROM p x JOIN p y ON x.person = y.person AND abs(date_diff('day', x.day, y.day)) <= 1 AND x.competition < y.competition GROUP BY 1, 2 HAVING count(*) >= 3""",
-    "oriented", p="SELECT DISTINCT competition, me AS person, day FROM oriented WHERE competition < 4000"))
+@R.add(using("""SELECT one, other, common, x.n AS people_one, y.n AS people_other FROM (SELECT x.competition AS one, y.competition AS other, count(DISTINCT x.person) AS common FROM p x JOIN p y ON x.person = y.person AND abs(date_diff('day', x.day, y.day)) <= 2 AND x.competition < y.competition GROUP BY 1, 2)
+    JOIN f x ON x.competition = one JOIN f y ON y.competition = other WHERE common >= 2 AND 2 * common >= least(x.n, y.n)""",
+    "oriented", p="SELECT DISTINCT competition, me AS person, day FROM oriented", f="SELECT competition, count(DISTINCT person) AS n FROM p GROUP BY competition"))
 def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Competitions with common people within a day: an equi-join on person and day buckets, then the exact window."""
-    p = oriented(spark, sf_dir).where("competition < 4000").select("competition", F.col("me").alias("person"), "day").distinct()
-    near = p.withColumn("bucket", F.explode(F.array(*[F.unix_date("day") + d for d in (-1, 0, 1)])))
-    x, y = p.withColumn("bucket", F.unix_date("day")).alias("x"), near.alias("y")
-    joined = x.join(y, (F.col("x.person") == F.col("y.person")) & (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.competition") < F.col("y.competition")))
-    return joined.groupBy(F.col("x.competition").alias("one"), F.col("y.competition").alias("other")).agg(F.count("*").alias("common")).where("common >= 3")
+    """Competitions that share two people or more, half of the smaller field at least, within two days: an equi-join on person and day buckets, then the exact window."""
+    p = oriented(spark, sf_dir).select("competition", F.col("me").alias("person"), "day").distinct()
+    field = p.groupBy("competition").agg(F.countDistinct("person").alias("n"))
+    joined = joins.within_days(p.toDF("one", "person", "day"), p.toDF("other", "person", "other_day"), ["person"], "day", "other_day", 2).where("one < other")
+    common = joined.groupBy("one", "other").agg(F.countDistinct("person").alias("common")).where("common >= 2")
+    df = common.join(field.toDF("one", "people_one"), "one").join(field.toDF("other", "people_other"), "other")
+    return df.where(2 * F.col("common") >= F.least("people_one", "people_other"))
 
 
 @R.add(using("SELECT a AS person, season FROM bout UNION SELECT b, season FROM bout", "bout"))
@@ -213,10 +216,12 @@ def union_all_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one("A", "a").unionByName(one("B", "b"))
 
 
-@R.add(using("SELECT competition, line, a, b FROM bout WHERE (competition, line) > (1000, 2) ORDER BY competition, line LIMIT 51", "bout"))
+@R.add(using("SELECT competition, line, a, b FROM bout WHERE (competition, line, a, b) > (1000, 2, 3, 4) ORDER BY competition, line, a, b LIMIT 51", "bout"))
 def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = bouts(spark, sf_dir).where(F.struct("competition", "line") > F.struct(F.lit(1000).cast("long"), F.lit(2)))
-    return df.orderBy("competition", "line").limit(51).select("competition", "line", "a", "b")
+    """The page after a cursor: all columns of the page are its key, since a competition's line may hold several bouts."""
+    key = ["competition", "line", "a", "b"]
+    after = F.struct(F.lit(1000).cast("long"), F.lit(2), F.lit(3).cast("long"), F.lit(4).cast("long"))
+    return bouts(spark, sf_dir).where(F.struct(*key) > after).orderBy(*key).limit(51).select(*key)
 
 
 @R.add(using(f"SELECT me, rival, bouts, ratio, rn FROM (SELECT *, row_number() OVER (PARTITION BY me ORDER BY ratio DESC, wins DESC, rival) AS rn FROM (SELECT *, {RATE} AS ratio FROM g WHERE bouts >= 5 AND wins + losses > 0)) WHERE rn <= 3", "oriented", g=f"SELECT me, rival, {BALANCE} FROM oriented GROUP BY me, rival"))
@@ -277,21 +282,28 @@ def country_fencer_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add(using(f"SELECT coalesce(phase, '*') AS phase, coalesce(season, '*') AS season, {BALANCE} FROM s WHERE me_country = 1 AND rival_country = 3 GROUP BY GROUPING SETS ((), (phase), (season))", "oriented", "fencer", s=SIDES))
 def country_duel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = sides(spark, sf_dir).where("me_country = 1 AND rival_country = 3").groupingSets([[], ["phase"], ["season"]], "phase", "season").agg(*pairs.balance())
+    """Totals by phase and by season, and the grand total, which is there without any bout too."""
+    duel = sides(spark, sf_dir).where("me_country = 1 AND rival_country = 3")
+    df = duel.groupingSets([["phase"], ["season"]], "phase", "season").agg(*pairs.balance())
+    df = df.unionByName(duel.agg(*pairs.balance()), allowMissingColumns=True)
     return df.withColumns({"phase": F.coalesce("phase", F.lit("*")), "season": F.coalesce("season", F.lit("*"))})
 
 
-@R.add(using("SELECT * FROM (SELECT me, wins, losses, row_number() OVER (ORDER BY wins - losses DESC, me) AS best, row_number() OVER (ORDER BY losses - wins DESC, me) AS worst FROM g) WHERE best <= 3 OR worst <= 3", "oriented", "fencer", s=SIDES, g=f"SELECT me, {BALANCE} FROM s WHERE me_country = 1 AND rival_country = 3 GROUP BY me"))
+@R.add(using("SELECT me, wins, losses, 'best' AS side FROM (SELECT *, row_number() OVER (ORDER BY wins - losses DESC, me) AS n FROM g) WHERE n <= 3 UNION ALL SELECT me, wins, losses, 'worst' FROM (SELECT *, row_number() OVER (ORDER BY losses - wins DESC, me) AS n FROM g) WHERE n <= 3", "oriented", "fencer", s=SIDES, g=f"SELECT me, {BALANCE} FROM s WHERE me_country = 1 AND rival_country = 3 GROUP BY me"))
 def country_duel_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = sides(spark, sf_dir).where("me_country = 1 AND rival_country = 3").groupBy("me").agg(*pairs.balance())
-    g = numbered(numbered(g, [F.lit(1)], [F.desc(F.col("wins") - F.col("losses")), "me"], "best"), [F.lit(1)], [F.desc(F.col("losses") - F.col("wins")), "me"], "worst")
-    return g.where("best <= 3 OR worst <= 3").select("me", "wins", "losses", "best", "worst")
+    ends = [g.orderBy(F.desc(by), "me").limit(3).select("me", "wins", "losses", F.lit(side).alias("side")) for side, by in (("best", F.col("wins") - F.col("losses")), ("worst", F.col("losses") - F.col("wins")))]
+    return ends[0].unionByName(ends[1])
 
 
 @R.add(using("SELECT me, legs, matches, given, received, given - received AS index, rank() OVER (ORDER BY given - received DESC) AS rank FROM (SELECT me, count(*) AS legs, count(DISTINCT competition) AS matches, CAST(sum(favor) AS BIGINT) AS given, CAST(sum(contra) AS BIGINT) AS received FROM oriented WHERE line >= 4 GROUP BY me)", "oriented"))
 def relay_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = oriented(spark, sf_dir).where("line >= 4").groupBy("me").agg(F.count("*").alias("legs"), F.countDistinct("competition").alias("matches"), F.sum("favor").cast("long").alias("given"), F.sum("contra").cast("long").alias("received"))
-    return ranked(df.withColumn("index", F.col("given") - F.col("received")), [F.lit(1)], F.desc("index"))
+    df = df.withColumn("index", F.col("given") - F.col("received"))
+    # Ranks are running sums over the different values of the index, not over people.
+    order = Window.orderBy(F.desc("index")).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = df.groupBy("index").agg(F.count("*").alias("n")).select("index", (F.coalesce(F.sum("n").over(order), F.lit(0)) + 1).cast("long").alias("rank"))
+    return df.join(ranks, "index").select("me", "legs", "matches", "given", "received", "index", "rank")
 
 
 @R.add(using("SELECT competition, me, spread FROM (SELECT competition, me, max(rival_country) OVER (PARTITION BY competition) AS spread, line, side FROM s) GROUP BY ALL", "oriented", "fencer", s=SIDES))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rostrum.functions.dates import anchored_before, iso, overlap
 from rostrum.operators import identity, joins
+from rostrum.operators.numbering import numbered_in_order
 from rostrum.operators.windows import first_per, numbered, sessions, top_k
 from rostrum.plans.oracle import using
 from rostrum.plans.registry import Registry
@@ -291,10 +292,10 @@ def deadline_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("edition", iso(F.col("o")).alias("ordinary"), status.alias("status"))
 
 
-@R.add(using("SELECT o.person, o.k, strftime(e.start, '%Y-%m-%d') AS next_start FROM (SELECT DISTINCT person, k FROM observation) o JOIN (SELECT *, row_number() OVER (ORDER BY start, edition) AS k FROM edition) e ON e.k = o.k WHERE o.person % 3 = 0", "observation", "edition"))
+@R.add(using("SELECT o.person, o.k, strftime(e.start, '%Y-%m-%d') AS next_start FROM (SELECT DISTINCT person, k FROM observation) o JOIN (SELECT *, row_number() OVER (ORDER BY start, edition) AS k FROM edition) e ON e.k = o.k", "observation", "edition"))
 def deadline_reminders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = numbered(editions(spark, sf_dir), [F.lit(1)], ["start", "edition"], "k").select("k", "start")
-    return observations(spark, sf_dir).select("person", "k").distinct().where("person % 3 = 0").join(e, "k").select("person", "k", iso(F.col("start")).alias("next_start"))
+    e = numbered_in_order(editions(spark, sf_dir), ["start", "edition"], "k").select("k", "start")
+    return observations(spark, sf_dir).select("person", "k").distinct().join(e, "k").select("person", "k", iso(F.col("start")).alias("next_start"))
 
 
 LADDER = [("M17", 1981, 1999), ("M20", 1978, 1980), ("M23", 1975, 1977), ("ABS", 1900, 1974)]

@@ -88,11 +88,6 @@ RULES = [("r0", None, None, None, 5, 1.0), ("r1", None, "SABLE", None, 4, 1.2),
 RULE_SQL = "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in RULES) + ") AS t(rule, season, weapon, category, counting, coefficient)"
 
 
-def rules(spark: SparkSession) -> DataFrame:
-    """The rules as a frame: literal rows, whatever the data."""
-    return spark.createDataFrame(RULES, "rule string, season string, weapon string, category string, counting int, coefficient double")
-
-
 MATCHED = """SELECT * EXCLUDE (rn) FROM (SELECT r.*, u.rule, u.counting, u.coefficient, row_number() OVER (PARTITION BY r.fact ORDER BY (CASE WHEN u.weapon IS NULL THEN 0 ELSE 2 END) + (CASE WHEN u.category IS NULL THEN 0 ELSE 1 END) DESC, u.rule) AS rn
     FROM result r JOIN rule u ON (u.weapon IS NULL OR u.weapon = r.weapon) AND (u.category IS NULL OR u.category = r.category)) WHERE rn = 1"""
 STEP_SQL = "CASE " + " ".join(f"WHEN place BETWEEN {lo} AND {hi} THEN {v}" for (lo, hi), v in P.STEPS.items()) + " END"
@@ -111,7 +106,7 @@ def upto(last: str) -> dict[str, str]:
 def contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every individual result with its rule, field size and points by formula."""
     res = results(spark, sf_dir)
-    df = ranking.match_rules(res, rules(spark)).join(ranking.field_sizes(res), "competition").where("format = 'INDIVIDUAL'")
+    df = ranking.with_field_sizes(ranking.match_rules(res, RULES)).where("format = 'INDIVIDUAL'")
     return df.withColumn("final", P.formula(F.col("place"), F.col("participants"), F.col("coefficient")))
 
 
@@ -124,7 +119,7 @@ def season_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add(using("SELECT fact, rule, counting, coefficient FROM m", "result", **upto("m")))
 def rule_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.match_rules(results(spark, sf_dir), rules(spark)).select("fact", "rule", "counting", "coefficient")
+    return ranking.match_rules(results(spark, sf_dir), RULES).select("fact", "rule", "counting", "coefficient")
 
 
 @R.add(using("SELECT fact, place, participants, final FROM c", "result", **upto("c")))
@@ -154,9 +149,9 @@ def skip_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-@R.add(using("SELECT person, fact, final, counted, n FROM ch WHERE person < 200", "result", **upto("ch")))
+@R.add(using("SELECT person, fact, final, counted, n FROM ch", "result", **upto("ch")))
 def athlete_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.best_n(contributions(spark, sf_dir).where("person < 200"), GROUP).select("person", "fact", "final", "counted", "n")
+    return ranking.best_n(contributions(spark, sf_dir), GROUP).select("person", "fact", "final", "counted", "n")
 
 
 # Publications.
@@ -173,9 +168,9 @@ def ranking_movement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return change(positions(spark, sf_dir), ["season", "weapon", "person"], ["ym"], "position", "climbed").drop("points")
 
 
-@R.add(using("SELECT person, weapon, season, ym, position, points FROM p WHERE person < 50", "publication", p=POSITION))
+@R.add(using("SELECT person, weapon, season, ym, position, points FROM p", "publication", p=POSITION))
 def ranking_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return positions(spark, sf_dir).where("person < 50").select("person", "weapon", "season", "ym", "position", "points")
+    return positions(spark, sf_dir).select("person", "weapon", "season", "ym", "position", "points")
 
 
 LATEST = "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY season, weapon, person ORDER BY ym DESC) AS rn FROM p) WHERE rn = 1"
@@ -219,12 +214,12 @@ def list_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positions(spark, sf_dir).groupBy("season", "weapon", "ym").agg(F.count("*").alias("n"), F.count("position").alias("placed"), F.min("points").alias("least"))
 
 
-@R.add(using("SELECT person, weapon, season, position, n, count(*) OVER (PARTITION BY season, weapon, ym, points) AS tied, min(position) OVER (PARTITION BY season, weapon, ym, points) AS token FROM (SELECT *, row_number() OVER (PARTITION BY season, weapon, ym ORDER BY points DESC, person) AS n FROM p) QUALIFY n <= 50", "publication", p=POSITION))
+@R.add(using("SELECT person, weapon, season, position, n, count(*) OVER (PARTITION BY season, weapon, ym, points) AS tied, min(position) OVER (PARTITION BY season, weapon, ym, points) AS token FROM (SELECT *, row_number() OVER (PARTITION BY season, weapon, ym ORDER BY points DESC, person) AS n FROM p)", "publication", p=POSITION))
 def tie_stable_token(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rank token that a new order within a tie does not change."""
     df = numbered(positions(spark, sf_dir), ["season", "weapon", "ym"], [F.desc("points"), "person"], "n")
     w = Window.partitionBy("season", "weapon", "ym", "points")
-    return df.select("person", "weapon", "season", "position", "n", F.count("*").over(w).alias("tied"), F.min("position").over(w).alias("token")).where("n <= 50")
+    return df.select("person", "weapon", "season", "position", "n", F.count("*").over(w).alias("tied"), F.min("position").over(w).alias("token"))
 
 
 BLOCK = "SELECT person, weapon, 'world' AS block, position, season, ym FROM l UNION ALL SELECT l.person, l.weapon, 'zone', rank() OVER (PARTITION BY l.season, l.weapon, a.zone ORDER BY l.points DESC), l.season, l.ym FROM l JOIN athlete a USING (person) UNION ALL SELECT l.person, l.weapon, 'country', rank() OVER (PARTITION BY l.season, l.weapon, a.country ORDER BY l.points DESC), l.season, l.ym FROM l JOIN athlete a USING (person)"
@@ -250,8 +245,9 @@ QCHAIN = {"p": POSITION, "l": LATEST, "lw": LAST, "teams": TEAMS, "tp": TEAMPOS,
 
 
 def last_season(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = latest(spark, sf_dir)
-    return df.where(F.col("season") == df.agg(F.max("season").alias("s")).scalar())
+    """The latest positions of the last season: that season is read from the results alone, and put before the ranks."""
+    last = results(spark, sf_dir).agg(F.max("season").alias("s")).scalar()
+    return latest(spark, sf_dir).where(F.col("season") == last)
 
 
 def team_places(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rostrum.functions.dates import iso
 from rostrum.functions.text import deletions, words
 from rostrum.operators import upkeep
+from rostrum.operators.numbering import numbered_in_order
 from rostrum.operators.windows import numbered
 from rostrum.plans.oracle import using
 from rostrum.plans.registry import Registry
@@ -32,8 +33,10 @@ VALID = "SELECT doc_id, lang || '/' || source AS family, CASE WHEN d > 1 THEN 'd
 
 def validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.sha2("text", 256).alias("hash"), F.contains("text", F.lit("License")).alias("marked"))
-    df = numbered(numbered(df, ["hash"], ["doc_id"], "d"), ["lang", "source"], [F.desc("doc_id")], "n")
-    state = F.when(F.col("d") > 1, "duplicate").when(F.col("marked") & (F.col("n") > 1), "cancelled").when(F.col("n") == 1, "in force").otherwise("superseded")
+    # First copies and newest of a family are extremes of groups, added up before they are shuffled, however large a family is.
+    first, newest = df.groupBy("hash").agg(F.min("doc_id").alias("first")), df.groupBy("lang", "source").agg(F.max("doc_id").alias("newest"))
+    df = df.join(first, "hash").join(newest, ["lang", "source"])
+    state = F.when(F.col("doc_id") > F.col("first"), "duplicate").when(F.col("marked") & (F.col("doc_id") < F.col("newest")), "cancelled").when(F.col("doc_id") == F.col("newest"), "in force").otherwise("superseded")
     return df.select("doc_id", F.concat_ws("/", "lang", "source").alias("family"), state.alias("state"))
 
 
@@ -176,19 +179,21 @@ def list_row_person_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("row", F.when(F.col("there"), F.col("external")).when(F.col("candidates") == 1, F.col("by_name")).alias("person"), reason.alias("reason"))
 
 
-@R.add(using("SELECT f.id AS fencer, a.person FROM fencer f JOIN athlete a ON a.country = f.country AND a.person % 10 = f.id % 10 WHERE f.id < 50", "fencer", "athlete"))
+@R.add(using("SELECT f.id AS fencer, count(*) AS candidates, CASE WHEN count(*) = 1 THEN min(a.person) END AS person FROM fencer f JOIN athlete a ON a.country = f.country AND a.person % 40 = f.id % 40 GROUP BY f.id", "fencer", "athlete"))
 def census_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = fencers(spark, sf_dir).where("id < 50").select(F.col("id").alias("fencer"), "country", (F.col("id") % 10).alias("year"))
-    return f.join(athletes(spark, sf_dir).select("person", "country", (F.col("person") % 10).alias("year")), ["country", "year"]).select("fencer", "person")
+    """How many people a census entry may be, and who it is where there is one: blocks of country and birth year are counted before they are joined, so that no pairs are made."""
+    f = fencers(spark, sf_dir).select(F.col("id").alias("fencer"), "country", (F.col("id") % 40).alias("year"))
+    block = athletes(spark, sf_dir).groupBy("country", (F.col("person") % 40).alias("year")).agg(F.count("*").alias("candidates"), F.min("person").alias("person"))
+    return f.join(block, ["country", "year"]).select("fencer", "candidates", F.when(F.col("candidates") == 1, F.col("person")).alias("person"))
 
 
-@R.add(using("SELECT x.edition AS one, y.edition AS other FROM s x JOIN s y ON x.city = y.city AND x.people = y.people AND x.edition < y.edition", "edition", s="SELECT e.edition, e.city, string_agg(CAST(r.place AS VARCHAR), ',' ORDER BY r.place) AS people FROM edition e JOIN result r ON r.day = e.start AND r.category = e.city GROUP BY ALL"))
+@R.add(using("SELECT edition, min(edition) OVER (PARTITION BY city, people) AS class, count(*) OVER (PARTITION BY city, people) AS members FROM s", "edition", s="SELECT e.edition, e.city, string_agg(CAST(r.place AS VARCHAR), ',' ORDER BY r.place) AS people FROM edition e JOIN result r ON r.day = e.start AND r.category = e.city GROUP BY ALL"))
 def multiset_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Editions of a city with the same multiset of places: equal sorted lists, joined by equality."""
+    """Editions of a city by the multiset of their places: each with the first of those that have an equal sorted list, and how many there are."""
     r = results(spark, sf_dir).select(F.col("day").alias("start"), F.col("category").alias("city"), "place")
     s = editions(spark, sf_dir).join(r, ["start", "city"]).groupBy("edition", "city").agg(F.array_join(F.sort_array(F.collect_list("place")).cast("array<string>"), ",").alias("people"))
-    x, y = s.alias("x"), s.alias("y")
-    return x.join(y, (F.col("x.city") == F.col("y.city")) & (F.col("x.people") == F.col("y.people")) & (F.col("x.edition") < F.col("y.edition"))).select(F.col("x.edition").alias("one"), F.col("y.edition").alias("other"))
+    classes = s.groupBy("city", "people").agg(F.min("edition").alias("class"), F.count("*").alias("members"))
+    return s.join(classes, ["city", "people"]).select("edition", "class", "members")
 
 
 @R.add()
@@ -267,12 +272,12 @@ def coverage_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("season").agg(F.count("*").alias("competitions"), F.count_if(p).alias("with_pools"), F.count_if(t).alias("with_tableau"), F.count_if(p & t).alias("complete"))
 
 
-@R.add(using("SELECT edition, n AS cost, row_number() OVER (ORDER BY season DESC, n, edition) AS task FROM edition e WHERE n >= 2 AND NOT EXISTS (SELECT 1 FROM result r WHERE r.day = e.start AND r.category = e.city AND r.place = 1) QUALIFY task <= 200", "edition"))
+@R.add(using("SELECT edition, n AS cost, row_number() OVER (ORDER BY season DESC, n, edition) AS task FROM edition e WHERE n >= 2 AND NOT EXISTS (SELECT 1 FROM result r WHERE r.day = e.start AND r.category = e.city AND r.place = 1)", "edition"))
 def coverage_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is still to be read, new seasons and cheap units first, with its estimated cost."""
     done = results(spark, sf_dir).where("place = 1").select(F.col("day").alias("start"), F.col("category").alias("city")).distinct()
-    e = editions(spark, sf_dir).where("n >= 2").join(done, ["start", "city"], "left_anti").orderBy(F.desc("season"), "n", "edition").limit(200)
-    return numbered(e, [F.lit(1)], [F.desc("season"), "n", "edition"], "task").select("edition", F.col("n").alias("cost"), "task")
+    e = editions(spark, sf_dir).where("n >= 2").join(done, ["start", "city"], "left_anti")
+    return numbered_in_order(e, [F.desc("season"), "n", "edition"], "task").select("edition", F.col("n").alias("cost"), "task")
 
 
 @R.add(using("SELECT a.zone, count(*) AS people, count(*) FILTER (WHERE balance < 0) AS warnings, min(best) AS best_place, CAST(sum(n) AS BIGINT) AS results FROM athlete a LEFT JOIN (SELECT person, min(place) AS best, count(*) AS n FROM result GROUP BY person) r USING (person) GROUP BY a.zone", "athlete", "result"))

@@ -32,12 +32,9 @@ def phonetic_sql(c: str) -> str:
     return out
 
 
-FIRST = "substr(text, 1, 200)"
-
-
-@R.add(f"SELECT doc_id, {form_sql(FIRST)} AS folded FROM documents")
+@R.add(f"SELECT doc_id, {form_sql('text')} AS folded FROM documents")
 def text_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", X.search_form(F.substring("text", 1, 200)).alias("folded"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.search_form(F.col("text")).alias("folded"))
 
 
 @R.add(f"SELECT p_partkey, {phonetic_sql('p_name')} AS sound FROM part")
