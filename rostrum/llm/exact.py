@@ -41,7 +41,7 @@ def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One entry for each key of sorted entries: n added up, the greatest top."""
     held: pa.Table | None = None
     for batch in batches:
-        table = pa.Table.from_batches([batch])
+        table = pa.Table.from_batches([batch]).cast(RUN)
         if held is not None:
             table = pa.concat_tables([held, table])
         if not table.num_rows:
