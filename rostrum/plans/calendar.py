@@ -292,6 +292,27 @@ def deadline_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("edition", iso(F.col("o")).alias("ordinary"), status.alias("status"))
 
 
+COMPUTED = "SELECT edition, 'ordinary' AS type, start - INTERVAL 10 DAY AS at, 5 AS surcharge, false AS blocking FROM edition UNION ALL SELECT edition, 'final', start - INTERVAL 7 DAY, NULL, true FROM edition"
+PUBLISHED = "SELECT edition, 'ordinary' AS type, start - INTERVAL 9 DAY AS at, CASE WHEN n % 4 = 0 THEN 8 END AS surcharge, n % 5 = 0 AS blocking FROM edition WHERE n % 2 = 0 UNION ALL SELECT edition, 'late', start - INTERVAL 1 DAY, NULL, false FROM edition WHERE n % 3 = 0"
+
+
+@R.add(using("SELECT edition, type, strftime(coalesce(p.at, c.at), '%Y-%m-%d') AS at, coalesce(p.surcharge, c.surcharge) AS surcharge, coalesce(p.blocking, false) OR coalesce(c.blocking, false) AS blocking, CASE WHEN p.at IS NULL THEN 'computed' WHEN p.surcharge IS NULL AND c.surcharge IS NOT NULL THEN 'published + computed' ELSE 'published' END AS origin FROM p FULL JOIN c USING (edition, type)", "edition", c=COMPUTED, p=PUBLISHED))
+def deadline_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published deadlines over computed ones, by type: a surcharge that is not published stays the computed one, and either can block."""
+    e = editions(spark, sf_dir)
+
+    def deadlines(df: DataFrame, type_: str, days: int, surcharge, blocking) -> DataFrame:
+        return df.select("edition", F.lit(type_).alias("type"), F.date_sub("start", days).alias("at"), surcharge.cast("int").alias("surcharge"), blocking.alias("blocking"))
+
+    none, no = F.lit(None), F.lit(False)
+    computed = deadlines(e, "ordinary", 10, F.lit(5), no).union(deadlines(e, "final", 7, none, F.lit(True)))
+    published = deadlines(e.where("n % 2 = 0"), "ordinary", 9, F.when(F.col("n") % 4 == 0, 8), F.col("n") % 5 == 0).union(deadlines(e.where("n % 3 = 0"), "late", 1, none, no))
+    p, c = (df.select("edition", "type", *[F.col(k).alias(f"{side}_{k}") for k in ("at", "surcharge", "blocking")]) for side, df in (("p", published), ("c", computed)))
+    df = p.join(c, ["edition", "type"], "full_outer")
+    origin = F.when(F.col("p_at").isNull(), "computed").when(F.col("p_surcharge").isNull() & F.col("c_surcharge").isNotNull(), "published + computed").otherwise("published")
+    return df.select("edition", "type", iso(F.coalesce("p_at", "c_at")).alias("at"), F.coalesce("p_surcharge", "c_surcharge").alias("surcharge"), (F.coalesce("p_blocking", no) | F.coalesce("c_blocking", no)).alias("blocking"), origin.alias("origin"))
+
+
 @R.add(using("SELECT o.person, o.k, strftime(e.start, '%Y-%m-%d') AS next_start FROM (SELECT DISTINCT person, k FROM observation) o JOIN (SELECT *, row_number() OVER (ORDER BY start, edition) AS k FROM edition) e ON e.k = o.k", "observation", "edition"))
 def deadline_reminders(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = numbered_in_order(editions(spark, sf_dir), ["start", "edition"], "k").select("k", "start")

@@ -399,3 +399,24 @@ def edition_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add(using("SELECT season, position, person, weapon FROM (SELECT *, row_number() OVER (PARTITION BY weapon ORDER BY position, person) AS rn FROM lw) WHERE rn <= 3", "publication", p=POSITION, l=LATEST, lw=LAST))
 def featured_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(last_season(spark, sf_dir), ["weapon"], ["position", "person"], 3).select("season", "position", "person", "weapon")
+
+
+COPIES = "SELECT *, CASE fact % 3 WHEN 0 THEN 'fed' WHEN 1 THEN 'int' ELSE 'nac' END AS copy, row_number() OVER (PARTITION BY person % 500, day, weapon, category, fact % 3 ORDER BY fact) AS turn, person % 500 AS who FROM result"
+
+
+@R.add(using("SELECT who, strftime(day, '%Y-%m-%d') AS on_day, weapon, category, turn, count(*) AS copies, string_agg(copy, ',' ORDER BY copy) AS sources, CASE WHEN min(place) = max(place) THEN min(place) END AS place, max(participants) AS participants FROM k JOIN (SELECT competition, greatest(max(place), count(*)) AS participants FROM result GROUP BY competition) USING (competition) GROUP BY who, day, weapon, category, turn", "result", k=COPIES))
+def source_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One competition that several sources publish as one row: the nth copy of a source belongs to the nth competition of a day, weapon and category; contradictory places are none, the larger field counts."""
+    df = ranking.with_field_sizes(results(spark, sf_dir)).withColumns({"who": F.col("person") % 500, "copy": F.element_at(F.array(*map(F.lit, ("fed", "int", "nac"))), (F.col("fact") % 3 + 1).cast("int"))})
+    df = numbered(df, ["who", "day", "weapon", "category", "copy"], ["fact"], "turn")
+    fused = df.groupBy("who", "day", "weapon", "category", "turn").agg(F.count("*").alias("copies"), F.array_join(F.sort_array(F.collect_list("copy")), ",").alias("sources"), F.min("place").alias("least"), F.max("place").alias("most"), F.max("participants").alias("participants"))
+    return fused.select("who", iso(F.col("day")).alias("on_day"), "weapon", "category", "turn", "copies", "sources", F.when(F.col("least") == F.col("most"), F.col("least")).alias("place"), "participants")
+
+
+@R.add(using("SELECT person FROM athlete WHERE country = 3 UNION SELECT person FROM result WHERE fact % 25 = 3 UNION SELECT person FROM publication WHERE ym % 100 = 12 AND person % 25 = 3", "athlete", "publication"))
+def country_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """People of a country by any proof: their own, that of a result, or that of a list entry."""
+    own = athletes(spark, sf_dir).where("country = 3").select("person")
+    by_result = results(spark, sf_dir).where("fact % 25 = 3").select("person")
+    by_list = publications(spark, sf_dir).where("ym % 100 = 12 AND person % 25 = 3").select("person")
+    return own.union(by_result).union(by_list).distinct()

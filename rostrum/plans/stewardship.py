@@ -165,7 +165,10 @@ LISTED = "SELECT c_custkey AS row, CASE WHEN c_custkey % 3 = 0 THEN c_custkey EN
 KNOWN = "SELECT c_custkey AS person, lower(substr(c_name, 1, 8)) || CAST(c_custkey % 500 AS VARCHAR) AS name, c_nationkey AS country FROM customer WHERE c_custkey % 2 = 0"
 
 
-@R.add(using("SELECT l.row, CASE WHEN e.person IS NOT NULL THEN e.person WHEN n.candidates = 1 THEN n.person END AS person, CASE WHEN e.person IS NOT NULL THEN 'id' WHEN n.candidates = 1 THEN 'name' WHEN n.candidates > 1 THEN 'several' ELSE 'none' END AS reason FROM l LEFT JOIN k e ON e.person = l.external LEFT JOIN (SELECT name, country, count(*) AS candidates, min(person) AS person FROM k GROUP BY name, country) n ON n.name = l.name AND n.country = l.country", l=LISTED, k=KNOWN))
+LINKED = "SELECT l.row, CASE WHEN e.person IS NOT NULL THEN e.person WHEN n.candidates = 1 THEN n.person END AS person, CASE WHEN e.person IS NOT NULL THEN 'id' WHEN n.candidates = 1 THEN 'name' WHEN n.candidates > 1 THEN 'several' ELSE 'none' END AS reason FROM l LEFT JOIN k e ON e.person = l.external LEFT JOIN (SELECT name, country, count(*) AS candidates, min(person) AS person FROM k GROUP BY name, country) n ON n.name = l.name AND n.country = l.country"
+
+
+@R.add(using(LINKED, l=LISTED, k=KNOWN))
 def list_row_person_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     """List rows to people: by external id, else by a name and country that only one has; the reason is told."""
     c = table(spark, sf_dir, "customer")
@@ -179,6 +182,16 @@ def list_row_person_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("row", F.when(F.col("there"), F.col("external")).when(F.col("candidates") == 1, F.col("by_name")).alias("person"), reason.alias("reason"))
 
 
+@R.add(using("SELECT row, list, CASE WHEN links = 1 OR (reason = 'id' AND by_id = 1) THEN person END AS person, CASE WHEN person IS NULL OR links = 1 OR (reason = 'id' AND by_id = 1) THEN reason ELSE 'repeated' END AS reason FROM (SELECT *, count(*) OVER (PARTITION BY list, person) AS links, count(*) FILTER (WHERE reason = 'id') OVER (PARTITION BY list, person) AS by_id FROM (SELECT *, row % 3 AS list FROM w))", l=LISTED, k=KNOWN, w=LINKED))
+def one_person_per_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A person that several rows of a list link to keeps the only link by id, if there is just one; the other rows lose theirs."""
+    df = list_row_person_link(spark, sf_dir).withColumn("list", F.col("row") % 3)
+    links = df.where("person IS NOT NULL").groupBy("list", "person").agg(F.count("*").alias("links"), F.count_if(F.col("reason") == "id").alias("by_id"))
+    df = df.join(links, ["list", "person"], "left")
+    keep = (F.col("links") == 1) | ((F.col("reason") == "id") & (F.col("by_id") == 1))
+    return df.select("row", "list", F.when(keep, F.col("person")).alias("person"), F.when(F.col("person").isNull() | keep, F.col("reason")).otherwise("repeated").alias("reason"))
+
+
 @R.add(using("SELECT f.id AS fencer, count(*) AS candidates, CASE WHEN count(*) = 1 THEN min(a.person) END AS person FROM fencer f JOIN athlete a ON a.country = f.country AND a.person % 40 = f.id % 40 GROUP BY f.id", "fencer", "athlete"))
 def census_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many people a census entry may be, and who it is where there is one: blocks of country and birth year are counted before they are joined, so that no pairs are made."""
