@@ -335,7 +335,11 @@ def synonym_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 EXONYMS = {"united states": "usa", "united kingdom": "uk", "saudi arabia": "ksa"}
 
 
-@R.add(f"SELECT n_nationkey, CASE {' '.join(f'WHEN {form_sql(chr(110) + chr(95) + chr(110) + chr(97) + chr(109) + chr(101))} = {chr(39)}{a}{chr(39)} THEN {chr(39)}{b}{chr(39)}' for a, b in EXONYMS.items())} ELSE {form_sql('n_name')} END AS city_key FROM nation")
+CITY_FORM = form_sql("n_name")
+CITY_CASES = " ".join(f"WHEN {CITY_FORM} = '{a}' THEN '{b}'" for a, b in EXONYMS.items())
+
+
+@R.add(f"SELECT n_nationkey, CASE {CITY_CASES} ELSE {CITY_FORM} END AS city_key FROM nation")
 def city_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The key under which a place's several names meet."""
     from rostrum.functions.text import search_form

@@ -126,7 +126,10 @@ def named(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", ends).alias("name"))
 
 
-@R.add(f"SELECT p_partkey, CASE {' '.join(f'WHEN contains({form_sql(NAMES)}, {chr(39)}{p}{chr(39)}) THEN {chr(39)}{k}{chr(39)}' for p, k, _ in X.TYPES)} ELSE 'OTHER' END AS type FROM part")
+TYPE_CASES = " ".join(f"WHEN contains({form_sql(NAMES)}, '{p}') THEN '{k}'" for p, k, _ in X.TYPES)
+
+
+@R.add(f"SELECT p_partkey, CASE {TYPE_CASES} ELSE 'OTHER' END AS type FROM part")
 def type_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named(spark, sf_dir).select("p_partkey", X.competition_type(F.col("name")).alias("type"))
 
