@@ -58,3 +58,9 @@ def anchored_before(day: Column, weeks: int, weekday: int) -> Column:
 def local_instant(day: Column, time: str = "23:59:59", zone: str = "Europe/Madrid") -> Column:
     """The instant of a local wall-clock time, whatever the daylight saving."""
     return F.to_utc_timestamp(F.concat_ws(" ", iso(day), F.lit(time)).cast("timestamp"), zone)
+
+
+def utc_offset_hours(day: Column, zone: str, time: str = "12:00:00") -> Column:
+    """Hours that a zone's clocks are ahead of UTC at a local time of a day."""
+    local = F.concat_ws(" ", iso(day), F.lit(time)).cast("timestamp")
+    return (F.unix_timestamp(local) - F.unix_timestamp(F.to_utc_timestamp(local, zone))) / 3600

@@ -76,6 +76,13 @@ def similarity(written: Column, published: Column) -> Column:
     )
 
 
+def unmangled(text: Column) -> Column:
+    """A text whose UTF-8 was read as Latin-1, put right; texts that cannot have come about so stay."""
+    odd = text.rlike("^[\\x00-\\xff]*$") & text.rlike("[\\xc2-\\xf4][\\x80-\\xbf]")
+    back = F.encode(F.when(odd, text), "ISO-8859-1").cast("string")
+    return F.when(odd & F.is_valid_utf8(back), back).otherwise(text)
+
+
 def licence(text: Column) -> Column:
     """A licence without spaces and hyphens, in upper case."""
     return F.upper(F.regexp_replace(text, "[\\s-]+", ""))

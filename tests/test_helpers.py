@@ -5,9 +5,10 @@ import random
 
 from pyspark.sql import functions as F
 
-from rostrum.functions import dates, points, udfs
-from rostrum.operators import joins, numbering, pairs, storage
+from rostrum.functions import dates, ical, points, text, udfs
+from rostrum.operators import bracket, joins, numbering, pairs, repair, storage, upkeep
 from rostrum.plans import catalogue
+from rostrum.sources import readers
 from rostrum.sources.adapter import observations, table
 from rostrum.streaming import outbox
 
@@ -99,3 +100,76 @@ def test_first_and_last_seen_and_delivery(spark, tmp_path):
     # A second run from the same progress delivers nothing twice.
     outbox.deliver(stream, out, str(tmp_path / "p"))
     assert spark.read.parquet(out).count() == ev.count()
+
+
+def test_fact_files(spark, tmp_path):
+    import json
+
+    good = {"version": 1, "source": "x", "competition": {"competitionKey": "c1"}, "status": {"results": "complete", "pools": "partial"}, "results": [{"place": 1, "name": "A"}, {"place": None, "name": "B"}], "bouts": [{"round": "A4", "a": "A", "b": "B", "scoreA": 5, "scoreB": 3}]}
+    bad = [{**good, "version": 2}, {"version": 1, "results": []}]
+    for i, f in enumerate([good, {**good, "competition": {"competitionKey": "c2"}, "results": [], "bouts": None}, *bad]):
+        (tmp_path / f"{i}.json").write_text(json.dumps(f, indent=1))
+    found, fought, refused = readers.read_facts(spark, str(tmp_path))
+    assert [(r.competition, r.status, r.pos, r.place, r.name) for r in found.orderBy("pos").collect()] == [("c1", "complete", 0, 1, "A"), ("c1", "complete", 1, None, "B")]
+    assert [(r.competition, r.status, r["round"], r.scoreA) for r in fought.collect()] == [("c1", "partial", "A4", 5)]
+    assert sorted(r.file[-6:] for r in refused.collect()) == ["2.json", "3.json"]
+
+
+def test_csv_and_html(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('name;n\n"Gil; ""El"" \nAna";1\nLeón;\n', encoding="utf-8")
+    assert [tuple(r) for r in readers.read_csv(spark, str(tmp_path / "a.csv"), "name string, n int", ";").collect()] == [('Gil; "El" \nAna', 1), ("León", None)]
+    html = "<table><tr><th>Day<th></tr>\n<TR class='x'><td><b>1</b> May</td><td></td></TR></table>"
+    rows = readers.html_table(spark.createDataFrame([(1, html), (2, ""), (3, None)], "id int, html string"), "html").select("id", "pos", "cells").collect()
+    assert [(r.id, r.pos, r.cells) for r in rows if r.pos == 2] == [(1, 2, ["1 May", ""])] and {r.id for r in rows} == {1}
+    assert readers.struct_list(spark, "no list", "a int").count() == 0
+
+
+def test_calendar_text(spark):
+    texts = ["short", "a" * 75, "b" * 76, "c" * 223, "ñ" * 38, "\U0001f3c5" * 40, ""]
+    for t, f in spark.createDataFrame([(t,) for t in texts], "t string").select("t", ical.folded(F.col("t"))).collect():
+        lines = f.split("\r\n")
+        assert all(len(x.encode()) <= 75 for x in lines) and lines[0] + "".join(x[1:] for x in lines[1:]) == t and all(x[0] == " " for x in lines[1:])
+    assert spark.range(1).select(ical.escaped(F.lit("a,b;c\\d\r\ne\nf")).alias("t")).first().t == "a\\,b\;c\\\\d\\ne\\nf"
+
+
+def test_bracket_of_odd_rounds(spark):
+    """Two bouts with one winner, a bout that leads nowhere, a bracket without its final, no rows."""
+    rows = [(1, 2, 7, 8, 7, 1), (1, 4, 8, 5, 8, 1), (1, 4, 7, 6, 7, 2), (1, 4, 7, 9, 7, 3), (1, 4, 3, 4, 3, 4), (2, 8, 1, 2, 1, 5), (2, 8, 3, 4, 4, 6), (2, 16, 9, 4, 4, 1), (2, 16, 1, 8, 1, 2)]
+    df = spark.createDataFrame(rows, "c int, size int, a int, b int, winner int, number int")
+    got = sorted((r.c, r["size"], r.seat, r.number) for r in bracket.ordered(df, ["c"]).collect())
+    assert got == [(1, 2, 1, 1), (1, 4, 1, 2), (1, 4, 2, 1), (1, 4, 3, 3), (1, 4, 4, 4), (2, 8, 1, 5), (2, 8, 2, 6), (2, 16, 1, 2), (2, 16, 2, 1)]
+    assert bracket.ordered(df.limit(0), ["c"]).count() == 0
+
+
+def test_letters_and_encodings(spark):
+    d = spark.createDataFrame([("nu?ez",), ("?",), ("g?l",), ("whole",), (None,)], "t string")
+    words = spark.createDataFrame([("nunez",), ("gil",), ("gal",), ("",)], "w string")
+    assert sorted((r.t, r.candidates, r.repaired) for r in repair.lost_letters(d, "t", words, "w").collect()) == [("g?l", 2, None), ("nu?ez", 1, "nunez")]
+    rows = [("Nuñez".encode().decode("latin-1"),), ("Nuñez",), ("Ã Ł",), ("plain",), (None,), ("",)]
+    assert [r.t for r in spark.createDataFrame(rows, "t string").select(text.unmangled(F.col("t")).alias("t")).collect()] == ["Nuñez", "Nuñez", "Ã Ł", "plain", None, ""]
+
+
+def test_inbox_and_marks(spark):
+    stored = spark.createDataFrame([(1, "a", True), (2, "a", True), (3, None, False), (4, "z", True)], "k int, content string, read boolean")
+    new = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (5, "n")], "k int, content string")
+    got = sorted(tuple(r) for r in upkeep.deliver(stored, new, ["k"], "content", "read").collect())
+    assert got == [(1, "a", "unchanged", True), (2, "b", "updated", False), (3, None, "unchanged", False), (4, "z", "kept", True), (5, "n", "new", False)]
+    again = upkeep.deliver(stored, stored.select("k", "content"), ["k"], "content", "read")
+    assert {r.state for r in again.collect()} == {"unchanged"}
+    marked = spark.createDataFrame([(1, None), (2, 7), (3, 7)], "k int, gone int")
+    out = upkeep.mark_missing(marked, spark.createDataFrame([(3,), (3,)], "k int"), ["k"], F.lit(9), "gone")
+    assert sorted((r.k, r.gone) for r in out.select("k", "gone").collect() if r.gone) == [(1, 9), (2, 7)] and out.count() == 3
+
+
+def test_chunks_add_up_to_one_pass(spark):
+    """An aggregate made in twelve parts by the season's year is that of one pass."""
+    from rostrum.plans.bouts import oriented
+
+    o = oriented(spark, SF)
+    once = lambda df: df.groupBy("me", "season").agg(*pairs.balance())
+    part = F.substring("season", 1, 4).cast("int") % 12
+    chunks = None
+    for i in range(12):
+        own = once(o.where(part == i))
+        chunks = own if chunks is None else chunks.unionByName(own)
+    assert sorted(map(tuple, chunks.collect())) == sorted(map(tuple, once(o).collect()))
