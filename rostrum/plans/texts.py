@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rostrum.functions import names as N
 from rostrum.functions import text as X
 from rostrum.functions.dates import next_season, normal_season, previous_season, season_end
 from rostrum.operators.windows import top_k
@@ -107,6 +108,19 @@ def word_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("score", X.similarity(F.col("a"), F.col("b")))
 
 
+@R.add("SELECT p_partkey, r AS relation, CASE WHEN r IN ('same', 'clipped', 'compound') THEN 'free' WHEN r = 'variant' THEN 'hint' WHEN r = 'crossed' THEN 'evidence' ELSE 'never' END AS level FROM (SELECT p_partkey, CASE p_size % 8 WHEN 0 THEN 'same' WHEN 1 THEN 'clipped' WHEN 2 THEN 'compound' WHEN 3 THEN 'variant' WHEN 4 THEN 'crossed' WHEN 5 THEN 'cousins' WHEN 6 THEN 'siblings' ELSE 'different' END AS r FROM part)")
+def name_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names made of a part's words against one that is made from them in one of eight ways."""
+    w, way = X.words(F.col("p_name")), F.col("p_size") % 8
+    one, two = F.concat(F.get(w, F.lit(0)), F.lit("ez")), F.concat(F.get(w, F.lit(1)), F.lit("ano"))
+    given = F.array(F.concat(F.lit("fer"), F.lower(F.col("p_type"))))
+    first = given[0]
+    surnames = F.when(way == 1, F.array(one)).when(way == 4, F.array(two, one)).when(way == 5, F.array(one, F.lit("zubieta"))).when(way == 7, F.array(F.lit("xu"))).otherwise(F.array(one, two))
+    other = F.when(way == 2, F.array(first, F.lit("maria"))).when(way == 3, F.array(F.concat(F.lit("fir"), F.substr(first, F.lit(4))))).when(way == 6, F.array(F.lit("xuxa"))).otherwise(given)
+    related = N.relation(F.array(one, two), given, surnames, other)
+    return table(spark, sf_dir, "part").select("p_partkey", related.alias("relation")).withColumn("level", N.union_level(F.col("relation")))
+
+
 LABELS = ["A64", "T32", "QF", "SF", "F", "V1P3", "a8", "B12", ""]
 
 

@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from rostrum.functions import dates, ical, points, text, udfs
+from rostrum.functions import dates, ical, names, points, text, udfs
 from rostrum.operators import bracket, joins, numbering, pairs, repair, storage, upkeep
 from rostrum.plans import catalogue
 from rostrum.sources import readers
@@ -129,7 +129,7 @@ def test_calendar_text(spark):
     for t, f in spark.createDataFrame([(t,) for t in texts], "t string").select("t", ical.folded(F.col("t"))).collect():
         lines = f.split("\r\n")
         assert all(len(x.encode()) <= 75 for x in lines) and lines[0] + "".join(x[1:] for x in lines[1:]) == t and all(x[0] == " " for x in lines[1:])
-    assert spark.range(1).select(ical.escaped(F.lit("a,b;c\\d\r\ne\nf")).alias("t")).first().t == "a\\,b\;c\\\\d\\ne\\nf"
+    assert spark.range(1).select(ical.escaped(F.lit("a,b;c\\d\r\ne\nf")).alias("t")).first().t == "a\\,b\\;c\\\\d\\ne\\nf"
 
 
 def test_bracket_of_odd_rounds(spark):
@@ -173,3 +173,18 @@ def test_chunks_add_up_to_one_pass(spark):
         own = once(o.where(part == i))
         chunks = own if chunks is None else chunks.unionByName(own)
     assert sorted(map(tuple, chunks.collect())) == sorted(map(tuple, once(o).collect()))
+
+
+def test_name_relations(spark):
+    cases = [
+        ("perez gil", "ana", "perez gil", "ana", "same"), ("perez", "ana", "perez gil", "ana", "clipped"), ("perez gil", "enri", "perez gil", "enrique", "clipped"),
+        ("perez gil", "ana maria", "perez gil", "maria", "compound"), ("fernandez gil", "ana", "fernandes gil", "ana", "variant"), ("gil", "ana", "gal", "ana", "different"),
+        ("perez gil", "ana", "gil perez", "ana", "crossed"), ("perez gil", "ana", "perez ruiz", "ana", "cousins"), ("perez gil", "ana", "perez gil", "juan", "siblings"),
+        ("perez gil", "luis", "perez gil", "luisa", "clipped"), ("fernandez", "ramon", "fernandes", "ramin", "different"), ("perez", "ana", "ruiz", "juan", "different"), ("", "", "perez", "ana", "different"), (None, "ana", "perez", "ana", None),
+    ]
+    parts = [F.filter(F.split(c, " "), lambda w: w != "") for c in ("s", "g", "t", "h")]
+    df = spark.createDataFrame(cases, "s string, g string, t string, h string, want string").withColumn("got", names.relation(*parts))
+    assert [(r.s, r.h, r.got) for r in df.collect() if r.got != r.want] == []
+    swapped = df.withColumn("back", names.relation(parts[2], parts[3], parts[0], parts[1]))
+    assert swapped.where("NOT back <=> got").count() == 0
+    assert df.select(names.union_level(F.col("got")).alias("u")).distinct().count() == 5
