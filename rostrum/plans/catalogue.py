@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rostrum.plans import bouts, calendar, loads, results, stewardship, texts
+from rostrum.plans import bouts, calendar, kinds, loads, people, results, stewardship, texts
 
-MODULES = (bouts, results, texts, calendar, stewardship, loads)
+MODULES = (bouts, results, texts, calendar, stewardship, loads, people, kinds)
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _module in MODULES:

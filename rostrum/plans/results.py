@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rostrum.functions import points as P
 from rostrum.functions.dates import iso, season_end
-from rostrum.operators import ranking
+from rostrum.operators import qualification, ranking
 from rostrum.operators.windows import change, first_per, numbered, ranked, top_k
 from rostrum.plans.oracle import using
 from rostrum.plans.registry import Registry
@@ -292,6 +292,38 @@ def first_out_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_per(out, ["weapon"], ["place"]).select("weapon", "country", "points", F.round(F.col("prev") - F.col("points"), 2).alias("gap"))
 
 
+# Zones in the order in which the places of those without a team are given on, and countries whose entry is not decided.
+ZONES, PENDING = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST", "OCEANIA"], [3, 7, 12]
+
+
+def annotated_sql(n: str, where: str) -> dict[str, str]:
+    """Expressions that end in `a`: the teams that count with via, way, state, margin, missing and ahead."""
+    e, z, o, r, q, x, c = (f"{k}{n}" for k in "ezorqxc")
+    at = lambda place: f"(SELECT points FROM {e} k WHERE k.weapon = x.weapon AND k.place = {place})"
+    heir, won = f"(SELECT min(points) FROM {q} k WHERE k.weapon = x.weapon AND via = 'next')", f"(SELECT points FROM {q} k WHERE k.weapon = x.weapon AND k.zone = x.zone AND via = 'zone')"
+    return {
+        e: f"SELECT *, row_number() OVER (PARTITION BY weapon ORDER BY points DESC, country) AS place FROM teams WHERE {where}",
+        z: f"SELECT * FROM {e} WHERE place BETWEEN 5 AND 24 QUALIFY row_number() OVER (PARTITION BY weapon, zone ORDER BY place) = 1",
+        o: f"SELECT weapon, way, row_number() OVER (PARTITION BY weapon ORDER BY i) AS k FROM (SELECT DISTINCT weapon FROM {e}) d, (SELECT unnest({ZONES}) AS way, unnest(range({len(ZONES)})) AS i) v WHERE NOT EXISTS (SELECT 1 FROM {z} s WHERE s.weapon = d.weapon AND s.zone = v.way)",
+        r: f"SELECT *, row_number() OVER (PARTITION BY weapon ORDER BY place) AS k FROM {e} WHERE place > 4 AND (weapon, country) NOT IN (SELECT (weapon, country) FROM {z})",
+        q: f"SELECT *, 'top' AS via, NULL AS way FROM {e} WHERE place <= 4 UNION ALL SELECT *, 'zone', zone FROM {z} UNION ALL SELECT r.* EXCLUDE (k), 'next', way FROM {r} r JOIN {o} o USING (weapon, k)",
+        x: f"SELECT *, row_number() OVER (PARTITION BY weapon ORDER BY place) AS m, row_number() OVER (PARTITION BY weapon, zone ORDER BY place) AS zm FROM {e} WHERE (weapon, country) NOT IN (SELECT (weapon, country) FROM {q})",
+        c: f"""SELECT weapon, country, arg_min(via, (missing, i)) AS via, min(missing) AS missing, arg_min(ahead, (missing, i)) AS ahead FROM (SELECT *, round(greatest(0, against - points), 2) AS missing FROM (
+            SELECT x.*, 1 AS i, 'top' AS via, {at(4)} AS against, place - 4 AS ahead FROM {x} x WHERE m = 1 UNION ALL SELECT x.*, 2, 'zone', coalesce({won}, {at(24)}), 1 FROM {x} x WHERE zm = 1 UNION ALL SELECT x.*, 3, 'next', {heir}, 1 FROM {x} x WHERE m = 1))
+            WHERE missing <= against * (1.0 / 3) GROUP BY weapon, country""",
+        f"a{n}": f"""SELECT weapon, country, zone, points, place, via, way, 'qualified' AS state, round(CASE WHEN points > rival THEN points - rival WHEN rival IS NOT NULL THEN 0 END, 2) AS margin, NULL AS missing, NULL AS ahead FROM (SELECT *, CASE via WHEN 'top' THEN {at(5)}
+            WHEN 'zone' THEN (SELECT points FROM {x} k WHERE k.weapon = x.weapon AND k.zone = x.zone AND zm = 1) ELSE (SELECT points FROM {x} k WHERE k.weapon = x.weapon AND m = 1) END AS rival FROM {q} x)
+            UNION ALL SELECT x.weapon, x.country, x.zone, x.points, x.place, c.via, NULL, CASE WHEN c.via IS NULL THEN 'out' ELSE 'near' END, NULL, c.missing, c.ahead FROM {x} x LEFT JOIN {c} c USING (weapon, country)""",
+    }
+
+
+@R.add(using("""SELECT *, NULL AS would_be, NULL AS would_via FROM a1 UNION ALL SELECT weapon, country, zone, points, NULL, NULL, NULL, 'pending', NULL, NULL, NULL, CASE WHEN state <> 'out' THEN state END, CASE WHEN state <> 'out' THEN via END FROM a2 WHERE country IN (3, 7, 12)""",
+    "publication", "athlete", **{k: QCHAIN[k] for k in ("p", "l", "lw", "teams")}, **annotated_sql("1", "country NOT IN (3, 7, 12)"), **annotated_sql("2", "true")))
+def qualification_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every team's state: in, with its margin; near, with what it lacks; out; or pending, with what it would have."""
+    return qualification.with_pending(team_places(spark, sf_dir).drop("place"), "weapon", ZONES, PENDING)
+
+
 # Podiums, classification, medals, recency.
 
 @R.add(using("SELECT competition, person, place, main FROM (SELECT r.competition, r.person, r.place, s.main FROM result r JOIN (SELECT competition, arg_max(format, (n, format)) AS main FROM (SELECT competition, format, count(*) AS n FROM result GROUP BY 1, 2) GROUP BY competition) s ON s.competition = r.competition AND s.main = r.format WHERE r.place <= 3)", "result"))

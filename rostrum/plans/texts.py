@@ -102,7 +102,10 @@ PAIRS = [("maria", "marya"), ("vega", "bega"), ("gonzalez", "gonsales"), ("ana",
 PAIR_SQL = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in PAIRS) + ") AS t(a, b)"
 
 
-@R.add(f"SELECT a, b, CAST(CASE WHEN a = b THEN 1.0 WHEN length(a) = 1 THEN CASE WHEN starts_with(b, a) THEN 0.5 ELSE 0 END WHEN x = y THEN 0.95 WHEN length(a) >= 4 AND starts_with(b, a) THEN 0.9 WHEN length(x) >= 4 AND starts_with(y, x) THEN 0.85 WHEN levenshtein(x, y) = 1 AND least(length(x), length(y)) >= 4 THEN 0.8 WHEN levenshtein(x, y) = 2 AND least(length(x), length(y)) >= 7 THEN 0.65 ELSE 0.0 END AS DOUBLE) AS score FROM (SELECT a, b, {phonetic_sql('a')} AS x, {phonetic_sql('b')} AS y FROM {PAIR_SQL})")
+SIMILARITY_SQL = "CAST(CASE WHEN a = b THEN 1.0 WHEN length(a) = 1 THEN CASE WHEN starts_with(b, a) THEN 0.5 ELSE 0 END WHEN x = y THEN 0.95 WHEN length(a) >= 4 AND starts_with(b, a) THEN 0.9 WHEN length(x) >= 4 AND starts_with(y, x) THEN 0.85 WHEN levenshtein(x, y) = 1 AND least(length(x), length(y)) >= 4 THEN 0.8 WHEN levenshtein(x, y) = 2 AND least(length(x), length(y)) >= 7 THEN 0.65 ELSE 0.0 END AS DOUBLE)"  # of a and b, whose phonetic keys are x and y
+
+
+@R.add(f"SELECT a, b, {SIMILARITY_SQL} AS score FROM (SELECT a, b, {phonetic_sql('a')} AS x, {phonetic_sql('b')} AS y FROM {PAIR_SQL})")
 def word_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.createDataFrame(PAIRS, "a string, b string")
     return df.withColumn("score", X.similarity(F.col("a"), F.col("b")))
