@@ -1,4 +1,4 @@
-"""Queries over the types of competitions: what each is, and results by type, season, category, weapon and scope."""
+"""Queries over what titles say: types of competitions, results by type, season, category, weapon and scope, documents."""
 
 from __future__ import annotations
 
@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rostrum.functions import kinds as K
+from rostrum.functions import titles as T
 from rostrum.plans.oracle import using
 from rostrum.plans.registry import Registry
 from rostrum.plans.results import FACTS, MEDALS, facts, medals
-from rostrum.plans.texts import form_sql
+from rostrum.plans.texts import fold_sql, form_sql
 from rostrum.sources.adapter import table
 
 R = Registry()
@@ -103,3 +104,43 @@ def kind_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = [[F.col(c) for c in ("scope", *more)] for more in ((), ("category",), ("chart",), ("category", "chart"))]
     df = placed(spark, sf_dir).groupingSets(sets, "scope", "category", "chart").agg(*medals())
     return df.select("scope", "category", "chart", *[c for c in df.columns if c not in {"scope", "category", "chart"}])
+
+
+HEADS = ["CIRCULAR 12-26", "CIRCULAR_19_25", "CIRCULAR_013 19", "Circular 09-24bis", "NORMATIVA", "CIRCULAR", "CIRCULA R23bis 23", "12-21BIS", ""]
+SUBJECTS = ["CTO EUROPA CAD-JUN", "Competición de Equipos", "NORMATIVA COMPETICIONES EQUIPO", "Rankings_nacionales", "CURSO ACTUALIZACION ARBITRAJE", "Elecciones 2024-2", "Clasificados Cto España Sénior M17"]
+TAILS = ["24-bis", "26-27", "2025-2026 V3", "18 19", "actualizadaSept25.pdf", "_actualizado_marzo_19", "23/25 signed", "COMPLETA 12-03-2024", "CANCELACION (2)", "Modificación 2019", "SUBSANACION 11-12 26-27 BIS", ".docx"]
+LETTER = " || ' ' || ".join(pick_sql(v, f"(p_partkey // {d})") for v, d in ((HEADS, 1), (SUBJECTS, 3), (TAILS, 2)))
+
+
+def words_sql(c: str) -> str:
+    plain = f"replace(regexp_replace(upper({fold_sql(c)}), '\\.(PDF|DOCX?|XLSX?)$', ''), '_', ' ')"
+    for _ in range(2):  # RE2 has no look-ahead: a letter between two hyphens needs a second pass
+        plain = f"regexp_replace({plain}, '([A-Z])-([A-Z])', '\\1 \\2', 'g')"
+    return f"trim(regexp_replace({plain}, '\\s+', ' ', 'g'))"
+
+
+def subject_sql(c: str) -> str:
+    for pattern in T.APART:
+        c = f"regexp_replace({c}, '{pattern}', ' ', 'g')"
+    for many, one in T.ONE_FORM.items():
+        c = f"regexp_replace({c}, '\\b{many}\\b', '{one}', 'g')"
+    return f"trim(regexp_replace({c}, '[^A-Z0-9]+', ' ', 'g'))"
+
+
+def years_sql(a: str, b: str) -> str:
+    return f"CASE WHEN try_cast({b} AS INTEGER) = try_cast({a} AS INTEGER) + 1 THEN '20' || {a} || '-20' || {b} END"
+
+
+GROUP = lambda pattern, n: f"nullif(regexp_extract(words, '{pattern}', {n}), '')"
+SEASON_SQL = f"""coalesce({GROUP(T.LONG_SEASON, 1)} || '-' || {GROUP(T.LONG_SEASON, 2)}, {years_sql("substr(short, 1, 2)", "right(short, 2)")}, {years_sql(GROUP(T.LAST_SEASON, 1), GROUP(T.LAST_SEASON, 2))})"""
+
+
+@R.add(f"""SELECT p_partkey, CAST(CAST({GROUP(T.NUMBER, 1)} AS INTEGER) AS VARCHAR) || '-' || {GROUP(T.NUMBER, 2)} AS number, {SEASON_SQL} AS season, CAST({GROUP(T.VERSION, 1)} AS INTEGER) AS version, CAST({GROUP(T.SEQUENCE, 1)} AS INTEGER) AS sequence,
+    {', '.join(f"regexp_matches(words, '{p}') AS {n}" for n, p in T.MARKS.items())}, {subject_sql('words')} AS subject
+    FROM (SELECT *, regexp_extract_all(regexp_replace(words, '{T.DATE}', ' ', 'g'), '{T.SHORT_SEASONS}')[-1] AS short FROM (SELECT p_partkey, {words_sql(LETTER)} AS words FROM part))""")
+def title_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number, season, marks of the version and subject of documents by their titles."""
+    title = F.concat_ws(" ", *[pick(v, F.expr(f"p_partkey div {d}")) for v, d in ((HEADS, 1), (SUBJECTS, 3), (TAILS, 2))])
+    w = F.col("words")
+    df = table(spark, sf_dir, "part").select("p_partkey", T.title_words(title).alias("words"))
+    return df.select("p_partkey", T.circular_number(w).alias("number"), T.title_season(w).alias("season"), *[c.alias(n) for n, c in T.title_marks(w).items()], T.subject(w).alias("subject"))

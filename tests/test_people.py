@@ -139,3 +139,24 @@ def test_qualification(spark):
     pending = {r.country: r for r in qualification.with_pending(df, "event", ["A", "B", "C", "D"], [0, 10]).where("event = 'w'").collect()}
     assert (pending[0].state, pending[0].place, pending[0].would_be, pending[0].would_via) == ("pending", None, "qualified", "top")
     assert (pending[10].state, pending[10].would_be) == ("pending", None) and (pending[4].via, pending[4].place) == ("top", 4)
+
+
+def test_titles(spark):
+    from rostrum.functions import titles as T
+
+    cases = [
+        ("CIRCULAR 02-24 CTO EUROPA CAD-JUN 24-bis", "2-24", None, "CAMPEONATO EUROPA CAD JUN", ["bis"]), ("CIRCULAR_02-24_CTO_EUROPA_CAD-JUN_24.pdf", "2-24", None, "CAMPEONATO EUROPA CAD JUN", []),
+        ("CIRCULAR 11-26 COMPETICIONES POR EQUIPOS 26-27", "11-26", "2026-2027", "COMPETICION EQUIPOS", []), ("Circular_13 19 Competición de equipo 2019-2020 V3", "13-19", "2019-2020", "COMPETICION EQUIPOS", []),
+        ("NORMATIVA EQUIPOS 2018-19_actualizado_marzo_19", None, None, "NORMATIVA EQUIPOS", ["updated"]), ("Normativas A-B-C 18 19", None, "2018-2019", "NORMATIVA B C", []), ("ELECCIONES 2024-2", None, None, "ELECCIONES", []),
+        ("CANCELACION M17 12-13-2024 (2)", None, None, "M17", ["cancelled", "copy"]), ("CIRCULAR 123-4567", "", None, None, []), ("", None, None, "", []), (None, None, None, None, []),
+    ]
+    df = spark.createDataFrame([(c[0],) for c in cases], "title string").withColumn("w", T.title_words(F.col("title")))
+    w = F.col("w")
+    got = df.select("title", T.circular_number(w).alias("number"), T.title_season(w).alias("season"), T.subject(w).alias("subject"), *[c.alias(n) for n, c in T.title_marks(w).items()]).collect()
+    for r, (title, number, season, about, marks) in zip(got, cases, strict=True):
+        assert r.season == season and [m for m in T.MARKS if r[m]] == marks, title
+        if number != "":
+            assert (r.number, r.subject) == (number, about), title
+        else:
+            assert r.number is None, title
+    assert (got[3].version, got[6].sequence) == (3, 2)
