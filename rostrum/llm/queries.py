@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from rostrum.llm.bpe import encode_decode
-from rostrum.llm import embedding_dedup, exact, line_dedup, minhash, pii, quality, repeats
-from rostrum.llm.common import table
+from rostrum.llm import embedding_dedup, exact, line_dedup, minhash, pii, quality, repeats, token_files
+from rostrum.llm.common import shared_dir, table
 from rostrum.llm.packing import pack
 from rostrum.llm.token_counts import count_tokens
 
@@ -69,6 +71,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place and ids, read from the files that hold them; the files stay in the shared folder."""
+    path = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
+    token_files.write_ids(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"))
+    return token_files.read_ids(spark, path)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_packing": op2_packing,
@@ -80,6 +89,7 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_bpe": op9_bpe,
     "op10_pii": op10_pii,
+    "op13_token_files": op13_token_files,
 }
 #: For the others SQL has no such function, or is too slow on whole tables; tests hold them against brute force.
 ORACLES = {"op3_line_dedup": line_dedup.ORACLE, "op6_exact_dedup": exact.ORACLE}
