@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from rostrum.llm.bpe import encode_decode
-from rostrum.llm import embedding_dedup, exact, line_dedup, minhash, pii, quality, repeats, token_files
+from rostrum.llm import embedding_dedup, exact, line_dedup, minhash, pii, quality, repeats, spelling, token_files
 from rostrum.llm.common import shared_dir, table
 from rostrum.llm.packing import pack
 from rostrum.llm.token_counts import count_tokens
@@ -71,6 +71,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word with its form and root."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place and ids, read from the files that hold them; the files stay in the shared folder."""
     path = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
@@ -89,6 +94,7 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_bpe": op9_bpe,
     "op10_pii": op10_pii,
+    "op12_spelling": op12_spelling,
     "op13_token_files": op13_token_files,
 }
 #: For the others SQL has no such function, or is too slow on whole tables; tests hold them against brute force.
