@@ -1,20 +1,17 @@
-"""Spelling variants: words of one edit, from a positional q-gram index with a count filter.
-
-Two words of s and s or s + 1 code points are compared in the index of s. Its grams
-have q code points, a third of s but three at least, so that words of long runs
-have few words to a gram. One edit destroys at most q grams of each word, and the
-others stay in their order and move by at most one place. So, with grams in one
-order for all words, the rarest first, the first gram of both words that is left
-stands among the first q + 1 of each: only those are indexed, and only those asked.
-
-A posting list has the words of one gram, place and length in order, cut into
-blocks. A word asks for its grams at its own length and, one place on as well, at
-the next. The blocks that it gets come sorted by their first word, and a heap merges
-them as they come; a word of the merge goes on if it shares as many positional grams
-as one edit leaves at least, and is then held against the word itself.
-
-No task holds a list: blocks are bounded, lists are cut where their sorted rows are,
-and the merge keeps the blocks open at one word, one or two a list.
+"""Spelling variants: words of one edit, from positional q-gram indexes with a count filter.
+
+One edit lies within one half of a word and leaves the other as it is. So words of s
+and s + 1 code points meet in groups: those that agree, but for one half, in all the
+rest. A group of more than GROUP words is dealt out by halves of that half, and so on
+down to one code point, where a group has no more words than the alphabet allows; so
+no group grows with the corpus, whatever words have in common.
+
+A group has an inverted index of positional q-grams. A word merges the posting lists
+of its grams with a heap: those of its own length and place, and of the next length
+at the same place or one on. One edit destroys at most q grams, and the rest of the
+two words, outside the piece, agrees; so a near word is met as often as the bound
+that is left of the longer word's grams. Words above it are held against the word
+itself.
 """
 
 from __future__ import annotations
@@ -23,8 +20,9 @@ import heapq
 import re
 import string
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,15 +31,15 @@ from pyspark.sql import functions as F
 from rostrum.llm.common import Scratch, chunks, rows, stored
 
 LEAST = 7
-#: Words in a block of a posting list.
-BLOCK = 256
+#: Code points of a gram.
+Q = 2
+#: Words of a group that is not dealt out further.
+GROUP = 256
 #: Different words that a task counts before it sends them on.
 HELD = 200_000
 RUNS = re.compile(f"[A-Za-zÀ-ÿ]{{{LEAST},}}")
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 WORD = pa.schema([("word", pa.string()), ("n", pa.int64())])
-GRAM = pa.schema([("word", pa.string()), ("n", pa.int64()), ("s", pa.int32()), ("gram", pa.string()), ("place", pa.int32())])
-BLOCKS = pa.schema([("s", pa.int32()), ("gram", pa.string()), ("size", pa.int32()), ("place", pa.int32()), ("first", pa.string()), ("words", pa.list_(pa.string())), ("ns", pa.list_(pa.int64()))])
 NEAR = pa.schema([("a", pa.string()), ("an", pa.int64()), ("b", pa.string()), ("bn", pa.int64())])
 
 
@@ -76,20 +74,6 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return found.groupBy("word").agg(F.sum("n").alias("n")).where("n >= 2")
 
 
-def width(s: int) -> int:
-    """The gram size of the index of s: a third of s, at least three, at most 32 for very long runs."""
-    return min(32, max(3, s // 3))
-
-
-def grams(word: str, q: int) -> list[str]:
-    return [word[i : i + q] for i in range(len(word) - q + 1)]
-
-
-def levels(word: str) -> list[int]:
-    """The indexes a word stands in: that of its own size, and that of one less for shorter words to find it."""
-    return [s for s in (len(word), len(word) - 1) if s >= LEAST]
-
-
 def one_edit(a: str, b: str) -> bool:
     """Whether b is a with exactly one code point replaced or, if longer by one, inserted."""
     if a == b:
@@ -100,127 +84,66 @@ def one_edit(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i:] == b[i + 1 :]
 
 
-def shared(a: list[str], b: list[str]) -> int:
-    """How many grams of a stand in b at their own place or, in a longer b, at most one place on; each gram of b counts once."""
-    n, k = 0, len(b) - len(a)
-    used = -1
-    for i, g in enumerate(a):
-        for j in range(max(i, used + 1), i + k + 1):
-            if b[j] == g:
-                n, used = n + 1, j
-                break
-    return n
-
-
-def prefixes(words: DataFrame) -> DataFrame:
-    """(word, n, s, gram, place): the q + 1 rarest grams of a word in each of its indexes, by (frequency, gram, place)."""
-
-    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def each() -> Iterator[tuple]:
-            for batch in batches:
-                for word, n in rows(batch, "word", "n"):
-                    for s in levels(word):
-                        for place, gram in enumerate(grams(word, width(s))):
-                            yield word, n, s, gram, place
-
-        yield from chunks(each(), GRAM)
-
-    all_grams = words.mapInArrow(every, "word string, n long, s int, gram string, place int")
-    often = all_grams.groupBy("s", "gram").agg(F.count("*").alias("often"))
-    # A word's grams meet again in one row: as many as its code points, of one word alone.
-    place = F.struct("often", "gram", "place")
-    q = F.least(F.lit(32), F.greatest(F.lit(3), F.floor(F.col("s") / 3)))
-    kept = all_grams.join(often, ["s", "gram"]).groupBy("word", "n", "s").agg(F.sort_array(F.collect_list(place)).alias("g"))
-    return kept.select("word", "n", "s", F.explode(F.slice("g", F.lit(1), (q + 1).cast("int"))).alias("g")).select("word", "n", "s", "g.gram", "g.place")
-
-
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Posting lists of sorted (s, gram, size, place, word, n), cut into blocks."""
-
-    def each() -> Iterator[tuple]:
-        key: tuple | None = None
-        words: list[str] = []
-        ns: list[int] = []
-        for batch in batches:
-            for *k, word, n in rows(batch, "s", "gram", "size", "place", "word", "n"):
-                if words and (k != key or len(words) >= BLOCK):
-                    yield *key, words[0], words, ns
-                    words, ns = [], []
-                key = k
-                words.append(word)
-                ns.append(n)
-        if words:
-            yield *key, words[0], words, ns
-
-    yield from chunks(each(), BLOCKS, 512)
-
-
-def merged(blocks: Iterator[tuple[str, list[str], list[int]]]) -> Iterator[tuple[str, int]]:
-    """Different words of blocks that come sorted by their first word, by a heap of the blocks that are open."""
-    heap: list[tuple[str, int, int, list[str], list[int]]] = []
-    last: str | None = None
-
-    def step() -> tuple[str, int]:
-        word, order, i, words, ns = heap[0]
-        if i + 1 < len(words):
-            heapq.heapreplace(heap, (words[i + 1], order, i + 1, words, ns))
-        else:
-            heapq.heappop(heap)
-        return word, ns[i]
-
-    for order, (first, words, ns) in enumerate(blocks):
-        while heap and heap[0][0] < first:
-            word, n = step()
-            if word != last:
-                yield word, n
-            last = word
-        heapq.heappush(heap, (first, order, 0, words, ns))
-    while heap:
-        word, n = step()
-        if word != last:
-            yield word, n
-        last = word
+def near_in_group(lo: int, hi: int, s: int, group: list[tuple[str, int]]) -> Iterator[tuple[str, int, str, int]]:
+    """Pairs (a, its n, b, its n) of one edit within [lo, hi) of a, of s code points; the words of the group agree outside, and a word of s + 1 has its further code point inside."""
+    postings: dict[tuple[str, int, int], list[int]] = defaultdict(list)
+    first = max(0, lo - Q + 1)
+    for k, (word, _) in enumerate(group):
+        for place in range(first, min(hi + len(word) - s, len(word) - Q + 1)):
+            postings[word[place : place + Q], place, len(word)].append(k)
+    # What a word of a size must share of the grams that touch the piece: all but q, of which those outside are shared by all.
+    least = {size: min(hi + size - s, size - Q + 1) - first - Q for size in (s, s + 1)}
+    everyone = [k for k, (word, _) in enumerate(group) if least[len(word)] < 1]
+    for k, (word, n) in enumerate(group):
+        if len(word) != s:
+            continue
+        lists = [everyone] if everyone else []
+        for place in range(first, min(hi, s - Q + 1)):
+            gram = word[place : place + Q]
+            lists += [postings[at] for at in ((gram, place, s), (gram, place, s + 1), (gram, place + 1, s + 1)) if at in postings]
+        for other, met in groupby(heapq.merge(*lists)):
+            b, m = group[other]
+            # Of two words of one size, the lesser finds the other.
+            if (len(b) > s or other > k) and sum(1 for _ in met) >= least[len(b)] and one_edit(word, b):
+                yield word, n, b, m
 
 
 def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one edit from sorted (word, n, first, words, ns)."""
+    """Pairs of one edit from rows that come sorted by hash, place and what lies outside of the place."""
 
     def each() -> Iterator[tuple]:
-        stream = (r for batch in batches for r in rows(batch, "word", "n", "first", "words", "ns"))
-        row = next(stream, None)
-        while row is not None:
-            word, n = row[0], row[1]
-
-            def own() -> Iterator[tuple[str, list[str], list[int]]]:
-                nonlocal row
-                while row is not None and row[0] == word:
-                    yield row[2], row[3], row[4]
-                    row = next(stream, None)
-
-            q = width(len(word))
-            mine = grams(word, q)
-            for other, m in merged(own()):
-                # Of two words of one size, the lesser finds the other; the bound is what one edit leaves of the longer word's grams.
-                if len(other) > len(word) or other > word:
-                    theirs = grams(other, q)
-                    if shared(mine, theirs) >= len(theirs) - q and one_edit(word, other):
-                        yield word, n, other, m
+        stream = (r for batch in batches for r in rows(batch, "s", "lo", "hi", "outside", "word", "n"))
+        for (s, lo, hi, _), group in groupby(stream, key=lambda r: r[:4]):
+            yield from near_in_group(lo, hi, s, [(word, n) for *_, word, n in group])
 
     yield from chunks(each(), NEAR)
 
 
 def near_words(words: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, an, b, bn): every pair of words that differ by exactly one code point, once."""
-    index = scratch.stored(prefixes(words), "grams")
-    size = F.char_length("word").cast("int")
-    key = ["s", "gram", "size", "place"]
-    sorted_index = index.withColumn("size", size).repartitionByRange(*key, "word").sortWithinPartitions(*key, "word")
-    lists = scratch.stored(sorted_index.mapInArrow(blocks, "s int, gram string, size int, place int, first string, words array<string>, ns array<bigint>"), "lists")
-    asked = index.where(size == F.col("s"))
-    wanted = F.array(*[F.struct((F.col("s") + d).cast("int").alias("size"), (F.col("place") + m).cast("int").alias("place")) for d, m in ((0, 0), (1, 0), (1, 1))])
-    asked = asked.withColumn("at", F.explode(wanted)).select("word", "n", "s", "gram", "at.size", "at.place")
-    got = asked.join(lists, key).select("word", "n", "first", "words", "ns")
-    return got.repartition("word").sortWithinPartitions("word", "first").mapInArrow(near, "a string, an long, b string, bn long")
+    size, s = F.char_length("word"), F.col("s")
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        """word, n, s and two halves [lo, hi) of the piece [low, high), with the hash of the group."""
+        middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+        halves = F.array(F.struct(F.col("low").alias("lo"), middle.alias("hi")), F.struct(middle.alias("lo"), F.col("high").alias("hi")))
+        out = rows.withColumn("half", F.explode(halves)).select("word", "n", "s", "half.lo", "half.hi")
+        return out.withColumn("h", F.xxhash64("s", "lo", "hi", outside))
+
+    outside = F.concat(F.substring("word", F.lit(1), F.col("lo")), F.lit(" "), F.substring("word", F.col("hi") + size - s + 1, size))
+    whole = words.withColumn("s", F.explode(F.array(size, size - 1))).where(s >= LEAST).select("word", "n", F.col("s").cast("int").alias("s"), F.lit(0).alias("low"), F.col("s").cast("int").alias("high"))
+    found: DataFrame | None = None
+    while True:
+        entries = dealt(whole)
+        often = entries.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
+        met = scratch.stored(entries.join(often, "h"), "groups")
+        hot = (F.col("m") > GROUP) & (F.col("hi") - F.col("lo") > 1)
+        ready = met.where(~hot).withColumn("outside", outside).repartition("h").sortWithinPartitions("h", "s", "lo", "hi", "outside", "word")
+        pairs = scratch.stored(ready.mapInArrow(near, "a string, an long, b string, bn long"), "near")
+        found = pairs if found is None else found.union(pairs)
+        whole = met.where(hot).select("word", "n", "s", F.col("lo").alias("low"), F.col("hi").alias("high"))
+        if whole.isEmpty():
+            return found.distinct()
 
 
 def variants(docs: DataFrame, times: int = 10) -> DataFrame:

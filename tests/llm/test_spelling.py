@@ -93,9 +93,10 @@ def planted():
     return docs
 
 
-@pytest.mark.parametrize("block", [3, 256])
-def test_planted_words(spark, block, monkeypatch):
-    monkeypatch.setattr(spelling, "BLOCK", block)
+@pytest.mark.parametrize("group", [1, 4, 256])
+def test_planted_words(spark, group, monkeypatch):
+    """Groups that are dealt out to the last code point, in part, or not at all."""
+    monkeypatch.setattr(spelling, "GROUP", group)
     docs = planted()
     got = rows(spelling.variants(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)))
     want = brute(docs)
@@ -112,7 +113,10 @@ def test_odd_rows(spark, odd, empty):
         spelling.variants(empty, times=1)
 
 
-def test_merge_keeps_few_blocks():
-    lists = [["a", "c", "e"], ["b", "c"], ["c", "z"], ["x", "y"]]
-    cut = sorted((block[0], block, list(range(len(block)))) for words in lists for block in (words[:2], words[2:]) if block)
-    assert [w for w, _ in spelling.merged(iter(cut))] == ["a", "b", "c", "e", "x", "y", "z"]
+def test_groups_find_each_edit_once():
+    """Every edit within the piece, at its ends and in runs of one letter; the bound holds off words of two edits."""
+    words = sorted({"abcdefgh", "abcdexgh", "abcdefg", "abcdeefgh", "abcdefggh", "abcdxygh", "abcdefxgh", "abcdeyxgh", "abcdzzzz"})
+    eight = [w for w in words if len(w) in (8, 9) and w.startswith("abcd")]
+    got = sorted((a, b) for a, _, b, _ in spelling.near_in_group(4, 8, 8, [(w, 1) for w in eight]))
+    assert got == sorted((a, b) for a in eight for b in eight if len(a) == 8 and (len(b) == 9 or b > a) and spelling.one_edit(a, b))
+    assert ("abcdefgh", "abcdeefgh") in got and ("abcdefgh", "abcdexgh") in got
