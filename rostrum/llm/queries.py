@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from rostrum.llm.bpe import encode_decode
-from rostrum.llm import embedding_dedup, exact, line_dedup, minhash, pii, quality, repeats, spelling, token_files
+from rostrum.llm import embedding_dedup, exact, line_dedup, minhash, pii, quality, ranked_search, repeats, spelling, token_files
 from rostrum.llm.common import shared_dir, table
 from rostrum.llm.packing import pack
 from rostrum.llm.token_counts import count_tokens
@@ -71,6 +71,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word with its form and root."""
     return spelling.variants(table(spark, sf_dir, "documents"))
@@ -94,8 +99,9 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_bpe": op9_bpe,
     "op10_pii": op10_pii,
+    "op11_ranked_search": op11_ranked_search,
     "op12_spelling": op12_spelling,
     "op13_token_files": op13_token_files,
 }
 #: For the others SQL has no such function, or is too slow on whole tables; tests hold them against brute force.
-ORACLES = {"op3_line_dedup": line_dedup.ORACLE, "op6_exact_dedup": exact.ORACLE}
+ORACLES = {"op3_line_dedup": line_dedup.ORACLE, "op6_exact_dedup": exact.ORACLE, "op11_ranked_search": ranked_search.ORACLE}
