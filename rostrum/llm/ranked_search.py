@@ -16,36 +16,31 @@ score are opened, since a tie may hold a lesser doc_id.
 from __future__ import annotations
 
 import heapq
-import re
 import string
-from array import array
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rostrum.llm.common import Scratch, chunks, fresh, rows, stored
+from rostrum.llm.common import Scratch, fresh, stored
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-TERMS = re.compile(TERM)
-LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
-#: Children of a node; documents and postings at which a shard is closed; queries that one task takes to a shard.
-FAN, MOST_DOCS, MOST_POSTINGS, LOT = 16, 1 << 14, 1 << 22, 256
-SHARD = pa.schema([("shard", pa.int64()), ("term", pa.string()), ("df", pa.int64()), ("top", pa.int64()), ("docs", pa.binary()), ("impacts", pa.binary()), ("tree", pa.binary())])
-SHARD_DDL = "shard long, term string, df long, top long, docs binary, impacts binary, tree binary"
+#: Whether a byte of UTF-8 belongs to a term, and the byte with A-Z lower-cased.
+IN_TERM = np.array([b > 127 or chr(b).isalnum() for b in range(256)])
+LOWERED = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
+#: Children of a node; levels of nodes; documents and terms at which a shard is closed; queries that one task takes to a shard.
+FAN, LEVELS, MOST_DOCS, MOST_TERMS, LOT = 16, 3, 1 << 14, 1 << 22, 256
+TREE = [name for level in range(1, LEVELS + 1) for name in (f"nodes{level}", f"best{level}")]
+SHARD = pa.schema([("shard", pa.int64()), ("term", pa.string()), ("df", pa.int64()), ("top", pa.int64()), ("docs", pa.binary()), ("impacts", pa.binary()), *[(t, pa.binary()) for t in TREE]])
+SHARD_DDL = "shard long, term string, df long, top long, docs binary, impacts binary, " + ", ".join(f"{t} binary" for t in TREE)
 FOUND = "q long, doc_id long, score long"
 
 
-def terms_of(text: str) -> list[str]:
-    """The terms of a text in order, A-Z lower-cased."""
-    return TERMS.findall(text.lower() if text.isascii() else text.translate(LOWER))
-
-
 def impact(tf: np.ndarray, length: np.ndarray, n_docs: int, all_terms: int) -> np.ndarray:
     """What a term's weight is multiplied by, in whole numbers: at most a million."""
     m = 100 - 50 + (50 * length.astype(np.int64) * n_docs) // max(all_terms, 1)
@@ -57,90 +52,122 @@ def tree_of(docs: np.ndarray, impacts: np.ndarray) -> list[tuple[np.ndarray, np.
     """(nodes, maxima) of each level, from ranges of FAN documents up to those whose children may be all of a shard."""
     out = []
     nodes, best = docs.astype(np.int32), impacts
-    span = FAN
-    while span < MOST_DOCS:
+    for _ in range(LEVELS):
         above = nodes // FAN
         first = np.flatnonzero(np.concatenate([[True], above[1:] != above[:-1]]))
         nodes, best = above[first], np.maximum.reduceat(best, first)
         out.append((nodes, best))
-        span *= FAN
-    return out
-
-
-def packed_tree(levels: list[tuple[np.ndarray, np.ndarray]]) -> bytes:
-    return b"".join(np.concatenate([[len(nodes)], nodes, best]).astype("<i4").tobytes() for nodes, best in levels)
-
-
-def unpacked_tree(data: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
-    numbers, at, out = np.frombuffer(data, "<i4"), 0, []
-    while at < len(numbers):
-        n = int(numbers[at])
-        out.append((numbers[at + 1 : at + 1 + n], numbers[at + 1 + n : at + 1 + 2 * n]))
-        at += 1 + 2 * n
     return out
 
 
 class ShardBuilder:
-    """Gathers the documents of one shard; rows() gives its rows."""
+    """Gathers the terms of one shard's documents as UTF-8, a lot of texts at a time; batch() gives its rows."""
 
     def __init__(self) -> None:
-        self.doc_ids: list[int | None] = []
-        self.lengths = array("q")
-        self.numbers: dict[str, int] = {}
-        self.term, self.doc, self.tf = array("i"), array("i"), array("i")
-
-    def add(self, doc_id: int | None, text: str) -> None:
-        found = terms_of(text)
-        counts = Counter(found)
-        numbers = self.numbers
-        self.term.extend([numbers.setdefault(t, len(numbers)) for t in counts])
-        self.tf.extend(counts.values())
-        self.doc.extend([len(self.doc_ids)] * len(counts))
-        self.doc_ids.append(doc_id)
-        self.lengths.append(len(found))
-
-    def full(self, most_docs: int) -> bool:
-        return len(self.doc_ids) >= most_docs or len(self.tf) >= MOST_POSTINGS
-
-    def rows(self, shard: int, n_docs: int, all_terms: int) -> Iterator[tuple]:
-        """One row without a term that names the documents, then one for each term; short lists need no tree."""
-        named = np.array([d is not None for d in self.doc_ids], dtype="u1")
-        yield shard, None, len(self.doc_ids), 0, np.array([d or 0 for d in self.doc_ids], dtype="<i8").tobytes(), named.tobytes(), b""
-        term = np.frombuffer(self.term, np.int32) if self.term else np.zeros(0, np.int32)
-        order = np.argsort(term, kind="stable")
-        doc = np.frombuffer(self.doc, np.int32)[order] if len(order) else term
-        tf = np.frombuffer(self.tf, np.int32)[order] if len(order) else term
-        lengths = np.frombuffer(self.lengths, np.int64) if self.lengths else np.zeros(0, np.int64)
+        self.doc_ids: list[pa.Array] = []
+        self.lengths: list[np.ndarray] = []
+        self.terms: list[pa.Array] = []
+        self.docs = self.tokens = 0
+
+    def add(self, doc_ids: pa.Array, texts: pa.Array) -> None:
+        terms, lengths = split_terms(texts)
+        self.doc_ids.append(doc_ids)
+        self.lengths.append(lengths)
+        self.terms.append(terms)
+        self.docs, self.tokens = self.docs + len(lengths), self.tokens + len(terms)
+
+    def batch(self, shard: int, n_docs: int, all_terms: int) -> pa.RecordBatch:
+        """A row without a term that names the documents, and one for each term; lists of up to FAN documents need no tree."""
+        coded = pa.chunked_array(self.terms, pa.large_string()).combine_chunks()
+        coded = (pa.concat_arrays(coded.chunks) if isinstance(coded, pa.ChunkedArray) else coded).dictionary_encode()
+        lengths = np.concatenate(self.lengths)
+        key = np.sort(coded.indices.to_numpy().astype(np.int64) * self.docs + np.repeat(np.arange(self.docs), lengths))
+        first = firsts(key)
+        tf = np.diff(np.append(first, len(key)))
+        term, doc = np.divmod(key[first], self.docs)
         impacts = impact(tf, lengths[doc], n_docs, all_terms).astype("<i4")
-        doc = doc.astype("<u2")
-        at = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(self.numbers)))]).tolist()
-        for name, k in self.numbers.items():
-            a, b = at[k], at[k + 1]
-            tree = packed_tree(tree_of(doc[a:b], impacts[a:b])) if b - a > FAN else b""
-            yield shard, name, b - a, int(impacts[a:b].max()), doc[a:b].tobytes(), impacts[a:b].tobytes(), tree
+        n = len(coded.dictionary)
+        df = np.bincount(term, minlength=n)
+        start = np.concatenate([[0], np.cumsum(df)])
+        ids = pa.chunked_array(self.doc_ids, pa.int64())
+        columns = [
+            np.full(n + 1, shard), pa.concat_arrays([pa.array([None], pa.large_string()), coded.dictionary]).cast(pa.string()), np.append(self.docs, df), np.append(0, np.maximum.reduceat(impacts, start[:-1]) if n else start[:0]),
+            after(ids.fill_null(0).to_numpy().astype("<i8"), doc.astype("<u2"), start), after(ids.is_valid().to_numpy().astype("u1"), impacts, start),
+        ]
+        deep = (df > FAN)[term]
+        term, node, best = term[deep], doc[deep], impacts[deep]
+        for _ in range(LEVELS):
+            at = firsts(term * MOST_DOCS + node // FAN)
+            term, node, best = term[at], node[at] // FAN, np.maximum.reduceat(best, at) if len(at) else best
+            start = np.searchsorted(term, np.arange(n + 1))
+            columns += [after(np.zeros(0, "u1"), node.astype("<u2"), start), after(np.zeros(0, "u1"), best.astype("<i4"), start)]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) if isinstance(c, np.ndarray) else c for c, f in zip(columns, SHARD)], schema=SHARD)
+
+
+def firsts(key: np.ndarray) -> np.ndarray:
+    """Where a sorted array has another value than before."""
+    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+
+
+def after(head: np.ndarray, values: np.ndarray, start: np.ndarray) -> pa.Array:
+    """A binary array of head and then values from each start to the next."""
+    data = head.tobytes() + values.tobytes()
+    offsets = np.append(0, head.nbytes + start * values.itemsize).astype("<i4")
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
+
+
+def split_terms(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The terms of texts one after another, and how many each text has. Bytes decide: those of ASCII letters, digits and of all further characters are terms'."""
+    texts = texts.cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
+    edges = offsets - offsets[0]
+    inside = IN_TERM[data]
+    new = inside.copy()
+    new[1:] &= ~inside[:-1]
+    at = edges[:-1][edges[:-1] < len(data)]
+    new[at] = inside[at]
+    count = np.concatenate([[0], np.cumsum(new)])
+    kept = LOWERED[data[inside]]
+    starts = np.flatnonzero(new[inside])
+    bounds = np.append(starts, len(kept)).astype(np.int64)
+    terms = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(kept.tobytes())])
+    return terms, np.diff(count[edges])
+
+
+def lots_of(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """doc_ids and texts, at most `most` and about 4 MB at a time, a longer text alone."""
+    for batch in batches:
+        doc_ids, texts = batch.column("doc_id").cast(pa.int64()), batch.column("text")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy())
+        at = 0
+        while at < len(texts):
+            before = ends[at - 1] if at else 0
+            stop = max(at + 1, min(at + most, int(np.searchsorted(ends, before + (4 << 20), "right"))))
+            yield doc_ids.slice(at, stop - at), texts.slice(at, stop - at)
+            at = stop
 
 
 def build(docs: DataFrame, scratch: Scratch, most_docs: int = MOST_DOCS) -> tuple[DataFrame, int]:
     """(index, N): a row for each term of each shard, and one with the shard's doc_ids where term is null; N documents hold a term."""
-    text = docs.select("doc_id", "text").where("text IS NOT NULL")
-    size = F.regexp_count("text", F.lit(TERM)).cast("long")
-    n_docs, all_terms = text.select(size.alias("n")).where("n > 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, shard = TaskContext.get().partitionId() << 32, ShardBuilder()
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in lots_of(batches, MOST_DOCS):
+            lengths = split_terms(texts)[1]
+            yield pa.RecordBatch.from_pydict({"n": [int((lengths > 0).sum())], "terms": [int(lengths.sum())]})
 
-        def each() -> Iterator[tuple]:
-            nonlocal base, shard
-            for batch in batches:
-                for doc_id, text in rows(batch, "doc_id", "text"):
-                    shard.add(doc_id, text)
-                    if shard.full(most_docs):
-                        yield from shard.rows(base, n_docs, all_terms)
-                        base, shard = base + 1, ShardBuilder()
-            if shard.doc_ids:
-                yield from shard.rows(base, n_docs, all_terms)
+    n_docs, all_terms = text.mapInArrow(sizes, "n long, terms long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("terms"), F.lit(0))).first()
 
-        yield from chunks(each(), SHARD)
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, shard = TaskContext.get().partitionId() << 32, ShardBuilder()
+        for doc_ids, texts in lots_of(batches, most_docs):
+            if shard.docs and (shard.docs + len(texts) > most_docs or shard.tokens >= MOST_TERMS):
+                yield shard.batch(number, n_docs, all_terms)
+                number, shard = number + 1, ShardBuilder()
+            shard.add(doc_ids, texts)
+        if shard.docs:
+            yield shard.batch(number, n_docs, all_terms)
 
     return scratch.stored(text.mapInArrow(of, SHARD_DDL), "index"), n_docs
 
@@ -157,13 +184,15 @@ class Shard:
         docs = [np.frombuffer(d, "<u2").astype(np.int32) for d in lists["docs"]]
         impacts = [np.frombuffer(f, "<i4") for f in lists["impacts"]]
         sizes, span = [], len(self.doc_ids)
-        while not sizes or len(sizes) < len(tree_of(np.zeros(1, np.int32), np.zeros(1, np.int32))):
+        for _ in range(LEVELS):
             span = -(-span // FAN)
             sizes.append(span)
         #: The greatest impact of each term in each node, level by level; few terms of a query make few rows of it.
         self.levels = [np.zeros((len(docs), size), dtype=np.int64) for size in sizes]
-        for k, (d, f, tree) in enumerate(zip(docs, impacts, lists["tree"])):
-            for level, (nodes, best) in zip(self.levels, unpacked_tree(tree) if tree else tree_of(d, f)):
+        kept = zip(*[lists[t] for t in TREE])
+        for k, (d, f, tree) in enumerate(zip(docs, impacts, kept)):
+            levels = [(np.frombuffer(tree[i], "<u2"), np.frombuffer(tree[i + 1], "<i4")) for i in range(0, len(TREE), 2)] if tree[0] else tree_of(d, f)
+            for level, (nodes, best) in zip(self.levels, levels):
                 level[k, nodes] = best
         doc = np.concatenate(docs) if docs else np.zeros(0, np.int32)
         order = np.argsort(doc // FAN, kind="stable")
@@ -224,8 +253,10 @@ def search(docs: DataFrame, queries: DataFrame, text: str = "text", k: int = 50,
         lots = asked.count() // LOT + 1
         lowered = F.translate(F.col(text), string.ascii_uppercase, string.ascii_lowercase)
         wanted = asked.select(F.col(q).alias("q"), F.explode(F.array_distinct(F.regexp_extract_all(lowered, F.lit(TERM), F.lit(0)))).alias("term"))
+        # From here on the index is what the queries ask of it, and the shards' names.
+        index = scratch.stored(index.join(wanted.select("term", F.lit(True).alias("asked")).distinct(), "term", "left").where("term IS NULL OR asked").select(*SHARD.names), "asked")
         held = index.where("term IS NOT NULL")
-        df = held.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
+        df = held.groupBy("term").agg(F.sum("df").alias("df"))
         weight = F.floor(1000 * F.log((F.lit(2.0) * n_docs + 2) / (2 * F.col("df") + 1).cast("double"))).cast("long")
         wanted = scratch.stored(wanted.join(df, "term").select("q", "term", weight.alias("w")).where("w > 0"), "wanted")
         bounds = scratch.stored(held.select("shard", "term", "top").join(wanted, "term").groupBy("q", "shard").agg(F.sum(F.col("top") * F.col("w")).alias("bound")), "bounds")
@@ -257,7 +288,8 @@ def searched(index: DataFrame, wanted: DataFrame, pairs: DataFrame, k: int, lots
     needed = pairs.join(wanted, "q").select("shard", lot, "term").distinct()
     lists = index.where("term IS NOT NULL").join(needed, ["shard", "term"])
     names = index.where("term IS NULL").join(needed.select("shard", "lot").distinct(), "shard")
-    whole = lists.select("shard", "lot", "term", "docs", "impacts", "tree").unionByName(names.select("shard", "lot", "term", "docs", "impacts", "tree"))
+    columns = ["shard", "lot", "term", "docs", "impacts", *TREE]
+    whole = lists.select(*columns).union(names.select(*columns))
     asked = pairs.join(wanted.groupBy("q").agg(F.collect_list(F.struct("term", "w")).alias("t")), "q").select("shard", lot, "q", "least", F.col("t.term").alias("terms"), F.col("t.w").alias("ws"))
     return whole.groupBy("shard", "lot").cogroup(asked.groupBy("shard", "lot")).applyInPandas(of, FOUND)
 

@@ -6,7 +6,7 @@ import string
 from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pytest
 
 from rostrum.llm import ranked_search
@@ -65,12 +65,12 @@ def test_empty_tables(spark, odd, empty):
     assert ranked_search.search(odd, questions.limit(0)).collect() == []
 
 
-def shard_of(texts, n_docs=None):
+def shard_of(texts):
     builder = ranked_search.ShardBuilder()
-    for i, t in enumerate(texts):
-        builder.add(i * 3, t)
-    made = list(builder.rows(0, n_docs or len(texts), sum(builder.lengths)))
-    return ranked_search.Shard(pd.DataFrame(made, columns=ranked_search.SHARD.names))
+    for i in range(0, len(texts), 300):
+        part = texts[i : i + 300]
+        builder.add(pa.array([3 * (i + k) for k in range(len(part))]), pa.array(part))
+    return ranked_search.Shard(builder.batch(0, len(texts), builder.tokens).to_pandas())
 
 
 def test_bounds_prune_and_ties_stay():
@@ -90,11 +90,20 @@ def test_bounds_prune_and_ties_stay():
 
 
 def test_trees_hold_maxima():
+    """Stored trees, and those that short lists are given when read, have each range's greatest impact."""
     rng = np.random.default_rng(4)
-    docs = np.sort(rng.choice(1 << 14, 900, replace=False))
-    impacts = rng.integers(1, 10**6, 900)
-    levels = ranked_search.tree_of(docs, impacts)
-    assert [(n.tolist(), b.tolist()) for n, b in ranked_search.unpacked_tree(ranked_search.packed_tree(levels))] == [(n.tolist(), b.tolist()) for n, b in levels]
-    for level, (nodes, best) in enumerate(levels, 1):
-        of = docs // ranked_search.FAN**level
-        assert {int(n): int(b) for n, b in zip(nodes, best)} == {int(n): int(impacts[of == n].max()) for n in set(of.tolist())}
+    shard = shard_of([" ".join(["often"] * int(rng.integers(0, 5)) + ["seldom"] * (k % 500 == 7) + ["x"] * int(rng.integers(1, 60))) for k in range(3000)])
+    for name in ("often", "seldom"):
+        t = shard.number[name]
+        mine = shard.term == t
+        for level, best in enumerate(shard.levels, 1):
+            of = shard.doc[mine] // ranked_search.FAN**level
+            assert best[t].tolist() == [max(shard.impact[mine][of == n], default=0) for n in range(best.shape[1])]
+
+
+def test_terms_are_the_patterns():
+    texts = [t or "" for _, t in odd_texts()] + ["", "ab", "", "AB cd", "é", "—x", "9", ""]
+    array = pa.array(["not read", *texts]).slice(1)
+    found, lengths = ranked_search.split_terms(array)
+    assert found.to_pylist() == [x for t in texts for x in terms(t)]
+    assert lengths.tolist() == [len(terms(t)) for t in texts]
