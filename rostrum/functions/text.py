@@ -105,6 +105,31 @@ def base_name(name: Column) -> Column:
     return F.trim(F.regexp_replace(out, " +", " "))
 
 
+# Words of an edition's name that tell its competitions apart and not the event: arms, genders, team or not, links.
+ARM_WORDS = "epee espada fleuret florete foil saber sable sabre"
+GENDER_WORDS = "dame fem femenina femenino homme masc masculina masculino men mixed mixta mixto women"
+TEAM_WORDS = "equipe equipo individual individuel individuelle individuale team"
+LINK_WORDS = "and d de del des du e el et la las los of par por s the y"
+ALIKE = "championnat championship championat campeonato campionato campionat"
+
+
+def edition_base(name: Column) -> Column:
+    """What the names of one event's editions share: words without years, arms, genders, team and links.
+
+    Age groups stay in one form (u15, sub 15, m-15 are m15); championships count as one
+    championship; grand veterans and the bands of veterans' ages are veterans.
+    """
+    glued = F.regexp_replace(F.concat(F.lit(" "), search_form(name), F.lit(" ")), " (m|u|sub) ?([0-9]{1,2})(?= )", " m$2")
+    tokens = F.filter(F.split(glued, " "), lambda w: w != "")
+    old = F.exists(tokens, lambda w: w.isin("veteran", "veterans", "veterano", "veteranos"))
+    plural = [w + "s" for words in (ARM_WORDS, GENDER_WORDS, TEAM_WORDS) for w in words.split()] + ["individuales"]
+    dropped = " ".join([ARM_WORDS, GENDER_WORDS, TEAM_WORDS, LINK_WORDS]).split() + plural
+    band = lambda w: old & (w.rlike("^[0-9]{2}$") | w.isin("grand", "grands"))
+    kept = F.filter(tokens, lambda w: ~w.isin(dropped) & ~w.rlike("^(19|20)[0-9]{2}$") & ~band(w))
+    one = F.transform(kept, lambda w: F.when(w.isin([a + "s" for a in ALIKE.split()]), F.rtrim(w, F.lit("s"))).otherwise(w))
+    return F.array_join(one, " ")
+
+
 # What a competition's name says about its type: phrase of the folded name, type, level; the first that is found counts.
 TYPES = [("world cup", "WORLD_CUP", 2), ("championship", "CHAMPIONSHIP", 1), ("grand", "GRAND_PRIX", 2), ("satellite", "SATELLITE", 4), ("open", "OPEN", 5), ("cup", "CUP", 5)]
 

@@ -26,6 +26,22 @@ def overlapping(left: DataFrame, right: DataFrame, keys: Sequence[str], l: tuple
     return lb.join(rb, [*keys, "__b"]).where((F.col(l[0]) <= F.col(r[1])) & (F.col(r[0]) <= F.col(l[1]))).drop("__b")
 
 
+def contained(small: DataFrame, large: DataFrame, keys: Sequence[str], l: tuple[str, str], r: tuple[str, str], longest: int, id: str, of_small: str, of_large: str) -> DataFrame:
+    """Pairs with equal keys and meeting intervals where the array of_small holds nothing that of_large has not.
+
+    A small row looks for its partners by that of its elements which the fewest large
+    rows of its keys hold, so a common element, or a common key, costs no more than the
+    rarest element that comes with it. Rows with empty or null arrays have no partners;
+    `id` names a small row; intervals are as in overlapping().
+    """
+    elements = large.withColumn("__x", F.explode(F.array_distinct(of_large)))
+    often = elements.groupBy(*keys, "__x").agg(F.count("*").alias("__often"))
+    asked = small.select(id, *keys, F.explode(of_small).alias("__x")).join(often, [*keys, "__x"], "left")
+    rarest = asked.groupBy(id).agg(F.min_by("__x", F.struct(F.coalesce("__often", F.lit(0)), "__x")).alias("__x"))
+    pairs = overlapping(small.join(rarest, id), elements, [*keys, "__x"], l, r, longest)
+    return pairs.where(F.size(F.array_except(of_small, of_large)) == 0).drop("__x")
+
+
 def only_candidate(pairs: DataFrame, left: Sequence[str], right: Sequence[str]) -> DataFrame:
     """Pairs that are the only one on both sides."""
     both = pairs.withColumns({"__l": F.count("*").over(Window.partitionBy(*left)), "__r": F.count("*").over(Window.partitionBy(*right))})

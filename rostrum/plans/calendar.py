@@ -335,8 +335,3 @@ def eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = p.join(own, F.col("birth_year").between(F.col("own.lo"), F.col("own.hi"))).join(up, F.col("up.step") >= F.col("own.step"))
     out = df.groupBy("person", "birth_year", F.col("own.category").alias("own")).agg(F.sort_array(F.collect_list(F.struct("up.step", "up.category"))).alias("a"))
     return out.select("person", "birth_year", "own", F.array_join(F.transform("a", lambda x: x["category"]), ",").alias("allowed"))
-
-
-@R.add(using("SELECT a, b, count(*) AS n FROM bout WHERE season = '1997-1998' GROUP BY a, b HAVING count(*) > 1", "bout"))
-def bout_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bouts(spark, sf_dir).where("season = '1997-1998'").groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1")
