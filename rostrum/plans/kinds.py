@@ -38,19 +38,25 @@ def pick_sql(values: list, key: str) -> str:
     return f"([{listed}])[1 + {key} % {len(values)}]"
 
 
+def means_sql(meaning: str) -> str:
+    """Whether a word of the list w has a meaning."""
+    each = [f"starts_with(x, '{w[:-1]}')" if w.endswith("*") else f"x = '{w}'" for w in K.MEANS[meaning].split()]
+    return f"len(list_filter(w, lambda x: {' OR '.join(each)})) > 0"
+
+
 def kinds_sql(rows: str) -> dict[str, str]:
     """Expressions that end in `kinded`: the rows (title, source, country, event_scope, circuit) with kind, origin, subtype, scope, weight, medal_level, chart."""
-    cases = " ".join(f"WHEN regexp_matches(form, '\\b({words})\\b') THEN '{kind}'" for words, kind in K.NAMED)
+    cases = " ".join(f"WHEN {' AND '.join(map(means_sql, needed.split()))} THEN '{kind}'" for kind, needed in K.EVIDENCE)
     of = lambda values, key: f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in values.items()) + " END"
     number = lambda i: "CASE kind " + " ".join(f"WHEN '{k}' THEN {v[i]}" for k, v in K.KINDS.items()) + " END"
     away = "(source IN ('fie', 'efc') OR coalesce(event_scope = 'INTERNACIONAL', false) OR coalesce(country <> 'ESP', false))"
     return {
-        "formed": f"SELECT *, {form_sql('title')} AS form, {of(K.CIRCUITS, 'circuit')} AS documented, {away} AS away FROM ({rows})",
+        "formed": f"SELECT *, string_split({form_sql('title')}, ' ') AS w, {of(K.CIRCUITS, 'circuit')} AS documented, {away} AS away FROM ({rows})",
         "told": f"SELECT *, CASE {cases} END AS named FROM formed",
         "kind0": """SELECT *, CASE WHEN documented IS NOT NULL THEN documented WHEN source = 'efc' THEN CASE WHEN named = 'CTO_EUROPA' THEN named ELSE 'CIRCUITO_EUROPEO' END WHEN named IS NOT NULL THEN named
             WHEN source = 'skermo_regional' OR event_scope = 'AUTONOMICO' THEN 'AUTONOMICO' WHEN away THEN 'INTERNACIONAL_OTRO' WHEN source IN ('rfee_pdf', 'engarde') OR source LIKE 'skermo%' OR event_scope = 'NACIONAL' THEN 'NACIONAL_OTRO' ELSE 'OTRO' END AS kind,
             CASE WHEN documented IS NOT NULL THEN 'calendar' WHEN source <> 'efc' AND named IS NOT NULL THEN 'name' ELSE 'context' END AS origin FROM told""",
-        "kind1": f"""SELECT *, CASE WHEN regexp_matches(form, '\\b({K.MEDITERRANEAN})\\b') THEN CASE kind WHEN 'CTO_CONTINENTAL' THEN 'CTO_MEDITERRANEO' WHEN 'JUEGOS_MULTIDEPORTE' THEN 'JUEGOS_MEDITERRANEOS' END END AS subtype,
+        "kind1": f"""SELECT *, CASE WHEN {means_sql('mediterranean')} THEN CASE kind WHEN 'CTO_CONTINENTAL' THEN 'CTO_MEDITERRANEO' WHEN 'JUEGOS_MULTIDEPORTE' THEN 'JUEGOS_MEDITERRANEOS' END END AS subtype,
             coalesce({of({k: v[0] for k, v in K.KINDS.items() if v[0]}, 'kind')}, CASE WHEN away THEN 'internacional' ELSE 'nacional' END) AS kind_scope, {number(1)} AS weight, {number(2)} AS medal_level FROM kind0""",
         "kinded": f"SELECT *, coalesce(subtype, CASE WHEN kind = 'OTRO' THEN CASE kind_scope WHEN 'internacional' THEN 'INTERNACIONAL_OTRO' ELSE 'NACIONAL_OTRO' END END, {of(K.CHARTED, 'kind')}, kind) AS chart FROM kind1",
     }
@@ -58,7 +64,7 @@ def kinds_sql(rows: str) -> dict[str, str]:
 
 def with_kinds(df: DataFrame) -> DataFrame:
     title, source, country, event, circuit = (F.col(c) for c in ("title", "source", "country", "event_scope", "circuit"))
-    df = df.withColumns({"kind": K.kind(title, source, country, event, circuit), "origin": K.provenance(title, source, circuit)})
+    df = df.withColumn("told", K.told(title, source, country, event, circuit)).withColumns({"kind": F.col("told.kind"), "origin": F.col("told.origin")}).drop("told")
     df = df.withColumns({"subtype": K.subtype(F.col("kind"), title), "kind_scope": K.scope(F.col("kind"), source, country, event), "weight": K.weight(F.col("kind")), "medal_level": K.medal_level(F.col("kind"))})
     return df.withColumn("chart", K.charted(F.col("kind"), F.col("subtype"), F.col("kind_scope")))
 

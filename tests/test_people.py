@@ -102,6 +102,15 @@ def test_encounters(spark):
     ]
 
 
+# A name for each piece of evidence.
+NAMES = {
+    "Olympic Games": "JUEGOS_OLIMPICOS", "Youth Olympic Games": "JUEGOS_MULTIDEPORTE", "World Fencing Championships": "CTO_MUNDO", "Mundial Juvenil": "CTO_MUNDO", "European U23 Fencing Championships": "CTO_EUROPA", "Pan American Championships": "CTO_CONTINENTAL",
+    "Campeonato Iberoamericano": "CTO_CONTINENTAL", "Universiade": "JUEGOS_MULTIDEPORTE", "Jeux de la Francophonie": "JUEGOS_MULTIDEPORTE", "University Games": "JUEGOS_MULTIDEPORTE", "Juegos Europeos": "JUEGOS_MULTIDEPORTE", "Juegos Panamericanos": "JUEGOS_MULTIDEPORTE",
+    "Copa del Mundo": "COPA_MUNDO", "Gran Premio de Qatar": "GRAN_PREMIO", "Satellite Open": "SATELITE", "EFC Open": "CIRCUITO_EUROPEO", "European Circuit": "CIRCUITO_EUROPEO", "Cadet Circuit": "CIRCUITO_EUROPEO", "European Cadet Cup": "CIRCUITO_EUROPEO",
+    "Cto Esp Junior": "CTO_ESPANA", "TNR ABS (3/3)": "TNR", "Torneo Nacional de Ranking": "TNR", "TLM 2": "LIGA_MASTER", "Primera División": "LIGA_CLUBES", "Criterium M15": "CRITERIUM", "Trofeo Territorial": "AUTONOMICO", "Campeonato de La Rioja": "AUTONOMICO",
+}
+
+
 def test_kinds(spark):
     cases = [
         ("Jeux Olympiques de la Jeunesse", "fie", "FRA", None, None, "JUEGOS_MULTIDEPORTE", "internacional", "JUEGOS_OTROS", "name"), ("Championnats du Monde", "fie", None, None, None, "CTO_MUNDO", "internacional", "CTO_MUNDO", "name"),
@@ -113,13 +122,14 @@ def test_kinds(spark):
         ("Trofeo", "engarde", "FRA", None, None, "INTERNACIONAL_OTRO", "internacional", "INTERNACIONAL_OTRO", "context"), ("Trofeo", "engarde", None, None, None, "NACIONAL_OTRO", "nacional", "NACIONAL_OTRO", "context"),
         ("Trofeo", "ophardt", "ESP", None, None, "OTRO", "nacional", "NACIONAL_OTRO", "context"), (None, None, None, "NACIONAL", None, "NACIONAL_OTRO", "nacional", "NACIONAL_OTRO", "context"), ("", "ophardt", "", None, "OTRO", "OTRO", "nacional", "NACIONAL_OTRO", "context"),
         ("Campeonato de España", "skermo_rfee", "ESP", "NACIONAL", None, "CTO_ESPANA", "nacional", "CTO_ESPANA", "name"), ("Campeonato de Galicia", "skermo_rfee", "ESP", None, None, "AUTONOMICO", "nacional", "AUTONOMICO", "name"),
+        *[(n, "ophardt", None, None, None, k, "internacional" if kinds.KINDS[k][0] == "internacional" else "nacional", kinds.CHARTED.get(k, k), "name") for n, k in NAMES.items()],
     ]
     df = spark.createDataFrame(cases, "title string, source string, country string, event_scope string, circuit string, k string, s string, c string, o string")
     from rostrum.plans.kinds import with_kinds
 
     got = with_kinds(df).collect()
-    assert [(r.title, r.kind, r.kind_scope, r.chart, r.origin) for r in got] == [(r.title, r.k, r.s, r.c, r.o) for r in got]
-    assert set(kinds.CIRCUITS.values()) | {k for _, k in kinds.NAMED} <= set(kinds.KINDS)
+    assert [(r.title, r.kind, r.kind_scope, r.chart, r.origin) for r in got] == [(r.title, r.k, r.s, r.c, r.o) for r in got] and len(got) > 40
+    assert set(kinds.CIRCUITS.values()) | {k for k, _ in kinds.EVIDENCE} <= set(kinds.KINDS) and {m for _, ms in kinds.EVIDENCE for m in ms.split()} <= set(kinds.MEANS)
 
 
 def test_qualification(spark):
