@@ -118,35 +118,46 @@ TAILS = ["24-bis", "26-27", "2025-2026 V3", "18 19", "actualizadaSept25.pdf", "_
 LETTER = " || ' ' || ".join(pick_sql(v, f"(p_partkey // {d})") for v, d in ((HEADS, 1), (SUBJECTS, 3), (TAILS, 2)))
 
 
-def words_sql(c: str) -> str:
-    plain = f"replace(regexp_replace(upper({fold_sql(c)}), '\\.(PDF|DOCX?|XLSX?)$', ''), '_', ' ')"
-    for _ in range(2):  # RE2 has no look-ahead: a letter between two hyphens needs a second pass
-        plain = f"regexp_replace({plain}, '([A-Z])-([A-Z])', '\\1 \\2', 'g')"
-    return f"trim(regexp_replace({plain}, '\\s+', ' ', 'g'))"
+def places_sql(condition: str) -> str:
+    """The places i of the tokens t where a condition holds."""
+    return f"list_filter(range(1, len(t) + 1), lambda i: coalesce({condition}, false))"
 
 
-def subject_sql(c: str) -> str:
-    for pattern in T.APART:
-        c = f"regexp_replace({c}, '{pattern}', ' ', 'g')"
-    for many, one in T.ONE_FORM.items():
-        c = f"regexp_replace({c}, '\\b{many}\\b', '{one}', 'g')"
-    return f"trim(regexp_replace({c}, '[^A-Z0-9]+', ' ', 'g'))"
+def digits_sql(token: str, least: int, most: int) -> str:
+    return f"regexp_full_match({token}, '[0-9]{{{least},{most}}}')"
 
 
-def years_sql(a: str, b: str) -> str:
-    return f"CASE WHEN try_cast({b} AS INTEGER) = try_cast({a} AS INTEGER) + 1 THEN '20' || {a} || '-20' || {b} END"
-
+def marked_sql(words: str) -> str:
+    return "(" + " OR ".join(f"starts_with(x, '{w[:-1]}')" if w.endswith("*") else f"x = '{w}'" for w in words.split()) + ")"
 
-GROUP = lambda pattern, n: f"nullif(regexp_extract(words, '{pattern}', {n}), '')"
-SEASON_SQL = f"""coalesce({GROUP(T.LONG_SEASON, 1)} || '-' || {GROUP(T.LONG_SEASON, 2)}, {years_sql("substr(short, 1, 2)", "right(short, 2)")}, {years_sql(GROUP(T.LAST_SEASON, 1), GROUP(T.LAST_SEASON, 2))})"""
 
-
-@R.add(f"""SELECT p_partkey, CAST(CAST({GROUP(T.NUMBER, 1)} AS INTEGER) AS VARCHAR) || '-' || {GROUP(T.NUMBER, 2)} AS number, {SEASON_SQL} AS season, CAST({GROUP(T.VERSION, 1)} AS INTEGER) AS version, CAST({GROUP(T.SEQUENCE, 1)} AS INTEGER) AS sequence,
-    {', '.join(f"regexp_matches(words, '{p}') AS {n}" for n, p in T.MARKS.items())}, {subject_sql('words')} AS subject
-    FROM (SELECT *, regexp_extract_all(regexp_replace(words, '{T.DATE}', ' ', 'g'), '{T.SHORT_SEASONS}')[-1] AS short FROM (SELECT p_partkey, {words_sql(LETTER)} AS words FROM part))""")
+def years_sql(a: str, b: str) -> str:
+    return f"CASE WHEN {digits_sql(a, 2, 2)} AND {digits_sql(b, 2, 2)} AND try_cast({b} AS INTEGER) = try_cast({a} AS INTEGER) + 1 THEN '20' || {a} || '-20' || {b} END"
+
+
+SECOND = "t[i + CASE WHEN t[i + 2] = '-' THEN 3 ELSE 2 END]"
+TOKENS_SQL = f"regexp_extract_all(regexp_replace(upper({fold_sql(LETTER)}), '\\.(PDF|DOCX?|XLSX?)$', ''), '{T.TOKEN}')"
+PLACES = {
+    "number_at": f"{places_sql(f"t[i] = 'CIRCULAR' AND {digits_sql('t[i + 1]', 1, 3)} AND {digits_sql(SECOND, 2, 2)}")}[1]",
+    "full_at": f"{places_sql(f"{digits_sql('t[i]', 4, 4)} AND t[i + 1] IN ('-', '/') AND {digits_sql('t[i + 2]', 4, 4)}")}[1]",
+    "pair_at": f"""{places_sql(f"{digits_sql('t[i]', 2, 2)} AND t[i + 1] IN ('-', '/') AND {digits_sql('t[i + 2]', 2, 2)} AND NOT coalesce(t[i + 3] IN ('-', '/') AND regexp_full_match(t[i + 4], '[0-9]+'), false) AND NOT coalesce(i > 2 AND t[i - 1] IN ('-', '/') AND {digits_sql('t[i - 2]', 2, 2)}, false)")}[-1]""",
+    "version_at": f"{places_sql("regexp_full_match(t[i], 'V[0-9]{1,2}')")}[1]", "sequence_at": f"{places_sql(f"{digits_sql('t[i]', 4, 4)} AND t[i + 1] = '-' AND t[i + 2] SIMILAR TO '[2-9]'")}[1]",
+    "bis_at": places_sql("t[i + 1] = 'BIS' OR (t[i + 1] = '-' AND t[i + 2] = 'BIS')"),
+    "gone_at": places_sql(f"""NOT regexp_matches(t[i], '[A-Z0-9]') OR t[1] = 'CIRCULAR' AND (i = 1 OR i = 2 AND {digits_sql('t[2]', 1, 3)} AND {digits_sql("t[CASE WHEN t[3] = '-' THEN 4 ELSE 3 END]", 2, 2)})
+        OR len(list_filter([t[i]], lambda x: {marked_sql(' '.join([*T.MARKS.values(), T.OTHER, T.MONTHS, T.STOP]))})) > 0 OR regexp_full_match(t[i], 'V[0-9]{{1,2}}') OR {digits_sql('t[i]', 1, 2)} OR regexp_full_match(t[i], '(19|20)[0-9]{{2}}')
+        OR {digits_sql('t[i]', 4, 4)} AND (t[i + 1] IN ('-', '/') AND {digits_sql('t[i + 2]', 4, 4)} OR i > 2 AND t[i - 1] IN ('-', '/') AND {digits_sql('t[i - 2]', 4, 4)}) OR t[i + 1] = ')' AND i > 1 AND t[i - 1] = '(' AND regexp_full_match(t[i], '[0-9]+')"""),
+}
+FORM_SQL = "CASE " + " ".join(f"WHEN x IN ({', '.join(f"'{w}'" for w in words.split())}) THEN '{form}'" for form, words in T.FORMS.items()) + " ELSE x END"
+SUBJECT_SQL = f"array_to_string(list_transform(list_filter(list_transform(list_filter(range(1, len(t) + 1), lambda i: NOT list_contains(gone_at, i)), lambda i: CASE WHEN list_contains(bis_at, i) THEN rtrim(t[i], '0123456789') ELSE t[i] END), lambda x: x <> ''), lambda x: {FORM_SQL}), ' ')"
+
+
+@R.add(f"""SELECT p_partkey, CAST(CAST(t[number_at + 1] AS INTEGER) AS VARCHAR) || '-' || {SECOND.replace('t[i +', 't[number_at +')} AS number, coalesce(t[full_at] || '-' || t[full_at + 2], {years_sql('t[pair_at]', 't[pair_at + 2]')}, {years_sql('t[-2]', 't[-1]')}) AS season,
+    CAST(substr(t[version_at], 2) AS INTEGER) AS version, CAST(t[sequence_at + 2] AS INTEGER) AS sequence, {', '.join(f"len(list_filter(t, lambda x: {marked_sql(words)})) > 0 AS {n}" for n, words in T.MARKS.items())},
+    coalesce(t[-1] = ')' AND regexp_full_match(t[-2], '[0-9]+') AND t[-3] = '(', false) AS copy, {SUBJECT_SQL} AS subject
+    FROM (SELECT *, {', '.join(f"{v} AS {k}" for k, v in PLACES.items())} FROM (SELECT p_partkey, {TOKENS_SQL} AS t FROM part))""")
 def title_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number, season, marks of the version and subject of documents by their titles."""
     title = F.concat_ws(" ", *[pick(v, F.expr(f"p_partkey div {d}")) for v, d in ((HEADS, 1), (SUBJECTS, 3), (TAILS, 2))])
     w = F.col("words")
-    df = table(spark, sf_dir, "part").select("p_partkey", T.title_words(title).alias("words"))
+    df = table(spark, sf_dir, "part").select("p_partkey", T.title_tokens(title).alias("words"))
     return df.select("p_partkey", T.circular_number(w).alias("number"), T.title_season(w).alias("season"), *[c.alias(n) for n, c in T.title_marks(w).items()], T.subject(w).alias("subject"))
