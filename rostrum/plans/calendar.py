@@ -38,14 +38,14 @@ def identity_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.members(fencers(spark, sf_dir)).select("root", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
 
 
-IDS = "SELECT 'rfe' AS scheme, CAST(s_suppkey % 60 AS VARCHAR) AS value, 'nac' AS source, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE '1997-1998' END AS season, DATE '1996-01-01' + CAST(s_suppkey % 100 * 10 AS INTEGER) AS valid_from, CASE WHEN s_suppkey % 4 = 0 THEN DATE '1999-01-01' END AS valid_to, CASE WHEN s_suppkey % 5 = 0 THEN 'PROPUESTO' ELSE 'CONFIRMADO' END AS status, s_suppkey AS person FROM supplier"
-ASKED = "SELECT c_custkey AS query, 'rfe' AS scheme, CAST(c_custkey % 80 AS VARCHAR) AS value, 'nac' AS source, CASE WHEN c_custkey % 2 = 0 THEN '1997-1998' ELSE '1998-1999' END AS season, DATE '1996-01-01' + CAST(c_custkey AS INTEGER) AS day FROM customer"
+IDS = "SELECT 'rfe' AS scheme, CAST(s_suppkey // 2 AS VARCHAR) AS value, 'nac' AS source, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE '1997-1998' END AS season, DATE '1996-01-01' + CAST(s_suppkey % 100 * 10 AS INTEGER) AS valid_from, CASE WHEN s_suppkey % 4 = 0 THEN DATE '1999-01-01' END AS valid_to, CASE WHEN s_suppkey % 5 = 0 THEN 'PROPUESTO' ELSE 'CONFIRMADO' END AS status, s_suppkey AS person FROM supplier"
+ASKED = "SELECT c_custkey AS query, 'rfe' AS scheme, CAST(c_custkey // 30 AS VARCHAR) AS value, 'nac' AS source, CASE WHEN c_custkey % 2 = 0 THEN '1997-1998' ELSE '1998-1999' END AS season, DATE '1996-01-01' + CAST(c_custkey AS INTEGER) AS day FROM customer"
 
 
 def external_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("s_suppkey")
     return table(spark, sf_dir, "supplier").select(
-        F.lit("rfe").alias("scheme"), (s % 60).cast("string").alias("value"), F.lit("nac").alias("source"), F.when(s % 3 == 0, "").otherwise("1997-1998").alias("season"),
+        F.lit("rfe").alias("scheme"), F.expr("s_suppkey div 2").cast("string").alias("value"), F.lit("nac").alias("source"), F.when(s % 3 == 0, "").otherwise("1997-1998").alias("season"),
         F.date_add(F.lit("1996-01-01").cast("date"), (s % 100 * 10).cast("int")).alias("valid_from"), F.when(s % 4 == 0, F.lit("1999-01-01").cast("date")).alias("valid_to"),
         F.when(s % 5 == 0, "PROPUESTO").otherwise("CONFIRMADO").alias("status"), s.alias("person"))
 
@@ -53,7 +53,7 @@ def external_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add(using("SELECT query, CASE WHEN sure > 1 THEN 'conflict' WHEN sure = 1 THEN 'confirmed' WHEN maybe > 0 THEN 'review' ELSE 'none' END AS state, CASE WHEN sure = 1 THEN who END AS person FROM (SELECT q.query, count(DISTINCT person) FILTER (WHERE status = 'CONFIRMADO') AS sure, min(person) FILTER (WHERE status = 'CONFIRMADO') AS who, count(DISTINCT person) FILTER (WHERE status = 'PROPUESTO') AS maybe FROM q LEFT JOIN i ON i.scheme = q.scheme AND i.value = q.value AND i.source = q.source AND (i.season = '' OR i.season = q.season) AND i.valid_from <= q.day AND (i.valid_to IS NULL OR q.day <= i.valid_to) GROUP BY q.query)", i=IDS, q=ASKED))
 def scoped_id_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("c_custkey")
-    asked = table(spark, sf_dir, "customer").select(c.alias("query"), F.lit("rfe").alias("scheme"), (c % 80).cast("string").alias("value"), F.lit("nac").alias("source"), F.when(c % 2 == 0, "1997-1998").otherwise("1998-1999").alias("season"), F.date_add(F.lit("1996-01-01").cast("date"), c.cast("int")).alias("day"))
+    asked = table(spark, sf_dir, "customer").select(c.alias("query"), F.lit("rfe").alias("scheme"), F.expr("c_custkey div 30").cast("string").alias("value"), F.lit("nac").alias("source"), F.when(c % 2 == 0, "1997-1998").otherwise("1998-1999").alias("season"), F.date_add(F.lit("1996-01-01").cast("date"), c.cast("int")).alias("day"))
     return identity.resolve(asked, external_ids(spark, sf_dir))
 
 

@@ -154,12 +154,13 @@ def documented_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("edition", F.when(own, F.col("city")).when(other, F.col("other")).alias("type"), F.when(own, "own").when(other, "canonical").alias("origin"))
 
 
-@R.add("SELECT w || '-' || g || '-' || c AS key, w AS weapon, g AS gender, c AS category FROM (SELECT unnest(['FLORETE', 'ESPADA', 'SABLE']) AS w), (SELECT unnest(['F', 'M']) AS g), (SELECT unnest(['M17', 'M20', 'ABS']) AS c)")
+@R.add(using("SELECT w || '-' || f || '-' || c AS key, w AS weapon, f AS format, c AS category FROM (SELECT DISTINCT weapon AS w FROM result), (SELECT DISTINCT format AS f FROM result), (SELECT DISTINCT category AS c FROM result)", "result"))
 def key_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All keys that a source can be asked for, from its enumerations."""
-    one = lambda *v: F.explode(F.array(*map(F.lit, v)))
-    df = spark.range(1).select(one("FLORETE", "ESPADA", "SABLE").alias("weapon")).withColumn("gender", one("F", "M")).withColumn("category", one("M17", "M20", "ABS"))
-    return df.select(F.concat_ws("-", "weapon", "gender", "category").alias("key"), "weapon", "gender", "category")
+    """All keys that a source can be asked for, from the values that its results have: a few enumerations, gathered as one row."""
+    df = results(spark, sf_dir).agg(*[F.collect_set(c).alias(c) for c in ("weapon", "format", "category")])
+    for c in ("weapon", "format", "category"):
+        df = df.withColumn(c, F.explode(c))
+    return df.select(F.concat_ws("-", "weapon", "format", "category").alias("key"), "weapon", "format", "category")
 
 
 @R.add(using("SELECT a.club, count(*) AS pending, strftime(min(o.first), '%Y-%m-%d') AS since FROM (SELECT person, k, min(day) AS first FROM observation GROUP BY person, k HAVING NOT bool_or(source IN ('purchase', 'signup'))) o JOIN athlete a USING (person) GROUP BY a.club", "observation", "athlete"))

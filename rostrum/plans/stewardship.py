@@ -233,14 +233,14 @@ def unique_names(left: DataFrame, right: DataFrame) -> DataFrame:
     return near.join(one, ["country", "ln"], "left_semi").join(other, ["country", "rn"], "left_semi").select("l", "r", "far")
 
 
-@R.add(using("SELECT x.competition AS whole, y.competition AS part, count(*) AS common, round(count(*) / max(y.n), 6) AS share FROM (SELECT competition, ym, person, count(*) OVER (PARTITION BY competition) AS n FROM (SELECT DISTINCT competition, ym, person FROM result)) x JOIN (SELECT competition, ym, person, count(*) OVER (PARTITION BY competition) AS n FROM (SELECT DISTINCT competition, ym, person FROM result)) y ON x.ym = y.ym AND x.person = y.person AND x.competition <> y.competition AND x.n >= y.n GROUP BY 1, 2 HAVING count(*) >= 0.05 * max(y.n)", "result"))
+@R.add(using("SELECT x.competition AS whole, y.competition AS part, count(*) AS common, round(count(*) / max(y.n), 6) AS share FROM (SELECT competition, ym, person, count(*) OVER (PARTITION BY competition) AS n FROM (SELECT DISTINCT competition, ym, person % 30 AS person FROM result)) x JOIN (SELECT competition, ym, person, count(*) OVER (PARTITION BY competition) AS n FROM (SELECT DISTINCT competition, ym, person % 30 AS person FROM result)) y ON x.ym = y.ym AND x.person = y.person AND x.competition <> y.competition AND x.n >= y.n GROUP BY 1, 2 HAVING count(*) >= 0.8 * max(y.n)", "result"))
 def overlap_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of a combined competition: the share of their people that the whole has."""
-    p = results(spark, sf_dir).select("competition", "ym", "person").distinct().withColumn("n", F.count("*").over(Window.partitionBy("competition")))
+    """Parts of a combined competition: at least four fifths of their names are the whole's, too."""
+    p = results(spark, sf_dir).select("competition", "ym", (F.col("person") % 30).alias("person")).distinct().withColumn("n", F.count("*").over(Window.partitionBy("competition")))
     x, y = p.alias("x"), p.alias("y")
     on = (F.col("x.ym") == F.col("y.ym")) & (F.col("x.person") == F.col("y.person")) & (F.col("x.competition") != F.col("y.competition")) & (F.col("x.n") >= F.col("y.n"))
     g = x.join(y, on).groupBy(F.col("x.competition").alias("whole"), F.col("y.competition").alias("part")).agg(F.count("*").alias("common"), F.max("y.n").alias("n"))
-    return g.where(F.col("common") >= 0.05 * F.col("n")).select("whole", "part", "common", F.round(F.col("common") / F.col("n"), 6).alias("share"))
+    return g.where(F.col("common") >= 0.8 * F.col("n")).select("whole", "part", "common", F.round(F.col("common") / F.col("n"), 6).alias("share"))
 
 
 # Notifications, policies, coverage.
@@ -287,7 +287,7 @@ def coverage_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add(using("SELECT edition, n AS cost, row_number() OVER (ORDER BY season DESC, n, edition) AS task FROM edition e WHERE n >= 2 AND NOT EXISTS (SELECT 1 FROM result r WHERE r.day = e.start AND r.category = e.city AND r.place = 1)", "edition"))
 def coverage_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is still to be read, new seasons and cheap units first, with its estimated cost."""
+    """What is still to be read, new seasons and cheap units first, with its estimated cost; an edition of one row alone is none, since a single row is no classification."""
     done = results(spark, sf_dir).where("place = 1").select(F.col("day").alias("start"), F.col("category").alias("city")).distinct()
     e = editions(spark, sf_dir).where("n >= 2").join(done, ["start", "city"], "left_anti")
     return numbered_in_order(e, [F.desc("season"), "n", "edition"], "task").select("edition", F.col("n").alias("cost"), "task")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from rostrum.functions import names as N
 from rostrum.functions import text as X
-from rostrum.functions.dates import next_season, normal_season, previous_season, season_end
+from rostrum.functions.dates import next_season, normal_season, previous_season, season_end, season_of
 from rostrum.operators.windows import top_k
+from rostrum.plans.oracle import SEASON
 from rostrum.plans.registry import Registry
 from rostrum.sources.adapter import table
 
@@ -105,10 +106,12 @@ PAIR_SQL = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in PAIRS) + ") AS t
 SIMILARITY_SQL = "CAST(CASE WHEN a = b THEN 1.0 WHEN length(a) = 1 THEN CASE WHEN starts_with(b, a) THEN 0.5 ELSE 0 END WHEN x = y THEN 0.95 WHEN length(a) >= 4 AND starts_with(b, a) THEN 0.9 WHEN length(x) >= 4 AND starts_with(y, x) THEN 0.85 WHEN levenshtein(x, y) = 1 AND least(length(x), length(y)) >= 4 THEN 0.8 WHEN levenshtein(x, y) = 2 AND least(length(x), length(y)) >= 7 THEN 0.65 ELSE 0.0 END AS DOUBLE)"  # of a and b, whose phonetic keys are x and y
 
 
-@R.add(f"SELECT a, b, {SIMILARITY_SQL} AS score FROM (SELECT a, b, {phonetic_sql('a')} AS x, {phonetic_sql('b')} AS y FROM {PAIR_SQL})")
+@R.add(f"WITH t AS (SELECT DISTINCT token FROM (SELECT unnest(string_split({form_sql('p_name')}, ' ')) AS token FROM part) WHERE token <> '') SELECT a, b, {SIMILARITY_SQL} AS score FROM (SELECT x.token AS a, y.token AS b, {phonetic_sql('x.token')} AS x, {phonetic_sql('y.token')} AS y FROM t x JOIN t y ON substr(x.token, 1, 2) = substr(y.token, 1, 2))")
 def word_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame(PAIRS, "a string, b string")
-    return df.withColumn("score", X.similarity(F.col("a"), F.col("b")))
+    """How alike words of names are that begin with the same two letters."""
+    t = table(spark, sf_dir, "part").select(F.explode(X.words(F.col("p_name"))).alias("token")).distinct().withColumn("p", F.substring("token", 1, 2))
+    both = t.select("p", F.col("token").alias("a")).join(t.select("p", F.col("token").alias("b")), "p")
+    return both.select("a", "b", X.similarity(F.col("a"), F.col("b")).alias("score"))
 
 
 @R.add("SELECT p_partkey, r AS relation, CASE WHEN r IN ('same', 'clipped', 'compound') THEN 'free' WHEN r = 'variant' THEN 'hint' WHEN r = 'crossed' THEN 'evidence' ELSE 'never' END AS level FROM (SELECT p_partkey, CASE p_size % 8 WHEN 0 THEN 'same' WHEN 1 THEN 'clipped' WHEN 2 THEN 'compound' WHEN 3 THEN 'variant' WHEN 4 THEN 'crossed' WHEN 5 THEN 'cousins' WHEN 6 THEN 'siblings' ELSE 'different' END AS r FROM part)")
@@ -127,11 +130,13 @@ def name_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
 LABELS = ["A64", "T32", "QF", "SF", "F", "V1P3", "a8", "B12", ""]
 
 
-@R.add(f"SELECT label, CASE WHEN regexp_matches(label, '^[ATat][0-9]+$') THEN CAST(substr(label, 2) AS INTEGER) WHEN upper(label) = 'QF' THEN 8 WHEN upper(label) = 'SF' THEN 4 WHEN upper(label) = 'F' THEN 2 END AS size, CAST(nullif(regexp_extract(label, 'P([0-9]+)$', 1), '') AS INTEGER) AS pool FROM (SELECT unnest({LABELS}) AS label)")
+@R.add(f"SELECT label, CASE WHEN regexp_matches(label, '^[ATat][0-9]+$') THEN CAST(substr(label, 2) AS INTEGER) WHEN upper(label) = 'QF' THEN 8 WHEN upper(label) = 'SF' THEN 4 WHEN upper(label) = 'F' THEN 2 END AS size, CAST(nullif(regexp_extract(label, 'P([0-9]+)$', 1), '') AS INTEGER) AS pool, count(*) AS n FROM (SELECT {LABELS}[1 + (l_orderkey + l_linenumber) % {len(LABELS)}] AS label FROM lineitem) GROUP BY ALL")
 def round_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame([(x,) for x in LABELS], "label string")
+    """Sizes and pools that the labels of rounds tell, with their rows."""
+    label = F.get(F.array(*map(F.lit, LABELS)), ((F.col("l_orderkey") + F.col("l_linenumber")) % len(LABELS)).cast("int"))
+    df = table(spark, sf_dir, "lineitem").groupBy(label.alias("label")).agg(F.count("*").alias("n"))
     pool = F.regexp_extract("label", "P([0-9]+)$", 1)
-    return df.select("label", X.round_of(F.col("label")).alias("size"), F.when(pool != "", pool.try_cast("int")).alias("pool"))
+    return df.select("label", X.round_of(F.col("label")).alias("size"), F.when(pool != "", pool.try_cast("int")).alias("pool"), "n")
 
 
 NAMES = "concat_ws(' ', p_name, CASE p_size % 6 WHEN 0 THEN 'World Cup' WHEN 1 THEN 'Championship 1999' WHEN 2 THEN 'Satellite III' WHEN 3 THEN 'Open U17' WHEN 4 THEN 'Grand Prix' ELSE 'Trophy' END)"
@@ -156,13 +161,12 @@ def base_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named(spark, sf_dir).select("p_partkey", X.base_name(F.col("name")).alias("base"))
 
 
-SEASONS = ["2026", "2024-2025", "1999", "1998-1999"]
-
-
-@R.add(f"SELECT season, CASE WHEN regexp_matches(season, '^[0-9]{{4}}$') THEN CAST(CAST(season AS INTEGER) - 1 AS VARCHAR) || '-' || season ELSE season END AS normal, CAST(regexp_extract(season, '([0-9]{{4}})$', 1) AS INTEGER) AS ends, CAST(CAST(regexp_extract(season, '([0-9]{{4}})$', 1) AS INTEGER) AS VARCHAR) || '-' || CAST(CAST(regexp_extract(season, '([0-9]{{4}})$', 1) AS INTEGER) + 1 AS VARCHAR) AS following, CAST(CAST(regexp_extract(season, '([0-9]{{4}})$', 1) AS INTEGER) - 2 AS VARCHAR) || '-' || CAST(CAST(regexp_extract(season, '([0-9]{{4}})$', 1) AS INTEGER) - 1 AS VARCHAR) AS before FROM (SELECT unnest({SEASONS}) AS season)")
+@R.add(f"SELECT season, CASE WHEN regexp_matches(season, '^[0-9]{{4}}$') THEN CAST(CAST(season AS INTEGER) - 1 AS VARCHAR) || '-' || season ELSE season END AS normal, CAST(regexp_extract(season, '([0-9]{{4}})$', 1) AS INTEGER) AS ends, CAST(CAST(regexp_extract(season, '([0-9]{{4}})$', 1) AS INTEGER) AS VARCHAR) || '-' || CAST(CAST(regexp_extract(season, '([0-9]{{4}})$', 1) AS INTEGER) + 1 AS VARCHAR) AS following, CAST(CAST(regexp_extract(season, '([0-9]{{4}})$', 1) AS INTEGER) - 2 AS VARCHAR) || '-' || CAST(CAST(regexp_extract(season, '([0-9]{{4}})$', 1) AS INTEGER) - 1 AS VARCHAR) AS before FROM (SELECT DISTINCT CASE WHEN o_orderkey % 2 = 0 THEN CAST(year(o_orderdate) AS VARCHAR) ELSE season END AS season FROM (SELECT o_orderkey, o_orderdate, {SEASON.format(d='o_orderdate')} AS season FROM orders))")
 def season_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.col("season")
-    return spark.createDataFrame([(x,) for x in SEASONS], "season string").select("season", normal_season(s).alias("normal"), season_end(s).alias("ends"), next_season(s).alias("following"), previous_season(s).alias("before"))
+    """Seasons as sources write them, one year or two, with their normal form, end and neighbours."""
+    s, day = F.col("season"), F.to_date("o_orderdate")
+    seasons = table(spark, sf_dir, "orders").select(F.when(F.col("o_orderkey") % 2 == 0, F.year(day).cast("string")).otherwise(season_of(day)).alias("season")).distinct()
+    return seasons.select("season", normal_season(s).alias("normal"), season_end(s).alias("ends"), next_season(s).alias("following"), previous_season(s).alias("before"))
 
 
 @R.add("SELECT c_custkey, upper(regexp_replace(substr(c_name, 1, 3) || ' - ' || CAST(c_custkey AS VARCHAR), '[\\s-]+', '', 'g')) AS licence FROM customer")

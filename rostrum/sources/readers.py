@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rostrum.functions.text import round_of
+
 
 def struct_list(spark: SparkSession, json: str, fields: str) -> DataFrame:
     """Rows of a JSON list that is given as a parameter; a text that is no such list gives none."""
@@ -49,7 +51,9 @@ def read_facts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Da
     fine, key = files.where(good), F.col("competition.competitionKey").alias("competition")
 
     def rows(lists: str) -> DataFrame:
-        df = fine.select("source", key, F.col(f"status.{'results' if lists == 'results' else 'pools'}").alias("status"), F.posexplode(lists).alias("pos", "x"))
-        return df.select("source", "competition", "status", "pos", "x.*")
+        df = fine.select("source", key, F.col("status").alias("s"), F.posexplode(lists).alias("pos", "x"))
+        # A bout is as complete as the part of the competition that it is of.
+        status = F.col("s.results") if lists == "results" else F.when(round_of(F.col("x.round")).isNotNull(), F.col("s.tableau")).otherwise(F.col("s.pools"))
+        return df.select("source", "competition", status.alias("status"), "pos", "x.*")
 
     return rows("results"), rows("bouts"), files.where(~good).select("file", "version")

@@ -105,16 +105,57 @@ def test_first_and_last_seen_and_delivery(spark, tmp_path):
 def test_fact_files(spark, tmp_path):
     import json
 
-    good = {"version": 1, "source": "x", "competition": {"competitionKey": "c1"}, "status": {"results": "complete", "pools": "partial"}, "results": [{"place": 1, "name": "A"}, {"place": None, "name": "B"}], "bouts": [{"round": "A4", "a": "A", "b": "B", "scoreA": 5, "scoreB": 3}]}
+    good = {"version": 1, "source": "x", "competition": {"competitionKey": "c1"}, "status": {"results": "complete", "pools": "partial", "tableau": "unreadable"}, "results": [{"place": 1, "name": "A"}, {"place": None, "name": "B"}], "bouts": [{"round": "A4", "a": "A", "b": "B", "scoreA": 5, "scoreB": 3}, {"round": "P1", "a": "A", "b": "B", "scoreA": 4, "scoreB": 3}]}
     bad = [{**good, "version": 2}, {"version": 1, "results": []}]
     for i, f in enumerate([good, {**good, "competition": {"competitionKey": "c2"}, "results": [], "bouts": None}, *bad]):
         (tmp_path / f"{i}.json").write_text(json.dumps(f, indent=1))
     found, fought, refused = readers.read_facts(spark, str(tmp_path))
     assert [(r.competition, r.status, r.pos, r.place, r.name) for r in found.orderBy("pos").collect()] == [("c1", "complete", 0, 1, "A"), ("c1", "complete", 1, None, "B")]
-    assert [(r.competition, r.status, r["round"], r.scoreA) for r in fought.collect()] == [("c1", "partial", "A4", 5)]
+    assert [(r.competition, r.status, r["round"], r.scoreA) for r in fought.orderBy("pos").collect()] == [("c1", "unreadable", "A4", 5), ("c1", "partial", "P1", 4)]
     assert sorted(r.file[-6:] for r in refused.collect()) == ["2.json", "3.json"]
 
 
+def test_similarity_of_written_words(spark):
+    """Every kind of likeness, by the SQL of the rule."""
+    import duckdb
+
+    from rostrum.plans import texts
+
+    sql = f"SELECT a, b, {texts.SIMILARITY_SQL} FROM (SELECT a, b, {texts.phonetic_sql('a')} AS x, {texts.phonetic_sql('b')} AS y FROM {texts.PAIR_SQL})"
+    want = {(a, b): s for a, b, s in duckdb.sql(sql).fetchall()}
+    got = {(r.a, r.b): r.s for r in spark.createDataFrame(texts.PAIRS, "a string, b string").withColumn("s", text.similarity(F.col("a"), F.col("b"))).collect()}
+    assert got == want and len(set(want.values())) > 6
+
+
+def test_spanish_order(spark, tmp_path):
+    """ñ after n, accents as their letters, case last."""
+    order = ["ábaco", "Ana", "árbol", "nube", "nunca", "ñame", "ñoño", "ola", "zeta", "Zúñiga"]
+    rows = [(k, n, 1, 0.0, "") for k, n in enumerate(random.Random(1).sample(order, len(order)))] + [(99, "nube", 1, 0.0, "")]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    got = [(r.c_name, r.c_custkey) for r in catalogue.QUERIES["spanish_sort"](spark, str(tmp_path)).collect()]
+    assert [n for n, _ in got if n != "nube"] == [n for n in order if n != "nube"]
+    assert [n for n, _ in got][3:5] == ["nube", "nube"] and got[3][1] < 99 == got[4][1]
+
+
+def test_fuzzy_editions(spark, tmp_path):
+    """Names by the worst of the query's words, against plain Python."""
+    rows = [(k, n, "b", "t", s, 1.0) for k, (n, s) in enumerate([("wrld", 1), ("world open", 0), ("Wörld", 6), ("wrldcup", 5), ("", 0), ("wxyz", 6), ("cups", 2), ("wlrd", 18)])]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    ends = ("World Cup", "Championship 1999", "Satellite III", "Open U17", "Grand Prix", "Trophy")
+
+    def score(query, word):
+        most = 0 if len(query) <= 3 else 1 if len(query) <= 6 else 2
+        return 3 if word == query else 2 if word.startswith(query) else 1 if udfs.osa_within(query, word, most) >= 0 else 0
+
+    want = {}
+    for k, n, _, _, s, _ in rows:
+        words = f"{n} {ends[s % 6]}".lower().replace("ö", "o").split()
+        worst = min(max(score(q, w) for w in words) for q in ("wrld", "cup"))
+        if worst:
+            want[k] = worst
+    assert {r.p_partkey: r.score for r in catalogue.QUERIES["fuzzy_edition_search"](spark, str(tmp_path)).collect()} == want and len(want) > 2
+
+
 def test_csv_and_html(spark, tmp_path):
     (tmp_path / "a.csv").write_text('name;n\n"Gil; ""El"" \nAna";1\nLeón;\n', encoding="utf-8")
     assert [tuple(r) for r in readers.read_csv(spark, str(tmp_path / "a.csv"), "name string, n int", ";").collect()] == [('Gil; "El" \nAna', 1), ("León", None)]
