@@ -127,6 +127,22 @@ def name_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", related.alias("relation")).withColumn("level", N.union_level(F.col("relation")))
 
 
+@R.add()
+def written_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A part's name as a person's, in capitals and surnames first, against what another source writes for the part after it: in full, marked, turned or cut."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size")
+    after = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("next_name"), F.initcap(F.lower("p_type")).alias("given"))
+    surnames, way = F.when(F.col("p_size") % 5 < 3, F.col("p_name")).otherwise(F.col("next_name")), F.col("p_size") % 4
+    turned = F.concat_ws(" ", F.reverse(F.split(surnames, " ")))
+    other = (
+        F.when(way == 0, F.concat_ws(" ", "given", F.initcap(surnames))).when(way == 1, F.concat_ws(" ", F.upper(surnames), "given"))
+        .when(way == 2, F.concat_ws(" ", F.upper(turned), "given")).otherwise(F.concat_ws(" ", F.upper(F.substring_index(surnames, " ", 1)), F.substring("given", 1, 3)))
+    )
+    both = p.join(after, "p_partkey").select("p_partkey", F.upper(F.concat_ws(" ", "p_name", "p_type")).alias("one"), other.alias("other"))
+    related = N.written_relation(F.col("one"), F.col("other"), F.lit(N.ORDERS[0]), F.lit(None).cast("string"))
+    return both.withColumn("relation", related).withColumn("level", N.union_level(F.col("relation")))
+
+
 LABELS = ["A64", "T32", "QF", "SF", "F", "V1P3", "a8", "B12", ""]
 
 
