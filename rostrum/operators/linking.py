@@ -82,3 +82,24 @@ def continued(rounds: DataFrame, scope: Sequence[str], person: str, size: str, w
         F.count_if(lost).alias("lost"), F.count_if(new).alias("new"), F.min(F.when(lost, F.col(person))).alias(person), F.min(F.when(new, F.col(person))).alias("newcomer")
     )
     return per.where("lost = 1 AND new = 1").select(*scope, size, person, "newcomer")
+
+
+def first_of_chain(links: DataFrame, scope: Sequence[str], before: str, after: str) -> DataFrame:
+    """(scope, after, root, steps): where each chain of links that ends in `after` begins, and how many links that is.
+
+    Pointers double: each round a link points as far back again as it did, so a chain of
+    n links takes log n rounds, each of one equi-join, written. Of two links to one
+    `after` the lesser `before` counts; a circle has no beginning and is left out.
+    """
+    up = links.where(F.col(before).isNotNull() & F.col(after).isNotNull()).groupBy(*scope, after).agg(F.min(before).alias("root")).withColumn("steps", F.lit(1).cast("long"))
+    up = written(up, "chains")
+    most = up.count()
+    while True:
+        above = up.select(*scope, F.col(after).alias("root"), F.col("root").alias("__top"), F.col("steps").alias("__more"))
+        jumped = up.join(above, [*scope, "root"], "left")
+        moved = jumped.select(*scope, after, F.coalesce("__top", "root").alias("root"), (F.col("steps") + F.coalesce("__more", F.lit(0))).alias("steps"), F.col("__top").isNotNull().alias("__moved"))
+        # No chain has more steps than there are links: what still moves beyond that goes in a circle.
+        up = written(moved.where(F.col("steps") <= most), "chains")
+        if up.where("__moved").isEmpty():
+            return up.drop("__moved")
+        up = up.drop("__moved")

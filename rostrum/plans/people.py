@@ -133,6 +133,23 @@ def bracket_continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.continued(df.withColumn("who", who), ["competition"], "who", "size", F.col("place") <= F.col("size") / 2)
 
 
+RENAMED = """SELECT competition, size, person + CASE WHEN fact % 7 <> 0 OR size > 16 THEN 0 WHEN size > 8 THEN 10000000 WHEN size > 2 THEN 20000000 ELSE 30000000 END AS who, place <= size // 2 AS won
+    FROM result, (SELECT unnest([2, 4, 8, 16, 32]) AS size) WHERE place <= size AND format = 'INDIVIDUAL'"""
+
+
+@R.add("WITH RECURSIVE" + using("SELECT * FROM c", "result", t=f"SELECT competition, size, who, bool_or(won) AS won FROM ({RENAMED}) GROUP BY competition, size, who", e=CONTINUED,
+    c="""SELECT competition, newcomer, who AS root, 1 AS steps FROM e WHERE NOT EXISTS (SELECT 1 FROM e x WHERE x.competition = e.competition AND x.newcomer = e.who)
+        UNION ALL SELECT e.competition, e.newcomer, c.root, c.steps + 1 FROM c JOIN e ON e.competition = c.competition AND e.who = c.newcomer""").removeprefix("WITH"))
+def bracket_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Under which id someone began a bracket whose id changes from round to round, and how often it did."""
+    sizes = F.explode(F.array(*map(F.lit, (2, 4, 8, 16, 32))))
+    df = results(spark, sf_dir).where("format = 'INDIVIDUAL' AND place <= 32").withColumn("size", sizes).where("place <= size")
+    size = F.col("size")
+    shift = F.when((F.col("fact") % 7 != 0) | (size > 16), 0).when(size > 8, 10_000_000).when(size > 2, 20_000_000).otherwise(30_000_000)
+    links = linking.continued(df.withColumn("who", F.col("person") + shift), ["competition"], "who", "size", F.col("place") <= size / 2)
+    return linking.first_of_chain(links, ["competition"], "who", "newcomer")
+
+
 READINGS = """SELECT a AS me, b AS rival, line % 3 AS weapon, competition * 20 + line * 2 + c AS reading, day + CAST(c * (line % 3) AS INTEGER) AS day,
     CASE WHEN (line + c) % 4 <> 0 THEN score_a + CASE WHEN c = 1 AND line % 5 = 0 THEN 1 ELSE 0 END END AS mine, CASE WHEN (competition + c) % 5 <> 0 THEN score_b END AS theirs,
     CASE WHEN line % 2 = c THEN 0 ELSE 1 + line % 2 END AS bouts FROM bout, (SELECT unnest([0, 1]) AS c)"""

@@ -301,3 +301,22 @@ def test_written_names_of_tables(spark):
     rows = catalogue.QUERIES["written_names"](spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == 200 - 1 and len({r.relation for r in rows}) > 4
     assert {r.p_partkey: r.relation for r in rows} == {r.p_partkey: plain_written(r.one, r.other, "surnames_first", None) for r in rows}
+
+
+def test_chains_of_ids(spark):
+    """Long chains, forks, circles and several scopes against following link by link."""
+    rng = random.Random(21)
+    links = [("a", k, k + 1) for k in range(100, 170)] + [("a", 5, 6), ("a", 6, 7), ("a", 7, 5), ("b", 6, 7), ("b", 7, 8), ("b", 3, 8), ("b", None, 9), ("b", 9, None)] + [("c", rng.randint(0, 40), rng.randint(41, 80)) for _ in range(30)]
+    up = {}
+    for s, a, b in links:
+        if a is not None and b is not None:
+            up[s, b] = min(a, up.get((s, b), a))
+    want = {}
+    for s, b in up:
+        at, n = b, 0
+        while (s, at) in up and n <= len(up):
+            at, n = up[s, at], n + 1
+        if n <= len(up):
+            want[s, b] = (at, n)
+    got = linking.first_of_chain(spark.createDataFrame(links, "s string, a int, b int"), ["s"], "a", "b")
+    assert {(r.s, r.b): (r.root, r.steps) for r in got.collect()} == want and want["a", 170] == (100, 70)
