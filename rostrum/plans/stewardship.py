@@ -386,3 +386,16 @@ def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rostrum.streaming import outbox
 
     return outbox.to_end(outbox.user_sessions(outbox.events(spark, sf_dir)))
+
+
+@R.add()
+def stream_registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What happens to each person's registration as its events are read: new, changed, withdrawn, returned, late, final."""
+    from rostrum.streaming import outbox, registrations
+
+    own = spark.newSession()  # another state store than the session's other streams have
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", registrations.ROCKSDB)
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    readings = outbox.events(own, sf_dir).select(F.col("user_id").cast("string").alias("key"), "ts", F.coalesce("event_type", F.lit("")).alias("content"), F.coalesce(F.col("value") >= 10, F.lit(False)).alias("present"))
+    return outbox.to_end(registrations.followed(readings))
