@@ -195,13 +195,13 @@ def name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select("p_partkey", F.round(sum(F.col(f"s{k}") for k in range(len(ASKED))) / len(ASKED), 6).alias("score"))
 
 
-ASKED = "SELECT person AS query, CASE WHEN person % 200 = 0 THEN replace(name, 'o', '') ELSE substr(name, 1, 17) END AS text FROM athlete WHERE person % 100 = 0"
+TYPED = "SELECT person AS query, CASE WHEN person % 200 = 0 THEN replace(name, 'o', '') ELSE substr(name, 1, 17) END AS text FROM athlete WHERE person % 100 = 0"
 SOUGHT = """SELECT query, root, -b[3] AS id, b[1] AS score, b[2] AS weight, b[1] = 3 * n AS whole FROM (SELECT query, n, root, max([score, weight, -id]) AS b FROM (
     SELECT query, n, root, id, weight, count(*) AS found, sum(fit) AS score FROM (SELECT q.query, n, i, root, id, weight, max(CASE WHEN token = word THEN 3 WHEN length(word) >= 3 AND starts_with(token, word) THEN 2 WHEN length(word) > 3 AND levenshtein(word, token) <= 1 THEN 1 ELSE 0 END) AS fit
         FROM w q JOIN k ON true GROUP BY ALL) WHERE fit > 0 GROUP BY ALL HAVING count(*) = n) GROUP BY query, n, root)"""
 
 
-@R.add(using("SELECT query, root, CAST(id AS BIGINT) AS id, CAST(score AS BIGINT) AS score, weight, whole, row_number() OVER (PARTITION BY query ORDER BY score DESC, weight DESC, root) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, weight DESC, root) <= 8", "athlete", q=ASKED,
+@R.add(using("SELECT query, root, CAST(id AS BIGINT) AS id, CAST(score AS BIGINT) AS score, weight, whole, row_number() OVER (PARTITION BY query ORDER BY score DESC, weight DESC, root) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, weight DESC, root) <= 8", "athlete", q=TYPED,
     w=f"SELECT query, word, i, count(*) OVER (PARTITION BY query) AS n FROM (SELECT query, unnest(list_distinct(string_split({form_sql('text')}, ' '))) AS word, generate_subscripts(list_distinct(string_split({form_sql('text')}, ' ')), 1) AS i FROM q)",
     k=f"SELECT person AS id, person - CASE WHEN person % 10 = 9 THEN 1 ELSE 0 END AS root, CAST(person % 13 AS DOUBLE) AS weight, unnest(list_distinct(string_split({form_sql("name || ' ' || country_name")}, ' '))) AS token FROM athlete", s=SOUGHT))
 def people_search(spark: SparkSession, sf_dir: str) -> DataFrame:
