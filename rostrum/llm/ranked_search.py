@@ -34,7 +34,7 @@ TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 IN_TERM = np.array([b > 127 or chr(b).isalnum() for b in range(256)])
 LOWERED = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
 #: Children of a node; levels of nodes; documents and terms at which a shard is closed; queries that one task takes to a shard.
-FAN, LEVELS, MOST_DOCS, MOST_TERMS, LOT = 16, 3, 1 << 14, 1 << 22, 256
+FAN, LEVELS, MOST_DOCS, MOST_TERMS, LOT = 16, 3, 1 << 14, 1 << 21, 256
 TREE = [name for level in range(1, LEVELS + 1) for name in (f"nodes{level}", f"best{level}")]
 SHARD = pa.schema([("shard", pa.int64()), ("term", pa.string()), ("df", pa.int64()), ("top", pa.int64()), ("docs", pa.binary()), ("impacts", pa.binary()), *[(t, pa.binary()) for t in TREE]])
 SHARD_DDL = "shard long, term string, df long, top long, docs binary, impacts binary, " + ", ".join(f"{t} binary" for t in TREE)
