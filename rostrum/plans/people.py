@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rostrum.functions import text as X
 from rostrum.functions.dates import iso
-from rostrum.operators import encounters, linking, search_index
+from rostrum.operators import encounters, evidence, linking, search_index
 from rostrum.operators.storage import work_path
 from rostrum.plans.oracle import using
 from rostrum.plans.registry import Registry
@@ -117,6 +117,37 @@ def person_unification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.unite_in_stages(cards, STAGES, ["birth"])
 
 
+def evidence_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(people, facts): customers as six cards a family, some official, some licensed, some a cut name alone, and their results."""
+    k = F.col("c_custkey")
+    family, card = F.expr("c_custkey div 6"), k % 6
+    of = lambda *values: F.element_at(F.array(*values), (card + 1).cast("int"))
+    nothing = F.lit(None).cast("string")
+    surname = F.concat(F.lit("family"), family)
+    words = lambda *more: F.array(surname, *map(F.lit, more))
+    birth = F.date_add(F.lit("1980-01-01").cast("date"), (family % 3000).cast("int"))
+    people = table(spark, sf_dir, "customer").select(
+        k.alias("id"), F.when(card == 0, F.concat(F.lit("W"), family)).alias("official"), F.when(card.isin(1, 3), F.concat(F.lit("L"), family)).alias("licence"),
+        of(words("ana", "maria"), words("ana"), words(), words("ana"), words("eva"), words("eva", "luz")).alias("words"),
+        F.when(card < 4, "F").otherwise(F.when(family % 4 == 0, "M").otherwise("F")).alias("gender"), F.when(card.isin(0, 4, 5), birth).alias("birth"),
+    )
+    return people, evidence_facts(results(spark, sf_dir), F.expr("person div 6"), F.col("person") % 6)
+
+
+def evidence_facts(rows: DataFrame, family: Column, card: Column) -> DataFrame:
+    """Results with a club of the family, another for some of its cards, and the years of birth that the category admits."""
+    year = F.substring("season", -4, 4).cast("int")
+    club = F.concat(F.lit("C"), (family + F.when(card == 4, 1).when((card == 2) & (family % 5 == 0), 2).otherwise(0)) % 40)
+    young = F.col("category") == "HIGH"
+    return rows.select(F.col("person").alias("id"), "competition", "weapon", club.alias("club"), year.alias("year"), F.when(young, year - 60).alias("low"), F.when(young, year - 8).alias("high"))
+
+
+@R.add()
+def person_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """People united by licence, date of birth, the only fuller name, and the only one whom their results speak for."""
+    return evidence.united(*evidence_rows(spark, sf_dir))
+
+
 ROUNDS = """SELECT competition, size, CASE WHEN fact % 7 = 0 AND size <= 8 THEN -person ELSE person END AS who, place <= size // 2 AS won
     FROM result, (SELECT unnest([2, 4, 8, 16, 32]) AS size) WHERE place <= size AND format = 'INDIVIDUAL'"""
 CONTINUED = """SELECT competition, size, min(who) FILTER (WHERE state = 'lost') AS who, min(who) FILTER (WHERE state = 'new') AS newcomer FROM (
