@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rostrum.plans import bouts, calendar, events, kinds, loads, people, results, stewardship, texts
+from rostrum.plans import bouts, calendar, events, kinds, loads, people, readings, results, stewardship, texts
 
-MODULES = (bouts, results, texts, calendar, stewardship, loads, people, kinds, events)
+MODULES = (bouts, results, texts, calendar, stewardship, loads, people, kinds, events, readings)
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _module in MODULES:
