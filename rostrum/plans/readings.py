@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostrum.operators import layout
+from rostrum.functions.text import words
+from rostrum.operators import layout, phrases
 from rostrum.plans.oracle import using
 from rostrum.plans.registry import Registry
-from rostrum.sources.adapter import bouts, results
+from rostrum.plans.texts import form_sql
+from rostrum.sources.adapter import bouts, results, table
 from rostrum.sources.records import read_records
 
 R = Registry()
@@ -61,14 +63,46 @@ def printed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
         word(F.lit(200.0), 0.0, F.substring("weapon", 1, 3)), word(F.lit(300.0) - F.char_length(points) * 0.5, 0.25, points),
     )
     pages = r.withColumn("page", F.expr(f"(place - 1) div {ROWS_OF_PAGE}"))
-    words = pages.select("competition", "page", F.explode(line).alias("w")).select("competition", "page", "w.*")
+    printed = pages.select("competition", "page", F.explode(line).alias("w")).select("competition", "page", "w.*")
     edge = lambda x, y, width, text: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(width).alias("width"), text.alias("text"))
     around = F.array(edge(110.0, 20.0, 60.0, F.lit("RANKING")), edge(20.0, 1040.0, 20.0, F.lit("Page")), edge(45.0, 1040.0, 10.0, F.col("page").cast("string")))
     edges = pages.select("competition", "page").distinct().select("competition", "page", F.inline(around))
-    return words.unionByName(edges)
+    return printed.unionByName(edges)
 
 
 @R.add(using("SELECT competition, CAST(place AS VARCHAR) AS place, 'Fencer N' || person AS name, substr(weapon, 1, 3) AS weapon, printf('%.2f', points) AS points FROM result", "result"))
 def printed_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of lists read back from words with places on pages."""
     return layout.rows(printed_words(spark, sf_dir), ["competition", "page"], ["place", "name", "weapon", "points"]).select("competition", "place", "name", "weapon", "points")
+
+
+# Own groups, stop words and concepts; the phrases are the table's own names, alone or with their type.
+GROUPS = {"red": "colour", "blue": "colour", "green": "colour", "small": "size", "large": "size"}
+STOP = ("of", "the")
+CONCEPTS = {"bargain": ("budget", "ring"), "tinted": ("colour", "widget")}
+NAMES_SQL, TYPES_SQL = form_sql("p_name"), form_sql("p_type")
+PHRASES_SQL = f"""SELECT phrase, min(means) AS means FROM (SELECT DISTINCT {NAMES_SQL} AS phrase, replace({NAMES_SQL}, ' ', '') AS means FROM part WHERE length(p_name) % 3 = 0
+    UNION SELECT DISTINCT {NAMES_SQL} || ' ' || {TYPES_SQL}, 'budget ' || split_part({NAMES_SQL}, ' ', -1) FROM part WHERE p_type = 'ECONOMY' AND length(p_name) % 2 = 0
+    UNION SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, b in GROUPS.items())})) GROUP BY phrase"""
+RUN = "LEFT JOIN d d{n} ON len(t) >= p + {n} - 1 AND d{n}.phrase = array_to_string(t[p : p + {n} - 1], ' ')"
+WALK = f"""SELECT p_partkey, 1 AS p, t, CAST([] AS VARCHAR[]) AS out FROM k UNION ALL
+    SELECT p_partkey, p + CASE WHEN d3.phrase IS NOT NULL THEN 3 WHEN d2.phrase IS NOT NULL THEN 2 ELSE 1 END, t, list_concat(out, string_split(coalesce(d3.means, d2.means, d1.means, t[p]), ' '))
+    FROM w {RUN.format(n=3)} {RUN.format(n=2)} {RUN.format(n=1)} WHERE p <= len(t)"""
+STOP_SQL = str(list(STOP))
+ADDED = ", ".join(f"CASE WHEN list_has_all(f, {list(needs)}) THEN '{c}' END" for c, needs in CONCEPTS.items())
+
+
+@R.add("WITH RECURSIVE" + using(f"""SELECT p_partkey, array_to_string(words, ' ') AS words, array_to_string(list_sort(list_distinct(list_concat(f, list_filter([{ADDED}], lambda c: c IS NOT NULL)))), ' ') AS terms FROM (
+    SELECT p_partkey, list_filter(out, lambda x: NOT list_contains({STOP_SQL}, x)) AS words, list_filter(list_concat(t, out), lambda x: NOT list_contains({STOP_SQL}, x)) AS f FROM w WHERE p > len(t))""",
+    k=f"SELECT p_partkey, string_split({form_sql("p_name || ' ' || p_type || ' of the ' || p_brand")}, ' ') AS t FROM part", d=PHRASES_SQL, w=WALK).removeprefix("WITH"))
+def phrase_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of parts by the longest phrases of their own names, groups of words, stop words and concepts."""
+    part = table(spark, sf_dir, "part")
+    name, kind = F.array_join(words(F.col("p_name")), " "), F.array_join(words(F.col("p_type")), " ")
+    long = F.char_length("p_name")
+    known = part.where(long % 3 == 0).select(name.alias("phrase"), F.replace(name, F.lit(" "), F.lit("")).alias("means"))
+    typed = part.where((F.col("p_type") == "ECONOMY") & (long % 2 == 0)).select(F.concat_ws(" ", name, kind).alias("phrase"), F.concat(F.lit("budget "), F.element_at(words(F.col("p_name")), -1)).alias("means"))
+    groups = spark.createDataFrame(list(GROUPS.items()), "phrase string, means string")
+    text = F.concat(F.col("p_name"), F.lit(" "), F.col("p_type"), F.lit(" of the "), F.col("p_brand"))
+    found = phrases.terms(part.select("p_partkey", words(text).alias("tokens")), "p_partkey", "tokens", known.union(typed).union(groups), STOP, CONCEPTS)
+    return found.select("p_partkey", F.array_join("words", " ").alias("words"), F.array_join("terms", " ").alias("terms"))

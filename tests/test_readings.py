@@ -2,7 +2,7 @@
 
 import pytest
 
-from rostrum.operators import layout
+from rostrum.operators import layout, phrases
 from rostrum.sources.records import parsed, read_records
 
 POOL = """; a comment
@@ -64,3 +64,31 @@ def test_layouts(spark):
     assert [f[2:] for f in found if f[0] == 1] == want and [f[2:] for f in found if f[0] == 2] == want
     assert {f[0] for f in found} == {1, 2}
     assert layout.rows(spark.createDataFrame([], WORDS), ["page"], ["place"]).count() == 0
+
+
+def test_phrases(spark):
+    known = [("grand prix", "gp"), ("grand prix de paris", "parisgp"), ("prix de", "never"), ("la coruna", "coruna"), ("champ", "campeonato"), ("monde", "mundo"), ("grand prix", "zz"), ("", "x"), ("jeux olympiques", "olimpico juegos")]
+    texts = {
+        1: "grand prix de paris", 2: "grand prix de rome", 3: "la coruna champ du monde", 4: "la la coruna", 5: "", 6: None, 7: "prix prix de prix", 8: "jeux olympiques grand", 9: "grand prix grand prix",
+    }
+    df = spark.createDataFrame([(k, None if t is None else t.split(" "), "x") for k, t in texts.items()], "doc int, t array<string>, words string")
+    dictionary = spark.createDataFrame(known, "phrase string, means string")
+    got = {r.doc: (r.words, r.terms) for r in phrases.terms(df, "doc", "t", dictionary, ("de", "du", "la"), {"mundial": ("campeonato", "mundo"), "jjoo": ("juegos", "olimpico")}).collect()}
+    best = {}
+    for p, m in known:
+        if p:
+            best[p] = min(m, best.get(p, m))
+    for k, text in texts.items():
+        t, out, i = (text or "").split(), [], 0
+        while i < len(t):
+            n = next((n for n in (4, 3, 2, 1) if i + n <= len(t) and " ".join(t[i : i + n]) in best), 0)
+            out += best[" ".join(t[i : i + n])].split() if n else [t[i]]
+            i += n or 1
+        out = [w for w in out if w not in ("de", "du", "la")]
+        terms = {w for w in t + out if w not in ("de", "du", "la")}
+        terms |= {"mundial"} if {"campeonato", "mundo"} <= terms else set()
+        terms |= {"jjoo"} if {"juegos", "olimpico"} <= terms else set()
+        assert got[k] == (out, sorted(terms)), k
+    assert got[1][0] == ["parisgp"] and got[3][0] == ["coruna", "campeonato", "mundo"] and "mundial" in got[3][1] and "jjoo" in got[8][1]
+    nothing = phrases.terms(df, "doc", "t", dictionary.limit(0))
+    assert {r.doc: r.words for r in nothing.collect()}[2] == ["grand", "prix", "de", "rome"]
