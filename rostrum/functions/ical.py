@@ -16,14 +16,17 @@ def escaped(text: Column) -> Column:
 
 
 def folded(line: Column) -> Column:
-    """A line of at most 75 octets, or its parts on lines of their own that begin with a space.
+    """A line of at most 75 octets, or its parts on lines of their own that begin with a space; no character is cut apart."""
+    plain = F.concat(F.substr(line, F.lit(1), F.lit(75)), F.regexp_replace(F.substr(line, F.lit(76)), "(?s)(.{1,74})", f"{CRLF} $1"))
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("octets"))
+
+    def add(done: Column, c: Column) -> Column:
+        size = F.octet_length(c)
+        fits = done["octets"] + size <= 75
+        return F.struct(F.concat(done["text"], F.when(fits, "").otherwise(f"{CRLF} "), c).alias("text"), F.when(fits, done["octets"] + size).otherwise(size + 1).alias("octets"))
 
-    A line of ASCII letters is cut after 75 and then each 74; others after 18
-    characters, which have 72 octets at most, so that no character is cut apart.
-    """
-    parts = lambda first, rest: F.concat(F.substr(line, F.lit(1), F.lit(first)), F.regexp_replace(F.substr(line, F.lit(first + 1)), f"(?s)(.{{1,{rest}}})", f"{CRLF} $1"))
     size = F.octet_length(line)
-    return F.when(size <= 75, line).when(size == F.char_length(line), parts(75, 74)).otherwise(parts(18, 18))
+    return F.when(size <= 75, line).when(size == F.char_length(line), plain).otherwise(F.aggregate(F.regexp_extract_all(line, F.lit("(?s)."), F.lit(0)), start, add)["text"])
 
 
 def event(uid: Column, start: Column, stop: Column, summary: Column, description: Column) -> Column:

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rostrum.functions.text import words
-from rostrum.operators import layout, phrases
+from rostrum.operators import feeds, layout, phrases
 from rostrum.plans.oracle import using
 from rostrum.plans.registry import Registry
 from rostrum.plans.texts import form_sql
-from rostrum.sources.adapter import bouts, results, table
+from rostrum.sources.adapter import bouts, editions, results, table
 from rostrum.sources.records import read_records
 
 R = Registry()
@@ -106,3 +106,25 @@ def phrase_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.col("p_name"), F.lit(" "), F.col("p_type"), F.lit(" of the "), F.col("p_brand"))
     found = phrases.terms(part.select("p_partkey", words(text).alias("tokens")), "p_partkey", "tokens", known.union(typed).union(groups), STOP, CONCEPTS)
     return found.select("p_partkey", F.array_join("words", " ").alias("words"), F.array_join("terms", " ").alias("terms"))
+
+
+ZONES = ("Europe/Madrid", "America/Bogota", "Australia/Sydney", "Mars/Base")
+
+
+def feed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Editions as events of one feed per source and season, in several zones, some timed, some cancelled, some with a day on which entries close."""
+    e = editions(spark, sf_dir)
+    turn = F.dayofyear("start")
+    return e.select(
+        F.concat_ws(" ", "source", "season").alias("feed"), F.concat("edition", F.lit("@rostrum")).alias("uid"), "start", "stop",
+        F.when(turn % 3 == 0, F.format_string("%d:30", turn % 24)).when(turn % 3 == 1, "to be told").alias("clock"), F.element_at(F.array(*map(F.lit, ZONES)), (turn % 4 + 1).cast("int")).alias("zone"),
+        F.concat(F.lit("Trofeo Señorío, "), "city", F.lit("; "), F.col("n").cast("string")).alias("summary"), F.col("city").alias("location"),
+        F.concat(F.lit("Inscripción hasta siete días antes, según el reglamento de la organización de "), "city", F.lit("\nñandú")).alias("description"),
+        F.when(turn % 5 == 0, F.date_add("start", -7).cast("timestamp")).alias("closes"), (turn % 11 == 0).alias("cancelled"),
+    )
+
+
+@R.add()
+def ical_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole calendar feeds, one text per source and season."""
+    return feeds.feeds(feed_events(spark, sf_dir), "feed", F.col("feed"), F.lit("2026-01-01 00:00:00").cast("timestamp"))

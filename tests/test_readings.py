@@ -1,10 +1,18 @@
-"""Bracketed records and words with places on a page, on small fixtures."""
+"""Bracketed records, words with places on a page, phrases and calendar feeds, on small fixtures."""
+
+import datetime
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from rostrum.operators import layout, phrases
+from rostrum.operators import feeds, layout, phrases
+from rostrum.plans import catalogue
+from rostrum.plans.readings import feed_events
 from rostrum.sources.records import parsed, read_records
 
+SF = "/root/testdata/sf0.001"
+
 POOL = """; a comment
 {[classe poule] [numero 2] [etat termine]
  [les_tir_feuille (7 8 9)]
@@ -92,3 +100,76 @@ def test_phrases(spark):
     assert got[1][0] == ["parisgp"] and got[3][0] == ["coruna", "campeonato", "mundo"] and "mundial" in got[3][1] and "jjoo" in got[8][1]
     nothing = phrases.terms(df, "doc", "t", dictionary.limit(0))
     assert {r.doc: r.words for r in nothing.collect()}[2] == ["grand", "prix", "de", "rome"]
+
+
+def test_zone_rules():
+    madrid = feeds.zone_rules("Europe/Madrid", 2024, 2024).split("\r\n")
+    assert madrid[:2] == ["BEGIN:VTIMEZONE", "TZID:Europe/Madrid"] and madrid[-1] == "END:VTIMEZONE"
+    assert [x for x in madrid if x.startswith("DTSTART")] == ["DTSTART:20240101T000000", "DTSTART:20240331T020000", "DTSTART:20241027T030000"]
+    assert madrid[madrid.index("DTSTART:20240331T020000") - 1] == "BEGIN:DAYLIGHT" and "TZOFFSETTO:+0200" in madrid
+    assert feeds.zone_rules("America/Bogota", 2020, 2024).count("BEGIN:STANDARD") == 1 and "-0500" in feeds.zone_rules("America/Bogota", 2020, 2024)
+    assert "+0545" in feeds.zone_rules("Asia/Kathmandu", 2024, 2024)
+    assert feeds.zone_rules("Mars/Base", 2024, 2024) is None and feeds.zone_rules(None, 2024, 2024) is None and feeds.zone_rules("../etc", 2024, 2024) is None
+
+
+def unfolded(ics):
+    assert ics.endswith("\r\n") and "\n" not in ics.replace("\r\n", "")
+    lines = ics[:-2].split("\r\n")
+    assert all(0 < len(x.encode()) <= 75 for x in lines)
+    return ics[:-2].replace("\r\n ", "").split("\r\n")
+
+
+def written_plainly(e, placed):
+    """An event's lines, from its row."""
+    import zlib
+
+    note = lambda s: s.replace("\\", "\\\\").replace(";", "\;").replace(",", "\\,").replace("\n", "\\n")
+    m = re.fullmatch(r"([01]?\d|2[0-3]):([0-5]\d)", e.clock or "")
+    clock = f"{int(m[1]):02d}:{m[2]}:00" if m else ""
+    stop = e.stop or e.start
+    out = ["BEGIN:VEVENT", f"UID:{e.uid}", "DTSTAMP:20260101T000000Z"]
+    if clock and placed:
+        at = datetime.datetime.combine(e.start, datetime.time(int(m[1]), int(m[2])))
+        out += [f"DTSTART;TZID={e.zone}:{at:%Y%m%dT%H%M%S}", f"DTEND;TZID={e.zone}:{at + datetime.timedelta(hours=feeds.HOURS):%Y%m%dT%H%M%S}"]
+    else:
+        out += [f"DTSTART;VALUE=DATE:{e.start:%Y%m%d}", f"DTEND;VALUE=DATE:{stop + datetime.timedelta(days=1):%Y%m%d}"]
+    out += [f"{k}:{note(v)}" for k, v in (("SUMMARY", e.summary), ("LOCATION", e.location), ("DESCRIPTION", e.description)) if v]
+    close = f"{e.closes:%Y%m%dT%H%M%SZ}" if e.closes else ""
+    content = "|".join([e.uid, f"{e.start:%Y%m%d}", f"{stop:%Y%m%d}", clock, e.summary or "", e.location or "", close, "true" if e.cancelled else "false"])
+    out += ["STATUS:CANCELLED" if e.cancelled else "STATUS:CONFIRMED", f"SEQUENCE:{zlib.crc32(content.encode()) % feeds.REVISIONS}"]
+    if e.closes and not e.cancelled:
+        out += ["BEGIN:VALARM", "ACTION:DISPLAY", f"TRIGGER;VALUE=DATE-TIME:{e.closes - datetime.timedelta(days=3):%Y%m%dT%H%M%SZ}", "DESCRIPTION:Entries close", "END:VALARM"]
+    return [*out, "END:VEVENT"]
+
+
+def test_feeds(spark):
+    """Every feed of the tables against one written line by line."""
+    own = {}
+    for e in feed_events(spark, SF).collect():
+        own.setdefault(e.feed, []).append(e)
+    got = catalogue.QUERIES["ical_feeds"](spark, SF).collect()
+    assert {r.feed for r in got} == set(own)
+    for r in got:
+        lines = unfolded(r.ics)
+        events = sorted(own[r.feed], key=lambda e: (e.start, e.uid))
+        want = [x for e in events for x in written_plainly(e, e.zone != "Mars/Base")]
+        assert r.events == len(events) and lines[lines.index("BEGIN:VEVENT") : -1] == want
+        assert lines[0] == "BEGIN:VCALENDAR" and lines[-1] == "END:VCALENDAR" and f"X-WR-CALNAME:{r.feed}" in lines
+        zones = {x.removeprefix("TZID:") for x in lines if x.startswith("TZID:")}
+        assert zones == {x.split("TZID=")[1].split(":")[0] for x in lines if x.startswith("DTSTART;TZID=")} and "Mars/Base" not in zones
+
+
+def test_feeds_of_odd_rows(spark):
+    day = datetime.date(2024, 5, 4)
+    schema = "feed string, uid string, start date, stop date, clock string, zone string, summary string, location string, description string, closes timestamp, cancelled boolean, extra int"
+    rows = [
+        ("f", "a", day, None, "9:05", None, "", None, "é" * 90, None, None, 1), ("f", "b", day, day, "25:00", "Europe/Madrid", None, "x" * 300, None, None, True, 1),
+        ("f", "c", day, None, None, None, "first", None, None, None, False, 1), ("f", "c", day + datetime.timedelta(days=1), None, None, None, "later", None, None, None, False, 1),
+        (None, "d", day, None, None, None, "s", None, None, None, False, 1), ("f", None, day, None, None, None, "s", None, None, None, False, 1), ("g", "e", None, None, None, None, "s", None, None, None, False, 1),
+    ]
+    stamp = F.lit("2026-01-01 00:00:00").cast("timestamp")
+    (one,) = feeds.feeds(spark.createDataFrame(rows, schema), "feed", F.lit("a, b"), stamp).collect()
+    lines = unfolded(one.ics)
+    assert one.events == 3 and [x for x in lines if x.startswith("UID")] == ["UID:a", "UID:b", "UID:c"] and "SUMMARY:later" in lines and "X-WR-CALNAME:a\\, b" in lines
+    assert "DESCRIPTION:" + "é" * 90 in lines and "LOCATION:" + "x" * 300 in lines and not any("TZID" in x for x in lines)
+    assert feeds.feeds(spark.createDataFrame([], schema), "feed", F.lit("n"), stamp).count() == 0
