@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rostrum.functions.dates import anchored_before, iso, overlap
-from rostrum.operators import identity, joins
+from rostrum.operators import deadlines, identity, joins
 from rostrum.operators.numbering import numbered_in_order
 from rostrum.operators.windows import first_per, numbered, sessions, top_k
 from rostrum.plans.oracle import using
@@ -335,3 +335,49 @@ def eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = p.join(own, F.col("birth_year").between(F.col("own.lo"), F.col("own.hi"))).join(up, F.col("up.step") >= F.col("own.step"))
     out = df.groupBy("person", "birth_year", F.col("own.category").alias("own")).agg(F.sort_array(F.collect_list(F.struct("up.step", "up.category"))).alias("a"))
     return out.select("person", "birth_year", "own", F.array_join(F.transform("a", lambda x: x["category"]), ",").alias("allowed"))
+
+
+# Reminders of deadlines.
+
+RULES = (
+    (None, None, "ordinary", 10, None, None, "23:59:59", 5, False), ("HIGH", None, "ordinary", None, 2, 3, "12:00:00", 10, False), ("HIGH", "int", "ordinary", 12, None, None, "18:00:00", 20, False),
+    (None, "int", "final", 7, None, None, "20:00:00", None, True),
+)
+RULES_SQL = "(VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else repr(v) if isinstance(v, str) else str(v) for v in r) + ")" for r in RULES) + ") AS rule(category, source, type, days, weeks, weekday, clock, surcharge, blocking)"
+STATUSES = ("draft", "submitted", "pending_club", "withdrawn", "club_approved")
+NOW = "1998-06-01 10:00:00"
+# Only deadlines of the three days after it can be in the result, all in summer time, two hours ahead.
+COMPUTED_AT = "CAST(CASE WHEN weeks IS NOT NULL THEN date_trunc('week', start) - to_days(CAST(weeks * 7 - weekday AS INTEGER)) ELSE start - to_days(CAST(days AS INTEGER)) END AS DATE) + CAST(clock AS TIME) - INTERVAL 2 HOUR"
+BY_RULE = f"""SELECT edition AS event, type, {COMPUTED_AT} AS due, surcharge, blocking FROM edition e JOIN {RULES_SQL} ON (rule.category IS NULL OR rule.category = e.city) AND (rule.source IS NULL OR rule.source = e.source)
+    QUALIFY row_number() OVER (PARTITION BY edition, type ORDER BY (rule.category IS NOT NULL)::INT + (rule.source IS NOT NULL)::INT DESC) = 1"""
+SAID = "SELECT edition AS event, 'ordinary' AS type, start - INTERVAL 9 DAY + INTERVAL 21 HOUR AS due, n % 5 = 0 AS blocking FROM edition WHERE n % 2 = 0 UNION ALL SELECT edition, 'late', start - INTERVAL 1 DAY + INTERVAL 21 HOUR, n % 3 = 0 FROM edition"
+BOTH = "SELECT event, type, coalesce(p.due, c.due) AS due, coalesce(p.blocking, false) OR coalesce(c.blocking, false) AS blocking FROM p FULL JOIN c USING (event, type)"
+NEXT = f"""SELECT event, type, due, CAST(ceil(date_diff('microsecond', TIMESTAMP '{NOW}', due) / 86400000000) AS BIGINT) AS days FROM b WHERE due > TIMESTAMP '{NOW}' AND (type = 'ordinary' OR blocking)
+    QUALIFY row_number() OVER (PARTITION BY event ORDER BY due, NOT blocking, type) = 1"""
+ENTERED = f"""SELECT fact AS entry, strftime(day, '%Y%m%d') || '-' || substr(category, 1, 1) AS event, {list(STATUSES)}[fact % 5 + 1] AS status, 'p' || person || '@example.org' AS owner,
+    CASE WHEN person % 7 = 0 THEN 'p' || person || '@example.org' WHEN person % 3 = 0 THEN 'g' || person || '@example.org' END AS guardian FROM result"""
+
+
+@R.add(using("""SELECT key, entry, event, mail, type, strftime(due, '%Y-%m-%d %H:%M:%S') AS at, days FROM (SELECT 'deadline:' || entry || ':' || type || ':' || strftime(due, '%Y-%m-%d') || ':' || mail AS key, * FROM (
+    SELECT DISTINCT entry, event, unnest([owner, guardian]) AS mail FROM e WHERE status NOT IN ('submitted', 'withdrawn')) JOIN x USING (event) WHERE days <= 3 AND mail IS NOT NULL) WHERE entry % 13 <> 0""",
+    "result", "edition", c=BY_RULE, p=SAID, b=BOTH, x=NEXT, e=ENTERED))
+def entry_reminders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mails about open entries whose next ordinary or blocking deadline is at most three days off, in local time, but those sent already."""
+    e = editions(spark, sf_dir).withColumnsRenamed({"edition": "event", "city": "category"}).withColumn("zone", F.lit("Europe/Madrid"))
+    rules = spark.createDataFrame(list(RULES), "category string, source string, type string, days int, weeks int, weekday int, clock string, surcharge int, blocking boolean")
+    evening = lambda days: (F.date_sub("start", days).cast("timestamp") + F.expr("INTERVAL 21 HOURS")).alias("at")
+    none = F.lit(None).cast("int").alias("surcharge")
+    said = e.where("n % 2 = 0").select("event", F.lit("ordinary").alias("type"), evening(9), none, (F.col("n") % 5 == 0).alias("blocking"))
+    said = said.union(e.select("event", F.lit("late"), evening(1), none, F.col("n") % 3 == 0))
+    merged = deadlines.merged(said, deadlines.by_rules(e, rules, ["category", "source"]))
+    r, person = results(spark, sf_dir), F.col("person")
+    mail = lambda letter: F.concat(F.lit(letter), person, F.lit("@example.org"))
+    entries = r.select(
+        F.col("fact").alias("entry"), F.concat_ws("-", F.date_format("day", "yyyyMMdd"), F.substring("category", 1, 1)).alias("event"), F.element_at(F.array(*map(F.lit, STATUSES)), (F.col("fact") % 5 + 1).cast("int")).alias("status"),
+        mail("p").alias("owner"), F.when(person % 7 == 0, mail("p")).when(person % 3 == 0, mail("g")).alias("guardian"),
+    )
+    now = F.lit(f"{NOW}+00:00").cast("timestamp")
+    all_ = deadlines.reminders(entries, merged, spark.createDataFrame([], "key string"), now)
+    # What a run before has sent: every thirteenth entry's.
+    due = deadlines.reminders(entries, merged, all_.where("entry % 13 = 0").select("key"), now)
+    return due.withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss"))

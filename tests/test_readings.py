@@ -123,7 +123,7 @@ def written_plainly(e, placed):
     """An event's lines, from its row."""
     import zlib
 
-    note = lambda s: s.replace("\\", "\\\\").replace(";", "\;").replace(",", "\\,").replace("\n", "\\n")
+    note = lambda s: s.replace("\\", "\\\\").replace(";", "\\;").replace(",", "\\,").replace("\n", "\\n")
     m = re.fullmatch(r"([01]?\d|2[0-3]):([0-5]\d)", e.clock or "")
     clock = f"{int(m[1]):02d}:{m[2]}:00" if m else ""
     stop = e.stop or e.start
