@@ -9,6 +9,7 @@ from rostrum.functions.dates import iso
 from rostrum.functions.text import deletions, words
 from rostrum.operators import upkeep
 from rostrum.operators.numbering import numbered_in_order
+from rostrum.operators.storage import written
 from rostrum.operators.windows import numbered
 from rostrum.plans.oracle import using
 from rostrum.plans.registry import Registry
@@ -222,15 +223,18 @@ def unique_names(left: DataFrame, right: DataFrame) -> DataFrame:
     """l, r and far of names (l, country, ln) and (r, country, rn) within one error that have no other such name in their country.
 
     Distinct names meet, each with the number of rows that have it: a name of many
-    rows is one row of the join, and whoever is near it has no single candidate.
+    rows is one row of the join, and whoever is near it has no single candidate. Names
+    are spread before they get a row per deletion, and those rows are never broadcast:
+    Spark's estimate of their size is that of the names alone.
     """
-    ls = left.groupBy("country", "ln").agg(F.min("l").alias("l"), F.countDistinct("l").alias("nl"))
-    rs = right.groupBy("country", "rn").agg(F.min("r").alias("r"), F.countDistinct("r").alias("nr"))
+    ls = left.repartition("country", "ln").groupBy("country", "ln").agg(F.min("l").alias("l"), F.countDistinct("l").alias("nl"))
+    rs = right.repartition("country", "rn").groupBy("country", "rn").agg(F.min("r").alias("r"), F.countDistinct("r").alias("nr"))
     vl, vr = (t.withColumn("v", F.explode(deletions(F.col(c)))) for t, c in ((ls, "ln"), (rs, "rn")))
-    near = vl.join(vr, ["country", "v"]).drop("v").distinct().withColumn("far", F.levenshtein("ln", "rn", 1)).where("far >= 0")
+    near = vl.join(vr.hint("merge"), ["country", "v"]).drop("v").distinct().withColumn("far", F.levenshtein("ln", "rn", 1)).where("far >= 0")
+    near = written(near, "near")
     one = near.groupBy("country", "ln").agg(F.sum("nr").alias("rs")).where("rs = 1").select("country", "ln")
     other = near.groupBy("country", "rn").agg(F.sum("nl").alias("ls")).where("ls = 1").select("country", "rn")
-    return near.join(one, ["country", "ln"], "left_semi").join(other, ["country", "rn"], "left_semi").select("l", "r", "far")
+    return near.join(one.hint("merge"), ["country", "ln"], "left_semi").join(other.hint("merge"), ["country", "rn"], "left_semi").select("l", "r", "far")
 
 
 @R.add(using("SELECT x.competition AS whole, y.competition AS part, count(*) AS common, round(count(*) / max(y.n), 6) AS share FROM (SELECT competition, ym, person, count(*) OVER (PARTITION BY competition) AS n FROM (SELECT DISTINCT competition, ym, person % 30 AS person FROM result)) x JOIN (SELECT competition, ym, person, count(*) OVER (PARTITION BY competition) AS n FROM (SELECT DISTINCT competition, ym, person % 30 AS person FROM result)) y ON x.ym = y.ym AND x.person = y.person AND x.competition <> y.competition AND x.n >= y.n GROUP BY 1, 2 HAVING count(*) >= 0.8 * max(y.n)", "result"))
