@@ -7,6 +7,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rostrum.operators.storage import written
+
+#: Letters of all phrases and their meanings that are sent to every executor at most.
+SMALL = 1_000_000
+
 
 def terms(texts: DataFrame, id: str, tokens: str, phrases: DataFrame, stop: Sequence[str] = (), concepts: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """(id, words, terms): the words of a text after its phrases were replaced, and the sorted set under which it is found.
@@ -19,12 +24,17 @@ def terms(texts: DataFrame, id: str, tokens: str, phrases: DataFrame, stop: Sequ
     concept whose words are all there. Null or empty tokens have no terms.
 
     The runs of tokens meet the phrases in one equi-join whose phrase side has a row per
-    phrase; Spark broadcasts it while it is small and shuffles both beyond. The tokens
-    of one text, by the words of the longest phrase, bound a row.
+    phrase: it is broadcast up to SMALL letters in all, and both are shuffled beyond. The
+    runs are never broadcast, though Spark takes them for as few as the texts. Texts are
+    spread before their runs are made. The tokens of one text, by the words of the
+    longest phrase, bound a row.
     """
     known = phrases.where("phrase <> ''").groupBy("phrase").agg(F.min("means").alias("means"))
-    longest = known.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 1
-    own = texts.select(F.col(id).alias("__id"), F.filter(F.coalesce(tokens, F.array().cast("array<string>")), lambda w: w.isNotNull() & (w != "")).alias("__t"))
+    known = written(known, "phrases")
+    longest, letters = known.agg(F.max(F.size(F.split("phrase", " "))), F.sum(F.char_length("phrase") + F.coalesce(F.char_length("means"), F.lit(0)))).first()
+    longest = longest or 1
+    known = F.broadcast(known) if (letters or 0) <= SMALL else known.hint("merge")
+    own = texts.repartition(F.col(id)).select(F.col(id).alias("__id"), F.filter(F.coalesce(tokens, F.array().cast("array<string>")), lambda w: w.isNotNull() & (w != "")).alias("__t"))
     size = F.size("__t")
     at = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
     run = lambda i, n: F.struct(i.alias("i"), n.alias("n"), F.array_join(F.slice("__t", i, n), " ").alias("phrase"))
