@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rostrum.functions.dates import anchored_before, iso, overlap
 from rostrum.operators import deadlines, identity, joins
 from rostrum.operators.numbering import numbered_in_order
+from rostrum.operators.storage import spread
 from rostrum.operators.windows import first_per, numbered, sessions, top_k
 from rostrum.plans.oracle import using
 from rostrum.plans.registry import Registry
@@ -39,13 +40,15 @@ def identity_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 IDS = "SELECT 'rfe' AS scheme, CAST(s_suppkey // 2 AS VARCHAR) AS value, 'nac' AS source, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE '1997-1998' END AS season, DATE '1996-01-01' + CAST(s_suppkey % 100 * 10 AS INTEGER) AS valid_from, CASE WHEN s_suppkey % 4 = 0 THEN DATE '1999-01-01' END AS valid_to, CASE WHEN s_suppkey % 5 = 0 THEN 'PROPUESTO' ELSE 'CONFIRMADO' END AS status, s_suppkey AS person FROM supplier"
+# Sixty identifiers whatever the number of people: many people to each.
+SHARED_IDS = IDS.replace("s_suppkey // 2", "s_suppkey % 60")
 ASKED = "SELECT c_custkey AS query, 'rfe' AS scheme, CAST(c_custkey // 30 AS VARCHAR) AS value, 'nac' AS source, CASE WHEN c_custkey % 2 = 0 THEN '1997-1998' ELSE '1998-1999' END AS season, DATE '1996-01-01' + CAST(c_custkey AS INTEGER) AS day FROM customer"
 
 
-def external_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+def external_ids(spark: SparkSession, sf_dir: str, value: str = "s_suppkey div 2") -> DataFrame:
     s = F.col("s_suppkey")
     return table(spark, sf_dir, "supplier").select(
-        F.lit("rfe").alias("scheme"), F.expr("s_suppkey div 2").cast("string").alias("value"), F.lit("nac").alias("source"), F.when(s % 3 == 0, "").otherwise("1997-1998").alias("season"),
+        F.lit("rfe").alias("scheme"), F.expr(value).cast("string").alias("value"), F.lit("nac").alias("source"), F.when(s % 3 == 0, "").otherwise("1997-1998").alias("season"),
         F.date_add(F.lit("1996-01-01").cast("date"), (s % 100 * 10).cast("int")).alias("valid_from"), F.when(s % 4 == 0, F.lit("1999-01-01").cast("date")).alias("valid_to"),
         F.when(s % 5 == 0, "PROPUESTO").otherwise("CONFIRMADO").alias("status"), s.alias("person"))
 
@@ -57,12 +60,12 @@ def scoped_id_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.resolve(asked, external_ids(spark, sf_dir))
 
 
-@R.add(using("SELECT x.person AS one, y.person AS other, x.value FROM i x JOIN i y ON x.scheme = y.scheme AND x.value = y.value AND x.source = y.source AND x.person < y.person AND (x.season = '' OR y.season = '' OR x.season = y.season) AND x.valid_from <= coalesce(y.valid_to, DATE '9999-12-31') AND y.valid_from <= coalesce(x.valid_to, DATE '9999-12-31') JOIN root rx ON rx.id = x.person JOIN root ry ON ry.id = y.person WHERE rx.root <> ry.root", "root", i=IDS))
+@R.add(using("SELECT x.person AS one, y.person AS other, x.value FROM i x JOIN i y ON x.scheme = y.scheme AND x.value = y.value AND x.source = y.source AND x.person < y.person AND (x.season = '' OR y.season = '' OR x.season = y.season) AND x.valid_from <= coalesce(y.valid_to, DATE '9999-12-31') AND y.valid_from <= coalesce(x.valid_to, DATE '9999-12-31') JOIN root rx ON rx.id = x.person JOIN root ry ON ry.id = y.person WHERE rx.root <> ry.root", "root", i=SHARED_IDS))
 def id_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One identifier on two people at one time: an equi-join on the identifier, then scope and validity."""
     roots = identity.closure(fencers(spark, sf_dir)).select(F.col("id").alias("person"), "root")
-    ids = external_ids(spark, sf_dir).join(roots, "person")
-    x, y = ids.alias("x"), ids.alias("y")
+    ids = external_ids(spark, sf_dir, "s_suppkey % 60").join(roots, "person")
+    x, y = spread(ids, "person").alias("x"), ids.alias("y")
     end = lambda a: F.coalesce(F.col(f"{a}.valid_to"), F.lit("9999-12-31").cast("date"))
     scope = (F.col("x.season") == "") | (F.col("y.season") == "") | (F.col("x.season") == F.col("y.season"))
     same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("scheme", "value", "source")]
