@@ -308,8 +308,11 @@ def relay_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add(using("SELECT competition, me, spread FROM (SELECT competition, me, max(rival_country) OVER (PARTITION BY competition) AS spread, line, side FROM s) GROUP BY ALL", "oriented", "fencer", s=SIDES))
 def partition_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = sides(spark, sf_dir).withColumn("spread", F.max("rival_country").over(Window.partitionBy("competition")))
-    return df.select("competition", "me", "spread").distinct()
+    """The people of a competition with the greatest country of all: one aggregate of its bouts, no row a side."""
+    f = fencers(spark, sf_dir).select("id", "country")
+    df = bouts(spark, sf_dir).join(f.toDF("a", "country_a"), "a").join(f.toDF("b", "country_b"), "b")
+    per = df.groupBy("competition").agg(F.max(F.greatest("country_a", "country_b")).alias("spread"), F.collect_set("a").alias("a"), F.collect_set("b").alias("b"))
+    return per.select("competition", F.explode(F.array_union("a", "b")).alias("me"), "spread")
 
 
 @R.add(using("""SELECT competition, CASE WHEN pools = 0 AND tableau = 0 THEN 'none' WHEN pools > 0 AND tableau > 0 THEN 'verified' WHEN tableau > 0 THEN 'partial' ELSE 'pending' END AS state, pools, tableau
