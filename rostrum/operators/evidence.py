@@ -38,13 +38,14 @@ def fuller(names: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, words, more): the names of equal keys that hold all words of a shorter one, by its rarest word.
 
     names: distinct (keys, words), words a sorted set. Only different names meet, however
-    many people bear them.
+    many people bear them. Rows made by explode are never broadcast: Spark's estimate of
+    their size is that of the rows before.
     """
     each = names.select(*keys, "words", F.explode("words").alias("__word"))
     common = each.groupBy(*keys, "__word").agg(F.count("*").alias("__n"))
-    rarest = each.join(common, [*keys, "__word"]).groupBy(*keys, "words").agg(F.min(F.struct("__n", "__word")).alias("__least"))
+    rarest = each.join(common.hint("merge"), [*keys, "__word"]).groupBy(*keys, "words").agg(F.min(F.struct("__n", "__word")).alias("__least"))
     asked = rarest.select(*keys, "words", F.col("__least.__word").alias("__word"))
-    pairs = asked.join(each.withColumnRenamed("words", "more"), [*keys, "__word"])
+    pairs = asked.join(each.withColumnRenamed("words", "more").hint("merge"), [*keys, "__word"])
     return pairs.where((F.size("words") < F.size("more")) & (F.size(F.array_except("words", "more")) == 0)).drop("__word")
 
 
@@ -116,7 +117,7 @@ def by_results(roots: DataFrame, facts: DataFrame) -> DataFrame:
     shifted = F.explode(F.array(*[F.lit(d) for d in range(-NEAR, NEAR + 1)]))
     theirs = who.select(F.col("y.id").alias("b"), "more", F.explode("y.weapons").alias("weapon"), "y.clubs").select("b", "more", "weapon", F.inline("clubs"))
     theirs = theirs.withColumn("__d", shifted).withColumn("year", F.col("year") + F.col("__d")).drop("__d")
-    spoken = ours.join(theirs, ["more", "weapon", "club", "year"]).select(F.col("id").alias("a"), "b").distinct()
+    spoken = ours.join(theirs.hint("merge"), ["more", "weapon", "club", "year"]).select(F.col("id").alias("a"), "b").distinct()
     spoken = spoken.join(roots.select(F.col("id").alias("a"), F.struct("*").alias("x")), "a").join(roots.select(F.col("id").alias("b"), F.struct("*").alias("y")), "b")
     career = (x["first"] >= y["first"] - NEAR) & (x["last"] <= y["last"] + NEAR)
     spoken = written(spoken.where(career & ~contradicts(x, y)).select("a", "b"), "spoken")
