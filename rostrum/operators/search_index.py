@@ -114,8 +114,11 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int) -> DataFr
     near = written(near.select("word", "token", place.alias("bucket")), "near")
     asked = written(words.select("word", _bucket(F.substring("word", 1, LETTERS)).alias("bucket")).distinct(), "asked")
     rows = _read(spark, path, "tokens", sorted({*_buckets(asked), *_buckets(near)}))
-    begins = (F.col("token") == F.col("word")) | ((F.char_length("word") >= LETTERS) & F.startswith("token", F.col("word")))
-    vocabulary = rows.select("token", "bucket").distinct().join(asked, "bucket").where(begins).select("word", "token", F.when(F.col("token") == F.col("word"), 3).otherwise(2).alias("fit"))
+    # Tokens meet words by equality, under themselves and under each of their beginnings: a bucket of many words and tokens makes no pairs.
+    lengths = F.sequence(F.lit(LETTERS), F.char_length("token"))
+    beginnings = F.when(F.char_length("token") > LETTERS, F.transform(lengths, lambda n: F.substr("token", F.lit(1), n))).otherwise(F.array("token"))
+    begun = rows.select("token").distinct().withColumn("word", F.explode(beginnings))
+    vocabulary = begun.join(asked.select("word").hint("merge"), "word").select("word", "token", F.when(F.col("token") == F.col("word"), 3).otherwise(2).alias("fit"))
     fits = written(vocabulary.union(near.select("word", "token", F.lit(1))).groupBy("word", "token").agg(F.max("fit").alias("fit")), "fits")
     # The word of a query with the fewest rows names who may be found; of the others, only those people's rows are looked at.
     often = rows.join(fits.select("token").distinct(), "token").groupBy("token").agg(F.count("*").alias("rows"))
