@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rostrum.functions.dates import anchored_before, iso, overlap
-from rostrum.operators import deadlines, identity, joins
+from rostrum.operators import acquaintances, deadlines, identity, joins
 from rostrum.operators.numbering import numbered_in_order
 from rostrum.operators.storage import spread
-from rostrum.operators.windows import first_per, numbered, sessions, top_k
+from rostrum.operators.windows import first_per, numbered, sessions
 from rostrum.plans.oracle import using
 from rostrum.plans.registry import Registry
-from rostrum.sources.adapter import athletes, editions, fencers, observations, results, table
+from rostrum.sources.adapter import athletes, bouts, editions, fencers, observations, results, table
 
 R = Registry()
 
@@ -264,20 +264,11 @@ def truncation_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add(using("SELECT me, other, score, rn FROM (SELECT *, row_number() OVER (PARTITION BY me ORDER BY score DESC, other) AS rn FROM (SELECT c.me, c.other, coalesce(b.bouts, 0) * 5 + c.shared + CASE WHEN fm.country = fo.country THEN 10 ELSE 0 END AS score FROM c LEFT JOIN b ON b.me = c.me AND b.rival = c.other JOIN fencer fm ON fm.id = c.me JOIN fencer fo ON fo.id = c.other)) WHERE rn <= 5",
     "oriented", "fencer", p="SELECT DISTINCT competition, me FROM oriented", c="SELECT x.me, y.me AS other, count(*) AS shared FROM p x JOIN p y ON x.competition = y.competition AND x.me <> y.me GROUP BY 1, 2", b="SELECT me, rival, count(*) AS bouts FROM oriented GROUP BY 1, 2"))
 def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """People with common competitions, direct bouts and country; competitions have a bounded number of people, so pairs within them do too.
+    """People with common competitions, direct bouts and country: a common competition counts one, a bout five, a country ten.
 
-    A common competition counts one and a bout five, in one sum per pair.
+    Competitions have a bounded number of people; each sends its list to each of them, and no pair is shuffled.
     """
-    from rostrum.plans.bouts import oriented
-
-    o = oriented(spark, sf_dir)
-    p = o.select("competition", "me").distinct()
-    shared = p.join(p.withColumnRenamed("me", "other"), "competition").where("me <> other").select("me", "other", F.lit(1).alias("n"))
-    c = shared.union(o.select("me", "rival", F.lit(5))).groupBy("me", "other").agg(F.sum("n").alias("met"))
-    f = fencers(spark, sf_dir)
-    df = c.join(f.select(F.col("id").alias("me"), F.col("country").alias("cm")), "me").join(f.select(F.col("id").alias("other"), F.col("country").alias("co")), "other")
-    score = F.col("met") + F.when(F.col("cm") == F.col("co"), 10).otherwise(0)
-    return top_k(df.withColumn("score", score), ["me"], [F.desc("score"), "other"], 5).select("me", "other", "score", "rn")
+    return acquaintances.closest(acquaintances.lists(bouts(spark, sf_dir), fencers(spark, sf_dir), "competition"), 5, 5, 10)
 
 
 @R.add(using("SELECT root, strftime(min(day), '%Y-%m-%d') AS since, count(*) AS rows FROM (SELECT r.root, DATE '2024-01-01' + CAST(id % 40 AS INTEGER) AS day FROM root r) GROUP BY root", "root"))
