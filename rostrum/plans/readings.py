@@ -40,7 +40,7 @@ FOUGHT = "(phase = 'TABLEAU' OR score_a <> score_b)"
     CASE WHEN score_a > score_b THEN CAST(a AS VARCHAR) WHEN score_b > score_a THEN CAST(b AS VARCHAR) END AS winner FROM bout""", "bout"))
 def native_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bouts of pools and brackets read back from bracketed records."""
-    rows, _ = read_records(record_files(spark, sf_dir), "text")
+    rows, _ = read_records(record_files(spark, sf_dir), "text", ["competition"])
     return rows.select("competition", "kind", "round", "a", "b", "score_a", "score_b", "winner")
 
 
