@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rostrum.functions import text as X
 from rostrum.functions.dates import iso
 from rostrum.operators import encounters, evidence, linking, search_index
-from rostrum.operators.storage import work_path
+from rostrum.operators.storage import spread, work_path, written
 from rostrum.plans.oracle import using
 from rostrum.plans.registry import Registry
 from rostrum.plans.texts import SIMILARITY_SQL, form_sql, phonetic_sql
@@ -219,8 +219,9 @@ SCORED = f"SELECT a, b, {SIMILARITY_SQL} AS score FROM (SELECT a, b, {phonetic_s
     w=f"SELECT p_partkey, unnest(string_split({form_sql('p_name')}, ' ')) AS b FROM part", s=SCORED))
 def name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """People whose names have a word like each of those asked for, by mean similarity; words are compared once, not once per name."""
-    w = table(spark, sf_dir, "part").select("p_partkey", F.explode(X.words(F.col("p_name"))).alias("b"))
-    scored = w.select("b").distinct().select("b", *[X.similarity(F.lit(a), F.col("b")).alias(f"s{k}") for k, a in enumerate(ASKED)])
+    w = written(spread(table(spark, sf_dir, "part")).select("p_partkey", F.explode(X.words(F.col("p_name"))).alias("b")), "words")
+    # Written, so that no filter on a score is moved below the distinct words, or over the join to every name's.
+    scored = written(spread(w.select("b").distinct(), "b").select("b", *[X.similarity(F.lit(a), F.col("b")).alias(f"s{k}") for k, a in enumerate(ASKED)]), "scored")
     best = w.join(scored.where(" OR ".join(f"s{k} > 0" for k in range(len(ASKED)))), "b").groupBy("p_partkey").agg(*[F.max(f"s{k}").alias(f"s{k}") for k in range(len(ASKED))])
     every = best.where(" AND ".join(f"s{k} > 0" for k in range(len(ASKED))))
     return every.select("p_partkey", F.round(sum(F.col(f"s{k}") for k in range(len(ASKED))) / len(ASKED), 6).alias("score"))
