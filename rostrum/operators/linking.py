@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,14 +16,17 @@ def link_by_levels(rows: DataFrame, people: DataFrame, person: str, levels: Mapp
 
     A level is a list of columns that both sides have. One person there links the row;
     several are `ambiguous`, and later levels are not asked; none in any level is
-    `none`. Rows with a null among a level's keys have nobody there. Each level is one
-    aggregate of the people and one equi-join of a row per key, so a common key costs
-    no more rows than any other.
+    `none`. Rows with a null among a level's keys have nobody there; a number of their
+    own, which no key has, spreads them over the tasks. Each level is one aggregate of
+    the people and one equi-join of a row per key, so a common key costs no more rows
+    than any other.
     """
     out = rows
     for k, keys in enumerate(levels.values()):
         known = people.dropna(subset=[*keys, person]).groupBy(*keys).agg(F.min(person).alias(f"__least{k}"), F.max(person).alias(f"__most{k}"))
-        out = out.join(known, list(keys), "left")
+        nobody = reduce(Column.__or__, [F.col(c).isNull() for c in keys])
+        apart = F.when(nobody, F.xxhash64(*rows.columns)).otherwise(0).alias("__apart")
+        out = out.select("*", apart).join(known.withColumn("__apart", F.lit(0).cast("long")), [*keys, "__apart"], "left").drop("__apart")
     least = [F.col(f"__least{k}") for k in range(len(levels))]
     who = F.coalesce(*[F.when(one.isNotNull(), F.struct(one.alias("least"), F.col(f"__most{k}").alias("most"), F.lit(name).alias("level"))) for k, (name, one) in enumerate(zip(levels, least, strict=True))])
     out = out.withColumn("__who", who)
