@@ -34,9 +34,7 @@ def cells(words: DataFrame, page: Sequence[str], gap: float = 8.0) -> DataFrame:
 
 def columns(of: DataFrame, page: Sequence[str], slack: float = 12.0) -> DataFrame:
     """cells with `column`, from 1 at the left of a page: starts that lie within `slack` of the one to their left share it."""
-    starts = of.groupBy(*page, "x").agg(F.count("*").alias("__n"))
-    numbered = _numbered(starts, page, ["x"], lambda w: F.coalesce(F.col("x") - F.lag("x").over(w) > slack, F.lit(True)).cast("int"), "column").drop("__n")
-    return of.join(numbered, [*page, "x"])
+    return _numbered(of, page, ["x"], lambda w: F.coalesce(F.col("x") - F.lag("x").over(w) > slack, F.lit(True)).cast("int"), "column")
 
 
 def rows(words: DataFrame, page: Sequence[str], fields: Sequence[str], leading: str = "^[0-9]+$", slack: float = 3.0, gap: float = 8.0, column_slack: float = 12.0) -> DataFrame:
