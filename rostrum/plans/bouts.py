@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from rostrum.functions.dates import iso
 from rostrum.operators import joins, pairs
+from rostrum.operators.storage import divided
 from rostrum.operators.windows import best_of, first_per, longest_streak, numbered, ranked, running_sum, top_k
 from rostrum.plans.oracle import BALANCE, RATE, using
 from rostrum.plans.registry import Registry
-from rostrum.sources.adapter import bouts, fencers
+from rostrum.sources.adapter import bouts, fencers, table
 
 R = Registry()
 ME, RIVAL = 5, 7
@@ -194,11 +195,17 @@ def bout_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     JOIN f x ON x.competition = one JOIN f y ON y.competition = other WHERE common >= 2 AND 2 * common >= least(x.n, y.n)""",
     "oriented", p="SELECT DISTINCT competition, me AS person, day FROM oriented", f="SELECT competition, count(DISTINCT person) AS n FROM p GROUP BY competition"))
 def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Competitions that share two people or more, half of the smaller field at least, within two days: an equi-join on person and day buckets, then the exact window."""
-    p = oriented(spark, sf_dir).select("competition", F.col("me").alias("person"), "day").distinct()
-    field = p.groupBy("competition").agg(F.countDistinct("person").alias("n"))
-    joined = joins.within_days(p.toDF("one", "person", "day"), p.toDF("other", "person", "other_day"), ["person"], "day", "other_day", 2).where("one < other")
-    common = joined.groupBy("one", "other").agg(F.countDistinct("person").alias("common")).where("common >= 2")
+    """Competitions that share two people or more, half of the smaller field at least, within two days.
+
+    A person's bouts meet where they are sorted by day, each those of it and the two days after; only pairs are shuffled again.
+    """
+    b = bouts(spark, sf_dir)
+    field = b.groupBy("competition").agg(F.size(F.array_union(F.collect_set("a"), F.collect_set("b"))).cast("long").alias("n"))
+    sides = b.where("competition IS NOT NULL AND day IS NOT NULL").select("competition", F.unix_date("day").alias("day"), F.explode(F.array("a", "b")).alias("person"))
+    p = divided(sides, 2 * table(spark, sf_dir, "lineitem").count(), "person").dropDuplicates(["person", "day", "competition"])
+    after = F.collect_list("competition").over(Window.partitionBy("person").orderBy("day").rangeBetween(0, 2))
+    met = p.withColumn("after", after).withColumn("other", F.explode("after")).where("competition <> other").select("person", F.least("competition", "other").alias("one"), F.greatest("competition", "other").alias("other"))
+    common = met.dropDuplicates(["person", "one", "other"]).groupBy("one", "other").agg(F.count("*").alias("common")).where("common >= 2")
     df = common.join(field.toDF("one", "people_one"), "one").join(field.toDF("other", "people_other"), "other")
     return df.where(2 * F.col("common") >= F.least("people_one", "people_other"))
 
