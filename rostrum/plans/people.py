@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rostrum.functions import text as X
 from rostrum.functions.dates import iso
 from rostrum.operators import encounters, evidence, linking, search_index
-from rostrum.operators.storage import spread, work_path, written
+from rostrum.operators.storage import divided, spread, work_path, written
 from rostrum.plans.oracle import using
 from rostrum.plans.registry import Registry
 from rostrum.plans.texts import SIMILARITY_SQL, form_sql, phonetic_sql
@@ -207,7 +207,8 @@ def encounter_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((line + c) % 4 != 0, F.col("score_a") + F.when((c == 1) & (line % 5 == 0), 1).otherwise(0)).alias("mine"), F.when((F.col("competition") + c) % 5 != 0, F.col("score_b")).alias("theirs"),
         F.when(line % 2 == c, 0).otherwise(line % 2 + 1).alias("bouts"),
     )
-    met = encounters.grouped(readings, ["me", "rival", "weapon"])
+    keys = ["me", "rival", "weapon"]
+    met = encounters.grouped(divided(readings, 2 * table(spark, sf_dir, "lineitem").count(), *keys), keys)
     return met.withColumn("since", iso(F.col("since")))
 
 
