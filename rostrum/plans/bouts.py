@@ -283,7 +283,11 @@ def country_pair_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add(using(f"SELECT me, rival_country, coalesce(season, '') AS season, {BALANCE} FROM s GROUP BY GROUPING SETS ((me, rival_country, season), (me, rival_country))", "oriented", "fencer", s=SIDES))
 def country_fencer_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = sides(spark, sf_dir).groupingSets([["me", "rival_country", "season"], ["me", "rival_country"]], "me", "rival_country", "season").agg(*pairs.balance())
+    """Sums by season, and over seasons from those: bouts are not multiplied, and go to their person and country once."""
+    narrow = sides(spark, sf_dir).select("me", "rival_country", "season", "favor", "contra").repartition("me", "rival_country")
+    per = narrow.groupBy("me", "rival_country", "season").agg(*pairs.balance())
+    own = [c for c in per.columns if c not in ("me", "rival_country", "season")]
+    df = per.groupingSets([["me", "rival_country", "season"], ["me", "rival_country"]], "me", "rival_country", "season").agg(*[F.sum(c).alias(c) for c in own])
     return df.withColumn("season", F.coalesce("season", F.lit("")))
 
 
