@@ -131,15 +131,19 @@ def rival_records(spark: SparkSession, sf_dir: str) -> DataFrame:
       UNION ALL SELECT me, scope, 'nemesis', rival, losses, row_number() OVER (PARTITION BY me, scope ORDER BY losses DESC, wins, rival) FROM g) WHERE rn <= 5""",
     "oriented", s="SELECT *, CASE WHEN phase = 'TABLEAU' THEN 'INTERNACIONAL' ELSE 'NACIONAL' END AS own FROM oriented", e="SELECT *, 'todo' AS scope FROM s UNION ALL SELECT *, own FROM s", g=f"SELECT me, scope, rival, {BALANCE} FROM e GROUP BY me, scope, rival"))
 def rivals_by_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five first of three lists in two scopes: of rivals with one balance only the five least ids can be among them, so no list sorts the others."""
     own = F.when(F.col("phase") == "TABLEAU", "INTERNACIONAL").otherwise("NACIONAL")
-    df = oriented(spark, sf_dir).withColumn("scope", F.explode(F.array(F.lit("todo"), own)))
-    g = df.groupBy("me", "scope", "rival").agg(*pairs.balance())
+    df = divided(oriented(spark, sf_dir).select("me", "rival", "favor", "contra", own.alias("own")), 2 * table(spark, sf_dir, "lineitem").count(), "me")
+    figures = ("bouts", "wins", "losses")
+    per = df.groupBy("me", "rival", "own").agg(F.count("*").alias("bouts"), F.count_if(pairs.won()).alias("wins"), F.count_if(pairs.lost()).alias("losses"))
+    whole = per.groupBy("me", "rival").agg(*[F.sum(c).alias(c) for c in figures]).select("me", F.lit("todo").alias("scope"), "rival", *figures)
     keys = ["me", "scope"]
+    few = top_k(whole.union(per.select("me", "own", "rival", *figures)), [*keys, *figures], ["rival"], 5, "least")
     lists = {"faced": ("bouts", [F.desc("bouts"), F.desc("wins"), "rival"]), "beaten": ("wins", [F.desc("wins"), "losses", "rival"]), "nemesis": ("losses", [F.desc("losses"), "wins", "rival"])}
     for name, (_, order) in lists.items():
-        g = numbered(g, keys, order, f"rn_{name}")
+        few = numbered(few, keys, order, f"rn_{name}")
     one = F.explode(F.array(*[F.struct(F.lit(n).alias("list"), F.col(c).alias("amount"), F.col(f"rn_{n}").alias("rn")) for n, (c, _) in lists.items()]))
-    return g.select("me", "scope", "rival", one.alias("x")).select("me", "scope", "rival", "x.*").where("rn <= 5")
+    return few.select("me", "scope", "rival", one.alias("x")).select("me", "scope", "rival", "x.*").where("rn <= 5")
 
 
 @R.add(using("SELECT competition, me, count(*) AS bouts, count(*) FILTER (WHERE favor > contra) AS v, CAST(sum(favor) AS BIGINT) AS given, CAST(sum(contra) AS BIGINT) AS received, string_agg(CAST(rival AS VARCHAR) || '=' || CAST(favor AS VARCHAR), ' ' ORDER BY rival, line, favor) AS cells FROM oriented WHERE phase = 'POULE' GROUP BY competition, me", "oriented"))
