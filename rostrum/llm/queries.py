@@ -41,8 +41,8 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without byte strings of 400 that occur more than once."""
-    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    """Every document without byte strings of 400 that occur more than once, and its words in passages of over 50 words that others share."""
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), words=51)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,10 +34,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rostrum.llm.common import Scratch, named as named_texts, rows, stored
+from rostrum.llm.passages import PLACE, SEGMENT, Words, reach, shared_blocks, shared_words, slid
 
 GRAM = 16
-SEGMENT = 1 << 18
-PLACE = np.uint64((1 << 20) - 1)
 
 
 def grams(data: np.ndarray) -> np.ndarray:
@@ -60,13 +59,7 @@ def anchors(text: bytes, length: int) -> np.ndarray:
         starts = min(SEGMENT, n - length + 1 - at)
         h = grams(data[at : at + starts + length // 2 - 1])
         least = (h & ~PLACE) | np.arange(len(h), dtype=np.uint64)
-        size = 1
-        while size * 2 <= reach:
-            least = np.minimum(least[:-size], least[size:])
-            size *= 2
-        if size < reach:
-            least = np.minimum(least[: size - reach], least[reach - size :])
-        place = (least[:starts] & PLACE).astype(np.int64) + at
+        place = (slid(least, reach)[:starts] & PLACE).astype(np.int64) + at
         out.append(place[np.r_[True, place[1:] != place[:-1]]])
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
 
@@ -98,8 +91,11 @@ def _cut(texts: Iterator[tuple], width: int, length: int) -> Iterator[tuple]:
                 yield (d, x, top, *got)
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, with_bytes: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every row (with_bytes: kept, the bytes that stay).
+def remove_repeats(docs: DataFrame, length: int = 400, with_bytes: bool = False, words: int = 0) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every row (with_bytes: kept, the bytes that stay; words: n_shared_words, see passages.py).
+
+    n_shared_words counts the words in passages of at least `words` words that another
+    row has too, also where these are fewer than `length` bytes; they are not removed.
 
     Texts are UTF-8 bytes; null is the empty text; windows never cross rows and are
     judged on the input. A text of at least `length` bytes that another row equals
@@ -110,11 +106,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_bytes: bool = False)
     """
     steps = widths(length)
     texts_of = named_texts(docs)
-    first_schema = pa.schema([("doc_id", pa.int64()), ("d", pa.int64()), ("x", pa.int64()), ("sha", pa.string()), ("n_bytes", pa.int64())])
+    first_schema = pa.schema([("doc_id", pa.int64()), ("d", pa.int64()), ("x", pa.int64()), ("sha", pa.string()), ("n_bytes", pa.int64()), ("n_words", pa.int64())])
+    first = reach(words) if words else 0
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            heads, offsets, tops, cores, hulls = [], [0], [], [], []
+            heads, offsets, tops, cores, hulls, word_offsets, word_blocks = [], [0], [], [], [], [0], []
             for doc_id, d, x, text in rows(batch, "doc_id", "d", "x", "text"):
                 data = text.encode()
                 view = memoryview(data)
@@ -124,11 +121,17 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_bytes: bool = False)
                         cores.append(got[0])
                         hulls.append(got[1])
                 offsets.append(len(tops))
-                heads.append((doc_id, d, x, hashlib.sha256(data).hexdigest(), len(data)))
+                told = Words(text) if words else None
+                if told:
+                    word_blocks += told.blocks(told.anchors(words, first).tolist(), first, words)
+                word_offsets.append(len(word_blocks))
+                heads.append((doc_id, d, x, hashlib.sha256(data).hexdigest(), len(data), told.n if told else 0))
             if heads:
+                by_word = zip(*word_blocks) if word_blocks else ((), (), ())
+                by_word = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(by_word, (pa.int32(), pa.int64(), pa.binary()))], names=["top", "core", "hull"])
                 inner = pa.StructArray.from_arrays([pa.array(tops, pa.int32()), pa.array(cores, pa.int64()), pa.array(hulls, pa.binary())], names=["top", "core", "hull"])
                 columns = [pa.array(c, type=f.type) for c, f in zip(zip(*heads), first_schema)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), inner)], names=[*first_schema.names, "blocks"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), inner), pa.ListArray.from_arrays(pa.array(word_offsets, pa.int32()), by_word)], names=[*first_schema.names, "blocks", "word_blocks"])
 
     def cut(batches: Iterator[pa.RecordBatch], narrow: int) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,16 +158,23 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_bytes: bool = False)
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), result)], names=result.names)
 
     with Scratch() as scratch:
-        scanned = scratch.stored(texts_of.mapInArrow(scan, "doc_id long, d long, x long, sha string, n_bytes long, blocks array<struct<top:int,core:long,hull:binary>>"), "scanned")
-        classes = scratch.stored(scanned.groupBy("sha", "n_bytes").agg(F.count("*").alias("copies"), F.min(F.struct("d", "x")).alias("one")).select("sha", "n_bytes", "copies", F.col("one.d").alias("d"), F.col("one.x").alias("x")), "classes")
+        scanned = scratch.stored(texts_of.mapInArrow(scan, "doc_id long, d long, x long, sha string, n_bytes long, n_words long, blocks array<struct<top:int,core:long,hull:binary>>, word_blocks array<struct<top:int,core:long,hull:binary>>"), "scanned")
+        classes = scratch.stored(scanned.groupBy("sha", "n_bytes", "n_words").agg(F.count("*").alias("copies"), F.min(F.struct("d", "x")).alias("one")).select("sha", "n_bytes", "n_words", "copies", F.col("one.d").alias("d"), F.col("one.x").alias("x")), "classes")
         own = scanned.join(classes.select("sha", "d", "x"), ["sha", "d", "x"], "left_semi").dropDuplicates(["sha"])
         # Counts are written before they are joined: a core that a third of all texts hold then is a skewed join, which Spark splits.
         level = scratch.stored(own.select("d", "x", F.inline("blocks")), "anchors")
         more = scratch.stored(level.groupBy("core").agg(F.count("*").alias("cores")).where("cores > 1").select("core"), "cores")
         level = scratch.stored(level.join(more, "core", "left_semi").select("d", "x", "top", "core", "hull"), "blocks0")
-        ids = level.select("d", "x").distinct()
-        # In buckets by (d, x), so that no narrowing step moves a text again.
-        texts = scratch.bucketed(texts_of.select("d", "x", "text").join(ids, ["d", "x"], "left_semi").dropDuplicates(["d", "x"]), "repeat_texts", ["d", "x"])
+        with Scratch() as brief:
+            ids = level.select("d", "x")
+            if words:
+                by_words = shared_blocks(brief, own)
+                ids = ids.union(by_words.select("d", "x"))
+            # In buckets by (d, x), so that no narrowing step moves a text again.
+            texts = scratch.bucketed(texts_of.select("d", "x", "text").join(ids.distinct(), ["d", "x"], "left_semi").dropDuplicates(["d", "x"]), "repeat_texts", ["d", "x"])
+            if words:
+                shared = shared_words(brief, classes, texts, by_words, words)
+                scratch.held.append(shared)
 
         decided = []
         for k, width in enumerate(steps):
@@ -185,7 +195,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_bytes: bool = False)
 
         spans = reduce(DataFrame.unionByName, decided).groupBy("d", "x").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
         removed = texts.join(spans, ["d", "x"]).select("d", "x", "text", "spans").mapInArrow(apply, "d long, x long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_bytes else ""))
-        per = classes.join(scratch.stored(removed, "removed"), ["d", "x"], "left").drop("d", "x")
+        per = classes.join(scratch.stored(removed, "removed"), ["d", "x"], "left").drop("d", "x", "n_words")
         whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
         per = per.select(
             "sha", F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"), F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
@@ -195,5 +205,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_bytes: bool = False)
         if with_bytes:
             text = texts_of.select("d", "x", F.encode("text", "utf-8").alias("whole")).dropDuplicates(["d", "x"])
             out = out.join(text, ["d", "x"]).withColumn("kept", F.coalesce("kept", "whole"))
-        out = out.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), *(["kept"] if with_bytes else []))
+        if words:
+            out = out.join(shared, "sha", "left").withColumn("n_shared_words", F.coalesce("n_shared_words", F.lit(0)).cast("long"))
+        out = out.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), *(["kept"] if with_bytes else []), *(["n_shared_words"] if words else []))
         return stored(out, "unrepeated")

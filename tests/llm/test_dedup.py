@@ -249,3 +249,38 @@ def test_repeats_leave_nothing_behind(spark, small, pairs):
 def test_repeats_odd(odd, empty, length):
     same(repeats.remove_repeats(odd, length).collect(), repeats_brute(odd_texts(), length))
     assert repeats.remove_repeats(empty, length).count() == 0
+
+
+def shared_brute(docs, words):
+    texts = [(t or "").encode().split() for _, t in docs]
+    rows_of = defaultdict(set)
+    for row, t in enumerate(texts):
+        for k in range(len(t) - words + 1):
+            rows_of[hash(tuple(t[k : k + words]))].add(row)
+    for (i, _), t in zip(docs, texts):
+        gone = {j for k in range(len(t) - words + 1) if len(rows_of[hash(tuple(t[k : k + words]))]) > 1 for j in range(k, k + words)}
+        yield i, len(gone)
+
+
+@pytest.mark.parametrize("words", [51, 16])
+def test_shared_words(small, pairs, odd, words):
+    for docs, texts in ((small, pairs), (odd, odd_texts())):
+        same(repeats.remove_repeats(docs, words=words).select("doc_id", "n_shared_words").collect(), shared_brute(texts, words))
+
+
+def test_op5_catches_short_passages(spark, tmp_path):
+    """Passages of over 50 words are told also where they are shorter than 400 bytes, whatever blanks part them; 50 words and a text's own repetitions are not."""
+    from rostrum.llm.queries import op5_repeats
+
+    def prose(seed, n):
+        rng = np.random.default_rng(seed)
+        return [LOWER[a] + LOWER[b] + LOWER[c] for a, b, c in rng.integers(0, 26, (n, 3))]
+
+    texts = []
+    for n in (50, 51, 60, 99):
+        passage = prose(n, n)
+        texts += [" ".join(prose(1000 + n, 70) + passage + prose(2000 + n, 90)), " ".join(prose(3000 + n, 20)) + "\n" + "  ".join(passage), " ".join(prose(4000 + n, 300))]
+    texts.append(" ".join(prose(7, 60) * 2))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r.doc_id, r.n_removed, r.n_shared_words) for r in op5_repeats(spark, str(tmp_path)).collect())
+    assert got == [(i, 0, [0, 51, 60, 99][i // 3] if i < 12 and i % 3 < 2 else 0) for i in range(13)]
