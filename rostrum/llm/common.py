@@ -94,6 +94,11 @@ class Scratch:
         self.held.append(stored(df, name))
         return self.held[-1]
 
+    def drop(self, *frames: DataFrame) -> None:
+        """Deletes tables of stored() that nothing reads any more."""
+        discard(*frames)
+        self.held = [df for df in self.held if all(df is not f for f in frames)]
+
     def bucketed(self, df: DataFrame, name: str, keys: list[str], sort: bool = False) -> DataFrame:
         """df as a table of the warehouse in as many buckets by keys as shuffles have partitions, until the end."""
         spark = df.sparkSession
@@ -111,6 +116,12 @@ def rows(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
         yield tuple(c[i].as_py() for c in columns)
 
 
+def lists(column: pa.ListArray) -> tuple[pa.Array, list[int]]:
+    """The elements of all lists in one array, and where each list begins and the last one ends."""
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    return column.flatten(), [0, *lengths.cumsum().tolist()]
+
+
 def chunks(found: Iterator[tuple], schema: pa.Schema, size: int = 8192) -> Iterator[pa.RecordBatch]:
     """Tuples gathered into record batches of at most size rows."""
     held: list[tuple] = []

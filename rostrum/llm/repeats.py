@@ -3,8 +3,8 @@
 A byte goes when a window of `length` bytes that covers it also starts anywhere
 else. Windows are told apart exactly, without a list of all of them:
 
-1. Every half window holds an anchor, the least hash of its 16-byte strings, so
-   two equal windows have the same anchor at the same place. Around an anchor,
+1. The first part of every window holds an anchor, the least hash of its 16-byte
+   strings, so two equal windows have the same anchor at the same place. Around an anchor,
    windows form a block of neighbouring starts; all of them share the block's
    core, and all lie in its hull.
 2. Blocks whose core occurs nowhere else hold no repeated window. Blocks whose
@@ -14,9 +14,10 @@ else. Windows are told apart exactly, without a list of all of them:
 
 Spark counts cores and hulls after summing them up in each task, so a passage
 that a third of all documents share is one row per task; texts are read where
-their blocks are cut. Equal texts are one text from the start. A core's hash has 64
-bits: a collision costs a look at more blocks. What is removed is decided by hulls,
-whose hashes have 128.
+their blocks are cut. Equal texts are one text: cores are counted over all rows by
+64 bits of a text's SHA-256, and of the blocks that then remain only those of one row a
+text stay, so blocks of all rows are moved once. A core's hash has 64 bits: a collision
+costs a look at more blocks. What is removed is decided by hulls, whose hashes have 128.
 
 README.md says why the merging of Burrows-Wheeler transforms is not used.
 """
@@ -29,66 +30,67 @@ from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rostrum.llm.common import Scratch, named as named_texts, rows, stored
-from rostrum.llm.passages import PLACE, SEGMENT, Words, reach, shared_blocks, shared_words, slid
+from rostrum.llm.common import Scratch, lists, named as named_texts, rows, stored
+from rostrum.llm.passages import BLOCK, Blocks, Words, blocks_of, columns, cut_up, hashes, narrower, placed, shared_words, slid, word_widths
 
 GRAM = 16
+#: Windows whose anchors are sought at once: places among them and in the widest block have 16 bits.
+SEGMENT = 1 << 15
+#: Words of 64 bits in the bitmap of texts that are read again: 2 MB, however many texts there are.
+BITS = 1 << 18
 
 
 def grams(data: np.ndarray) -> np.ndarray:
     """A hash of the 16 bytes from every place on."""
-    x = data.astype(np.uint64)
-    for step in (1, 2, 4):
-        x = x[:-step] | x[step:] << np.uint64(8 * step)
-    with np.errstate(over="ignore"):
-        h = (x[:-8] ^ (x[8:] * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xC2B2AE3D27D4EB4F)
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(29))
+    x = np.ndarray(shape=(len(data) - 7,), dtype="<u8", buffer=data, strides=(1,)).copy()
+    h = x[8:] * np.uint64(0x9E3779B97F4A7C15)
+    h ^= x[:-8]
+    h *= np.uint64(0xC2B2AE3D27D4EB4F)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    return h
 
 
 def anchors(text: bytes, length: int) -> np.ndarray:
-    """The places of the least hash, leftmost of equals, in the first half of each window."""
-    n, reach = len(text), length // 2 - GRAM + 1
+    """The places of the least hash (16 bits of it), leftmost of equals, in the first part of each window."""
+    n, reach = len(text), widths(length)[0]
     out: list[np.ndarray] = []
     data = np.frombuffer(text, dtype=np.uint8)
     for at in range(0, n - length + 1, SEGMENT):
         starts = min(SEGMENT, n - length + 1 - at)
-        h = grams(data[at : at + starts + length // 2 - 1])
-        least = (h & ~PLACE) | np.arange(len(h), dtype=np.uint64)
-        place = (slid(least, reach)[:starts] & PLACE).astype(np.int64) + at
-        out.append(place[np.r_[True, place[1:] != place[:-1]]])
+        h = grams(data[at : at + starts + reach + GRAM - 2])
+        least = ((h >> np.uint64(48)).astype(np.uint32) << np.uint32(16)) | np.arange(len(h), dtype=np.uint32)
+        place = slid(least, reach)[:starts] & np.uint32(0xFFFF)
+        out.append(place[np.r_[True, place[1:] != place[:-1]]].astype(np.int64) + at)
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
 
 
 def widths(length: int) -> list[int]:
-    """Widths of blocks, each dividing the one before: from all places of an anchor in a half window down to 1."""
-    reach = length // 2 - GRAM + 1
-    out = [1, 3]
-    while out[-1] < reach:
+    """Widths of blocks, each dividing the one before: from all places of an anchor in two thirds of a window down to 1."""
+    most = min(length * 2 // 3, length - GRAM + 1, SEGMENT)
+    out = [1]
+    while out[-1] * 4 <= most:
         out.append(out[-1] * 4)
-    return out[::-1]
+    return list(dict.fromkeys([most // out[-1] * out[-1], *out[::-1]]))
 
 
-def block(text: memoryview, top: int, width: int, length: int) -> tuple[int, bytes | None] | None:
-    """Hashes of core and hull of the windows that start at top - width + 1 to top; no hull where the text ends before it, None without windows."""
-    low, n = top - width + 1, len(text)
-    if top < 0 or low > n - length or top >= low + length:
-        return None
-    core = xxhash.xxh3_64_intdigest(text[top : low + length]) - (1 << 63)
-    hull = xxhash.xxh3_128_digest(text[low : top + length]) if low >= 0 and top + length <= n else None
-    return core, hull
+def blocks(text: bytes, tops: np.ndarray, width: int, length: int) -> Blocks:
+    """Blocks of the windows that start at top - width + 1 to top; no hull where the text ends before it, no block without windows."""
+    n = len(text)
+    tops = tops[(tops >= 0) & (tops - width + 1 <= n - length)]
+    low, high = tops - width + 1, tops + length
+    return tops, *hashes(memoryview(text), (tops, low + length), (low, high), (low >= 0) & (high <= n))
 
 
-def _cut(texts: Iterator[tuple], width: int, length: int) -> Iterator[tuple]:
-    for d, x, text, tops in texts:
-        view = memoryview(text)
-        for top in tops:
-            if (got := block(view, top, width, length)) is not None:
-                yield (d, x, top, *got)
+def among(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of texts whose (d, x) may be in ids, by a bitmap that all executors get, so that few others are moved by the join that follows."""
+    at, bit = F.pmod(F.xxhash64("d", "x"), F.lit(BITS)).alias("at"), F.pmod(F.shiftright(F.xxhash64("d", "x"), 32), F.lit(64)).cast("int").alias("bit")
+    bitmap = ids.select(at, bit).groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    return texts.select("*", at, bit).join(F.broadcast(bitmap), "at").where(F.getbit("bits", "bit") == 1).drop("at", "bit", "bits")
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, with_bytes: bool = False, words: int = 0) -> DataFrame:
@@ -106,102 +108,101 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_bytes: bool = False,
     """
     steps = widths(length)
     texts_of = named_texts(docs)
-    first_schema = pa.schema([("doc_id", pa.int64()), ("d", pa.int64()), ("x", pa.int64()), ("sha", pa.string()), ("n_bytes", pa.int64()), ("n_words", pa.int64())])
-    first = reach(words) if words else 0
+    heads_schema = pa.schema([("doc_id", pa.int64()), ("d", pa.int64()), ("x", pa.int64()), ("r", pa.int64()), ("sha", pa.string()), ("t", pa.int64()), ("n_bytes", pa.int64()), ("n_words", pa.int64())])
+    first = word_widths(words)[0] if words else 0
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            heads, offsets, tops, cores, hulls, word_offsets, word_blocks = [], [0], [], [], [], [0], []
-            for doc_id, d, x, text in rows(batch, "doc_id", "d", "x", "text"):
+            heads: list[tuple] = []
+            by_byte: list[Blocks] = []
+            by_word: list[Blocks] = []
+            for doc_id, d, x, r, text in rows(batch, "doc_id", "d", "x", "r", "text"):
                 data = text.encode()
-                view = memoryview(data)
-                for top in anchors(data, length).tolist():
-                    if (got := block(view, top, steps[0], length)) is not None:
-                        tops.append(top)
-                        cores.append(got[0])
-                        hulls.append(got[1])
-                offsets.append(len(tops))
+                by_byte.append(blocks(data, anchors(data, length), steps[0], length))
                 told = Words(text) if words else None
                 if told:
-                    word_blocks += told.blocks(told.anchors(words, first).tolist(), first, words)
-                word_offsets.append(len(word_blocks))
-                heads.append((doc_id, d, x, hashlib.sha256(data).hexdigest(), len(data), told.n if told else 0))
+                    by_word.append(told.blocks(told.anchors(words, first), first, words))
+                sha = hashlib.sha256(data)
+                heads.append((doc_id, d, x, r, sha.hexdigest(), int.from_bytes(sha.digest()[:8], signed=True), len(data), told.n if told else 0))
             if heads:
-                by_word = zip(*word_blocks) if word_blocks else ((), (), ())
-                by_word = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(by_word, (pa.int32(), pa.int64(), pa.binary()))], names=["top", "core", "hull"])
-                inner = pa.StructArray.from_arrays([pa.array(tops, pa.int32()), pa.array(cores, pa.int64()), pa.array(hulls, pa.binary())], names=["top", "core", "hull"])
-                columns = [pa.array(c, type=f.type) for c, f in zip(zip(*heads), first_schema)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), inner), pa.ListArray.from_arrays(pa.array(word_offsets, pa.int32()), by_word)], names=[*first_schema.names, "blocks", "word_blocks"])
+                lists_of = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(f[0]) for f in found)]), pa.int32()), pa.StructArray.from_arrays(columns(found), names=[n for n, _ in BLOCK])) for found in (by_byte, by_word or [(np.zeros(0, np.int64), np.zeros(0, np.int64), [])] * len(heads))]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, type=f.type) for c, f in zip(zip(*heads), heads_schema)), *lists_of], names=[*heads_schema.names, "blocks", "word_blocks"])
 
-    def cut(batches: Iterator[pa.RecordBatch], narrow: int) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch], width: int, narrow: int) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(_cut(((d, x, t.encode(), tops) for d, x, t, tops in rows(batch, "d", "x", "text", "tops")), narrow, length))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["d", "x", "top", "core", "hull"])
+            yield from blocks_of(batch, [blocks(text.encode(), tops, narrow, length) for text, tops in narrower(batch, width, narrow)])
 
     result = pa.schema([("d", pa.int64()), ("x", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), *([("kept", pa.binary())] if with_bytes else [])])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for d, x, text, found in rows(batch, "d", "x", "text", "spans"):
-                data, merged = text.encode(), []
-                for low, high in sorted((s["low"], s["high"]) for s in found):
-                    if merged and low <= merged[-1][1]:
-                        merged[-1][1] = max(high, merged[-1][1])
-                    else:
-                        merged.append([low, high])
-                edges = [0, *(e for m in merged for e in m), len(data)]
-                kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                out.append((d, x, len(data) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), *([kept] if with_bytes else [])))
+            flat, ends = lists(batch.column(batch.schema.get_field_index("spans")))
+            lows, highs = (flat.field(n).to_numpy() for n in ("low", "high"))
+            for k, (d, x, text) in enumerate(rows(batch, "d", "x", "text")):
+                data, low, high = text.encode(), lows[ends[k] : ends[k + 1]], highs[ends[k] : ends[k + 1]]
+                order = np.argsort(low)
+                low, high = low[order], np.maximum.accumulate(high[order])
+                apart = low[1:] > high[:-1]
+                low, high = low[np.r_[True, apart]].tolist(), high[np.r_[apart, True]].tolist()
+                kept = b"".join(data[a:b] for a, b in zip([0, *high], [*low, len(data)]))
+                out.append((d, x, len(data) - len(kept), len(low), hashlib.sha256(kept).hexdigest(), *([kept] if with_bytes else [])))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), result)], names=result.names)
 
     with Scratch() as scratch:
-        scanned = scratch.stored(texts_of.mapInArrow(scan, "doc_id long, d long, x long, sha string, n_bytes long, n_words long, blocks array<struct<top:int,core:long,hull:binary>>, word_blocks array<struct<top:int,core:long,hull:binary>>"), "scanned")
-        classes = scratch.stored(scanned.groupBy("sha", "n_bytes", "n_words").agg(F.count("*").alias("copies"), F.min(F.struct("d", "x")).alias("one")).select("sha", "n_bytes", "n_words", "copies", F.col("one.d").alias("d"), F.col("one.x").alias("x")), "classes")
-        own = scanned.join(classes.select("sha", "d", "x"), ["sha", "d", "x"], "left_semi").dropDuplicates(["sha"])
+        found = "array<struct<top:int,core:long,hull:binary>>"
+        # r tells rows apart; it is written with them.
+        scanned = texts_of.withColumn("r", F.monotonically_increasing_id()).mapInArrow(scan, f"doc_id long, d long, x long, r long, sha string, t long, n_bytes long, n_words long, blocks {found}, word_blocks {found}")
+        scanned = scratch.stored(scanned, "scanned")
+        heads = scratch.stored(scanned.select("doc_id", "d", "x", "r", "sha", "n_bytes", "n_words"), "heads")
+        classes = heads.groupBy("sha", "n_bytes", "n_words").agg(F.count("*").alias("copies"), F.min(F.struct("d", "x", "r")).alias("one"))
+        classes = scratch.stored(classes.select("sha", "n_bytes", "n_words", "copies", F.col("one.d").alias("d"), F.col("one.x").alias("x"), F.col("one.r").alias("r")), "classes")
+        # Of a core, bytes count places, also those of one text, words count texts.
+        every = scanned.select(F.lit(False).alias("of_words"), "r", "d", "x", "t", F.inline("blocks")).withColumn("place", F.xxhash64("t", "top")).drop("t")
+        if words:
+            every = every.unionByName(scanned.select(F.lit(True).alias("of_words"), "r", "d", "x", F.col("t").alias("place"), F.inline("word_blocks")))
         # Counts are written before they are joined: a core that a third of all texts hold then is a skewed join, which Spark splits.
-        level = scratch.stored(own.select("d", "x", F.inline("blocks")), "anchors")
-        more = scratch.stored(level.groupBy("core").agg(F.count("*").alias("cores")).where("cores > 1").select("core"), "cores")
-        level = scratch.stored(level.join(more, "core", "left_semi").select("d", "x", "top", "core", "hull"), "blocks0")
-        with Scratch() as brief:
-            ids = level.select("d", "x")
-            if words:
-                by_words = shared_blocks(brief, own)
-                ids = ids.union(by_words.select("d", "x"))
-            # In buckets by (d, x), so that no narrowing step moves a text again.
-            texts = scratch.bucketed(texts_of.select("d", "x", "text").join(ids.distinct(), ["d", "x"], "left_semi").dropDuplicates(["d", "x"]), "repeat_texts", ["d", "x"])
-            if words:
-                shared = shared_words(brief, classes, texts, by_words, words)
-                scratch.held.append(shared)
+        more = scratch.stored(every.groupBy("of_words", "core").agg(F.min("place").alias("least"), F.max("place").alias("most")).where("least != most").select("of_words", "core"), "cores")
+        first_blocks = every.drop("place").join(more.hint("shuffle_hash"), ["of_words", "core"], "left_semi").join(classes.select("r"), "r", "left_semi")
+        first_blocks = scratch.stored(first_blocks.select("of_words", "d", "x", "top", "core", "hull"), "blocks0")
+        scratch.drop(scanned, more)
+        ids = scratch.stored(first_blocks.select("d", "x").distinct(), "ids")
+        # In buckets by (d, x), so that no narrowing step moves a text again.
+        texts = scratch.bucketed(among(texts_of.select("d", "x", "text"), ids).join(ids, ["d", "x"], "left_semi").dropDuplicates(["d", "x"]), "repeat_texts", ["d", "x"])
+        level = first_blocks.where("NOT of_words").drop("of_words")
+        if words:
+            with Scratch() as brief:
+                shared = shared_words(brief, classes, texts, first_blocks.where("of_words").drop("of_words"), words)
+            scratch.held.append(shared)
 
         decided = []
         for k, width in enumerate(steps):
-            hulls = level.where("hull IS NOT NULL").groupBy("hull").agg(F.count("*").alias("hulls"), F.min(F.struct("d", "x", "top")).alias("lead")).where("hulls > 1")
+            place = placed()
+            hulls = level.where("hull IS NOT NULL").groupBy("hull").agg(F.count("*").alias("hulls"), F.min(place).alias("lead")).where("hulls > 1")
             hulls = scratch.stored(hulls.select("hull", "lead"), f"hulls{k}")
-            known = level.join(hulls, "hull", "left").withColumn("sure", F.col("lead").isNotNull())
-            known = scratch.stored(known.select("d", "x", "top", "core", "sure", (F.col("lead") == F.struct("d", "x", "top")).alias("leads")), f"known{k}")
+            known = level.join(hulls.hint("shuffle_hash"), "hull", "left").withColumn("sure", F.col("lead").isNotNull())
+            known = scratch.stored(known.select("d", "x", "top", "core", "sure", (F.col("lead") == place).alias("leads")), f"known{k}")
+            scratch.drop(first_blocks, level, hulls)
             decided.append(known.where("sure").select("d", "x", F.greatest(F.col("top") - width + 1, F.lit(0)).alias("low"), (F.col("top") + length).alias("high")))
             if width == 1:
                 break
             company = known.groupBy("core").agg(F.count("*").alias("cores"), F.count_if(~F.col("sure")).alias("unsure")).where("cores > 1 AND unsure > 0")
             company = scratch.stored(company.select("core"), f"company{k}")
-            going = known.where("NOT sure OR leads").join(company, "core", "left_semi")
+            going = known.where("NOT sure OR leads").join(company.hint("shuffle_hash"), "core", "left_semi")
             narrow = steps[k + 1]
-            tops = going.select("d", "x", F.explode(F.transform(F.sequence(F.lit(0), F.lit(width // narrow - 1)), lambda i: F.col("top") - i * narrow)).alias("top"))
-            wanted = tops.groupBy("d", "x").agg(F.collect_set("top").alias("tops"))
-            level = scratch.stored(texts.join(wanted, ["d", "x"]).select("d", "x", "text", "tops").mapInArrow(partial(cut, narrow=narrow), "d long, x long, top int, core long, hull binary"), f"blocks{k + 1}")
+            level = scratch.stored(cut_up(texts, going, partial(cut, width=width, narrow=narrow)), f"blocks{k + 1}")
+            scratch.drop(company)
 
         spans = reduce(DataFrame.unionByName, decided).groupBy("d", "x").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-        removed = texts.join(spans, ["d", "x"]).select("d", "x", "text", "spans").mapInArrow(apply, "d long, x long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_bytes else ""))
-        per = classes.join(scratch.stored(removed, "removed"), ["d", "x"], "left").drop("d", "x", "n_words")
+        removed = texts.join(spans.hint("shuffle_hash"), ["d", "x"]).select("d", "x", "text", "spans").mapInArrow(apply, "d long, x long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_bytes else ""))
+        per = classes.join(scratch.stored(removed, "removed"), ["d", "x"], "left").drop("d", "x", "r", "n_words")
         whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
         per = per.select(
             "sha", F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"), F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
             F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"), *([F.when(whole, F.lit(b"")).otherwise(F.col("kept")).alias("kept")] if with_bytes else []),
         ).where("n_removed > 0")
-        out = scanned.select("doc_id", "d", "x", "sha", "n_bytes").join(scratch.stored(per, "per"), "sha", "left")
+        out = heads.drop("r", "n_words").join(scratch.stored(per, "per"), "sha", "left")
         if with_bytes:
             text = texts_of.select("d", "x", F.encode("text", "utf-8").alias("whole")).dropDuplicates(["d", "x"])
             out = out.join(text, ["d", "x"]).withColumn("kept", F.coalesce("kept", "whole"))

@@ -284,3 +284,31 @@ def test_op5_catches_short_passages(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = sorted((r.doc_id, r.n_removed, r.n_shared_words) for r in op5_repeats(spark, str(tmp_path)).collect())
     assert got == [(i, 0, [0, 51, 60, 99][i // 3] if i < 12 and i % 3 < 2 else 0) for i in range(13)]
+
+
+def test_repeats_of_long_texts(spark):
+    """Anchors are sought segment by segment: repeats across the segments' ends, and of bytes outside ASCII, are found all the same."""
+    rng = np.random.default_rng(5)
+    texts = ["".join(chr(c) for c in rng.integers(0x100, 0x180, n)) for n in (40_000, 9_000)]
+    shared = [texts[0][k - 300 : k + 300] for k in (repeats.SEGMENT // 2, repeats.SEGMENT)]
+    pairs = list(enumerate([*texts, shared[0] + texts[1][:500], "x" * 399 + shared[1], "ab" * 40_000]))
+    same(repeats.remove_repeats(spark.createDataFrame(pairs, "doc_id long, text string")).collect(), repeats_brute(pairs, 400))
+
+
+def test_op5_moves_and_holds_less(spark, monkeypatch, small):
+    """Fewer than one block a hundred bytes, few texts beside those that share something are moved, and the blocks of all rows are gone before texts are written."""
+    import os
+
+    from rostrum.llm.common import Scratch, shared_dir
+
+    text = bytes(np.random.default_rng(3).integers(0, 256, 100_000, dtype=np.uint8))
+    assert 0 < len(repeats.anchors(text, 400)) < len(text) / 100
+    docs = spark.range(2000).selectExpr("id AS d", "id * 7 AS x", "'a' AS text")
+    kept = {r.d for r in repeats.among(docs, docs.where("d < 20").select("d", "x")).collect()}
+    assert {*range(20)} <= kept and len(kept) < 100
+
+    folder, write, there = shared_dir(spark).removeprefix("file:"), Scratch.bucketed, []
+    before = set(os.listdir(folder))
+    monkeypatch.setattr(Scratch, "bucketed", lambda *a, **b: (there.extend(set(os.listdir(folder)) - before), write(*a, **b))[1])
+    repeats.remove_repeats(small, words=51)
+    assert there and not any(n.startswith(("scanned", "anchors", "word_anchors")) for n in there)
