@@ -94,6 +94,16 @@ class Scratch:
         self.held.append(stored(df, name))
         return self.held[-1]
 
+    def checkpointed(self, df: DataFrame) -> DataFrame:
+        """df written to the shared folder until the end, and read again in the partitions that it has now."""
+        context = df.sparkSession.sparkContext
+        if not context.getCheckpointDir():
+            context.setCheckpointDir(shared_dir(df.sparkSession))
+        back = df.checkpoint()
+        back.stored_at = back._jdf.queryExecution().logical().rdd().getCheckpointFile().get()  # type: ignore[attr-defined]
+        self.held.append(back)
+        return back
+
     def drop(self, *frames: DataFrame) -> None:
         """Deletes tables of stored() that nothing reads any more."""
         discard(*frames)

@@ -1,17 +1,22 @@
 """Near-duplicate vectors by int8 tile products with rigorous error bounds.
 
-Unit vectors are rounded to 8 bits with a scale each, and the length e of what
-rounding loses is kept. The product of two rounded vectors differs from their
-cosine by at most e1 + e2 + e1 * e2, so a tile product in small integers tells
-which pairs may reach the threshold; only those are computed in double precision.
-
-Equal vectors are one node. Each pair of tiles is one task's work of fixed size;
-it gives back, per vector, its number of links and the least vector of its local
-component, so that a tile of copies costs as many rows as it has vectors.
+Unit vectors are rounded to 8 bits, and the length e of what rounding loses is
+kept. The product of two rounded vectors differs from their cosine by at most
+e1 + e2 + e1 * e2, so a tile product in small integers tells which pairs may reach
+the threshold; only those are computed in double precision. A product may stop
+after some components: the lengths of what is left, multiplied, are no less than
+what the others add.
+
+Equal vectors are one node. Each vector is dealt to one tile and written there
+once; pairs of tiles are read where they lie and not shuffled, so that disk grows
+with the vectors and not with the pairs. A pair of tiles is one task's work of
+fixed size; it gives back, per vector, its number of links and the least vector of
+its local component, so that a tile of copies costs as many rows as it has vectors.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +29,9 @@ from rostrum.llm.components import components
 from rostrum.llm.minhash import local_components
 
 
-def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """8-bit integers, scale and rounding error (length, rounded up) of unit vectors."""
-    scale = np.abs(unit).max(axis=1) / 127
+def quantised(unit: np.ndarray, scale: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """8-bit integers, scale and rounding error (length, rounded up) of unit vectors or their beginnings; scale: one for all."""
+    scale = np.broadcast_to(np.abs(unit).max(axis=1) / 127 if scale is None else scale, len(unit))
     q = np.rint(unit / scale[:, None]).astype(np.int8)
     error = np.linalg.norm(unit - q * scale[:, None], axis=1) * (1 + 1e-9) + 1e-12
     return q, scale, error
@@ -35,41 +40,137 @@ def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def units(vectors: np.ndarray) -> np.ndarray:
     """Vectors of length 1 in double precision; scaled first, so that squares stay in range."""
     v = vectors.astype(np.float64)
-    v = v / np.abs(v).max(axis=1, keepdims=True)
-    return v / np.linalg.norm(v, axis=1, keepdims=True)
-
-
-def linked_pairs(a: np.ndarray, b: np.ndarray, threshold: float, block: int = 1024, above: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
-    """Rows i of a and j of b with cosine >= threshold (unit vectors), and how many pairs needed full precision; above: i < j alone."""
-    qa, sa, ea = quantised(a)
-    qb, sb, eb = quantised(b)
-    exact = np.float32 if a.shape[1] * 127 * 127 < 1 << 24 else np.float64  # sums of small integers, held exactly
-    right, out, tried = qb.astype(exact).T, [], 0
-    for at in range(0, len(a), block):
-        part = slice(at, at + block)
-        from_row = at if above else 0
-        product = qa[part].astype(exact) @ right[:, from_row:]
-        most = threshold - (ea[part] + eb.max() + ea[part] * eb.max()) - 1e-9
-        floor = np.where(most > 0, most / (sa[part] * sb.max()), -np.inf).astype(exact) * (1 - 1e-6)
-        i, j = np.nonzero(product >= floor[:, None])
-        ii, jj = i + at, j + from_row
-        keep = product[i, j] * sa[ii] * sb[jj] >= threshold - (ea[ii] + eb[jj] + ea[ii] * eb[jj]) - 1e-9
-        if above:
-            keep &= ii < jj
-        ii, j = ii[keep], jj[keep]
-        tried += len(ii)
-        for k in range(0, len(ii), 200_000):
-            x, y = ii[k : k + 200_000], j[k : k + 200_000]
-            hit = np.einsum("ij,ij->i", a[x], b[y]) >= threshold
-            out.append((x[hit], y[hit]))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), tried
-    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out]), tried
+    v /= np.abs(v).max(axis=1, keepdims=True)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    return v
+
+
+def depth(a: np.ndarray, b: np.ndarray, threshold: float) -> int:
+    """How many components a product should have, by what 256 x 256 pairs cost; pairs that are linked do not depend on it."""
+    size = a.shape[1]
+    x, y = (v[:: len(v) // 256 + 1] for v in (a, b))
+
+    def cost(k: int) -> float:
+        most = x[:, :k] @ y[:, :k].T + np.linalg.norm(x[:, k:], axis=1)[:, None] * np.linalg.norm(y[:, k:], axis=1)
+        return k + 25 + 8000 * np.mean(most >= threshold - 0.02)  # in some 0.025 ns a pair
+
+    return min(range(size, 0, -max(8, size // 16)), key=cost)
+
+
+def blocks(unit: np.ndarray, k: int, size: int, kind: type) -> tuple[np.ndarray, list[tuple[np.ndarray, float, float]]]:
+    """Rows by their largest component, and in that order, for each `size` of them: k integers a row and the length of the rest, rounded up; one scale; the largest error."""
+    order = np.argsort(np.abs(unit).max(axis=1), kind="stable")
+    out = []
+    for at in range(0, len(order), size):
+        part = unit[order[at : at + size]]
+        scale = np.abs(part).max() / 127
+        q, _, error = quantised(part[:, :k], scale)
+        rest = np.ceil(np.linalg.norm(part[:, k:], axis=1) / scale * (1 + 1e-9))
+        out.append((np.concatenate([q, rest[:, None]], axis=1, dtype=kind, casting="unsafe"), scale, error.max()))
+    return order, out
+
+
+def linked(a: np.ndarray, b: np.ndarray, threshold: float, above: bool = False, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Rows i of a and j of b with cosine >= threshold (unit vectors), and how many pairs needed full precision, some pairs at a time; above: a and b are one, i < j alone."""
+    wide, size = 4 * block, a.shape[1]
+    largest_first = np.argsort(-np.square(a).mean(axis=0), kind="stable")
+    a = np.take(a, largest_first, axis=1)  # rows in one piece, as indexing would not leave them
+    b = a if above else np.take(b, largest_first, axis=1)
+    k = depth(a, b, threshold)
+    kind = np.float32 if (127.5 * math.sqrt(size) + 1) ** 2 < 1 << 24 else np.float64  # sums of small integers, held exactly
+    from_row, left = blocks(a, k, block, kind)
+    from_column, right = blocks(b, k, wide, kind)
+    products, marks, held = np.empty(block * wide, kind), np.zeros(block * wide + 8, bool), max(1, (1 << 18) // size)
+    first, second = np.empty((held, size)), np.empty((held, size))
+    for m, (q, scale, error) in enumerate(left):
+        for n, (r, other, lost) in enumerate(right):
+            if above and (n + 1) * wide <= m * block:
+                continue
+            shape, cells = (len(q), len(r)), len(q) * len(r)
+            product = np.matmul(q, r.T, out=products[:cells].reshape(shape))
+            most = threshold - (error + lost + error * lost) - 1e-9
+            floor = kind(most / (scale * other) * (1 - 1e-6)) if most > 0 else -np.inf
+            np.greater_equal(product, floor, out=marks[:cells].reshape(shape))
+            marks[cells : cells + 8] = False
+            eight = np.flatnonzero(marks[: -(-cells // 8) * 8].view(np.int64) != 0)  # few are marked: eight are looked at in one step
+            at = (eight[:, None] * 8 + np.arange(8)).ravel()
+            at = at[marks[at]]
+            ii, jj = at // len(r) + m * block, at % len(r) + n * wide
+            if above:
+                ii, jj = ii[ii < jj], jj[ii < jj]
+            i, j = from_row[ii], from_column[jj]
+            if above:
+                i, j = np.minimum(i, j), np.maximum(i, j)
+            for x, y in ((i[c : c + held], j[c : c + held]) for c in range(0, len(i), held)):
+                np.take(a, x, axis=0, out=first[: len(x)], mode="clip")
+                np.take(b, y, axis=0, out=second[: len(x)], mode="clip")
+                hit = np.einsum("ij,ij->i", first[: len(x)], second[: len(x)]) >= threshold
+                yield x[hit], y[hit], len(x)
+
+
+def linked_pairs(a: np.ndarray, b: np.ndarray, threshold: float, above: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
+    """All pairs of linked() at once."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), 0), *linked(a, b, threshold, above)]
+    return np.concatenate([x for x, _, _ in found]), np.concatenate([y for _, y, _ in found]), sum(n for _, _, n in found)
+
+
+def summed_up(n: int, copies: np.ndarray, found: Iterator[tuple[np.ndarray, np.ndarray, int]], most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Links and least reachable index of n nodes by pairs of which at most about `most` are held at once."""
+    links, label, held, pairs = np.zeros(n, np.int64), np.arange(n), [], 0
+
+    def add() -> None:
+        nonlocal links, label, pairs
+        i, j = (np.concatenate(c) for c in zip(*held))
+        links += (np.bincount(i, copies[j], n) + np.bincount(j, copies[i], n)).astype(np.int64)
+        x, y = label[i], label[j]
+        if (x != y).any():
+            label = local_components(n, x[x != y], y[x != y])[label]
+        held.clear()
+        pairs = 0
+
+    for i, j, _ in found:
+        held.append((i, j))
+        pairs += len(i)
+        if pairs >= most or len(held) >= 4096:
+            add()
+    if held:
+        add()
+    return links, label
 
 
 FOUND = pa.schema([("a", pa.int64()), ("h", pa.int64()), ("links", pa.int64()), ("b", pa.int64())])
 
 
+TILE = "t int, size int, id binary, h binary, m binary, v binary"
+
+
+def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What came of one tile (t, d, m, h, g, v) as a row for each size of vectors: equal ones once, with the least d and their number; numbers of 64 bits in one piece, vectors likewise."""
+    held = [x for batch in batches for x in once(iter([batch]))]
+    if held:
+        for batch in once(iter(pa.Table.from_batches(held).combine_chunks().to_batches())):
+            t, h = (batch.column(c).to_numpy() for c in ("t", "h"))
+            size = np.array([len(x) for x in batch.column("v").to_pylist()])
+            order = np.lexsort((h, batch.column("d").to_numpy(), size, t))
+            cuts = np.flatnonzero(np.diff(t[order]) | np.diff(size[order])) + 1
+            for of in np.split(order, cuts):
+                part = batch.take(pa.array(of))
+                row = [part.column(c).to_numpy().tobytes() for c in ("d", "h", "m")] + [b"".join(part.column("v").to_pylist())]
+                kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
+                yield pa.RecordBatch.from_arrays([pa.array([x], type=k) for x, k in zip((int(t[of[0]]), int(size[of[0]]), *row), kinds)], names=["t", "size", "id", "h", "m", "v"])
+
+
+def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a batch's rows (t, d, m, h, g, v) with one h and g one: the least d, and m summed up."""
+    for batch in batches:
+        if batch.num_rows:
+            d, m, h, g = (batch.column(c).to_numpy() for c in ("d", "m", "h", "g"))
+            order = np.lexsort((d, g, h))
+            first = np.flatnonzero(np.r_[True, (np.diff(h[order]) != 0) | (np.diff(g[order]) != 0)])
+            kept = batch.take(pa.array(order[first]))
+            yield kept.set_column(kept.schema.get_field_index("m"), "m", pa.array(np.add.reduceat(m[order], first)))
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, tile: int = 4096) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row.
 
@@ -95,43 +196,53 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, tile: int = 4096) -
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], names=["vec_id", "d", "v"])
 
-    packed = vectors.select("vec_id", F.col("embedding").cast("array<double>" if double else "array<float>")).mapInArrow(pack, "vec_id long, d long, v binary").withColumn("h", F.xxhash64("v"))
+    valid = F.col("v").isNotNull()
+    packed = vectors.select("vec_id", F.col("embedding").cast("array<double>" if double else "array<float>")).mapInArrow(pack, "vec_id long, d long, v binary")
+    packed = packed.withColumns({"h": F.when(valid, F.xxhash64("v")), "g": F.when(valid, F.xxhash64(F.lit(8), "v"))})
 
-    def work(group: pa.Table) -> pa.Table:
-        first, second = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
-        ids, marks, copies = (group.column(c).to_numpy() for c in ("id", "h", "m"))
+    def of_pair(one: int, other: int, size: int, *held: bytes) -> pa.RecordBatch:
+        sides = 1 if one == other else 2
+        ids, marks, copies = (np.concatenate([np.frombuffer(x, np.int64) for x in held[c : c + sides]]) for c in (0, 2, 4))
+        unit = [units(np.frombuffer(x, kind).reshape(-1, size // kind.itemsize)) for x in held[6 : 6 + sides]]
         order = np.lexsort((marks, ids))
-        ids, marks, copies, tiles = ids[order], marks[order], copies[order], group.column("t").to_numpy()[order]
-        unit = units(np.frombuffer(b"".join(group.column("v").to_pylist()), dtype=kind).reshape(len(ids), -1)[order])
-        if first == second:
-            i, j, _ = linked_pairs(unit, unit, threshold, above=True)
-        else:
-            left, right = np.flatnonzero(tiles == first), np.flatnonzero(tiles == second)
-            if not len(left) or not len(right):
-                return FOUND.empty_table()
-            i, j, _ = linked_pairs(unit[left], unit[right], threshold)
-            i, j = left[i], right[j]
-        links = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
-        root = local_components(len(ids), i, j)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        found, second = linked(unit[0], unit[-1], threshold, above=sides == 1), len(unit[0]) * (sides - 1)
+        del unit, held
+        links, label = summed_up(len(ids), copies[order], ((place[i], place[j + second], k) for i, j, k in found))
         hit = np.flatnonzero(links)
-        return pa.table([ids[hit], marks[hit], links[hit].astype(np.int64), ids[root[hit]]], schema=FOUND)
+        return pa.RecordBatch.from_arrays([ids[order][hit], marks[order][hit], links[hit], ids[order][label[hit]]], schema=FOUND)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pair in rows(batch, "t", "other_t", "size", "id", "other_id", "h", "other_h", "m", "other_m", "v", "other_v"):
+                yield of_pair(*pair)
 
     with Scratch() as scratch:
         packed = scratch.stored(packed, "vectors")
-        nodes = scratch.stored(packed.where("v IS NOT NULL").groupBy("v", "h").agg(F.min("d").alias("id"), F.count("*").alias("m")), "nodes")
-        # Tiles of one vector size, of about `tile` vectors: their number is all that the driver learns.
-        counts = nodes.groupBy(F.length("v").alias("size")).agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-        tiled = nodes.withColumn("size", F.length("v")).join(counts, "size").withColumn("t", F.pmod(F.xxhash64("id", "h"), F.col("tiles")).cast("int"))
-        sent = tiled.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        sent = sent.select("size", F.least("t", "u").alias("lo"), F.greatest("t", "u").alias("hi"), "t", "id", "h", "m", "v")
-        # Dealt by number: adaptive execution would join tile pairs, which are few bytes and much work, into one task.
-        sent = sent.repartition(4 * int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions")), "size", "lo", "hi")
-        found = scratch.stored(sent.groupBy("size", "lo", "hi").applyInArrow(work, "a long, h long, links long, b long"), "found")
+        known = packed.where(valid)
+        # The number of vectors and of their bytes is all that the driver learns: tiles of 16 MB at most or so, smaller ones to give all cores work.
+        number, held = known.agg(F.count("*"), F.coalesce(F.sum(F.length("v")), F.lit(0))).first()
+        spark = vectors.sparkSession
+        dealt = max(1, math.ceil(held / (1 << 24)), min(math.ceil(number / tile), math.ceil(math.sqrt(16 * spark.sparkContext.defaultParallelism))))
+        sent = known.select(F.pmod("h", F.lit(dealt)).cast("int").alias("t"), "d", F.lit(1).cast("long").alias("m"), "h", "g", "v")
+        sent = sent.mapInArrow(once, sent.schema).repartitionById(dealt, "t").mapInArrow(tiles, TILE)
+        one = scratch.checkpointed(sent)
+        slim = scratch.stored(packed.select("vec_id", "d", "h", "g"), "rows")
+        scratch.drop(packed)
+        # Each pair of tiles is a task that reads both; the sizes are compared by a difference, since an equality would shuffle the tiles.
+        other = one.select([F.col(c).alias(f"other_{c}") for c in one.columns]).hint("shuffle_replicate_nl")
+        pairs = one.join(other, (F.col("t") <= F.col("other_t")) & (F.col("size") - F.col("other_size") == 0))
+        found = scratch.stored(pairs.mapInArrow(work, "a long, h long, links long, b long"), "found")
+        scratch.drop(one)
+        good = slim.where("h IS NOT NULL")
+        nodes = scratch.stored(good.groupBy("h", "g").agg(F.min("d").alias("id"), F.count("*").alias("m")), "nodes")
         # A vec_id that several vectors have holds them together through its own node.
-        same = packed.where("v IS NOT NULL").join(nodes.select("v", "id"), "v").where("d <> id").select(F.col("d").alias("a"), F.col("id").alias("b")).distinct()
+        same = good.join(nodes, ["h", "g"]).where("d <> id").select(F.col("d").alias("a"), F.col("id").alias("b")).distinct()
         labels = components(found.select("a", "b").union(same))
         links = found.groupBy(F.col("a").alias("id"), "h").agg(F.sum("links").alias("links"))
-        per = scratch.stored(nodes.join(links, ["id", "h"], "left").select("v", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links")), "per")
-        out = packed.join(per, "v", "left").join(labels.withColumnRenamed("id", "d"), "d", "left")
+        per = scratch.stored(nodes.join(links, ["id", "h"], "left").select("h", "g", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links")), "per")
+        out = good.join(per, ["h", "g"]).unionByName(slim.where("h IS NULL").withColumn("n_links", F.lit(0).cast("long")))
+        out = out.join(labels.withColumnRenamed("id", "d"), "d", "left")
         component = F.coalesce("component", "d")
-        return stored(out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(component != UNNAMED, component).alias("component_id"), (F.col("d") == component).alias("kept")), "near-vectors")
+        return stored(out.select("vec_id", F.col("n_links").cast("long").alias("n_links"), F.when(component != UNNAMED, component).alias("component_id"), (F.col("d") == component).alias("kept")), "near-vectors")
