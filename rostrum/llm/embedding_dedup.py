@@ -21,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rostrum.llm.common import UNNAMED, Scratch, rows, stored
+from rostrum.llm.common import UNNAMED, Scratch, stored
 from rostrum.llm.components import components
 from rostrum.llm.minhash import local_components
 
@@ -138,6 +139,16 @@ def summed_up(n: int, copies: np.ndarray, found: Iterator[tuple[np.ndarray, np.n
     return links, label
 
 
+def as_bytes(vectors: pa.ListArray, kind: np.dtype) -> pa.Array:
+    """Components as bytes, -0 as 0; null for a vector that is null, empty, zero, or holds null or non-finite components."""
+    x = vectors.flatten().to_numpy(zero_copy_only=False).astype(kind) + kind.type(0)
+    ends = np.concatenate([[0], pc.list_value_length(vectors).fill_null(0).to_numpy().cumsum(dtype=np.int64)])
+    odd, other = (np.concatenate([[0], np.cumsum(c)])[ends] for c in (~np.isfinite(x), x != 0))
+    good = (np.diff(odd) == 0) & (np.diff(other) > 0)
+    bits = pa.array(good).buffers()[1]
+    return pa.Array.from_buffers(pa.binary(), len(good), [bits, pa.py_buffer((ends * kind.itemsize).astype(np.int32)), pa.py_buffer(x.tobytes())])
+
+
 FOUND = pa.schema([("a", pa.int64()), ("h", pa.int64()), ("links", pa.int64()), ("b", pa.int64())])
 
 
@@ -185,22 +196,17 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, tile: int = 4096) -
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for vec_id, v in rows(batch, "vec_id", "embedding"):
-                got = None
-                if v and None not in v:
-                    x = np.asarray(v, dtype=kind)
-                    if np.isfinite(x).all() and x.any():
-                        got = (x + 0).tobytes()
-                out.append((vec_id, UNNAMED if vec_id is None else vec_id, got))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], names=["vec_id", "d", "v"])
+            longest = pc.max(pc.list_value_length(batch.column("embedding"))).as_py() or 1
+            step = max(1, (1 << 27) // (longest * kind.itemsize))
+            for at in range(0, batch.num_rows, step):
+                ids, held = (batch.column(c).slice(at, step) for c in ("vec_id", "embedding"))
+                yield pa.RecordBatch.from_arrays([ids, ids.fill_null(UNNAMED), as_bytes(held, kind)], names=["vec_id", "d", "v"])
 
     valid = F.col("v").isNotNull()
     packed = vectors.select("vec_id", F.col("embedding").cast("array<double>" if double else "array<float>")).mapInArrow(pack, "vec_id long, d long, v binary")
     packed = packed.withColumns({"h": F.when(valid, F.xxhash64("v")), "g": F.when(valid, F.xxhash64(F.lit(8), "v"))})
 
-    def of_pair(one: int, other: int, size: int, *held: bytes) -> pa.RecordBatch:
+    def of_pair(one: int, other: int, size: int, *held: pa.Buffer) -> pa.RecordBatch:
         sides = 1 if one == other else 2
         ids, marks, copies = (np.concatenate([np.frombuffer(x, np.int64) for x in held[c : c + sides]]) for c in (0, 2, 4))
         unit = [units(np.frombuffer(x, kind).reshape(-1, size // kind.itemsize)) for x in held[6 : 6 + sides]]
@@ -215,16 +221,17 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, tile: int = 4096) -
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for pair in rows(batch, "t", "other_t", "size", "id", "other_id", "h", "other_h", "m", "other_m", "v", "other_v"):
-                yield of_pair(*pair)
+            for k in range(batch.num_rows):
+                one, other, size = (batch.column(c)[k].as_py() for c in ("t", "other_t", "size"))
+                yield of_pair(one, other, size, *(batch.column(c)[k].as_buffer() for c in ("id", "other_id", "h", "other_h", "m", "other_m", "v", "other_v")))
 
     with Scratch() as scratch:
         packed = scratch.stored(packed, "vectors")
         known = packed.where(valid)
-        # The number of vectors and of their bytes is all that the driver learns: tiles of 16 MB at most or so, smaller ones to give all cores work.
+        # The number of vectors and of their bytes is all that the driver learns: tiles of 12 MB at most or so, smaller ones to give all cores work.
         number, held = known.agg(F.count("*"), F.coalesce(F.sum(F.length("v")), F.lit(0))).first()
         spark = vectors.sparkSession
-        dealt = max(1, math.ceil(held / (1 << 24)), min(math.ceil(number / tile), math.ceil(math.sqrt(16 * spark.sparkContext.defaultParallelism))))
+        dealt = max(1, math.ceil(held / (3 << 22)), min(math.ceil(number / tile), math.ceil(math.sqrt(16 * spark.sparkContext.defaultParallelism))))
         sent = known.select(F.pmod("h", F.lit(dealt)).cast("int").alias("t"), "d", F.lit(1).cast("long").alias("m"), "h", "g", "v")
         sent = sent.mapInArrow(once, sent.schema).repartitionById(dealt, "t").mapInArrow(tiles, TILE)
         one = scratch.checkpointed(sent)
